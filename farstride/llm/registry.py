@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and ORACLE.
-MODULES = ["sharding"]
+MODULES = ["langid", "sharding"]
 
 
 def _all(what: str) -> dict:
