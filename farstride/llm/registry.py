@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and ORACLE.
-MODULES = ["langid", "sharding", "tokens"]
+MODULES = ["langid", "quality", "sharding", "tokens"]
 
 
 def _all(what: str) -> dict:
