@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, table
 
-CHUNK, OVERLAP, LIMIT = 16_384, 512, 2_048
+CHUNK, OVERLAP, LIMIT = 32_768, 512, 2_048
 #: Fixed values of the tokenizer: how it splits lower-cased text into words, and its special strings' start.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIAL = "<|"
