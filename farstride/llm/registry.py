@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and ORACLE.
-MODULES = ["jaccard", "langid", "lattice", "neighbours", "quality", "sharding", "tokens"]
+MODULES = ["decontaminate", "jaccard", "langid", "lattice", "neighbours", "quality", "sharding", "tokens"]
 
 
 def _all(what: str) -> dict:
