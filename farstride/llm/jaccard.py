@@ -27,7 +27,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import LOWER, Scratch, U, batches, join_bytes, mix, ngram_hashes, table, word_hashes, words
 from .components import components
@@ -111,6 +110,15 @@ def prefix(keys: np.ndarray, percent: int) -> np.ndarray:
     return np.partition(keys, size - 1)[:size].astype(np.int64) if len(keys) else keys.astype(np.int64)
 
 
+def linked(x: np.ndarray, y: np.ndarray, klass: np.ndarray, percent: int) -> bool:
+    """Whether two sets link: they must share a prefix shingle in each further order before whole sets are compared."""
+    for k in range(1, ORDERS):
+        if not np.isin(prefix(order_keys(x, klass, k), percent), prefix(order_keys(y, klass, k), percent)).any():
+            return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 class Join:
     """The steps of one join, over shared scratch tables."""
 
@@ -131,95 +139,94 @@ class Join:
 
         return self.docs.mapInPandas(extract, "doc long, digest binary, n long, prefix array<long>")
 
+    def few(self, df: DataFrame) -> DataFrame:
+        """df as a broadcast side if it has BROADCAST_IDS rows (of a few numbers) at most; else joins shuffle it."""
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that link; all orders' filters are applied before whole sets move."""
+        """Those of the pairs (a, b) that link. Compressed texts of both sides meet once for each pair."""
         n, percent, klass, scratch = self.n, self.percent, self.klass, self.scratch
         pairs = scratch.save(pairs, f"{name}_pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        few = ids.count() <= BROADCAST_IDS
 
-        def extract(parts):
+        def packed(parts):
             for pdf in parts:
-                ids = pdf["doc"].tolist()
-                rows = [(ids[i], *(prefix(order_keys(s, klass.value, k), percent) for k in range(1, ORDERS)), s.tobytes()) for i, s, _ in sets(pdf["text"].tolist(), n)]
-                yield pd.DataFrame(rows, columns=["doc", *(f"p{k}" for k in range(1, ORDERS)), "whole"])
-
-        orders = [f"p{k}" for k in range(1, ORDERS)]
-        chosen = self.docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
-        found = scratch.save(chosen.mapInPandas(extract, f"doc long, {', '.join(p + ' array<long>' for p in orders)}, whole binary").dropDuplicates(["doc"]), f"{name}_sets")
-        sides = {s: found.select(F.col("doc").alias(s), *(F.col(p).alias(f"{p}{s}") for p in orders)) for s in "ab"}
-        for s in "ab":
-            pairs = pairs.join(sides[s], s)
-        for p in orders:
-            pairs = pairs.filter(F.arrays_overlap(f"{p}a", f"{p}b"))
-        pairs = pairs.select("a", "b")
-        for s in "ab":
-            pairs = pairs.join(found.select(F.col("doc").alias(s), F.col("whole").alias(f"w{s}")), s)
+                yield pdf.assign(text=[zlib.compress(t or b"", 1) for t in pdf["text"]])
+
+        left = self.docs.join(self.few(pairs.withColumnRenamed("a", "doc")), "doc").mapInPandas(packed, "doc long, text binary, b long")
+        chosen = self.few(pairs.select(F.col("b").alias("doc")).distinct())
+        right = self.docs.join(chosen, "doc", "left_semi").mapInPandas(packed, "doc long, text binary")
+        both = left.toDF("a", "text_a", "b").join(right.toDF("b", "text_b"), "b")
 
         def compare(parts):
+            last, known = None, None
             for pdf in parts:
                 keep = []
-                for x, y in zip(pdf["wa"], pdf["wb"], strict=True):
-                    x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                texts = [zlib.decompress(t) for t in pdf["text_a"]]
+                for (_, x, _), b, text in zip(sets(texts, n), pdf["b"], pdf["text_b"], strict=True):
+                    if (b, text) != last:  # rows come sorted by b
+                        last, known = (b, text), next(sets([zlib.decompress(text)], n))[1]
+                    keep.append(linked(x, known, klass.value, percent))
                 yield pdf.loc[keep, ["a", "b"]]
 
-        out = scratch.save(pairs.mapInPandas(compare, "a long, b long"), f"{name}_links")
-        scratch.drop(f"{name}_sets", f"{name}_pairs")
+        out = scratch.save(both.mapInPandas(compare, "a long, b long").distinct(), f"{name}_links")
+        scratch.drop(f"{name}_pairs")
         return out
 
     def sized(self, a, b):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """Rows (doc, n, rep) of all documents, and (node, component) of representatives with links."""
+        """Rows (doc, digest, n) of all documents, and (node, component) of representatives with links."""
         scratch = self.scratch
-        rows = self.prefixes()
-        # one row for each different text moves on; the digests of all rows stay
-        classed = rows.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("prefix").alias("token"))
-        index = index.repartition("token")
-        shared = index.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
-        buckets = scratch.save(index.join(shared, "token"), "buckets")
+        found = scratch.save(self.prefixes(), "prefixes")
+        rows = scratch.save(found.select("doc", "digest", "n"), "rows")
+        # one prefix for each different text
+        classed = found.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("prefix").alias("token")).repartition("token")
+        led = self.leaders(index, 0)
+        buckets = scratch.save(index.join(led, "token"), "buckets0")
+        scratch.drop("prefixes")
         links, comps = None, None
         for r in range(LEADER_ROUNDS):
-            now = buckets
-            if comps is not None:
-                now = self.with_components(buckets, comps)
-            by = F.xxhash64("rep", F.lit(r))
-            leader = now.groupBy("token").agg(F.min_by(F.struct("rep", "n", *(["comp"] if comps is not None else [])), by).alias("lead"))
-            tried = now.join(leader, "token").filter((F.col("rep") != F.col("lead.rep")) & self.sized(F.col("n"), F.col("lead.n")))
+            tried = buckets.filter((F.col("rep") != F.col("lead.rep")) & self.sized(F.col("n"), F.col("lead.n")))
             if comps is not None:
                 tried = tried.filter(F.col("comp") != F.col("lead.comp"))
             votes = tried.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).count()
-            one = F.row_number().over(W.partitionBy("a").orderBy(F.desc("count"), "b"))
-            new = self.verified(votes.withColumn("k", one).filter("k = 1").select("a", "b"), f"round{r}")
+            best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+            new = self.verified(best, f"round{r}")
             links = new if links is None else links.unionByName(new)
             comps = scratch.save(components(links, scratch, f"star{r}_"), f"comps{r}")
-        now = self.with_components(buckets, comps)
-        large = (
-            now.groupBy("token", "comp").agg(F.count("*").alias("size"))
-            .groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("size", "comp")).alias("most"))
-            .filter("kinds > 1")
+            # only buckets that still hold several components go on
+            now = self.with_components(buckets.select("token", "rep", "n"), comps).repartition("token")
+            buckets = scratch.save(now.join(self.leaders(now, r + 1), "token"), f"buckets{r + 1}")
+            scratch.drop(f"buckets{r}")
+        most = (
+            buckets.groupBy("token", "comp").agg(F.count("*").alias("size"))
+            .groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
         )
-        mixed = scratch.save(now.join(large, "token"), "mixed")
-        left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "most")
-        right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        mixed = buckets.select("token", "rep", "n", "comp").join(most, "token")
+        left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "most")
         rest = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & self.sized(F.col("na"), F.col("nb")))
         links = links.unionByName(self.verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest"))
         return rows, components(links, scratch, "last")
 
+    def leaders(self, buckets: DataFrame, r: int) -> DataFrame:
+        """token and lead (one of its documents, another one in each round) of the buckets that need comparisons."""
+        comp = "comp" if "comp" in buckets.columns else "rep"
+        fields = F.struct("rep", "n", F.col(comp).alias("comp"))
+        led = buckets.groupBy("token").agg(F.min(comp).alias("low"), F.max(comp).alias("high"), F.min_by(fields, F.xxhash64("rep", F.lit(r))).alias("lead"))
+        return led.filter(F.col("low") != F.col("high")).select("token", "lead")
+
     def with_components(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
         named = comps.select(F.col("node").alias("rep"), F.col("component"))
-        return buckets.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        return buckets.join(self.few(named), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """key, n_shingles and component_id of each row."""
     join = Join(docs, key, text, n, percent, width)
     rows, comps = join.run()
-    rows = join.scratch.save(rows.select("doc", "digest", "n"), "digests")
     reps = rows.groupBy("digest").agg(F.min("doc").alias("rep"))
     out = rows.join(reps, "digest").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.coalesce("component", "rep"))
