@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and ORACLE.
-MODULES = ["decontaminate", "jaccard", "langid", "lattice", "mixing", "neighbours", "quality", "sharding", "tokens"]
+MODULES = ["decontaminate", "jaccard", "langid", "lattice", "mixing", "neighbours", "quality", "sharding", "suffixes", "tokens"]
 
 
 def _all(what: str) -> dict:
