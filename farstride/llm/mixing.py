@@ -3,9 +3,9 @@
 A naive-Bayes classifier over hashed words, fitted on the labels table, gives each document posterior probabilities of
 the domains. A document's expected tokens of a domain are its tokens times the posterior. Nonnegative document
 rates x are fitted by projected-gradient least squares, so that the domains' totals of rate * expected tokens meet the targets:
-minimise |A'x - target|^2 in the metric of the domains' Gram matrix M = sum(tokens * p p'), by x <- max(0, x - p . M^-1 (A'x - target)),
-from x = 1 (this metric bounds the curvature by 1, so full steps converge). Only the residuals, one number for each
-domain, come to the driver in a round; a row's x is recomputed from them, so no state is stored.
+minimise |A'x - target|^2 in the metric of the domains' Gram matrix M = sum(tokens * p p') over the rows with x > 0, by
+x <- max(0, x - p . M^-1 (A'x - target)), from x = 1 (in this metric the curvature is 1; a step that gains little is halved). Only the residuals, one number for each
+domain, and their Gram matrix come to the driver in a round; a row's x is recomputed from them, so no state is stored.
 
 Domains (fixed by the labels table): toxic for toxic = 1, else low for quality = 0 and good for quality = 1. A target is the
 wanted multiple of the domain's present expected tokens. copies is the rate rounded at random by a hash of the
@@ -31,7 +31,7 @@ from .common import Scratch, table
 DOMAINS = ("toxic", "low", "good")
 #: Wanted multiple of each domain's expected tokens: good is raised enough that its documents are never thinned out.
 TARGETS = {"toxic": 0.02, "low": 0.6, "good": 1.25}
-BUCKETS, MAX_LABELLED, ROUNDS, TOLERANCE, PRIOR = 1 << 15, 20_000, 60, 1e-4, 1_000.0
+BUCKETS, MAX_LABELLED, ROUNDS, TOLERANCE, PRIOR = 1 << 15, 20_000, 60, 1e-3, 1_000.0
 
 
 def hashed_words(text: Column) -> Column:
@@ -118,35 +118,41 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
     """Steps that lead to the rates; rows has tokens and p. One aggregation a round, over all rows."""
     size = len(DOMAINS)
     p = [F.get("p", F.lit(d)) for d in range(size)]
-    gram = rows.agg(*(F.sum(F.col("tokens") * p[a] * p[b]).alias(f"m{a}{b}") for a in range(size) for b in range(size)), *(F.sum(F.col("tokens") * p[d]).alias(f"t{d}") for d in range(size))).first()
-    if gram["t0"] is None:
-        return []
-    wanted = [gram[f"t{d}"] * targets[d] for d in range(size)]
-    solve = inverse([[gram[f"m{a}{b}"] for b in range(size)] for a in range(size)])
-    steps: list[list[float]] = []
+    wanted, steps, last, pace = None, [], None, 1.0
     for _ in range(ROUNDS):
         x = rate_of(steps)
-        now = rows.agg(*(F.sum(x * F.col("tokens") * p[d]).alias(f"t{d}") for d in range(size))).first()
+        active = F.when(x > 0, F.col("tokens")).otherwise(0)
+        now = rows.withColumns({"x": x, "active": active}).agg(
+            *(F.sum(F.col("active") * p[a] * p[b]).alias(f"m{a}{b}") for a in range(size) for b in range(size)),
+            *(F.sum(F.col("x") * F.col("tokens") * p[d]).alias(f"t{d}") for d in range(size)),
+        ).first()
+        if now["t0"] is None:
+            return []
+        wanted = wanted or [now[f"t{d}"] * targets[d] for d in range(size)]
         gap = [now[f"t{d}"] - wanted[d] for d in range(size)]
-        if sum(map(abs, gap)) <= TOLERANCE * max(sum(wanted), 1e-9):
+        missed = sum(map(abs, gap))
+        if missed <= TOLERANCE * max(sum(wanted), 1e-9):
             break
-        steps.append([sum(solve[a][b] * gap[b] for b in range(size)) for a in range(size)])
+        pace = 1.0 if last is None or missed < 0.9 * last else max(0.1, pace / 2)
+        last = missed
+        solve = inverse([[now[f"m{a}{b}"] for b in range(size)] for a in range(size)])
+        steps.append([pace * sum(solve[a][b] * gap[b] for b in range(size)) for a in range(size)])
     return steps
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
-    """docs with tokens, p (array of posteriors in the order of DOMAINS), rate and copies."""
+def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
+    """docs (or only some of its columns) with tokens, p (array of posteriors in the order of DOMAINS), rate and copies."""
     scratch, targets = Scratch(docs.sparkSession), targets or TARGETS
     docs = docs.drop("rate", "copies")
-    known = posteriors(docs, train(docs, labels))
-    rows = scratch.save(known.select("tokens", "p"), "posteriors")
-    rate = rate_of(fit_rates(rows, [targets[d] for d in DOMAINS]))
+    # stored once: rates read the posteriors many times
+    known = scratch.save(posteriors(docs, train(docs, labels)).select(*(columns or docs.columns), "tokens", "p"), "posteriors")
+    rate = rate_of(fit_rates(known.select("tokens", "p"), [targets[d] for d in DOMAINS]))
     uniform = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return known.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
     return mixed.select("doc_id", "tokens", *(F.get("p", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)), "rate", "copies")
 
 

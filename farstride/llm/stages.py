@@ -46,8 +46,8 @@ def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says."""
-    copies = mixing.mix_documents(docs, table(spark, sf_dir, "labels"))
-    return copies.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__copy")).drop("__copy")
+    rated = mixing.mix_documents(docs, table(spark, sf_dir, "labels"))
+    return rated.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
 
 
 def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
