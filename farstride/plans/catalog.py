@@ -1,6 +1,610 @@
-"""All queries over the reference's operators, with their SQL."""
+"""All queries over the transit operators, each with the SQL that an oracle runs on the same tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import geo, scalars
+from ..operators import graph, raster, score, search, shapes, streets, transit
+from ..sources.surrogate import oracle, view
+from ..streaming import requests
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df, *columns, digits: int = 3):
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# --- schedules ---------------------------------------------------------------------------------------------
+
+FILLED = (
+    "SELECT trip, stop, seq, CASE WHEN t IS NOT NULL THEN t WHEN nt IS NOT NULL AND pt IS NOT NULL THEN pt + (nt - pt) * (seq - ps) / (ns - ps) ELSE pt END AS t FROM ("
+    "SELECT trip, stop, seq, t, last_value(t IGNORE NULLS) OVER a AS pt, last_value(CASE WHEN t IS NOT NULL THEN seq END IGNORE NULLS) OVER a AS ps, first_value(t IGNORE NULLS) OVER b AS nt, first_value(CASE WHEN t IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS ns "
+    "FROM stop_times WINDOW a AS (PARTITION BY trip ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY trip ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+)
+RAW_HOPS = (
+    "SELECT trip, from_stop, to_stop, CASE WHEN d < 0 THEN 0 ELSE d END AS seconds, hour FROM (SELECT trip, stop AS from_stop, lead(stop) OVER w AS to_stop, lead(t) OVER w - t AS d, CAST(floor(t / 3600) AS BIGINT) AS hour "
+    "FROM filled WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE from_stop <> to_stop AND d IS NOT NULL"
+)
+MASKS = {
+    "rush": "service < 5 AND ((hour >= 7 AND hour < 10) OR (hour >= 16 AND hour < 19))", "midday": "service < 5 AND hour >= 10 AND hour < 16", "evening": "service < 5 AND hour >= 19 AND hour < 24",
+    "weekend": "service >= 5 AND hour >= 8 AND hour < 20", "night": "hour < 5 OR hour >= 24",
+}
+HOPS = "SELECT route, from_stop, to_stop, min(seconds) AS seconds, " + ", ".join(f"min(CASE WHEN {m} THEN seconds END) AS s_{p}" for p, m in MASKS.items()) + " FROM raw_hops JOIN trips USING (trip) GROUP BY route, from_stop, to_stop"
+SCHEDULE = {"filled": FILLED, "raw_hops": RAW_HOPS, "hops": HOPS}
+
+
+def scheduled(body: str, *names: str, **extra: str) -> str:
+    return oracle(body, "stop_times", "trips", *names, **SCHEDULE, **extra)
+
+
+def filled(spark, sf):
+    return transit.interpolate(view(spark, sf, "stop_times"))
+
+
+def raw_hops(spark, sf):
+    return transit.raw_hops(filled(spark, sf).withColumns({"arr": F.col("t"), "dep": F.col("t")}))
+
+
+def services(spark):
+    days = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+    calendar = spark.createDataFrame([(d, *("1" if i == d else "0" for i in range(7))) for d in range(7)], "service_id int, " + ", ".join(f"{d} string" for d in days))
+    return transit.day_types(calendar)
+
+
+def hops(spark, sf):
+    return transit.fastest_hops(raw_hops(spark, sf), view(spark, sf, "trips"), services(spark))
+
+
+SECONDS = ["seconds", *(f"s_{p}" for p in scalars.PERIODS)]
+ROUNDED = ", ".join(f"round({c}, 3) AS {c}" for c in SECONDS)
+
+
+@query("hops_min", scheduled(f"SELECT route, from_stop, to_stop, {ROUNDED} FROM hops"))
+def _(spark, sf):
+    return rounded(hops(spark, sf), *SECONDS)
+
+
+@query("interpolated_times", oracle("SELECT trip, seq, stop, round(t, 3) AS t FROM filled", "stop_times", filled=FILLED))
+def _(spark, sf):
+    return rounded(filled(spark, sf).select("trip", "seq", "stop", "t"), "t")
+
+
+@query("raw_hops", scheduled("SELECT trip, from_stop, to_stop, round(seconds, 3) AS seconds, hour FROM raw_hops"))
+def _(spark, sf):
+    return rounded(raw_hops(spark, sf), "seconds")
+
+
+@query("served_per_period", scheduled("SELECT count(*) AS hops, " + ", ".join(f"count(s_{p}) AS {p}" for p in MASKS) + " FROM hops"))
+def _(spark, sf):
+    return hops(spark, sf).agg(F.count("*").alias("hops"), *(F.count(f"s_{p}").alias(p) for p in scalars.PERIODS))
+
+
+@query("mode_groups", oracle("SELECT route, agency, route_type, CASE route_type WHEN 1 THEN 1 WHEN 0 THEN 2 WHEN 4 THEN 3 ELSE 0 END AS mode FROM routes", "routes"))
+def _(spark, sf):
+    return view(spark, sf, "routes").withColumn("mode", scalars.mode_group("route_type"))
+
+
+@query("service_day_types", "SELECT CAST(d AS INT) AS service, d < 5 AS weekday, d >= 5 AS weekend FROM range(7) t(d)")
+def _(spark, sf):
+    return services(spark)
+
+
+SPREAD = "SELECT {key} AS id, -124e0 + (({key} * 7919) % 1000) * 3e-3 AS lon, 36.5e0 + (({key} * 104729) % 1000) * 3e-3 AS lat FROM {table}"
+RING = geo.SERVICE_AREA
+
+
+def ring_sql(lon: str = "lon", lat: str = "lat") -> str:
+    out = "false"
+    for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1], strict=True):
+        if y1 != y2:
+            out = f"({out} <> ((({y1} > {lat}) <> ({y2} > {lat})) AND ({lon} < {x1}e0 + ({lat} - {y1}e0) * ({x2}e0 - {x1}e0) / ({y2}e0 - {y1}e0))))"
+    return out
+
+
+def spread(spark, sf, table, key):
+    spark.read.parquet(f"{sf}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(SPREAD.format(key=key, table=table))
+
+
+@query("pip_points", oracle(f"SELECT id, {ring_sql()} AS inside FROM points", points=SPREAD.format(key="c_custkey", table="customer")))
+def _(spark, sf):
+    return spread(spark, sf, "customer", "c_custkey").select("id", geo.in_polygon("lon", "lat", RING).alias("inside"))
+
+
+WIDE_STOPS = "SELECT s_suppkey AS stop, -124e0 + ((s_suppkey * 7919) % 1000) * 3e-3 AS lon, 36.5e0 + ((s_suppkey * 104729) % 1000) * 3e-3 AS lat FROM supplier WHERE s_suppkey < 40"
+REPORT = {
+    "wide": WIDE_STOPS,
+    "served": "SELECT DISTINCT agency, stop FROM (SELECT agency, from_stop AS stop FROM hops JOIN routes USING (route) UNION ALL SELECT agency, to_stop FROM hops JOIN routes USING (route))",
+    "report": f"SELECT agency, count(*) AS stops, avg(CASE WHEN {ring_sql()} THEN 1.0 ELSE 0.0 END) AS inside_share FROM served JOIN wide USING (stop) GROUP BY agency",
+    "decided": "SELECT agency, stops, inside_share, n_name AS name, CASE WHEN lower(n_name) = 'se' OR inside_share >= 0.5 THEN 'include' ELSE 'exclude' END AS decision FROM report LEFT JOIN nation ON agency = n_nationkey",
+}
+
+
+def wide_report(spark, sf):
+    spark.read.parquet(f"{sf}/supplier.parquet").createOrReplaceTempView("supplier")
+    names = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("agency"), F.col("n_name").alias("name"))
+    stops, routes, h = spark.sql(WIDE_STOPS), view(spark, sf, "routes"), hops(spark, sf)
+    return h, routes, stops, transit.agency_report(h, routes, stops, names)
+
+
+@query("agency_report", scheduled("SELECT agency, name, stops, round(inside_share, 6) AS inside_share, decision FROM decided", "routes", **REPORT))
+def _(spark, sf):
+    return rounded(wide_report(spark, sf)[3].select("agency", "name", "stops", "inside_share", "decision"), "inside_share", digits=6)
+
+
+@query(
+    "agency_clip",
+    scheduled(
+        f"SELECT route, from_stop, to_stop, round(seconds, 3) AS seconds FROM hops WHERE route IN (SELECT route FROM routes JOIN decided USING (agency) WHERE decision = 'include') AND from_stop IN (SELECT stop FROM wide WHERE {ring_sql()}) AND to_stop IN (SELECT stop FROM wide WHERE {ring_sql()})",
+        "routes", **REPORT,
+    ),
+)
+def _(spark, sf):
+    return rounded(transit.clip(*wide_report(spark, sf)).select("route", "from_stop", "to_stop", "seconds"), "seconds")
+
+
+@query("trip_patterns", oracle("SELECT route, pattern, min(trip) AS trip, count(*) AS trips FROM (SELECT trip, string_agg(CAST(stop AS VARCHAR), chr(31) ORDER BY seq) AS pattern FROM stop_times GROUP BY trip) JOIN trips USING (trip) GROUP BY route, pattern", "stop_times", "trips"))
+def _(spark, sf):
+    return transit.patterns(view(spark, sf, "stop_times"), view(spark, sf, "trips"))
+
+
+@query(
+    "gtfs_times",
+    "SELECT l_orderkey, l_linenumber, t, CASE WHEN len(string_split(trim(t), ':')) = 3 THEN try_cast(string_split(trim(t), ':')[1] AS DOUBLE) * 3600 + try_cast(string_split(trim(t), ':')[2] AS DOUBLE) * 60 + try_cast(string_split(trim(t), ':')[3] AS DOUBLE) END AS seconds FROM ("
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 11 = 0 THEN 'bad:' || l_linenumber WHEN l_suppkey % 13 = 0 THEN '7:xx:00' ELSE (l_orderkey % 30) || ':0' || (l_partkey % 10) || ':1' || (l_suppkey % 10) END AS t FROM lineitem)",
+)
+def _(spark, sf):
+    s = lambda c, m: (F.col(c) % m).cast("string")
+    t = F.when(F.col("l_suppkey") % 11 == 0, F.concat(F.lit("bad:"), F.col("l_linenumber").cast("string"))).when(F.col("l_suppkey") % 13 == 0, "7:xx:00")
+    t = t.otherwise(F.concat(s("l_orderkey", 30), F.lit(":0"), s("l_partkey", 10), F.lit(":1"), s("l_suppkey", 10)))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", t.alias("t")).withColumn("seconds", scalars.gtfs_seconds("t"))
+
+
+# --- places on the map -----------------------------------------------------------------------------------------
+
+M = 111195.0
+
+
+def flat(a: str, b: str) -> str:
+    """Flat metres between a.lon, a.lat and b.lon, b.lat."""
+    return f"sqrt(pow(({b}.lon - {a}.lon) * {M} * cos(radians(({a}.lat + {b}.lat) / 2)), 2) + pow(({b}.lat - {a}.lat) * {M}, 2))"
+
+
+@query(
+    "distances",
+    oracle(
+        f"SELECT a.stop AS a, b.stop AS b, round({flat('a', 'b')}, 3) AS flat, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 3) AS sphere FROM stops a JOIN stops b ON b.stop = a.stop + 1",
+        "stops",
+    ),
+)
+def _(spark, sf):
+    a = view(spark, sf, "stops")
+    b = a.select((F.col("stop") - 1).alias("stop"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    j = a.join(b, "stop")
+    return j.select(F.col("stop").alias("a"), (F.col("stop") + 1).alias("b"), F.round(geo.meters_between("lon", "lat", "lon2", "lat2"), 3).alias("flat"), F.round(geo.haversine("lon", "lat", "lon2", "lat2"), 3).alias("sphere"))
+
+
+@query(
+    "mercator",
+    oracle(
+        "SELECT id, round(x, 9) AS x, round(y, 9) AS y, round(x * 360 - 180, 6) AS lon_back, round(degrees(atan(sinh(pi() * (1 - 2 * y)))), 6) AS lat_back, round(cos(radians(lat)) * 40075016.686, 3) AS unit, CAST(floor((lon + 180) / 360 * 16384) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384) AS BIGINT) AS ty FROM (SELECT *, (lon + 180) / 360 AS x, 0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi()) AS y FROM points)",
+        points=SPREAD.format(key="c_custkey", table="customer"),
+    ),
+)
+def _(spark, sf):
+    p = spread(spark, sf, "customer", "c_custkey").withColumns({"x": geo.mercator_x("lon"), "y": geo.mercator_y("lat")})
+    tx, ty = geo.tile("lon", "lat")
+    return p.select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), F.round(geo.mercator_lon("x"), 6).alias("lon_back"), F.round(geo.mercator_lat("y"), 6).alias("lat_back"), F.round(geo.meters_per_mercator_unit("lat"), 3).alias("unit"), F.floor(tx).alias("tx"), F.floor(ty).alias("ty"))
+
+
+def stop_points(spark, sf):
+    return view(spark, sf, "stops").select(F.col("stop").alias("id"), "lon", "lat")
+
+
+def street_points(spark, sf):
+    return view(spark, sf, "street_nodes").select(F.col("node").alias("id"), "lon", "lat")
+
+
+NEAR = f"SELECT a.stop AS id, b.node AS other, {flat('a', 'b')} AS d FROM stops a JOIN street_nodes b ON abs(a.lat - b.lat) < 0.03 AND abs(a.lon - b.lon) < 0.03"
+SNAPPED = "SELECT id, other, d FROM (SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM near WHERE d <= 400) WHERE k = 1"
+
+
+@query("nearest_node", oracle("SELECT id, other, round(d, 3) AS d FROM snapped", "stops", "street_nodes", near=NEAR, snapped=SNAPPED))
+def _(spark, sf):
+    return rounded(streets.snap(stop_points(spark, sf), street_points(spark, sf)), "d")
+
+
+@query(
+    "radius_nodes",
+    oracle("SELECT id, other, round(d, 3) AS d, ring FROM (SELECT *, min(ring) OVER (PARTITION BY id) AS least FROM (SELECT id, other, d, CASE WHEN d <= 60 THEN 1 WHEN d <= 120 THEN 2 WHEN d <= 240 THEN 4 WHEN d <= 480 THEN 8 ELSE 16 END AS ring FROM near WHERE d <= 960)) WHERE ring = least", "stops", "street_nodes", near=NEAR),
+)
+def _(spark, sf):
+    return rounded(streets.ring_search(stop_points(spark, sf), street_points(spark, sf), 60.0), "d")
+
+
+@query(
+    "puzzle_candidates",
+    oracle(f"SELECT id, weight FROM (SELECT a.place AS id, least(count(*), 60) AS weight FROM places a JOIN stops b ON {flat('a', 'b')} <= 1000 WHERE a.type IN ('suburb', 'neighbourhood') GROUP BY a.place) WHERE weight >= 5", "places", "stops"),
+)
+def _(spark, sf):
+    near = view(spark, sf, "places").filter(F.col("type").isin("suburb", "neighbourhood")).select(F.col("place").alias("id"), "lon", "lat")
+    return score.candidates(near, stop_points(spark, sf))
+
+
+BOXES = "SELECT CAST(n_nationkey AS BIGINT) AS box, -122.5e0 + (n_nationkey % 5) * 16e-3 AS x, 37.5e0 + floor(n_nationkey / 5) * 15e-3 AS y FROM nation"
+WATER = "(((y + 2e-3 > lat) <> (y + 12e-3 > lat)) AND lon < x + 14e-3) <> (((y + 2e-3 > lat) <> (y + 12e-3 > lat)) AND lon < x + 2e-3)"
+
+
+@query("water_test", oracle(f"SELECT place, box, {WATER} AS water FROM places JOIN boxes ON box = place % 25", "places", boxes=BOXES))
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/nation.parquet").createOrReplaceTempView("nation")
+    rings = spark.sql(BOXES).select("box", F.expr("array(struct(x + 2e-3 AS x1, y + 2e-3 AS y1, x + 14e-3 AS x2, y + 2e-3 AS y2), struct(x + 14e-3 AS x1, y + 2e-3 AS y1, x + 14e-3 AS x2, y + 12e-3 AS y2), struct(x + 14e-3 AS x1, y + 12e-3 AS y1, x + 2e-3 AS x2, y + 12e-3 AS y2), struct(x + 2e-3 AS x1, y + 12e-3 AS y1, x + 2e-3 AS x2, y + 2e-3 AS y2))").alias("edges"))
+    p = view(spark, sf, "places").withColumn("box", F.col("place") % 25)
+    return p.join(F.broadcast(rings), "box").select("place", "box", geo.in_rings("lon", "lat", "edges").alias("water"))  # one row for each nation
+
+
+# --- streets -----------------------------------------------------------------------------------------------------
+
+WALKABLE = "highway IS NOT NULL AND highway <> '' AND highway NOT IN ('motorway', 'motorway_link', 'construction', 'proposed', 'abandoned', 'bus_guideway', 'raceway', 'busway', 'platform', 'elevator') AND foot NOT IN ('no', 'private', 'discouraged') AND (foot IN ('yes', 'designated', 'permissive') OR access NOT IN ('no', 'private')) AND NOT (highway = 'service' AND service IN ('parking_aisle', 'driveway', 'drive-through')) AND footway NOT IN ('sidewalk', 'crossing', 'traffic_island')"
+
+
+@query("walkable_ways", oracle(f"SELECT * FROM way_tags WHERE {WALKABLE}", "way_tags"))
+def _(spark, sf):
+    return view(spark, sf, "way_tags").filter(streets.walkable())
+
+
+VALID = "SELECT way, ord, node, lon, lat FROM (SELECT *, count(*) OVER (PARTITION BY way) AS n, first_value(lon) OVER (PARTITION BY way ORDER BY ord) AS flon FROM ways) WHERE n >= 2 AND flon BETWEEN -122.49 AND -122.43"
+BOX = (-122.49, 37.0, -122.43, 39.0)
+
+
+@query("valid_ways", oracle("SELECT way, ord, node FROM valid", "ways", valid=VALID))
+def _(spark, sf):
+    return streets.valid_refs(view(spark, sf, "ways"), BOX).select("way", "ord", "node")
+
+
+SIMPLE = {
+    "valid": VALID,
+    "cums": f"SELECT *, sum(step) OVER (PARTITION BY way ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (SELECT *, coalesce(sqrt(pow((lon - plon) * {M} * cos(radians((plat + lat) / 2)), 2) + pow((lat - plat) * {M}, 2)), 0.0) AS step FROM (SELECT *, lag(lon) OVER (PARTITION BY way ORDER BY ord) AS plon, lag(lat) OVER (PARTITION BY way ORDER BY ord) AS plat FROM valid))",
+    "flags": "SELECT *, row_number() OVER w AS rn, lead(ord) OVER w AS nxt, count(*) OVER (PARTITION BY node) AS uses, floor(cum / 200) <> lag(floor(cum / 200)) OVER w AS turn FROM cums WINDOW w AS (PARTITION BY way ORDER BY ord)",
+    "kept": "SELECT way, node AS u, lead(node) OVER w AS v, lead(cum) OVER w - cum AS m FROM flags WHERE rn = 1 OR nxt IS NULL OR uses > 1 OR turn WINDOW w AS (PARTITION BY way ORDER BY ord)",
+}
+
+
+@query("simplified_ways", oracle("SELECT way, u, v, round(m, 2) AS m FROM kept WHERE v IS NOT NULL AND u <> v", "ways", **SIMPLE))
+def _(spark, sf):
+    return rounded(streets.simplify(streets.valid_refs(view(spark, sf, "ways"), BOX)), "m", digits=2)
+
+
+@query("distinct_edges", oracle("SELECT least(u, v) AS u, greatest(u, v) AS v, round(min(m), 2) AS m FROM kept WHERE v IS NOT NULL AND u <> v GROUP BY 1, 2", "ways", **SIMPLE))
+def _(spark, sf):
+    return rounded(streets.distinct_edges(streets.simplify(streets.valid_refs(view(spark, sf, "ways"), BOX))), "m", digits=2)
+
+
+@query("street_components")
+def _(spark, sf):
+    labels = streets.components(view(spark, sf, "street_nodes"), view(spark, sf, "street_edges"))
+    return streets.large_components(labels, 10).select("node", "component", "size")
+
+
+ORACLE["street_components"] = oracle(
+    "SELECT node, label AS component, size FROM (SELECT node, label, count(*) OVER (PARTITION BY label) AS size FROM walk) WHERE size >= 10",
+    "street_nodes", "street_edges", twoway="SELECT u AS a, v AS b FROM street_edges UNION ALL SELECT v, u FROM street_edges",
+).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    " SELECT node, label AS component, size FROM",
+    ", walk(node, label) USING KEY (node) AS (SELECT node, node FROM street_nodes UNION SELECT y.b, min(w.label) FROM walk w JOIN twoway y ON y.a = w.node LEFT JOIN recurring.walk r ON r.node = y.b WHERE w.label < r.label GROUP BY y.b) SELECT node, label AS component, size FROM", 1,
+)
+
+
+# --- the graph ---------------------------------------------------------------------------------------------------
+
+GRAPH = {
+    "near": NEAR,
+    "snapped": SNAPPED,
+    "rnodes": "SELECT DISTINCT route, stop FROM (SELECT route, from_stop AS stop FROM hops UNION ALL SELECT route, to_stop FROM hops) WHERE stop IN (SELECT id FROM snapped)",
+    "rides": "SELECT * FROM hops WHERE from_stop IN (SELECT id FROM snapped) AND to_stop IN (SELECT id FROM snapped)",
+    "edges": "SELECT 's' || u AS src, 's' || v AS dst, 0 AS kind, m AS weight, CAST(NULL AS BIGINT) AS route, CAST(NULL AS DOUBLE) AS s_rush FROM street_edges UNION ALL SELECT 's' || v, 's' || u, 0, m, NULL, NULL FROM street_edges"
+    " UNION ALL SELECT 's' || other, 'p' || id, 0, d, NULL, NULL FROM snapped UNION ALL SELECT 'p' || id, 's' || other, 0, d, NULL, NULL FROM snapped"
+    " UNION ALL SELECT 'p' || stop, 'r' || route || ':' || stop, 1, 0.0, route, NULL FROM rnodes UNION ALL SELECT 'r' || route || ':' || stop, 'p' || stop, 3, 0.0, route, NULL FROM rnodes"
+    " UNION ALL SELECT 'r' || route || ':' || from_stop, 'r' || route || ':' || to_stop, 2, seconds, route, s_rush FROM rides",
+}
+
+
+def graphed(body: str, **extra: str) -> str:
+    return scheduled(body, "stops", "street_nodes", "street_edges", "routes", **GRAPH, **extra)
+
+
+def graph_edges(spark, sf):
+    snapped = streets.snap(stop_points(spark, sf), street_points(spark, sf))
+    return graph.assemble(view(spark, sf, "street_edges"), snapped, hops(spark, sf), extra=("s_rush",))
+
+
+@query("route_nodes", scheduled("SELECT DISTINCT route, stop FROM (SELECT route, from_stop AS stop FROM hops UNION ALL SELECT route, to_stop FROM hops)"))
+def _(spark, sf):
+    return graph.route_nodes(hops(spark, sf))
+
+
+@query("graph_edges", graphed("SELECT src, dst, kind, round(weight, 2) AS weight, route, round(s_rush, 2) AS s_rush FROM edges"))
+def _(spark, sf):
+    return rounded(graph_edges(spark, sf), "weight", "s_rush", digits=2)
+
+
+@query("edge_kind_counts", graphed("SELECT kind, count(*) AS edges, count(s_rush) AS rush FROM edges GROUP BY kind"))
+def _(spark, sf):
+    return graph_edges(spark, sf).groupBy("kind").agg(F.count("*").alias("edges"), F.count("s_rush").alias("rush"))
+
+
+@query("node_degrees", graphed("SELECT src, count(*) AS degree FROM edges GROUP BY src"))
+def _(spark, sf):
+    return graph.degrees(graph_edges(spark, sf))
+
+
+@query("quantised_hops", scheduled("SELECT route, from_stop, to_stop, CAST(least(greatest(round_even(seconds, 0), 0), 65534) AS INT) AS weight FROM hops"))
+def _(spark, sf):
+    return hops(spark, sf).select("route", "from_stop", "to_stop", scalars.quantised("seconds").alias("weight"))
+
+
+@query("dense_route_nodes", scheduled("SELECT route, stop, row_number() OVER (ORDER BY stop, route) - 1 AS id FROM (SELECT DISTINCT route, stop FROM (SELECT route, from_stop AS stop FROM hops UNION ALL SELECT route, to_stop FROM hops))"))
+def _(spark, sf):
+    return graph.dense_ids(graph.route_nodes(hops(spark, sf)), ["stop", "route"], "id")
+
+
+@query("hilbert_places")
+def _(spark, sf):
+    return graph.hilbert_place(view(spark, sf, "street_nodes")).select("node", "place")
+
+
+DELTA = "SELECT l_orderkey, ord, l_partkey, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS code FROM (SELECT *, l_partkey - coalesce(lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY ord), 0) AS d FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord FROM lineitem))"
+
+
+def delta(spark, sf):
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", F.row_number().over(w).alias("ord"))
+    return graph.delta_coded(rows, "l_partkey", "ord", "l_orderkey")
+
+
+@query("delta_codes", f"SELECT l_orderkey, ord, l_partkey, code, 1 + CAST(code >= 128 AS INT) + CAST(code >= 16384 AS INT) AS bytes FROM ({DELTA})")
+def _(spark, sf):
+    return delta(spark, sf).withColumn("bytes", scalars.varint_bytes("code"))
+
+
+@query("delta_decoded", f"SELECT l_orderkey, ord, l_partkey AS value FROM ({DELTA})")
+def _(spark, sf):
+    return graph.delta_decoded(delta(spark, sf), "ord", "l_orderkey").select("l_orderkey", "ord", "value")
+
+
+# --- searches ----------------------------------------------------------------------------------------------------
+
+LIMIT, SPEED = 900.0, 5 / 3.6
+SEEDS = "SELECT node AS origin, 's' || node AS node, 0.0 AS cost FROM street_nodes WHERE node % 700 = 5"
+
+
+def seeds(spark, sf):
+    return view(spark, sf, "street_nodes").filter(F.col("node") % 700 == 5).select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"))
+
+
+def labels(spark, sf, modes=None, period=None, **params):
+    mode_of = view(spark, sf, "routes").select("route", scalars.mode_group("route_type").alias("mode"))
+    settings = search.PARAMS | {"speed": SPEED} | params
+    return search.search(seeds(spark, sf), search.priced(graph_edges(spark, sf), settings, modes, mode_of, period), LIMIT)
+
+
+def isochrone_sql(ride: str = "weight", boards: str = "true", wait: float = 0.0, transfer: float = 300.0, body: str = "SELECT origin, node, round(min(cost), 2) AS cost FROM d GROUP BY origin, node") -> str:
+    after = "CASE WHEN e.kind = 1 THEN 1 ELSE d.boarded END"
+    step = "d.cost + CASE WHEN e.kind = 1 AND d.boarded = 0 THEN e.cost0 ELSE e.cost1 END"
+    costs = f"SELECT src, dst, kind, CASE kind WHEN 0 THEN weight / {SPEED!r} WHEN 1 THEN {wait} WHEN 2 THEN {ride} ELSE 0.0 END AS cost0, CASE kind WHEN 0 THEN weight / {SPEED!r} WHEN 1 THEN {transfer} WHEN 2 THEN {ride} ELSE 0.0 END AS cost1 FROM edges WHERE (kind <> 1 OR {boards}) AND (kind <> 2 OR {ride} IS NOT NULL)"
+    recursion = (
+        f"d(origin, node, boarded, cost) USING KEY (origin, node, boarded) AS (SELECT origin, node, 0, CAST(cost AS DOUBLE) FROM seeds UNION SELECT d.origin, e.dst, {after}, min({step}) FROM d JOIN costs e ON e.src = d.node "
+        f"LEFT JOIN recurring.d r ON r.origin = d.origin AND r.node = e.dst AND r.boarded = {after} WHERE {step} <= {LIMIT} AND (r.cost IS NULL OR {step} < r.cost) GROUP BY 1, 2, 3) "
+    )
+    return graphed("@@" + body, seeds=SEEDS, costs=costs).replace("WITH ", "WITH RECURSIVE ", 1).replace(" @@", f", {recursion}", 1)
+
+
+@query("isochrone_nodes", isochrone_sql())
+def _(spark, sf):
+    return rounded(search.best(labels(spark, sf)), "cost", digits=2)
+
+
+@query("isochrone_period", isochrone_sql(ride="s_rush"))
+def _(spark, sf):
+    return rounded(search.best(labels(spark, sf, period="s_rush")), "cost", digits=2)
+
+
+@query("isochrone_modes", isochrone_sql(boards="route IN (SELECT route FROM routes WHERE route_type IN (1, 4))"))
+def _(spark, sf):
+    return rounded(search.best(labels(spark, sf, modes=[1, 3])), "cost", digits=2)
+
+
+@query("isochrone_one_seat", isochrone_sql(transfer=100000.0))
+def _(spark, sf):
+    return rounded(search.best(labels(spark, sf, transfer_s=100000.0)), "cost", digits=2)
+
+
+def some_paths(spark, sf):
+    found = labels(spark, sf)
+    targets = search.best(found).groupBy("origin").agg(F.max(F.struct("cost", "node")).alias("far")).select("origin", F.col("far.node").alias("node"))
+    return search.paths(found, targets)
+
+
+@query("itinerary_legs")
+def _(spark, sf):
+    return search.legs(some_paths(spark, sf))
+
+
+@query("path_cost", isochrone_sql(body="SELECT origin, round(max(cost), 2) AS seconds FROM (SELECT origin, node, min(cost) AS cost FROM d GROUP BY origin, node) GROUP BY origin"))
+def _(spark, sf):
+    legs = search.legs(some_paths(spark, sf))
+    return legs.groupBy("origin").agg(F.round(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))), 2).alias("seconds"))
+
+
+# --- grids -------------------------------------------------------------------------------------------------------
+
+REACHED = "SELECT CAST(user_id AS BIGINT) AS origin, CAST(event_id % 600 AS DOUBLE) AS cost, -122.5e0 + ((event_id * 7919) % 1000) * 8e-5 AS lon, 37.5e0 + ((event_id * 104729) % 1000) * 7.6e-5 AS lat, 37.54e0 AS lat0 FROM events WHERE user_id % 10 = 3"
+CELLS = "SELECT origin, CAST(floor((lon + 180) / 360 / size) AS BIGINT) AS cx, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) / size) AS BIGINT) AS cy, min(cost) AS cost FROM (SELECT *, 40 / (cos(radians(lat0)) * 40075016.686) AS size FROM reached) GROUP BY 1, 2, 3"
+STEPS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {d!r})" for a, b, d in raster.offsets()) + ") o(dx, dy, d)"
+PAINTED = "SELECT origin, cx + dx AS cx, cy + dy AS cy, min(cost + d / 1.25) AS cost FROM cells, steps WHERE cost + d / 1.25 <= 700 GROUP BY 1, 2, 3"
+GRID = {"reached": REACHED, "cells": CELLS, "steps": STEPS, "painted": PAINTED}
+
+
+def cells(spark, sf):
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    return raster.seed_cells(spark.sql(REACHED))
+
+
+def painted(spark, sf):
+    return raster.splat(cells(spark, sf), 1.25, 700.0)
+
+
+@query("raster_seed", oracle("SELECT * FROM cells", **GRID))
+def _(spark, sf):
+    return cells(spark, sf)
+
+
+@query("raster_splat", oracle("SELECT origin, cx, cy, round(cost, 3) AS cost FROM painted", **GRID))
+def _(spark, sf):
+    return rounded(painted(spark, sf), "cost")
+
+
+@query("reach_km2", oracle("SELECT origin, count(*) AS cells, round(count(*) * 0.0016e0, 4) AS km2 FROM painted GROUP BY origin", **GRID))
+def _(spark, sf):
+    return rounded(raster.area_km2(painted(spark, sf)), "km2", digits=4)
+
+
+@query("time_bands", oracle("SELECT origin, CAST(least(2, floor(cost / 300)) AS INT) AS band, count(*) AS cells FROM painted GROUP BY 1, 2", **GRID))
+def _(spark, sf):
+    return painted(spark, sf).groupBy("origin", scalars.band("cost", F.lit(300), F.lit(3)).alias("band")).agg(F.count("*").alias("cells"))
+
+
+@query("chamfer_cells")
+def _(spark, sf):
+    return raster.chamfer(cells(spark, sf), 1.25, 700.0)
+
+
+HEAT = "SELECT event_id, CAST((event_id * 7919) % 5000 AS DOUBLE) AS x, CAST((event_id * 104729) % 5000 AS DOUBLE) AS y, value FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL"
+
+
+@query(
+    "heatmap_blend",
+    oracle(
+        "SELECT px, py, round(sum(w * value) / sum(w), 6) AS value, round(sum(w), 6) AS weight FROM (SELECT px, py, value, exp(-d2 / (2 * 90.0 * 90.0)) AS w FROM (SELECT *, pow((px + 0.5) * 100 - x, 2) + pow((py + 0.5) * 100 - y, 2) AS d2 FROM (SELECT x, y, value, CAST(floor(x / 100) AS BIGINT) + a AS px, CAST(floor(y / 100) AS BIGINT) + b AS py FROM heat, range(-3, 4) r(a), range(-3, 4) s(b))) WHERE d2 <= 9 * 90.0 * 90.0) GROUP BY px, py",
+        heat=HEAT,
+    ),
+)
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    return rounded(raster.blend(spark.sql(HEAT), 100.0), "value", "weight", digits=6)
+
+
+# --- scores ------------------------------------------------------------------------------------------------------
+
+
+def samples(spark, sf):
+    return view(spark, sf, "samples").filter("km2 IS NOT NULL")
+
+
+@query("percentile_rank", oracle("SELECT DISTINCT km2, round(100.0 * (rank() OVER (ORDER BY km2) - 1) / count(*) OVER (), 6) AS pct FROM samples WHERE km2 IS NOT NULL", "samples"))
+def _(spark, sf):
+    return rounded(score.percentiles(samples(spark, sf), "km2"), "pct", digits=6)
+
+
+@query("nearest_rank_quantiles", oracle("SELECT CAST(q AS DOUBLE) AS share, km2 FROM (SELECT km2, row_number() OVER (ORDER BY km2) - 1 AS k, count(*) OVER () AS n FROM samples WHERE km2 IS NOT NULL) JOIN (VALUES (0.1), (0.25), (0.5), (0.75), (0.9), (0.99), (1.0)) s(q) ON k = least(n - 1, CAST(floor(CAST(q AS DOUBLE) * n) AS BIGINT))", "samples"))
+def _(spark, sf):
+    return score.quantiles(samples(spark, sf), "km2")
+
+
+PUZZLES = "SELECT CAST(user_id AS BIGINT) AS puzzle, event_id % 14 AS dx, event_id % 13 AS dy, round(max(value), 2) AS km2 FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3"
+
+
+@query(
+    "puzzle_gates",
+    oracle(
+        "SELECT puzzle, max(CASE WHEN r = 1 THEN dx END) AS dx, max(CASE WHEN r = 1 THEN dy END) AS dy, max(CASE WHEN r = 1 THEN km2 END) AS best, max(CASE WHEN k = floor(n / 2) THEN km2 END) AS median, count(*) AS points, coalesce(max(CASE WHEN r = 1 THEN km2 END) >= 10 AND max(CASE WHEN k = floor(n / 2) THEN km2 END) / nullif(max(CASE WHEN r = 1 THEN km2 END), 0) <= 0.8, false) AS passed FROM (SELECT *, row_number() OVER (PARTITION BY puzzle ORDER BY km2 DESC, dy, dx) AS r, row_number() OVER (PARTITION BY puzzle ORDER BY km2, dy, dx) - 1 AS k, count(*) OVER (PARTITION BY puzzle) AS n FROM puzzles) GROUP BY puzzle",
+        puzzles=PUZZLES,
+    ),
+)
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    return score.puzzle_summary(spark.sql(PUZZLES))
+
+
+@query("puzzle_grid", "SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM range(-1000, 1001, 150) a(dx), range(-1000, 1001, 150) b(dy) WHERE dx * dx + dy * dy <= 1000000")
+def _(spark, sf):
+    return spark.sql(score.puzzle_grid())
+
+
+@query("weighted_pick", oracle("SELECT stop, weight FROM (SELECT *, sum(weight) OVER (ORDER BY stop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(weight) OVER () AS total FROM (SELECT stop, count(*) AS weight FROM stop_times GROUP BY stop)) WHERE run >= total * 0.37 ORDER BY run LIMIT 1", "stop_times"))
+def _(spark, sf):
+    return score.weighted_pick(view(spark, sf, "stop_times").groupBy("stop").agg(F.count("*").alias("weight")), "stop", "weight", 0.37)
+
+
+GUESSES = "SELECT CAST(user_id AS BIGINT) AS player, CAST(ts AS DATE) AS day, event_id AS at, value AS km2 FROM events WHERE value IS NOT NULL"
+BEST = "SELECT CAST(ts AS DATE) AS day, max(value) * 0.9 AS best FROM events WHERE value IS NOT NULL GROUP BY 1"
+
+
+@query(
+    "guess_tiles",
+    oracle(
+        "SELECT player, day, guess, round(pct, 6) AS pct, CASE WHEN pct >= 95 THEN 'green' WHEN pct >= 80 THEN 'yellow' WHEN pct >= 60 THEN 'orange' ELSE 'red' END AS tile, guess >= 3 OR max(pct) OVER (PARTITION BY player, day ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 99.5 AS over FROM (SELECT g.*, least(100.0, km2 * 100 / best) AS pct FROM (SELECT *, CAST(row_number() OVER (PARTITION BY player, day ORDER BY at) AS INT) AS guess FROM guesses) g JOIN best USING (day) WHERE guess <= 3)",
+        guesses=GUESSES, best=BEST,
+    ),
+)
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    return rounded(score.graded(spark.sql(GUESSES), spark.sql(BEST)).select("player", "day", "guess", "pct", "tile", "over"), "pct", digits=6)
+
+
+@query(
+    "twist_params",
+    "SELECT * FROM (VALUES ('rush', 'rush', 45, 5.0, 5, '0,1,2,3'), ('late-night', 'night', 45, 5.0, 5, '0,1,2,3'), ('saturday', 'weekend', 45, 5.0, 5, '0,1,2,3'), ('bus-only', 'rush', 45, 5.0, 5, '0'), ('no-bus', 'rush', 45, 5.0, 5, '1,2,3'), ('rail-strike', 'rush', 45, 5.0, 5, '0,3'), ('long-haul', 'rush', 90, 5.0, 5, '0,1,2,3'), ('quick-trip', 'rush', 20, 5.0, 5, '0,1,2,3'), ('sore-feet', 'rush', 45, 2.5, 5, '0,1,2,3'), ('one-seat', 'rush', 45, 5.0, 600, '0,1,2,3')) t(twist, period, limit_min, speed, transfer_min, modes)".replace("SELECT * FROM", "SELECT twist, period, limit_min, CAST(speed AS DOUBLE) AS speed, transfer_min, modes FROM"),
+)
+def _(spark, sf):
+    twists = spark.createDataFrame(score.TWISTS, score.TWIST_SCHEMA)
+    base = twists.select("twist", F.lit("rush").alias("period"), F.lit(45).alias("limit_min"), F.lit(5.0).alias("speed"), F.lit(5).alias("transfer_min"), F.array(*map(F.lit, range(4))).alias("modes"))
+    return score.with_twists(base, twists).withColumn("modes", F.array_join(F.col("modes").cast("array<string>"), ","))
+
+
+DAYS = "SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, CAST(sum(o_totalprice) AS DECIMAL(18, 2)) AS total FROM orders WHERE {} GROUP BY 1"
+
+
+@query("daily_merge", oracle("SELECT * FROM old UNION ALL SELECT * FROM new WHERE date NOT IN (SELECT date FROM old)", old=DAYS.format("o_orderstatus = 'F'"), new=DAYS.format("o_orderstatus = 'O'")))
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    return score.merge_by_date(spark.sql(DAYS.format("o_orderstatus = 'F'")), spark.sql(DAYS.format("o_orderstatus = 'O'")))
+
+
+@query("latest_request", "SELECT CAST(user_id AS BIGINT) AS session, event_id AS request, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def _(spark, sf):
+    return requests.latest(spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("session"), F.col("event_id").alias("request"), "event_type"))
+
+
+@query(
+    "formats",
+    "SELECT c_custkey, CASE WHEN m < 60 THEN m || ' min' ELSE (m // 60) || ' h ' || (m % 60) || ' min' END AS duration, CASE WHEN lim <= 45 THEN 5 WHEN lim <= 90 THEN 10 WHEN lim <= 180 THEN 15 ELSE 30 END AS band, CASE WHEN z >= 0 THEN 2 * z ELSE -2 * z - 1 END AS zigzag FROM (SELECT c_custkey, CAST(greatest(1, floor((c_custkey % 9000) / 60.0 + 0.5)) AS BIGINT) AS m, c_custkey % 200 AS lim, c_custkey % 100 - 50 AS z FROM customer)",
+)
+def _(spark, sf):
+    k = F.col("c_custkey")
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", scalars.duration_text(k % 9000).alias("duration"), scalars.band_minutes(k % 200).alias("band"), scalars.zigzag(k % 100 - 50).alias("zigzag"))
+
+
+@query("hop_shapes")
+def _(spark, sf):
+    found = transit.patterns(view(spark, sf, "stop_times"), view(spark, sf, "trips"))
+    line = found.select(F.col("trip").alias("pattern"), "route", F.posexplode(F.split("pattern", "\x1f")).alias("seq", "stop")).withColumn("stop", F.col("stop").cast("long"))
+    x, y = geo.local_meters("lon", "lat", 37.54)
+    at = line.join(view(spark, sf, "stops").select("stop", x.alias("x"), y.alias("y")), "stop")
+    wiggle = F.explode(F.array(F.lit(0), F.lit(1)))
+    shape = at.select("pattern", "seq", "x", "y", wiggle.alias("k")).select("pattern", (F.col("seq") * 2 + F.col("k")).alias("seq"), (F.col("x") + F.col("k") * 20).alias("x"), (F.col("y") + F.col("k") * 10).alias("y"))
+    return shapes.hop_shapes(at.select("pattern", "route", "seq", "stop", "x", "y"), shape)
