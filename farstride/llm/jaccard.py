@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents on word shingles, with prefix filters under several global token orders.
 
 For sets of n shingles that overlap by the threshold, the first n - ceil(t n) + 1 shingles of both (the prefix)
-share one under ANY order of all shingles. ORDERS different orders are used; each puts frequent shingles last, by
+share one under ANY order of all shingles; sets of sizes a and b share at least ceil(t (a + b) / (1 + t)) - ceil(t max(a, b)) + 1
+prefix shingles, as those they share beyond the prefixes lie in the rest of one of them. ORDERS different orders are used; each puts frequent shingles last, by
 classes from a count sketch of the whole corpus, and shuffles each class by another hash. A pair is verified
-on its whole sets only if it shares a prefix shingle in every order.
+on its whole sets only if it shares that many prefix shingles in every order.
 
 1. Texts with the same words are one class, represented by the smallest doc_id.
 2. Prefix shingles of the first order form buckets; those with one document are dropped.
@@ -25,7 +26,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, U, batches, join_bytes, mix, ngram_hashes, table, word_hashes, words
@@ -110,10 +111,19 @@ def prefix(keys: np.ndarray, percent: int) -> np.ndarray:
     return np.partition(keys, size - 1)[:size].astype(np.int64) if len(keys) else keys.astype(np.int64)
 
 
+def least_shared(a, b, percent: int):
+    """Prefix shingles that sets of sizes a and b share if they link (numbers or columns)."""
+    if isinstance(a, Column):
+        overlap = F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
+        return overlap - F.ceil(F.greatest(a, b) * percent / F.lit(100.0) - 1e-9) + 1
+    return -(-(a + b) * percent // (100 + percent)) - -(-max(a, b) * percent // 100) + 1
+
+
 def linked(x: np.ndarray, y: np.ndarray, klass: np.ndarray, percent: int) -> bool:
     """Whether two sets link: they must share a prefix shingle in each further order before whole sets are compared."""
     for k in range(1, ORDERS):
-        if not np.isin(prefix(order_keys(x, klass, k), percent), prefix(order_keys(y, klass, k), percent)).any():
+        shared = np.isin(prefix(order_keys(x, klass, k), percent), prefix(order_keys(y, klass, k), percent)).sum()
+        if shared < max(1, least_shared(len(x), len(y), percent)):
             return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
@@ -191,7 +201,9 @@ class Join:
             tried = buckets.filter((F.col("rep") != F.col("lead.rep")) & self.sized(F.col("n"), F.col("lead.n")))
             if comps is not None:
                 tried = tried.filter(F.col("comp") != F.col("lead.comp"))
-            votes = tried.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).count()
+            votes = tried.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count("*").alias("count"), F.first(least_shared(F.col("n"), F.col("lead.n"), self.percent)).alias("need"))
+            # b may not lead all buckets they share, so this only picks what is worth trying; the last step is exact
+            votes = votes.filter(F.col("count") * 2 >= F.col("need"))
             best = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
             new = self.verified(best, f"round{r}")
             links = new if links is None else links.unionByName(new)
@@ -208,7 +220,9 @@ class Join:
         left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "most")
         rest = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & self.sized(F.col("na"), F.col("nb")))
-        links = links.unionByName(self.verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest"))
+        # every bucket that two components share is here, so this counts all prefix shingles that a pair shares
+        rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(least_shared(F.col("na"), F.col("nb"), self.percent)).alias("need"))
+        links = links.unionByName(self.verified(rest.filter(F.col("shared") >= F.col("need")).select("a", "b"), "rest"))
         return rows, components(links, scratch, "last")
 
     def leaders(self, buckets: DataFrame, r: int) -> DataFrame:
