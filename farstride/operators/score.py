@@ -83,7 +83,7 @@ def puzzle_grid(radius: int = 1000, step: int = 150) -> str:
 
 def graded(guesses: DataFrame, best: DataFrame, limit: int = 3) -> DataFrame:
     """The first guesses of each player and day, with share of the best, tile, and whether the day is over. best: (day, best)."""
-    w = W.partitionBy("player", "day").orderBy("at")
+    w = W.partitionBy("player", "day").orderBy("moment")
     rows = guesses.withColumn("guess", F.row_number().over(w)).filter(F.col("guess") <= limit).join(best, "day")
     rows = rows.withColumn("pct", pct_of_best("km2", "best"))
     so_far = w.rowsBetween(W.unboundedPreceding, 0)

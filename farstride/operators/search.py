@@ -35,20 +35,23 @@ def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
 
     Each round relaxes the labels that the round before improved; rounds end when none improves.
     """
-    labels = checkpointed(seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost")).withColumns({"boarded": F.lit(0), "pred": F.lit(None).cast("string"), "pred_boarded": F.lit(None).cast("int")}))
-    front = labels
-    key = ["origin", "node", "boarded"]
-    while not front.isEmpty():
+    edges = checkpointed(edges)
+    key, via = ["origin", "node", "boarded"], ["cost", "round", "pred", "pred_boarded"]
+    labels = checkpointed(
+        seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+        .select("origin", "node", F.lit(0).alias("boarded"), "cost", F.lit(0).alias("round"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("int").alias("pred_boarded"))
+    )
+    k = 0
+    while not (front := labels.filter(F.col("round") == k)).isEmpty():
+        k += 1
         step = front.join(edges.withColumnRenamed("src", "node"), "node")
-        after = F.when(F.col("kind") == BOARD, 1).otherwise(F.col("boarded"))
         cost = F.col("cost") + F.when(F.col("boarded") == 0, F.col("cost0")).otherwise(F.col("cost1"))
-        new = step.select("origin", F.col("dst").alias("node"), after.alias("boarded"), F.struct(cost.alias("cost"), F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded")).alias("via"))
-        new = new.filter(F.col("via.cost") <= limit).groupBy(*key).agg(F.min("via").alias("via"))
-        old = labels.select(*key, F.col("cost").alias("old"))
-        better = new.join(old, key, "left").filter(F.col("old").isNull() | (F.col("via.cost") < F.col("old")))
-        front = checkpointed(better.select("origin", "node", "via.cost", "boarded", "via.pred", "via.pred_boarded"))
-        labels = checkpointed(labels.join(front.select(*key), key, "left_anti").unionByName(front))
-    return labels
+        after = F.when(F.col("kind") == BOARD, 1).otherwise(F.col("boarded"))
+        new = step.select("origin", F.col("dst").alias("node"), after.alias("boarded"), cost.alias("cost"), F.lit(k).alias("round"), F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded"))
+        # an equal cost keeps the earlier round's label, so only strict improvements are relaxed again
+        least = labels.unionByName(new.filter(F.col("cost") <= limit)).groupBy(*key).agg(F.min(F.struct(*via)).alias("via"))
+        labels = checkpointed(least.select(*key, *(f"via.{c}" for c in via)))
+    return labels.drop("round")
 
 
 def best(labels: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values, in metres: slack for an earlier segment, and the tolerance of simplification.
 SNAP_SLACK, TOLERANCE = 30.0, 3.0
+#: Groups into which patterns are dealt; more for larger feeds.
+GROUPS = 256
 
 
 def project(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +53,24 @@ def located(line: np.ndarray, stops: np.ndarray, slack: float = SNAP_SLACK) -> l
 def hop_shapes(sequence: DataFrame, shapes: DataFrame) -> DataFrame:
     """(route, from_stop, to_stop, xs, ys) of the hops of each pattern; sequence: (pattern, route, seq, stop, x, y) in metres, shapes: (pattern, seq, x, y)."""
 
-    def cut(key, stops, shape):
-        stops, shape = stops.sort_values("seq"), shape.sort_values("seq")
-        line, at = shape[["x", "y"]].to_numpy(float), stops[["x", "y"]].to_numpy(float)
-        rows = []
-        if len(line) >= 2 and not np.isnan(at).any():
-            places, names = located(line, at), stops["stop"].tolist()
-            for i, (a, b) in enumerate(zip(places, places[1:], strict=False)):
-                part = simplify(np.vstack([at[i], line[a + 1 : b + 1], at[i + 1]]))
-                rows.append((stops["route"].iloc[0], names[i], names[i + 1], part[:, 0].tolist(), part[:, 1].tolist()))
-        return pd.DataFrame(rows, columns=["route", "from_stop", "to_stop", "xs", "ys"])
+    def cut(stops, shape):
+        rows, lines = [], {k: g for k, g in shape.groupby("s_pattern")}
+        for pattern, own in stops.groupby("pattern"):
+            if pattern not in lines:
+                continue
+            own, line = own.sort_values("seq"), lines[pattern].sort_values("s_seq")[["s_x", "s_y"]].to_numpy(float)
+            at, names, route = own[["x", "y"]].to_numpy(float), own["stop"].tolist(), own["route"].iloc[0]
+            if len(line) >= 2 and not np.isnan(at).any():
+                places = located(line, at)
+                for i, (a, b) in enumerate(zip(places, places[1:], strict=False)):
+                    part = simplify(np.vstack([at[i], line[a + 1 : b + 1], at[i + 1]]))
+                    rows.append((route, names[i], names[i + 1], pattern, part[:, 0].tolist(), part[:, 1].tolist()))
+        return pd.DataFrame(rows, columns=["route", "from_stop", "to_stop", "pattern", "xs", "ys"])
 
-    schema = "route long, from_stop long, to_stop long, xs array<double>, ys array<double>"
-    return sequence.groupBy("pattern").cogroup(shapes.groupBy("pattern")).applyInPandas(cut, schema).dropDuplicates(["route", "from_stop", "to_stop"])
+    schema = "route long, from_stop long, to_stop long, pattern long, xs array<double>, ys array<double>"
+    # many patterns share a group, which is as large as GROUPS makes it
+    sequence = sequence.withColumn("group", F.pmod(F.xxhash64("pattern"), F.lit(GROUPS)))
+    lines = shapes.select(*(F.col(c).alias(f"s_{c}") for c in ("pattern", "seq", "x", "y"))).withColumn("s_group", F.pmod(F.xxhash64("s_pattern"), F.lit(GROUPS)))
+    cuts = sequence.groupBy("group").cogroup(lines.groupBy("s_group")).applyInPandas(cut, schema)
+    first = cuts.groupBy("route", "from_stop", "to_stop").agg(F.min_by(F.struct("xs", "ys"), "pattern").alias("s"))
+    return first.select("route", "from_stop", "to_stop", "s.xs", "s.ys")

@@ -550,20 +550,20 @@ def _(spark, sf):
     return score.weighted_pick(view(spark, sf, "stop_times").groupBy("stop").agg(F.count("*").alias("weight")), "stop", "weight", 0.37)
 
 
-GUESSES = "SELECT CAST(user_id AS BIGINT) AS player, CAST(ts AS DATE) AS day, event_id AS at, value AS km2 FROM events WHERE value IS NOT NULL"
-BEST = "SELECT CAST(ts AS DATE) AS day, max(value) * 0.9 AS best FROM events WHERE value IS NOT NULL GROUP BY 1"
+GUESSES = "SELECT CAST(user_id AS BIGINT) AS player, CAST(CAST(ts AS DATE) AS {text}) AS day, event_id AS moment, value AS km2 FROM events WHERE value IS NOT NULL"
+BEST = "SELECT CAST(CAST(ts AS DATE) AS {text}) AS day, max(value) * 0.9 AS best FROM events WHERE value IS NOT NULL GROUP BY 1"
 
 
 @query(
     "guess_tiles",
     oracle(
-        "SELECT player, day, guess, round(pct, 6) AS pct, CASE WHEN pct >= 95 THEN 'green' WHEN pct >= 80 THEN 'yellow' WHEN pct >= 60 THEN 'orange' ELSE 'red' END AS tile, guess >= 3 OR max(pct) OVER (PARTITION BY player, day ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 99.5 AS over FROM (SELECT g.*, least(100.0, km2 * 100 / best) AS pct FROM (SELECT *, CAST(row_number() OVER (PARTITION BY player, day ORDER BY at) AS INT) AS guess FROM guesses) g JOIN best USING (day) WHERE guess <= 3)",
-        guesses=GUESSES, best=BEST,
+        "SELECT player, day, guess, round(pct, 6) AS pct, CASE WHEN pct >= 95 THEN 'green' WHEN pct >= 80 THEN 'yellow' WHEN pct >= 60 THEN 'orange' ELSE 'red' END AS tile, guess >= 3 OR max(pct) OVER (PARTITION BY player, day ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 99.5 AS over FROM (SELECT g.*, least(100.0, km2 * 100 / best) AS pct FROM (SELECT *, CAST(row_number() OVER (PARTITION BY player, day ORDER BY moment) AS INT) AS guess FROM guesses) g JOIN best USING (day) WHERE guess <= 3)",
+        guesses=GUESSES.format(text="VARCHAR"), best=BEST.format(text="VARCHAR"),
     ),
 )
 def _(spark, sf):
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
-    return rounded(score.graded(spark.sql(GUESSES), spark.sql(BEST)).select("player", "day", "guess", "pct", "tile", "over"), "pct", digits=6)
+    return rounded(score.graded(spark.sql(GUESSES.format(text="STRING")), spark.sql(BEST.format(text="STRING"))).select("player", "day", "guess", "pct", "tile", "over"), "pct", digits=6)
 
 
 @query(
@@ -576,13 +576,13 @@ def _(spark, sf):
     return score.with_twists(base, twists).withColumn("modes", F.array_join(F.col("modes").cast("array<string>"), ","))
 
 
-DAYS = "SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n, CAST(sum(o_totalprice) AS DECIMAL(18, 2)) AS total FROM orders WHERE {} GROUP BY 1"
+DAYS = "SELECT CAST(CAST(o_orderdate AS DATE) AS {text}) AS date, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders WHERE {where} GROUP BY 1"
 
 
-@query("daily_merge", oracle("SELECT * FROM old UNION ALL SELECT * FROM new WHERE date NOT IN (SELECT date FROM old)", old=DAYS.format("o_orderstatus = 'F'"), new=DAYS.format("o_orderstatus = 'O'")))
+@query("daily_merge", oracle("SELECT * FROM old UNION ALL SELECT * FROM new WHERE date NOT IN (SELECT date FROM old)", old=DAYS.format(text="VARCHAR", where="o_orderstatus = 'F'"), new=DAYS.format(text="VARCHAR", where="o_orderstatus = 'O'")))
 def _(spark, sf):
     spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
-    return score.merge_by_date(spark.sql(DAYS.format("o_orderstatus = 'F'")), spark.sql(DAYS.format("o_orderstatus = 'O'")))
+    return score.merge_by_date(*(spark.sql(DAYS.format(text="STRING", where=f"o_orderstatus = '{x}'")) for x in "FO"))
 
 
 @query("latest_request", "SELECT CAST(user_id AS BIGINT) AS session, event_id AS request, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
