@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, LOWER, Scratch, U, mix, table
 
-HOT, EM_ROUNDS, RANK_SHIFT, SMOOTH = 1 << 18, 2, 10.0, 0.05
+HOT, EM_ROUNDS, RANK_SHIFT, SMOOTH = 1 << 16, 2, 10.0, 0.05
 #: Weight of the arc over a whole word.
 WHOLE = 0.7
 MARK, MULTIPLIER, BLOOM = "▁".encode(), 0xD1342543DE82EF95, 1 << 22
