@@ -9,7 +9,8 @@ on its whole sets only if it shares that many prefix shingles in every order.
 1. Texts with the same words are one class, represented by the smallest doc_id.
 2. Prefix shingles of the first order form buckets; those with one document are dropped.
 3. Leader rounds: each document is tried against one leader of its buckets, so a group of many near copies
-   becomes one component in a number of comparisons that is linear in its size.
+   becomes one component in a number of comparisons that is linear in its size. The first leader is the document with most
+   frequent shingles, which is the closest to all others of a group; later ones are random.
 4. The rest exactly: for each bucket, all pairs across different components. Pairs within one component need no
    comparison: their documents are reachable from each other already.
 
@@ -93,9 +94,12 @@ def sketch(docs: DataFrame, n: int, width: int) -> np.ndarray:
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
-    """Frequency class of each sketch counter: 0 within the sketch's noise, then by powers of two."""
+    """Frequency class of each sketch counter: 0 within the sketch's noise, then by powers of two.
+
+    A shingle has the lower class of its two counters, so two deviations of noise in each are enough.
+    """
     noise = np.median(counts)
-    above = np.maximum(counts - noise - 4 * np.sqrt(noise), 1) / 16
+    above = np.maximum(counts - noise - 2 * np.sqrt(noise), 1) / 4
     return np.maximum(np.floor(np.log2(above)), 0).astype(np.uint8)
 
 
@@ -108,7 +112,12 @@ def order_keys(h: np.ndarray, klass: np.ndarray, order: int) -> np.ndarray:
 
 def prefix(keys: np.ndarray, percent: int) -> np.ndarray:
     size = len(keys) - (percent * len(keys) + 99) // 100 + 1
-    return np.partition(keys, size - 1)[:size].astype(np.int64) if len(keys) else keys.astype(np.int64)
+    return np.sort(np.partition(keys, size - 1)[:size]).astype(np.int64) if len(keys) else keys.astype(np.int64)
+
+
+def hub(keys: np.ndarray) -> int:
+    """Eight times the mean frequency class of a set: of near copies, the one that has most in common with the others has the largest."""
+    return int(8 * (keys >> U(58)).mean()) if len(keys) else 0
 
 
 def least_shared(a, b, percent: int):
@@ -144,10 +153,11 @@ class Join:
         def extract(parts):
             for pdf in parts:
                 ids = pdf["doc"].tolist()
-                rows = [(ids[i], d, len(s), prefix(order_keys(s, klass.value, 0), percent)) for i, s, d in sets(pdf["text"].tolist(), n)]
-                yield pd.DataFrame(rows, columns=["doc", "digest", "n", "prefix"]).astype({"doc": "Int64"})
+                found = ((ids[i], d, order_keys(s, klass.value, 0)) for i, s, d in sets(pdf["text"].tolist(), n))
+                rows = [(doc, d, len(keys), hub(keys), prefix(keys, percent)) for doc, d, keys in found]
+                yield pd.DataFrame(rows, columns=["doc", "digest", "n", "hub", "prefix"]).astype({"doc": "Int64"})
 
-        return self.docs.mapInPandas(extract, "doc long, digest binary, n long, prefix array<long>")
+        return self.docs.mapInPandas(extract, "doc long, digest binary, n long, hub int, prefix array<long>")
 
     def few(self, df: DataFrame) -> DataFrame:
         """df as a broadcast side if it has BROADCAST_IDS rows (of a few numbers) at most; else joins shuffle it."""
@@ -191,10 +201,10 @@ class Join:
         found = scratch.save(self.prefixes(), "prefixes")
         rows = scratch.save(found.select("doc", "digest", "n"), "rows")
         # one prefix for each different text
-        classed = found.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", F.explode("prefix").alias("token")).repartition("token")
+        classed = found.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("hub").alias("hub"), F.first("prefix").alias("prefix"))
+        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", "hub", F.explode("prefix").alias("token")).repartition("token")
         led = self.leaders(index, 0)
-        buckets = scratch.save(index.join(led, "token"), "buckets0")
+        buckets = scratch.save(index.drop("hub").join(led, "token"), "buckets0")
         scratch.drop("prefixes")
         links, comps = None, None
         for r in range(LEADER_ROUNDS):
@@ -229,7 +239,9 @@ class Join:
         """token and lead (one of its documents, another one in each round) of the buckets that need comparisons."""
         comp = "comp" if "comp" in buckets.columns else "rep"
         fields = F.struct("rep", "n", F.col(comp).alias("comp"))
-        led = buckets.groupBy("token").agg(F.min(comp).alias("low"), F.max(comp).alias("high"), F.min_by(fields, F.xxhash64("rep", F.lit(r))).alias("lead"))
+        random = F.xxhash64("rep", F.lit(r))
+        first = F.struct(-F.col("hub"), random) if "hub" in buckets.columns else random
+        led = buckets.groupBy("token").agg(F.min(comp).alias("low"), F.max(comp).alias("high"), F.min_by(fields, first).alias("lead"))
         return led.filter(F.col("low") != F.col("high")).select("token", "lead")
 
     def with_components(self, buckets: DataFrame, comps: DataFrame) -> DataFrame:
