@@ -120,11 +120,23 @@ def hub(keys: np.ndarray) -> int:
     return int(8 * (keys >> U(58)).mean()) if len(keys) else 0
 
 
+def overlap(a: Column, b: Column, percent: int) -> Column:
+    """Shingles that sets of sizes a and b share at least if they link."""
+    return F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
+
+
+def reachable(a: Column, at_a: Column, b: Column, at_b: Column, percent: int) -> Column:
+    """Whether sets of sizes a and b can link if they share the shingles at these places of their orders.
+
+    Shingles before it are shared only with those before it, and those after it only with those after it.
+    """
+    return F.least(at_a, at_b) + 1 + F.least(a - at_a - 1, b - at_b - 1) >= overlap(a, b, percent)
+
+
 def least_shared(a, b, percent: int):
     """Prefix shingles that sets of sizes a and b share if they link (numbers or columns)."""
     if isinstance(a, Column):
-        overlap = F.ceil((a + b) * percent / F.lit(100.0 + percent) - 1e-9)
-        return overlap - F.ceil(F.greatest(a, b) * percent / F.lit(100.0) - 1e-9) + 1
+        return overlap(a, b, percent) - F.ceil(F.greatest(a, b) * percent / F.lit(100.0) - 1e-9) + 1
     return -(-(a + b) * percent // (100 + percent)) - -(-max(a, b) * percent // 100) + 1
 
 
@@ -202,7 +214,7 @@ class Join:
         rows = scratch.save(found.select("doc", "digest", "n"), "rows")
         # one prefix for each different text
         classed = found.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("hub").alias("hub"), F.first("prefix").alias("prefix"))
-        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", "hub", F.explode("prefix").alias("token")).repartition("token")
+        index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", "hub", F.posexplode("prefix").alias("at", "token")).repartition("token")
         led = self.leaders(index, 0)
         buckets = scratch.save(index.drop("hub").join(led, "token"), "buckets0")
         scratch.drop("prefixes")
@@ -219,17 +231,18 @@ class Join:
             links = new if links is None else links.unionByName(new)
             comps = scratch.save(components(links, scratch, f"star{r}_"), f"comps{r}")
             # only buckets that still hold several components go on
-            now = self.with_components(buckets.select("token", "rep", "n"), comps).repartition("token")
+            now = self.with_components(buckets.select("token", "rep", "n", "at"), comps).repartition("token")
             buckets = scratch.save(now.join(self.leaders(now, r + 1), "token"), f"buckets{r + 1}")
             scratch.drop(f"buckets{r}")
         most = (
             buckets.groupBy("token", "comp").agg(F.count("*").alias("size"))
             .groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"))
         )
-        mixed = buckets.select("token", "rep", "n", "comp").join(most, "token")
-        left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "most")
+        mixed = buckets.select("token", "rep", "n", "at", "comp").join(most, "token")
+        left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"))
+        right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), "most")
         rest = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & self.sized(F.col("na"), F.col("nb")))
+        rest = rest.filter(reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), self.percent))
         # every bucket that two components share is here, so this counts all prefix shingles that a pair shares
         rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(least_shared(F.col("na"), F.col("nb"), self.percent)).alias("need"))
         links = links.unionByName(self.verified(rest.filter(F.col("shared") >= F.col("need")).select("a", "b"), "rest"))
