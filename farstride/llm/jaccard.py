@@ -140,6 +140,20 @@ def least_shared(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent)) - -(-max(a, b) * percent // 100) + 1
 
 
+def asked(a: Column, b: Column, percent: int) -> Column:
+    """How many shared prefix shingles a candidate pair must show: a quarter of what linked sets share in their whole prefixes."""
+    return F.ceil(least_shared(a, b, percent) / 4)
+
+
+def early(a: Column, at_a: Column, b: Column, at_b: Column, percent: int) -> Column:
+    """Whether these places come early enough to be among the first shingles that linked sets of sizes a and b share.
+
+    The first k of at least o shared shingles have o - k more after them in both sets, so they lie within the first a - o + k and b - o + k.
+    """
+    rest = overlap(a, b, percent) - asked(a, b, percent)
+    return (at_a < a - rest) & (at_b < b - rest)
+
+
 def linked(x: np.ndarray, y: np.ndarray, klass: np.ndarray, percent: int) -> bool:
     """Whether two sets link: they must share a prefix shingle in each further order before whole sets are compared."""
     for k in range(1, ORDERS):
@@ -216,11 +230,12 @@ class Join:
         classed = found.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("hub").alias("hub"), F.first("prefix").alias("prefix"))
         index = classed.filter(F.col("rep").isNotNull()).select("rep", "n", "hub", F.posexplode("prefix").alias("at", "token")).repartition("token")
         led = self.leaders(index, 0)
-        buckets = scratch.save(index.drop("hub").join(led, "token"), "buckets0")
+        buckets = scratch.save(index.join(led, "token"), "buckets0")  # with all columns, so that both sides read one exchange
         scratch.drop("prefixes")
         links, comps = None, None
         for r in range(LEADER_ROUNDS):
             tried = buckets.filter((F.col("rep") != F.col("lead.rep")) & self.sized(F.col("n"), F.col("lead.n")))
+            tried = tried.filter(reachable(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), self.percent))
             if comps is not None:
                 tried = tried.filter(F.col("comp") != F.col("lead.comp"))
             votes = tried.groupBy(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).agg(F.count("*").alias("count"), F.first(least_shared(F.col("n"), F.col("lead.n"), self.percent)).alias("need"))
@@ -242,16 +257,17 @@ class Join:
         left = mixed.filter(F.col("comp") != F.col("most")).select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("comp").alias("ca"))
         right = mixed.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("comp").alias("cb"), "most")
         rest = left.join(right, "token").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & self.sized(F.col("na"), F.col("nb")))
-        rest = rest.filter(reachable(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), self.percent))
-        # every bucket that two components share is here, so this counts all prefix shingles that a pair shares
-        rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(least_shared(F.col("na"), F.col("nb"), self.percent)).alias("need"))
+        places = F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), self.percent
+        rest = rest.filter(reachable(*places) & early(*places))
+        # every bucket that two components share is here, so this counts all early shingles that a pair shares
+        rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.first(asked(F.col("na"), F.col("nb"), self.percent)).alias("need"))
         links = links.unionByName(self.verified(rest.filter(F.col("shared") >= F.col("need")).select("a", "b"), "rest"))
         return rows, components(links, scratch, "last")
 
     def leaders(self, buckets: DataFrame, r: int) -> DataFrame:
         """token and lead (one of its documents, another one in each round) of the buckets that need comparisons."""
         comp = "comp" if "comp" in buckets.columns else "rep"
-        fields = F.struct("rep", "n", F.col(comp).alias("comp"))
+        fields = F.struct("rep", "n", "at", F.col(comp).alias("comp"))
         random = F.xxhash64("rep", F.lit(r))
         first = F.struct(-F.col("hub"), random) if "hub" in buckets.columns else random
         led = buckets.groupBy("token").agg(F.min(comp).alias("low"), F.max(comp).alias("high"), F.min_by(fields, first).alias("lead"))

@@ -78,6 +78,23 @@ def test_least_shared_prefix_shingles():
             assert shared >= max(1, jaccard.least_shared(len(x), len(y), 80))
 
 
+def test_linked_sets_share_early_shingles(spark):
+    """Every linked pair passes the candidate filters of the last step: enough shared prefix shingles at early places."""
+    rnd, rows, linked = random.Random(7), [], set()
+    for pair in range(300):
+        common, a, b = rnd.randint(1, 80), rnd.randint(0, 9), rnd.randint(0, 9)
+        keys = np.array(rnd.sample(range(10**6), common + a + b), dtype=np.uint64)
+        x, y = keys[: common + a], np.r_[keys[:common], keys[common + a :]]
+        if 100 * common >= 80 * (common + a + b):
+            linked.add(pair)
+        at_x, at_y = ({int(k): i for i, k in enumerate(jaccard.prefix(s, 80))} for s in (x, y))
+        rows += [(pair, len(x), at_x[k], len(y), at_y[k]) for k in at_x.keys() & at_y.keys()]
+    df = spark.createDataFrame(rows, "pair int, na long, pa int, nb long, pb int")
+    places = F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), 80
+    kept = df.filter(jaccard.reachable(*places) & jaccard.early(*places)).groupBy("pair").agg(F.count("*").alias("n"), F.first(jaccard.asked(F.col("na"), F.col("nb"), 80)).alias("need"))
+    assert linked <= {r.pair for r in kept.filter("n >= need").collect()} and len(linked) > 100
+
+
 def test_suffix_dedup(spark):
     rnd = random.Random(3)
     passage = prose(rnd, 40)
@@ -246,13 +263,29 @@ def test_quality_orders_grades(spark):
 
 def test_mixing_meets_targets(spark):
     docs, labels = labelled(spark)
-    got = mixing.mix_documents(docs, labels).collect()
+    wanted = {"toxic": 0.6, "low": 0.9, "good": 1.25}
+    got = mixing.mix_documents(docs, labels, wanted).collect()
     for d, name in enumerate(mixing.DOMAINS):
         had, has = sum(r.tokens * r.p[d] for r in got), sum(r.rate * r.tokens * r.p[d] for r in got)
-        assert has == pytest.approx(mixing.TARGETS[name] * had, abs=0.01 * sum(r.tokens for r in got))
+        assert has == pytest.approx(wanted[name] * had, abs=0.01 * sum(r.tokens for r in got))
     assert all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in got) and len(got) == 242
 
 
+def test_mixing_comes_near_targets_out_of_reach(spark):
+    """So few labels give soft memberships, and no rates meet the default targets; the gap is held against plain coordinate descent."""
+    docs, labels = labelled(spark)
+    got = mixing.mix_documents(docs, labels).collect()
+    a = np.array([[r.tokens * p for p in r.p] for r in got if r.tokens])
+    wanted = a.sum(axis=0) * [mixing.TARGETS[n] for n in mixing.DOMAINS]
+    x, gap = np.ones(len(a)), a.sum(axis=0) - wanted
+    for _ in range(1_000):
+        for i, row in enumerate(a):
+            new = max(0.0, x[i] - row @ gap / (row @ row))
+            gap, x[i] = gap + row * (new - x[i]), new
+    ours = np.linalg.norm(a.T @ np.array([r.rate for r in got if r.tokens]) - wanted)
+    assert np.linalg.norm(gap) > 0.01 * a.sum() and ours <= 1.05 * np.linalg.norm(gap)
+
+
 def test_empty_tables(spark):
     docs, labels = empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")
