@@ -64,8 +64,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def batches(texts: list, limit: int = 2 << 20):
-    """Ranges of consecutive texts of about `limit` bytes; a longer text is a range of its own."""
+def batches(texts: list, limit: int = 1 << 19):
+    """Ranges of consecutive texts of about `limit` bytes (kernels hold some hundred times that); a longer text is a range of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0

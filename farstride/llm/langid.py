@@ -140,7 +140,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         langs, logp = shared.value
         for column in parts:
             texts = column.tolist()
-            rows = [row for a, b in batches(texts, 1 << 20) for row in infer(texts[a:b], langs, logp)]
+            rows = [row for a, b in batches(texts) for row in infer(texts[a:b], langs, logp)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs"])
 
     return docs.withColumn("__id", predict(F.col(text))).select(*docs.columns, "__id.lang_pred", "__id.score", "__id.langs")
