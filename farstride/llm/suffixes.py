@@ -211,6 +211,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     if not shared.filter(F.col("n") > HOT).isEmpty():
         each = met.filter("hot").select("name", "doc", "start", "offset", "context").mapInPandas(keyed, "key long, doc long, first long")
+        each = scratch.save(each, "hot")  # read twice; the texts once
         lowest = each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         gone = gone.unionByName(each.join(lowest, "key").filter("doc > low").select("doc", "first", F.lit(1).cast("long").alias("count")))
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
