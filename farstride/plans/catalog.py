@@ -388,12 +388,12 @@ def _(spark, sf):
 
 # --- searches ----------------------------------------------------------------------------------------------------
 
-LIMIT, SPEED = 900.0, 5 / 3.6
-SEEDS = "SELECT node AS origin, 's' || node AS node, 0.0 AS cost FROM street_nodes WHERE node % 700 = 5"
+LIMIT, SPEED = search.PARAMS["limit_s"], 5 / 3.6
+SEEDS = "SELECT node AS origin, 's' || node AS node, 0.0 AS cost FROM street_nodes"
 
 
 def seeds(spark, sf):
-    return view(spark, sf, "street_nodes").filter(F.col("node") % 700 == 5).select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"))
+    return view(spark, sf, "street_nodes").select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"))
 
 
 def labels(spark, sf, modes=None, period=None, **params):
