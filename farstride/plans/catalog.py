@@ -452,7 +452,7 @@ def _(spark, sf):
 
 # --- grids -------------------------------------------------------------------------------------------------------
 
-REACHED = "SELECT CAST(user_id AS BIGINT) AS origin, CAST(event_id % 600 AS DOUBLE) AS cost, -122.5e0 + ((event_id * 7919) % 1000) * 8e-5 AS lon, 37.5e0 + ((event_id * 104729) % 1000) * 7.6e-5 AS lat, 37.54e0 AS lat0 FROM events WHERE user_id % 10 = 3"
+REACHED = "SELECT CAST(user_id AS BIGINT) AS origin, CAST(event_id % 600 AS DOUBLE) AS cost, -122.5e0 + ((event_id * 7919) % 1000) * 8e-5 AS lon, 37.5e0 + ((event_id * 104729) % 1000) * 7.6e-5 AS lat, 37.54e0 AS lat0 FROM events"
 CELLS = "SELECT origin, CAST(floor((lon + 180) / 360 / size) AS BIGINT) AS cx, CAST(floor((0.5 - ln(tan(pi() / 4 + radians(lat) / 2)) / (2 * pi())) / size) AS BIGINT) AS cy, min(cost) AS cost FROM (SELECT *, 40 / (cos(radians(lat0)) * 40075016.686) AS size FROM reached) GROUP BY 1, 2, 3"
 STEPS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {d!r})" for a, b, d in raster.offsets()) + ") o(dx, dy, d)"
 PAINTED = "SELECT origin, cx + dx AS cx, cy + dy AS cy, min(cost + d / 1.25) AS cost FROM cells, steps WHERE cost + d / 1.25 <= 700 GROUP BY 1, 2, 3"

@@ -62,3 +62,10 @@ def test_itineraries_of_every_origin(spark, small):
     far = {r.origin: r.cost for r in catalog.QUERIES["isochrone_nodes"](spark, small).groupBy("origin").agg(F.max("cost").alias("cost")).collect()}
     got = {r.origin: r.seconds for r in catalog.QUERIES["path_cost"](spark, small).collect()}
     assert len(got) == 80 and all(abs(got[k] - far[k]) < 0.02 for k in far)
+
+
+def test_every_event_is_rastered(spark, small):
+    users = {k % 20 for k in range(60)}
+    for name in ("raster_seed", "raster_splat", "reach_km2", "time_bands", "chamfer_cells"):
+        assert {r.origin for r in catalog.QUERIES[name](spark, small).select("origin").distinct().collect()} == users
+    assert {(r.origin, r.cost) for r in catalog.QUERIES["raster_seed"](spark, small).collect()} == {(k % 20, float(k)) for k in range(60)}
