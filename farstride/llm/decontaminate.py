@@ -1,11 +1,12 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 The CGK random walk maps edit distance to Hamming distance: at step j it writes the byte it stands on, and moves on by
-a random bit that depends on (j, byte). A hash of a window is the bytes written at SAMPLED random steps of its walk.
+a random bit that depends on (j, byte). A hash of a window is the bytes written at some random steps of its walk.
 Windows of the size of an item start at every word of a text; the walk from a start reads the same bytes for items of
 any size, so one walk serves all items. Item windows are hashed at each of the item's words, so a window that meets an item anywhere
-proposes the alignment of the whole item. The number of repetitions (each with its own walk and steps)
-reaches RECALL for items of FEW_WORDS words with DESIGN edits a byte. Proposals are verified exactly: the least
+proposes the alignment of the whole item. WALKS has the length and number of walks (each with its own moves and steps) by the
+size of an item: short items have short walks, which stop inside them. They are sized by trial so that an item with EDITS edits a byte
+is proposed with a probability of RECALL; the tests measure that by size and edit rate. Proposals are verified exactly: the least
 edit distance between the item and any part of the text around the alignment, at most EDITS times the item's bytes.
 
 Texts and items are lower-cased, with one blank between words. Items are broadcast in groups of bounded size, each of which
@@ -23,27 +24,21 @@ from pyspark.sql import functions as F
 
 from .common import U, batches, join_bytes, mix, table
 
-EDITS, RECALL, FEW_WORDS, MIN_BYTES = 0.1, 0.99, 12, 20
-#: Edits a byte for which the number of repetitions reaches RECALL (up to EDITS, it falls slowly; see the tests).
-DESIGN = 0.05
-STEPS, SAMPLED, BLOOM = 64, 16, 1 << 22
+EDITS, RECALL, MIN_BYTES = 0.1, 0.99, 20
+#: Least bytes of an item, steps of a walk (it reads about half as many bytes), sampled steps, and repetitions.
+WALKS = ((0, 16, 8, 12), (48, 32, 14, 8))
+STEPS, BLOOM = max(w[1] for w in WALKS), 1 << 22
 GROUP_BYTES = 8 << 20
 
 
-def repetitions(edits: float = DESIGN, recall: float = RECALL, words: int = FEW_WORDS) -> int:
-    """A window's hash is unchanged if none of the STEPS / 2 bytes that its walk reads is edited."""
-    p = (1 - edits) ** (STEPS / 2)
-    return max(2, int(np.ceil(np.log(1 - recall) / (words * np.log(1 - p)))))
-
-
-def walks(count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def walks(steps: int, sampled: int, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Moves (steps x bytes) and sampled steps of each repetition."""
     rng = np.random.default_rng(11)
-    return [(rng.integers(0, 2, size=(STEPS, 256)).astype(np.int64), np.sort(rng.choice(STEPS, SAMPLED, replace=False))) for _ in range(count)]
+    return [(rng.integers(0, 2, size=(steps, 256)).astype(np.int64), np.sort(rng.choice(steps, sampled, replace=False))) for _ in range(count)]
 
 
 def hashes(buf: np.ndarray, at: np.ndarray, walk: tuple) -> np.ndarray:
-    """Hash of SAMPLED bytes of the walk from each position; buf has STEPS bytes more than the last position."""
+    """Hash of the sampled bytes of the walk from each position; buf has STEPS bytes more than the last position."""
     moves, sampled = walk
     at, out = at.copy(), np.zeros(len(at), dtype=np.uint64)
     for j in range(int(sampled[-1]) + 1):
@@ -90,25 +85,24 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float):
         self.items, self.edits = items, edits
-        self.walks = walks(repetitions())
         buf, starts = join_bytes([t for _, t in items])
-        at = word_starts(buf)
-        item = np.searchsorted(starts, at, side="right") - 1
-        # a walk must not read past its item: its last part belongs to earlier windows
-        inside = at + STEPS // 2 <= starts[item + 1] - 1
-        inside |= at == starts[item]
-        at, item = at[inside], item[inside]
+        every = word_starts(buf)
+        of = np.searchsorted(starts, every, side="right") - 1
         padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
-        self.item, self.offset = item, at - starts[item]
-        self.keys, self.order, self.maybe = [], [], []
-        for walk in self.walks:
-            h = hashes(padded, at, walk)
-            order = np.argsort(h, kind="stable")
-            maybe = np.zeros(BLOOM, dtype=bool)
-            maybe[(mix(h) >> U(42)).astype(np.int64)] = True
-            self.keys.append(h[order])
-            self.order.append(order)
-            self.maybe.append(maybe)
+        size = np.array([len(t) for _, t in items])[of]
+        self.tables = []
+        for (least, steps, sampled, count), most in zip(WALKS, [w[0] for w in WALKS[1:]] + [np.inf], strict=True):
+            # a walk must not read past its item: its last part belongs to earlier windows
+            inside = (size >= least) & (size < most) & (every + steps // 2 <= starts[of + 1] - 1)
+            at, item = every[inside], of[inside]
+            if not len(at):
+                continue
+            for walk in walks(steps, sampled, count):
+                h = hashes(padded, at, walk)
+                order = np.argsort(h, kind="stable")
+                maybe = np.zeros(BLOOM, dtype=bool)
+                maybe[(mix(h) >> U(42)).astype(np.int64)] = True
+                self.tables.append((walk, h[order], item[order], (at - starts[item])[order], maybe))
 
     def proposals(self, texts: list[bytes]) -> set[tuple[int, int, int]]:
         """(text, item, start of the item in the text, which may lie before it)."""
@@ -117,13 +111,13 @@ class Index:
         doc = np.searchsorted(starts, at, side="right") - 1
         padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
         out = set()
-        for walk, keys, order, maybe in zip(self.walks, self.keys, self.order, self.maybe, strict=True):
+        for walk, keys, item, offset, maybe in self.tables:
             h = hashes(padded, at, walk)
             hit = np.flatnonzero(maybe[(mix(h) >> U(42)).astype(np.int64)])
             first, last = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
             for i, a, b in zip(hit[last > first], first[last > first], last[last > first], strict=True):
-                for w in order[a:b]:
-                    out.add((int(doc[i]), int(self.item[w]), int(at[i] - starts[doc[i]] - self.offset[w])))
+                for w in range(a, b):
+                    out.add((int(doc[i]), int(item[w]), int(at[i] - starts[doc[i]] - offset[w])))
         return out
 
     def find(self, texts: list[bytes]):
