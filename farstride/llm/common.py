@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -26,18 +27,24 @@ class Scratch:
     """Intermediate tables in the folder that all executors share (spark.checkpoint.dir).
 
     A saved table cuts the lineage like a checkpoint, is stored once in compressed columns,
-    and survives the loss of any executor.
+    and survives the loss of any executor. clear() deletes the tables and destroys the broadcasts made here.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.shared = spark, []
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:  # tests and single machines only
-            root = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        if not root:
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="scratch-")  # one machine only
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root}/{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
+    def broadcast(self, value):
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
@@ -51,10 +58,21 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
+        atexit.unregister(self.clear)
         with contextlib.suppress(Exception):  # the session may have ended before the interpreter
+            for x in self.shared:
+                x.destroy()
+            self.shared = []
             self.drop("")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (xor-shift multiply)."""
     h = h ^ (h >> U(30))

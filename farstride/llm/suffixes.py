@@ -7,11 +7,12 @@ two suffixes need comparison only after their sampled suffixes have the same nam
 
 1. Every window's sampled suffix gets its name (the hash of its first GRAM bytes); names met in one document only drop out.
 2. The others are dealt by name. Within a name the remaining suffixes (all windows sampled there, by their offset) are
-   sorted, neighbours with equal SPAN bytes form runs, and each run keeps its smallest doc_id.
+   sorted, and neighbours with equal SPAN bytes form runs; each run keeps its smallest doc_id.
 3. Windows whose run has a smaller doc_id are removed from their document, with all bytes they cover.
 
-Names that many documents share (over HOT) are compared by a Spark aggregation over their windows instead, which
-combines before it shuffles, so that no task holds such a name whole.
+A name that very many rows share would be one large group. The windows of such names (at most HOT_NAMES of them) are dealt by the
+window's own hash instead, in packs: a task first settles what it holds (of equal windows, all but the smallest doc_id are removed there),
+so of a window that half of all documents share, each task hands on one row. Both kinds go through one exchange.
 
 Texts with the same bytes are compared once: all but the smallest doc_id lose every byte (from SPAN bytes on).
 
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import BYTE, Scratch, U, batches, join_bytes, mix, table
 
 SPAN, GRAM = 50, 20
-#: Documents of a name beyond which Spark's aggregation compares its windows; rows that a task sorts at once.
-HOT, ROWS = 20_000, 40_000
-#: Shared names are a bitmap of so many bits if they fill an eighth at most; else documents meet them by a join.
+#: Rows that a task sorts at once; rows of a name beyond which its windows are dealt one by one, and how many such names there are at most.
+ROWS, HOT, HOT_NAMES = 40_000, 2_000, 1 << 20
+#: Shared names are a bitmap of so many bits; what it lets through by chance has nobody to meet.
 BITS, SLICE = 1 << 27, 1 << 20
 MULTIPLIER = 0xD1342543DE82EF95
 
@@ -132,15 +133,34 @@ def runs(doc: np.ndarray, start: np.ndarray, row: np.ndarray, place: np.ndarray)
     return pd.DataFrame({"doc": doc[row[new]], "first": start[row[new]] + place[new], "count": np.diff(np.r_[new, len(row)])})
 
 
+def smallest(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (key, doc), the first of each key in it, and which rows (in that order) have a larger doc than their key's first."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
+    return order, new, doc > (doc[new][np.cumsum(new) - 1] if len(key) else doc)
+
+
+def same_bytes(buf: np.ndarray, at: np.ndarray, new: np.ndarray) -> bool:
+    """Whether neighbours of one key have the same SPAN bytes."""
+    pairs = np.flatnonzero(~new)
+    for part in np.array_split(pairs, len(pairs) // 100_000 + 1):
+        if len(part) and not (buf[at[part][:, None] + np.arange(SPAN)] == buf[at[part - 1][:, None] + np.arange(SPAN)]).all():
+            return False
+    return True
+
+
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Sorts all windows of some names; those equal to a window of a smaller doc are to be removed."""
-    doc = pdf["doc"].to_numpy()
-    key, row, place = windows(pdf["context"].tolist(), pdf["name"].to_numpy(), pdf["offset"].to_numpy())
-    order = np.lexsort((doc[row], key))
-    key, row, place = key[order], row[order], place[order]
-    new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
-    least = doc[row][new][np.cumsum(new) - 1] if len(key) else doc[:0]
-    gone = doc[row] > least
+    doc, context = pdf["doc"].to_numpy(), pdf["context"].tolist()
+    key, row, place = windows(context, pdf["name"].to_numpy(), pdf["offset"].to_numpy())
+    order, new, gone = smallest(key, doc[row])
+    row, place = row[order], place[order]
+    buf, starts = join_bytes(context)
+    if not same_bytes(buf, starts[row] + place, new):  # two windows of one hash: their bytes are the keys
+        key = np.array([(buf[i : i + SPAN].tobytes() + b".") for i in (starts[row] + place).tolist()])
+        order, new, gone = smallest(np.unique(key, return_inverse=True)[1], doc[row])
+        row, place = row[order], place[order]
     return runs(doc, pdf["start"].to_numpy(), row[gone], place[gone])
 
 
@@ -156,9 +176,54 @@ def spans(runs_: list, size: int) -> list[tuple[int, int]]:
     return [(a, min(b, size)) for a, b in out]
 
 
+#: Rows of the one exchange: the context of a name, or a pack of windows (docs, firsts) with their keys, or of windows to remove (no keys).
+DEALT = "bucket long, name long, doc long, start long, offset long, context binary, keys array<long>, docs array<long>, firsts array<long>"
+COLUMNS = [c.split()[0] for c in DEALT.split(", ")]
+#: Windows of frequent names that a task settles at once.
+SETTLED = 500_000
+
+
+def lost(doc: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    """doc, first and count of runs of single windows to remove."""
+    ids, row = np.unique(doc, return_inverse=True)
+    return runs(ids, np.zeros(len(ids), dtype=np.int64), row, first)
+
+
+def packs(by: np.ndarray, buckets: int, **arrays: np.ndarray) -> pd.DataFrame:
+    """A row for each bucket, chosen by a hash of `by`, with its part of the arrays."""
+    bucket = (mix(by.astype(np.uint64)) % U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    out = {name: np.split(x[order], cut) if len(order) else [] for name, x in arrays.items()}
+    return pd.DataFrame({"bucket": bucket[order][np.r_[0, cut]] if len(order) else bucket, "name": 0, "doc": 0, "start": 0, "offset": 0, "context": None, "keys": None} | out)
+
+
+def settle(parts: list[tuple], buckets: int) -> pd.DataFrame:
+    """Packs of windows (key, doc, first): of equal ones only the smallest doc goes on to meet others, the rest is to be removed."""
+    key, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, _, gone = smallest(key, doc)
+    key, doc, first = key[order], doc[order], first[order]
+    on = ~gone
+    return pd.concat([packs(key[on], buckets, keys=key[on], docs=doc[on], firsts=first[on]), packs(doc[gone], buckets, docs=doc[gone], firsts=first[gone])])[COLUMNS]
+
+
+def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What is to be removed of one bucket."""
+    packed, keyed = pdf["docs"].notna(), pdf["keys"].notna()
+    out = [] if packed.all() else [compare(pdf[~packed])]
+    for own, open_ in ((pdf[keyed], True), (pdf[packed & ~keyed], False)):
+        if len(own):
+            doc, first = np.concatenate(own["docs"].tolist()), np.concatenate(own["firsts"].tolist())
+            if open_:
+                order, _, gone = smallest(np.concatenate(own["keys"].tolist()), doc)
+                doc, first = doc[order][gone], first[order][gone]
+            out.append(lost(doc, first))
+    return pd.concat(out)
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, kept text (binary), n_bytes, n_removed and spans (start and end of each maximal removed run) of each row."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     digests = scratch.save(rows.filter("doc is not null").select("doc", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
     least = digests.groupBy("digest").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1")
@@ -171,49 +236,41 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = single.mapInPandas(lambda parts: (x for pdf in parts for x in names(pdf)), "name long, doc long")
     shared = found.groupBy("name").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("name", "n")
     shared = scratch.save(shared, "shared")
-    hot = F.broadcast(shared.filter(F.col("n") > HOT).select("name", F.lit(True).alias("hot")))  # at most all windows / HOT
-
-    if shared.count() <= BITS // 8:
-        marks = spark.sparkContext.broadcast(bitmap(shared))
-
-        def wanted(name):
-            at = spots(name.astype(np.int64))
-            return (marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-    else:
-
-        def wanted(name):
-            return np.ones(len(name), dtype=bool)
-
-    def contexts(parts):
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot_from = max(HOT, total // HOT_NAMES)  # so there are at most HOT_NAMES of them
+    names_ = [r.name for r in shared.filter(F.col("n") > hot_from).select("name").collect()]
+    frequent = scratch.broadcast(np.sort(np.array(names_, dtype=np.int64)))
+    marks = scratch.broadcast(bitmap(shared))
+    buckets = max(64, total // ROWS)
+
+    def deal(parts):
+        hot, held = [], 0
         for pdf in parts:
             texts, ids = pdf["text"].tolist(), pdf["doc"].to_numpy()
             for a, b in batches(texts):
                 name, doc, start, count, offset, buf, starts = samples(texts[a:b])
-                ok = np.flatnonzero(wanted(name))
+                at = spots(name.astype(np.int64))
+                ok = np.flatnonzero((marks.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+                name, doc, start, count, offset = name[ok].astype(np.int64), doc[ok], start[ok], count[ok], offset[ok].astype(np.int64)
                 whole = buf.tobytes()
-                context = [whole[s : s + n + SPAN - 1] for s, n in zip(start[ok].tolist(), count[ok].tolist(), strict=True)]
-                yield pd.DataFrame({"name": name[ok].astype(np.int64), "doc": ids[a:b][doc[ok]], "start": start[ok] - starts[doc[ok]], "offset": offset[ok].astype(np.int64), "context": context})
-
-    met = single.mapInPandas(contexts, "name long, doc long, start long, offset long, context binary")
-    if shared.count() > BITS // 8:
-        met = met.join(shared.select("name"), "name", "left_semi")
-    met = met.join(hot, "name", "left")
-    buckets = max(64, (shared.agg(F.sum("n")).first()[0] or 0) // ROWS)
-    # Spark deals names to groups of about ROWS rows; a name beyond HOT goes the other way
-    cold = met.filter("hot is null").withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
-    gone = cold.groupBy("bucket").applyInPandas(lambda pdf: compare(pdf), "doc long, first long, count long")
-
-    def keyed(parts):
-        for pdf in parts:
-            if len(pdf):
-                k, row, place = windows(pdf["context"].tolist(), pdf["name"].to_numpy(), pdf["offset"].to_numpy())
-                yield pd.DataFrame({"key": k.astype(np.int64), "doc": pdf["doc"].to_numpy()[row], "first": pdf["start"].to_numpy()[row] + place})
-
-    if not shared.filter(F.col("n") > HOT).isEmpty():
-        each = met.filter("hot").select("name", "doc", "start", "offset", "context").mapInPandas(keyed, "key long, doc long, first long")
-        each = scratch.save(each, "hot")  # read twice; the texts once
-        lowest = each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-        gone = gone.unionByName(each.join(lowest, "key").filter("doc > low").select("doc", "first", F.lit(1).cast("long").alias("count")))
+                out = pd.DataFrame({"name": name, "doc": ids[a:b][doc], "start": start - starts[doc], "offset": offset, "keys": None, "docs": None, "firsts": None})
+                out["context"] = [whole[s : s + n + SPAN - 1] for s, n in zip(start.tolist(), count.tolist(), strict=True)]
+                out["bucket"] = (mix(name.astype(np.uint64)) % U(buckets)).astype(np.int64)
+                if len(frequent.value) and len(name):
+                    often = frequent.value[np.minimum(np.searchsorted(frequent.value, name), len(frequent.value) - 1)] == name
+                    own, out = out[often], out[~often]
+                    if len(own):
+                        key, row, place = windows(own["context"].tolist(), own["name"].to_numpy(), own["offset"].to_numpy())
+                        hot.append((key.view(np.int64), own["doc"].to_numpy()[row], own["start"].to_numpy()[row] + place))
+                        held += len(key)
+                yield out[COLUMNS]
+                if held > SETTLED:
+                    yield settle(hot, buckets)
+                    hot, held = [], 0
+        if hot:
+            yield settle(hot, buckets)
+
+    gone = single.mapInPandas(deal, DEALT).groupBy("bucket").applyInPandas(resolve, "doc long, first long, count long")
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
 
     def cut(parts):
