@@ -4,10 +4,13 @@ The CGK random walk maps edit distance to Hamming distance: at step j it writes
 a random bit that depends on (j, byte). A hash of a window is the bytes written at some random steps of its walk.
 Windows of the size of an item start at every word of a text; the walk from a start reads the same bytes for items of
 any size, so one walk serves all items. Item windows are hashed at each of the item's words, so a window that meets an item anywhere
-proposes the alignment of the whole item. WALKS has the length and number of walks (each with its own moves and steps) by the
-size of an item: short items have short walks, which stop inside them. They are sized by trial so that an item with EDITS edits a byte
-is proposed with a probability of RECALL; the tests measure that by size and edit rate. Proposals are verified exactly: the least
-edit distance between the item and any part of the text around the alignment, at most EDITS times the item's bytes.
+proposes the alignment of the whole item. WALKS has the length and number of walks (each with its own moves) and the samplings of each walk's
+bits by the size of an item: short items have short walks, which stop inside them. They are sized by trial so that an item with EDITS edits a byte
+is proposed with a probability of RECALL; the tests measure that by size and edit rate.
+
+Proposals are verified exactly, in two steps. An item with at most k edits keeps at least t of any k + t disjoint pieces unchanged, within
+2 k bytes of their places; where fewer are found, no match is possible. Then the least
+edit distance between the item and any part of the text around the alignment is computed; at most EDITS times the item's bytes are accepted.
 
 Texts and items are lower-cased, with one blank between words. Items are broadcast in groups of bounded size, each of which
 reads the documents once; documents aren't shuffled.
@@ -22,30 +25,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batches, join_bytes, mix, table
+from .common import Scratch, U, batches, join_bytes, mix, table
 
 EDITS, RECALL, MIN_BYTES = 0.1, 0.99, 20
-#: Least bytes of an item, steps of a walk (it reads about half as many bytes), sampled steps, and repetitions.
-WALKS = ((0, 16, 8, 12), (48, 32, 14, 8))
+#: Least bytes of an item, steps of a walk (it reads about half as many bytes), sampled steps, walks, and samplings of each walk.
+WALKS = ((0, 16, 8, 6, 3), (48, 32, 16, 3, 2))
 STEPS, BLOOM = max(w[1] for w in WALKS), 1 << 22
 GROUP_BYTES = 8 << 20
 
 
-def walks(steps: int, sampled: int, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Moves (steps x bytes) and sampled steps of each repetition."""
+def walks(steps: int, sampled: int, count: int, samplings: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Moves (steps x bytes) of each walk, and the sampled steps of each of its samplings."""
     rng = np.random.default_rng(11)
-    return [(rng.integers(0, 2, size=(steps, 256)).astype(np.int64), np.sort(rng.choice(steps, sampled, replace=False))) for _ in range(count)]
-
-
-def hashes(buf: np.ndarray, at: np.ndarray, walk: tuple) -> np.ndarray:
-    """Hash of the sampled bytes of the walk from each position; buf has STEPS bytes more than the last position."""
-    moves, sampled = walk
-    at, out = at.copy(), np.zeros(len(at), dtype=np.uint64)
-    for j in range(int(sampled[-1]) + 1):
-        byte = buf[at]
-        if j in sampled:
-            out = out * U(0x9FB21C651E98DF25) + byte
-        at += moves[j][byte]
+    return [(rng.integers(0, 2, size=(steps, 256)), [np.sort(rng.choice(steps, sampled, replace=False)) for _ in range(samplings)]) for _ in range(count)]
+
+
+def hashes(buf: np.ndarray, at: np.ndarray, walk: tuple) -> list[np.ndarray]:
+    """Hashes of the sampled bytes of the walk from each position, one array a sampling; buf has STEPS bytes more than the last position."""
+    moves, samplings = walk
+    at, out = at.copy(), [np.zeros(len(at), dtype=np.uint64) for _ in samplings]
+    for j in range(max(int(s[-1]) for s in samplings) + 1):
+        byte = buf.take(at)
+        for h, sampled in zip(out, samplings, strict=True):
+            if j in sampled:
+                h *= U(0x9FB21C651E98DF25)
+                h += byte
+        at += moves[j].take(byte)
     return out
 
 
@@ -80,71 +85,101 @@ def least_edits(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def pieces(item: bytes, slack: int) -> tuple[int, list[tuple[int, bytes]]]:
+    """How many of the pieces (place, bytes) a copy with `slack` edits keeps at least."""
+    kept = 1 + slack // 2
+    cuts = [len(item) * i // (slack + kept) for i in range(slack + kept + 1)]
+    return kept, [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class Index:
     """Hashes of all word starts of some items."""
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float):
         self.items, self.edits = items, edits
+        self.pieces = [pieces(t, int(edits * len(t))) for _, t in items]
         buf, starts = join_bytes([t for _, t in items])
         every = word_starts(buf)
         of = np.searchsorted(starts, every, side="right") - 1
         padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
         size = np.array([len(t) for _, t in items])[of]
         self.tables = []
-        for (least, steps, sampled, count), most in zip(WALKS, [w[0] for w in WALKS[1:]] + [np.inf], strict=True):
+        for (least, steps, sampled, count, samplings), most in zip(WALKS, [w[0] for w in WALKS[1:]] + [np.inf], strict=True):
             # a walk must not read past its item: its last part belongs to earlier windows
             inside = (size >= least) & (size < most) & (every + steps // 2 <= starts[of + 1] - 1)
             at, item = every[inside], of[inside]
             if not len(at):
                 continue
-            for walk in walks(steps, sampled, count):
-                h = hashes(padded, at, walk)
-                order = np.argsort(h, kind="stable")
-                maybe = np.zeros(BLOOM, dtype=bool)
-                maybe[(mix(h) >> U(42)).astype(np.int64)] = True
-                self.tables.append((walk, h[order], item[order], (at - starts[item])[order], maybe))
-
-    def proposals(self, texts: list[bytes]) -> set[tuple[int, int, int]]:
-        """(text, item, start of the item in the text, which may lie before it)."""
+            for walk in walks(steps, sampled, count, samplings):
+                sides = []
+                for h in hashes(padded, at, walk):
+                    order = np.argsort(h, kind="stable")
+                    maybe = np.zeros(BLOOM, dtype=bool)
+                    maybe[(mix(h) >> U(42)).astype(np.int64)] = True
+                    sides.append((h[order], item[order], (at - starts[item])[order], maybe))
+                self.tables.append((walk, sides))
+
+    def proposals(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
+        """Sorted (text, item, start of the item in the text, which may lie before it)."""
         buf, starts = join_bytes(texts)
         at = word_starts(buf)
         doc = np.searchsorted(starts, at, side="right") - 1
         padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
-        out = set()
-        for walk, keys, item, offset, maybe in self.tables:
-            h = hashes(padded, at, walk)
-            hit = np.flatnonzero(maybe[(mix(h) >> U(42)).astype(np.int64)])
-            first, last = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-            for i, a, b in zip(hit[last > first], first[last > first], last[last > first], strict=True):
-                for w in range(a, b):
-                    out.add((int(doc[i]), int(item[w]), int(at[i] - starts[doc[i]] - offset[w])))
-        return out
-
-    def find(self, texts: list[bytes]):
-        """(text, item_id, start, edits) of each item found in each text, at its best place."""
+        out = []
+        for walk, sides in self.tables:
+            for h, (keys, item, offset, maybe) in zip(hashes(padded, at, walk), sides, strict=True):
+                hit = np.flatnonzero(maybe[(mix(h) >> U(42)).astype(np.int64)])
+                first, last = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
+                n = last - first
+                own, w = np.repeat(hit, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+                out.append(np.stack([doc[own], item[w], at[own] - starts[doc[own]] - offset[w]], axis=1))
+        return list(map(tuple, np.unique(np.concatenate(out), axis=0).tolist())) if out else []
+
+    def possible(self, text: bytes, item: int, start: int, slack: int) -> bool:
+        """Whether the item can lie in the text with at most slack edits, aligned to start .. start + slack (each up to slack off)."""
+        least, parts = self.pieces[item]
+        left = len(parts)
+        for place, piece in parts:
+            if text.find(piece, max(0, start + place - 2 * slack), max(0, start + place + len(piece) + 3 * slack)) >= 0:
+                least -= 1
+                if not least:
+                    return True
+            left -= 1
+            if left < least:
+                return False
+        return False
+
+    def matches(self, texts: list[bytes]):
+        """(text, item, start, edits) of each item (by its place in items) found in each text, at its best place."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         ready: dict[tuple[int, int], int] = {}
-        for doc, item, start in sorted(self.proposals(texts)):
-            key = (doc, item)
-            name, pattern = self.items[item]
+        for doc, item, start in self.proposals(texts):
+            key, pattern = (doc, item), self.items[item][1]
             slack = int(self.edits * len(pattern))
-            if best.get(key, (1,))[0] == 0 or ready.get(key, -1) >= start + slack:
+            if best.get(key, (1,))[0] == 0 or ready.get(key, -len(pattern)) >= start:
                 continue  # nothing better, or the last region covers this one
+            ready[key] = start + slack  # alignments up to there lie within the region
+            if not self.possible(texts[doc], item, start, slack):
+                continue
             lo, hi = max(0, start - 2 * slack), start + len(pattern) + 3 * slack
             region = texts[doc][lo:hi]
-            ready[key] = start + slack  # alignments up to there lie within the region
             exact = region.find(pattern)
             edits, end = (0, exact + len(pattern)) if exact >= 0 else least_edits(pattern, region)
             if edits <= slack:
                 back = len(pattern) if exact >= 0 else least_edits(pattern[::-1], region[:end][::-1])[1]
                 best[key] = min(best.get(key, (edits, lo + end - back)), (edits, lo + end - back))
         for (doc, item), (edits, start) in sorted(best.items()):
+            yield doc, item, start, edits
+
+    def find(self, texts: list[bytes]):
+        """The same with item ids."""
+        for doc, item, start, edits in self.matches(texts):
             yield doc, self.items[item][0], start, edits
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", edits: float = EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", edits: float = EDITS, scratch: Scratch | None = None) -> DataFrame:
     """key, item_id, start (byte of the normalised text), edits and item_bytes of each item found in each row."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession)
     wanted = items.select(F.col("item_id").cast("long"), "text").dropna().distinct()
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = -(-total // GROUP_BYTES)
@@ -156,16 +191,15 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         texts = [x for x in texts if len(x[1]) >= MIN_BYTES]
         if not texts:
             continue
-        shared = spark.sparkContext.broadcast(Index(texts, edits))
+        shared = scratch.broadcast(Index(texts, edits))
 
         def search(parts, shared=shared):
             index = shared.value
-            sizes = dict(index.items)
             for pdf in parts:
                 keys, found, rows = pdf["key"].tolist(), [normalise(t) for t in pdf["text"]], []
                 for a, b in batches(found):
-                    rows += [(keys[a + d], i, s, e, len(sizes[i])) for d, i, s, e in index.find(found[a:b])]
-                yield pd.DataFrame(rows, columns=["key", "item_id", "start", "edits", "item_bytes"]).astype({"key": "Int64"})
+                    rows += [(keys[a + d], *index.items[i], s, e) for d, i, s, e in index.matches(found[a:b])]
+                yield pd.DataFrame([(k, i, s, e, len(t)) for k, i, t, s, e in rows], columns=["key", "item_id", "start", "edits", "item_bytes"]).astype({"key": "Int64"})
 
         out = out.unionByName(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(search, schema))
     return out.withColumnRenamed("key", key)
