@@ -167,11 +167,11 @@ def linked(x: np.ndarray, y: np.ndarray, klass: np.ndarray, percent: int) -> boo
 class Join:
     """The steps of one join, over shared scratch tables."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, width: int):
-        self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int, width: int, scratch: Scratch | None = None):
+        self.spark, self.scratch = docs.sparkSession, scratch or Scratch(docs.sparkSession)
         self.docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("text"))
         self.n, self.percent = n, percent
-        self.klass = self.spark.sparkContext.broadcast(classes(sketch(self.docs, n, width)))  # 2 x width bytes
+        self.klass = self.scratch.broadcast(classes(sketch(self.docs, n, width)))  # 2 x width bytes
 
     def prefixes(self) -> DataFrame:
         n, percent, klass = self.n, self.percent, self.klass
@@ -278,9 +278,9 @@ class Join:
         return buckets.join(self.few(named), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, width: int = WIDTH, scratch: Scratch | None = None) -> DataFrame:
     """key, n_shingles and component_id of each row."""
-    join = Join(docs, key, text, n, percent, width)
+    join = Join(docs, key, text, n, percent, width, scratch)
     rows, comps = join.run()
     reps = rows.groupBy("digest").agg(F.min("doc").alias("rep"))
     out = rows.join(reps, "digest").join(comps.withColumnRenamed("node", "rep"), "rep", "left")

@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, U, batches, join_bytes, table
+from .common import SPACES, U, batches, join_bytes, table, unused
 
 #: Hash buckets of n-grams; sizes of n-grams in bytes (a word has a blank before and after it).
 BUCKETS, SIZES = 1 << 16, (2, 3, 4)
 NO_LETTER = regex.compile(r"[^\p{L}]+")
-EM_ROUNDS, REFIT_ROUNDS, MAX_SET = 12, 5, 4
+EM_ROUNDS, REFIT_ROUNDS = 12, 5
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +115,7 @@ def infer(texts: list, langs: list[str], logp: np.ndarray) -> list[tuple]:
     full, _ = em(like, doc, np.full((len(texts), size), 1 / size), EM_ROUNDS, first, has)
     order = np.argsort(-full, axis=1, kind="stable")
     best, chosen, share = np.full(len(texts), -np.inf), np.ones(len(texts), dtype=int), np.zeros((len(texts), size))
-    for k in range(1, min(size, MAX_SET) + 1):
+    for k in range(1, size + 1):  # up to all learned languages
         pi = np.zeros_like(full)
         np.put_along_axis(pi, order[:, :k], np.maximum(np.take_along_axis(full, order[:, :k], axis=1), 1e-6), axis=1)
         pi /= pi.sum(axis=1, keepdims=True)
@@ -129,11 +129,9 @@ def infer(texts: list, langs: list[str], logp: np.ndarray) -> list[tuple]:
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and langs (the chosen set, largest proportion first)."""
-    spark = docs.sparkSession
+def predictor(spark, model: tuple[list[str], np.ndarray]):
+    """A column function of a text: a struct of lang_pred, score and langs."""
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS floats
-    docs = docs.drop("lang_pred", "score", "langs")
 
     @F.pandas_udf("lang_pred string, score double, langs array<string>")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -143,7 +141,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
             rows = [row for a, b in batches(texts) for row in infer(texts[a:b], langs, logp)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "langs"])
 
-    return docs.withColumn("__id", predict(F.col(text))).select(*docs.columns, "__id.lang_pred", "__id.score", "__id.langs")
+    return predict
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """docs with lang_pred, score and langs (the chosen set, largest proportion first)."""
+    found = unused(docs, "found")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "langs")]
+    told = docs.withColumn(found, predictor(docs.sparkSession, model)(F.col(text)))
+    return told.select(*kept, *(f"{found}.{c}" for c in ("lang_pred", "score", "langs")))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -143,9 +143,9 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """docs (or only some of its columns) with tokens, p (array of posteriors in the order of DOMAINS), rate and copies."""
     scratch, targets = Scratch(docs.sparkSession), targets or TARGETS
-    docs = docs.drop("rate", "copies")
+    kept = [c for c in columns or docs.columns if c.lower() not in ("tokens", "p", "rate", "copies")]
     # stored once: rates read the posteriors many times
-    known = scratch.save(posteriors(docs, train(docs, labels)).select(*(columns or docs.columns), "tokens", "p"), "posteriors")
+    known = scratch.save(posteriors(docs, train(docs, labels)).select(*kept, "tokens", "p"), "posteriors")
     rate = rate_of(fit_rates(known.select("tokens", "p"), [targets[d] for d in DOMAINS]))
     uniform = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return known.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))

@@ -7,47 +7,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, langid, mixing, sharding
-from .common import table
+from .common import Scratch, table, unused
 
-#: Share of its words that a document's language must have.
+#: Share of its words that the languages of a document's set must explain better than chance.
 MIN_SHARE = 0.5
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among ids; few ids are broadcast, more are joined by a shuffle."""
-    ids = ids.select("doc_id").distinct()
+    """docs whose doc_id isn't among the stored ids; few ids are broadcast, more are joined by a shuffle."""
     few = ids.count() <= jaccard.BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def stored(ids: DataFrame, own: Scratch) -> DataFrame:
+    """ids saved once; what the operator kept to find them goes."""
+    saved = Scratch(ids.sparkSession).save(ids.select("doc_id").distinct(), "ids")
+    own.clear()
+    return saved
+
+
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language: letters, and a main language with MIN_SHARE of the words."""
     model = langid.train(docs)
     if not model[0]:  # nothing to learn from: only texts without a letter are rejected
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs.withColumn("__text", F.col("text")), model)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+    found = unused(docs, "found")
+    told = docs.withColumn(found, langid.predictor(spark, model)(F.col("text")))
+    return told.filter((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= MIN_SHARE)).select(*docs.columns)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group that links connect, once."""
-    groups = jaccard.jaccard_components(docs)
-    kept = without(docs, groups.filter(F.col("doc_id") != F.col("component_id")))
+    scratch = Scratch(spark)
+    groups = jaccard.jaccard_components(docs, scratch=scratch)
+    kept = without(docs, stored(groups.filter(F.col("doc_id") != F.col("component_id")), scratch))
     again = kept.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    again = Scratch(spark).save(again, "again")
     if again.isEmpty():
         return kept
-    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    scratch = Scratch(spark)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), scratch=scratch)
+    return without(docs, stored(found, scratch))
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its fitted rate says."""
-    rated = mixing.mix_documents(docs, table(spark, sf_dir, "labels"))
-    return rated.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    whole = docs.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns)).alias("whole"))
+    rated = mixing.mix_documents(whole, table(spark, sf_dir, "labels"), columns=["doc_id", "whole"])
+    return rated.select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
