@@ -3,8 +3,8 @@
 For sets of n shingles that overlap by the threshold, the first n - ceil(t n) + 1 shingles of both (the prefix)
 share one under ANY order of all shingles; sets of sizes a and b share at least ceil(t (a + b) / (1 + t)) - ceil(t max(a, b)) + 1
 prefix shingles, as those they share beyond the prefixes lie in the rest of one of them. ORDERS different orders are used; each puts frequent shingles last, by
-classes from a count sketch of the whole corpus, and shuffles each class by another hash. A pair is verified
-on its whole sets only if it shares that many prefix shingles in every order.
+classes from a count sketch of the whole corpus, and shuffles each class by another hash. The first order's prefixes
+propose pairs; Spark intersects them with the pairs that share that many prefix shingles in each other order; only what is left is verified on whole sets.
 
 1. Texts with the same words are one class, represented by the smallest doc_id.
 2. Prefix shingles of the first order form buckets; those with one document are dropped.
@@ -154,16 +154,17 @@ def early(a: Column, at_a: Column, b: Column, at_b: Column, percent: int) -> Col
     return (at_a < a - rest) & (at_b < b - rest)
 
 
-def linked(x: np.ndarray, y: np.ndarray, klass: np.ndarray, percent: int) -> bool:
-    """Whether two sets link: they must share a prefix shingle in each further order before whole sets are compared."""
-    for k in range(1, ORDERS):
-        shared = np.isin(prefix(order_keys(x, klass, k), percent), prefix(order_keys(y, klass, k), percent)).sum()
-        if shared < max(1, least_shared(len(x), len(y), percent)):
-            return False
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def shared_enough(a: str, b: str, need: Column) -> Column:
+    """Whether two arrays of half hashes can be of prefixes that share `need` shingles: distinct ones whose halves are equal count as often as they were."""
+    slack = F.size(a) - F.size(F.array_distinct(a))
+    return F.size(F.array_intersect(a, b)) + slack >= F.greatest(F.lit(1), need)
+
+
 class Join:
     """The steps of one join, over shared scratch tables."""
 
@@ -189,10 +190,37 @@ class Join:
         """df as a broadcast side if it has BROADCAST_IDS rows (of a few numbers) at most; else joins shuffle it."""
         return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that link. Compressed texts of both sides meet once for each pair."""
+    def filtered(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that also share enough prefix shingles in every further order."""
         n, percent, klass, scratch = self.n, self.percent, self.klass, self.scratch
-        pairs = scratch.save(pairs, f"{name}_pairs")
+        pairs = scratch.save(pairs, f"{name}_all")
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        ids = scratch.save(ids, f"{name}_ids")
+
+        def extract(parts):
+            for pdf in parts:
+                rows, ids_ = [], pdf["doc"].tolist()
+                for i, s, _ in sets(pdf["text"].tolist(), n):
+                    halves = [prefix(order_keys(s, klass.value, k), percent).astype(np.int32) for k in range(1, ORDERS)]
+                    rows.append((ids_[i], len(s), *halves))
+                yield pd.DataFrame(rows, columns=["doc", "n", *(f"o{k}" for k in range(1, ORDERS))])
+
+        orders = self.docs.join(self.few(ids), "doc", "left_semi").mapInPandas(extract, "doc long, n long, " + ", ".join(f"o{k} array<int>" for k in range(1, ORDERS)))
+        # a doc_id may stand at several texts: a pair stays if any of them pass
+        orders = scratch.save(orders, f"{name}_orders")
+        side = lambda x: orders.select(*(F.col(c).alias(x if c == "doc" else f"{c}_{x}") for c in orders.columns))
+        need = least_shared(F.col("n_a"), F.col("n_b"), percent)
+        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        for k in range(1, ORDERS):
+            met = met.filter(shared_enough(f"o{k}_a", f"o{k}_b", need))
+        out = scratch.save(met.select("a", "b").distinct(), f"{name}_pairs")
+        scratch.drop(f"{name}_all", f"{name}_ids", f"{name}_orders")
+        return out
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that link. Compressed texts of both sides meet once for each pair that all orders let through."""
+        n, percent, scratch = self.n, self.percent, self.scratch
+        pairs = self.filtered(pairs, name)
 
         def packed(parts):
             for pdf in parts:
@@ -211,7 +239,7 @@ class Join:
                 for (_, x, _), b, text in zip(sets(texts, n), pdf["b"], pdf["text_b"], strict=True):
                     if (b, text) != last:  # rows come sorted by b
                         last, known = (b, text), next(sets([zlib.decompress(text)], n))[1]
-                    keep.append(linked(x, known, klass.value, percent))
+                    keep.append(linked(x, known, percent))
                 yield pdf.loc[keep, ["a", "b"]]
 
         out = scratch.save(both.mapInPandas(compare, "a long, b long").distinct(), f"{name}_links")
@@ -293,4 +321,14 @@ def op4_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_ngram_jaccard_join": op4_jaccard}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+either AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+c(doc_id, c) USING KEY (doc_id) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, min(c.c) FROM c JOIN either e ON e.a = c.doc_id LEFT JOIN recurring.c r ON r.doc_id = e.b WHERE c.c < r.c GROUP BY e.b)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM s JOIN c USING (doc_id)
+"""
+}

@@ -231,43 +231,49 @@ def lm_scores(docs: DataFrame, held: Column, path: str, key: str = "doc_id", tex
     frequent = spark.sparkContext.broadcast({bytes(r.word): (r.lp, float(np.log10((r.c + 0.5) / floor)), r.c > 0) for r in top})
     end = (float(np.log10(WHOLE * ends / max(n, 1) + (1 - WHOLE) * np.exp(pieces.end))), float(np.log10((ends + 0.5) / floor)), ends > 0)
 
+    def framed(out):
+        x = pd.DataFrame(out, columns=COLUMNS)
+        # a missing id (only rows of sums have one) must not turn numbers into floats
+        return x.assign(key=x["key"].astype("Int64") if kind in ("bigint", "int") else x["key"].astype(object), held=x["held"].astype("boolean"))
+
     def look_up(parts):
         """For each text a row of sums over its frequent words, and a row for each other word."""
         known = frequent.value
         for pdf in parts:
             out = []
-            for row, text in zip(pdf["row"], pdf["text"], strict=True):
+            for row, text, own, out_of in zip(pdf["row"], pdf["text"], pdf["key"].astype(object), pdf["held"], strict=True):
                 score, base, n_known = end[0], end[1], int(end[2])
                 ws = Counter(text.translate(LOWER).split()) if text else {}
                 n_tokens = 1 + sum(ws.values())
                 for w, tf in ws.items():
                     if (x := known.get(w)) is None:
-                        out.append((row, w, tf, 0, 0, 0.0, 0.0))
+                        out.append((row, w, tf, 0, 0, 0.0, 0.0, None, None))
                     else:
                         score, base, n_known = score + tf * x[0], base + tf * x[1], n_known + tf * x[2]
                 # no word has a blank; such keys spread these rows evenly over the join
-                out.append((row, b" %d" % row, 0, n_tokens, n_known, base, score))
+                out.append((row, b" %d" % row, 0, n_tokens, n_known, base, score, own, out_of))
                 if len(out) > 100_000:
-                    yield pd.DataFrame(out, columns=COLUMNS)
+                    yield framed(out)
                     out = []
-            yield pd.DataFrame(out, columns=COLUMNS)
+            yield framed(out)
 
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    pieces_of = rows.select("row", "text").mapInPandas(look_up, "row long, word binary, tf long, n_tokens long, n_known long, base double, score double")
+    # rows are numbered once, where their words are looked up; the row of sums carries what the result needs of them
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"row long, word binary, tf long, n_tokens long, n_known long, base double, score double, key {kind}, held boolean"
+    pieces_of = rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(look_up, schema)
     joined = pieces_of.join(scored, "word", "left")
     c, tf = F.coalesce("c", F.lit(0)), F.col("tf")
     sums = joined.groupBy("row").agg(
+        F.max_by(F.struct("key", "held"), "n_tokens").alias("own"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(c > 0, tf).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.when(tf > 0, tf * F.log10((c + 0.5) / floor)).otherwise(0.0)).alias("base_score"),
         F.sum(F.col("score") + F.coalesce(tf * F.col("lp"), F.lit(0.0))).alias("score"),
     )
-    return rows.select("row", F.col("key").alias(key), F.col("held").alias("held_out")).join(sums, "row").select(
-        key, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    return sums.select(F.col("own.key").alias(key), F.col("own.held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-COLUMNS = ["row", "word", "tf", "n_tokens", "n_known", "base", "score"]
+COLUMNS = ["row", "word", "tf", "n_tokens", "n_known", "base", "score", "key", "held"]
 
 
 def op8_lattice(spark, sf_dir: str) -> DataFrame:

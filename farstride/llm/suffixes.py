@@ -298,4 +298,16 @@ def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_sampled_suffix_dedup": op5_suffix_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_sampled_suffix_dedup": """
+WITH b AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT) - 49)) AS i FROM b)),
+m AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, i FROM w JOIN m ON w.s = m.s AND m.m < w.doc_id),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM g)),
+p AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, k),
+q AS (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS l FROM p),
+d AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(substring(h, 2 * l + 1, 2 * (a - l)), '' ORDER BY a) AS kept FROM q JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substring(h, 2 * z + 1) END)) AS kept_sha256 FROM b LEFT JOIN d USING (doc_id)
+"""
+}

@@ -8,14 +8,17 @@ a cut word can reach over it), they agree with the encoding of the whole text on
 there, the right one from there. Where no common boundary lies in an overlap, the document is encoded again
 with chunks and overlaps four times as wide, at last as one chunk.
 
-Short texts of plain Latin-1 characters take their counts from a table of word counts that the task keeps (each
-word is encoded once by the library); any other text is encoded by the library as a whole.
+Where the tokenizer's file says that its words are those that one pattern finds in the lower-cased text, short texts of plain Latin-1
+characters take their counts from a table of word counts that the task keeps (each word is encoded once by the library); any other text, and
+every text under another kind of tokenizer, is encoded by the library as a whole.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted alike. An empty table
 gives an empty result. Columns named like the results are replaced.
 """
 
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 import public_tokenizers
@@ -27,11 +30,9 @@ from pyspark.sql import Window as W
 from .common import Scratch, table
 
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 2_048
-#: Fixed values of the tokenizer: how it splits lower-cased text into words, and its special strings' start.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPECIAL = "<|"
-#: A special string has fewer characters.
-REACH = 32
+#: What a tokenizer's file has if its words are those of a pattern (Split, Removed, inverted) over the normalised text.
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Words that a task keeps the counts of.
 KEPT = 1 << 18
 
@@ -45,19 +46,29 @@ def load(path: str):
     return tokenizer
 
 
-def plain(text: str) -> bool:
-    """Whether WORD over text.lower() gives the tokenizer's own words: nothing here composes or folds otherwise."""
-    return SPECIAL not in text and (text.isascii() or max(text) <= "\xff") and not regex.search(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\xb5]", text)
+def rule(path: str) -> tuple:
+    """Pattern of words (None if the words aren't those of one pattern over lower-cased text) and special strings."""
+    spec = json.loads(Path(path).read_text())
+    split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    found = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]
+    known = found and rest == [BYTES] and (spec["normalizer"] or {}).get("normalizers") == NORMALISED
+    return regex.compile(split["pattern"]["Regex"]) if known else None, [t["content"] for t in spec["added_tokens"]]
+
+
+def plain(text: str, special: list[str]) -> bool:
+    """Whether a word pattern over text.lower() gives the tokenizer's own words: nothing here composes or folds otherwise."""
+    return not any(s in text for s in special) and (text.isascii() or max(text) <= "\xff") and not regex.search(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\xad\xb5]", text)
 
 
 class Counter:
     """Token counts of short texts."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+    def __init__(self, path: str):
+        self.tokenizer, self.known = load(path), {}
+        self.word, self.special = rule(path)
 
     def count(self, texts: list[str]) -> list[int]:
-        words = [WORD.findall(t.lower()) if plain(t) else None for t in texts]
+        words = [self.word.findall(t.lower()) if self.word and plain(t, self.special) else None for t in texts]
         new = list({w for ws in words if ws for w in ws} - self.known.keys())
         if len(self.known) + len(new) > KEPT:
             self.known, new = {}, list({w for ws in words if ws for w in ws})
@@ -67,7 +78,7 @@ class Counter:
         return [sum(map(get, ws)) if ws is not None else len(self.tokenizer.encode(t, add_special_tokens=False)) for t, ws in zip(texts, words, strict=True)]
 
 
-def boundaries(tokenizer, text: str, offset: int, head: int, tail: int) -> tuple[int, list, list, list, list]:
+def boundaries(tokenizer, text: str, offset: int, head: int, tail: int, reach: int) -> tuple[int, list, list, list, list]:
     """Tokens of a chunk; offsets of word starts within `head` of its start and `tail` of its end, with the tokens before each."""
     e = tokenizer.encode(text, add_special_tokens=False)
     at, before, last = [], [], None
@@ -77,8 +88,8 @@ def boundaries(tokenizer, text: str, offset: int, head: int, tail: int) -> tuple
             before.append(i)
         last = w
     n = len(text)
-    first = [i for i, p in enumerate(at) if REACH <= p < head]
-    end = [i for i, p in enumerate(at) if n - tail <= p < n - REACH]
+    first = [i for i, p in enumerate(at) if reach <= p < head]
+    end = [i for i, p in enumerate(at) if n - tail <= p < n - reach]
     pick = lambda xs, ids: [xs[i] for i in ids]
     return len(e), [offset + p for p in pick(at, first)], pick(before, first), [offset + p for p in pick(at, end)], pick(before, end)
 
@@ -94,15 +105,15 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
     @F.pandas_udf("long")
     def short(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(load(path))
+        counter = Counter(path)
         for texts in parts:
             yield pd.Series([n for i in range(0, len(texts), 256) for n in counter.count(texts.iloc[i : i + 256].tolist())], dtype="int64")
 
     @F.pandas_udf(ENCODED)
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = load(path)
+        tokenizer, reach = load(path), max([32, *(len(s) + 1 for s in rule(path)[1])])  # no special string reaches so far
         for pdf in parts:
-            yield pd.DataFrame([boundaries(tokenizer, *x) for x in pdf.itertuples(index=False, name=None)], columns=["n", "head", "head_n", "tail", "tail_n"])
+            yield pd.DataFrame([boundaries(tokenizer, *x, reach) for x in pdf.itertuples(index=False, name=None)], columns=["n", "head", "head_n", "tail", "tail_n"])
 
     rows = rows.withColumns(size)
     done = rows.filter(F.col("chars") <= chunk).select("key", "n_bytes", short("text").alias("n_tokens"))

@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sh
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(d, t, "en" if d % 2 else "de", "s", len(t or ""), "own", "own") for d, t in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en" if (d or 0) % 2 else "de", "s", len(t or ""), "own", "own") for d, t in rows], SCHEMA)
 
 
 def empty(spark):
@@ -144,6 +144,11 @@ def test_token_counts(spark):
         got = tokens.count_tokens(table(spark, rows), path, chunk=chunk, overlap=overlap)
         assert {r.doc_id: r.n_tokens for r in got.collect()} == want
     assert {r.doc_id: r.over_limit for r in got.collect()} == {d: n > 2048 for d, n in want.items()}
+    # words of another file don't follow its pattern: the library counts
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(other)
+    got = tokens.count_tokens(table(spark, rows), other, chunk=600, overlap=100)
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {d: len(library.encode(t or "", add_special_tokens=False)) for d, t in rows}
 
 
 def test_shards(spark):
@@ -330,3 +335,34 @@ def test_stages_keep_the_columns_and_clean_documents(spark, tmp_path):
     clean = stages.decontaminated(spark, one, str(tmp_path))
     assert {r.doc_id for r in clean.collect()} == set(ids) - {700}
     assert stages.mixed(spark, clean, str(tmp_path)).columns == docs.columns
+
+
+def test_stages_keep_documents_own_columns(spark, tmp_path):
+    own = {"lang_pred": "mine", "langs": "x", "rate": "0.5", "tokens": "many", "p": "q", "copies": "none", "found": "yes", "whole": "no", "item_id": "7", "component_id": "8"}
+    docs = table(spark, corpus(30)).withColumn("lang", F.lit("en")).withColumns({k: F.lit(v) for k, v in own.items()})
+    spark.createDataFrame([(1, "an item that no text has at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for stage in (stages.language, stages.near_duplicates, stages.decontaminated, stages.mixed):
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[k] == v for r in rows for k, v in own.items()) and all(r.score == "own" and r.shard == "own" for r in rows)
+    last = stages.sharded(spark, docs, str(tmp_path)).collect()
+    assert len(last) == docs.count() and all(r[k] == v for r in last for k, v in own.items())
+
+
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_items_have_their_own_sizes(spark):
+    rnd = random.Random(6)
+    a, b = prose(rnd, 12), prose(rnd, 30)
+    docs = table(spark, [(1, f"before {a} after"), (2, f"before {b} after"), (2, f"before {b} after"), (None, f"{a}")])
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(5, a), (5, b), (5, a)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.item_bytes) for r in got) == [(0, 5, len(a)), (1, 5, len(a)), (2, 5, len(b)), (2, 5, len(b))]
