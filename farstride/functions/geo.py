@@ -34,6 +34,13 @@ def meters_between(lon1, lat1, lon2, lat2) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def meters_from(lon1, lat1, lon2, lat2) -> Column:
+    """Flat distance about the first point's latitude."""
+    lon1, lat1, lon2, lat2 = (col(x) for x in (lon1, lat1, lon2, lat2))
+    dx, dy = (lon2 - lon1) * METRES_PER_DEGREE * F.cos(F.radians(lat1)), (lat2 - lat1) * METRES_PER_DEGREE
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def local_meters(lon, lat, lat0) -> tuple[Column, Column]:
     """Equirectangular x, y about a latitude."""
     k = EARTH_RADIUS_M * 3.141592653589793 / 180
@@ -65,6 +72,21 @@ def offset_point(lon, lat, dx, dy) -> tuple[Column, Column]:
     return col(lon) + col(dx) / (METRES_PER_DEGREE * F.cos(F.radians(col(lat)))), col(lat) + col(dy) / METRES_PER_DEGREE
 
 
+def circle(lon, lat, radius: float, steps: int = 64) -> Column:
+    """Points x, y of a closed ring of `steps` sides around a point, from the east on."""
+    angle = lambda i: i.cast("double") / steps * 6.283185307179586
+    east, north = (lambda i: offset_point(lon, lat, radius * F.cos(angle(i)), 0.0)[0]), (lambda i: offset_point(lon, lat, 0.0, radius * F.sin(angle(i)))[1])
+    return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct(east(i).alias("x"), north(i).alias("y")))
+
+
+def from_segment(x, y, x1: float, y1: float, x2: float, y2: float) -> Column:
+    """Distance from the nearest point of a segment."""
+    x, y, dx, dy = col(x), col(y), x2 - x1, y2 - y1
+    size = dx * dx + dy * dy
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - x1) * dx + (y - y1) * dy) / size)) if size else F.lit(0.0)
+    return F.sqrt(F.pow(x - x1 - t * dx, 2) + F.pow(y - y1 - t * dy, 2))
+
+
 def tile(lon, lat, zoom: int = 14) -> tuple[Column, Column]:
     """Fractional tile coordinates; their floors name the tile."""
     n = float(1 << zoom)

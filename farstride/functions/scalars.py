@@ -137,3 +137,8 @@ def route_label(short, long, agency) -> Column:
 
 def route_colour(colour, fallback) -> Column:
     return F.when(col(colour).rlike("^[0-9a-fA-F]{6}$"), F.concat(F.lit("#"), col(colour))).otherwise(col(fallback))
+
+
+def period_index(name) -> Column:
+    """Place of a period among PERIODS, -1 (any time) if it is none of them."""
+    return (F.coalesce(F.array_position(F.array(*(F.lit(p) for p in PERIODS)), col(name)), F.lit(0)) - 1).cast("int")

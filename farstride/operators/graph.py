@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.geo import hilbert
-from ..functions.scalars import zigzag
+from ..functions.scalars import unzigzag, zigzag
+from .iterate import checkpointed
 
 WALK, BOARD, RIDE, ALIGHT = 0, 1, 2, 3
 
@@ -55,18 +56,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str, lanes: int = 64) -> DataFrame:
-    """Gapless numbers from 0 in the given order, without a task that sees all rows: range partitions, then offsets of partitions."""
+def running(df: DataFrame, order: list[str], value: str, name: str, lanes: int = 64) -> DataFrame:
+    """The sum of value over all rows before each row in the given order, without a task that sees all rows: range partitions, then offsets of partitions."""
     ranged = df.repartitionByRange(lanes, *order).sortWithinPartitions(*order)
-    part = F.spark_partition_id()
-    numbered = ranged.withColumns({"__p": part, "__n": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    from .iterate import checkpointed
-
+    numbered = ranged.withColumns({"__p": F.spark_partition_id(), "__n": F.monotonically_increasing_id()})
     numbered = checkpointed(numbered)  # range bounds are sampled: number and count the same partitions
-    counts = numbered.groupBy("__p").agg(F.count("*").alias("__c"))  # one row for each lane
+    sums = numbered.groupBy("__p").agg(F.sum(value).alias("__c"))  # one row for each lane
     before = F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__p", before.alias("__o"))
-    return numbered.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__n") + F.col("__o")).drop("__p", "__n", "__o")
+    offsets = sums.select("__p", before.alias("__o"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(F.broadcast(offsets), "__p").withColumn(name, own + F.col("__o")).drop("__p", "__n", "__o")
+
+
+def dense_ids(df: DataFrame, order: list[str], name: str, lanes: int = 64) -> DataFrame:
+    """Gapless numbers from 0 in the given order."""
+    return running(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name, lanes).drop("__one")
 
 
 def hilbert_place(nodes: DataFrame, bits: int = 16) -> DataFrame:
@@ -86,7 +90,5 @@ def delta_coded(df: DataFrame, column: str, order: str, key: str | None = None)
 
 
 def delta_decoded(df: DataFrame, order: str, key: str | None = None) -> DataFrame:
-    from ..functions.scalars import unzigzag
-
     w = (W.partitionBy(key) if key else W).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("value", F.sum(unzigzag("code")).over(w))

@@ -6,17 +6,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import MERCATOR_CIRCUMFERENCE_M, mercator_x, mercator_y, meters_per_mercator_unit
-from ..functions.scalars import gaussian
+from ..functions.scalars import gaussian, smoothstep
 
-CELL_M, SPLAT_M, SIGMA_M = 40.0, 250.0, 90.0
+CELL_M, SPLAT_M, SIGMA_M, MAX_CELLS = 40.0, 250.0, 90.0, 4_000_000
+# Worst to best of a picture, as shares and red, green, blue.
+RAMP = [(0.0, (201, 123, 107)), (0.4, (233, 196, 143)), (0.7, (185, 211, 154)), (0.88, (111, 179, 138)), (1.0, (47, 143, 106))]
 
 
-def seed_cells(reached: DataFrame, cell: float = CELL_M) -> DataFrame:
-    """Least cost by (origin, cx, cy); cells are Mercator squares of `cell` metres at the origin's latitude (column lat0)."""
+def seed_cells(reached: DataFrame, cell: float | Column = CELL_M) -> DataFrame:
+    """Least cost by (origin, cx, cy); cells are Mercator squares of `cell` metres (a column, if cell_size gives one) at the origin's latitude (column lat0)."""
     size = cell / meters_per_mercator_unit("lat0")
     cells = reached.withColumns({"cx": F.floor(mercator_x("lon") / size), "cy": F.floor(mercator_y("lat") / size)})
     return cells.groupBy("origin", "cx", "cy").agg(F.min("cost").alias("cost"))
@@ -42,32 +44,40 @@ def splat(cells: DataFrame, speed: float, limit: float, cell: float = CELL_M, re
     return near.filter(F.col("cost") <= limit).groupBy("origin", "cx", "cy").agg(F.min("cost").alias("cost"))
 
 
+def waves(width: int, height: int):
+    """Inner cells of a grid in waves (rows, columns): a cell's left and upper neighbours lie in earlier waves, so a wave can be handled at once."""
+    for w in range(3, width + 2 * height - 5):
+        ys = np.arange(max(1, -(-(w - width + 2) // 2)), min(height - 2, (w - 1) // 2) + 1)
+        if len(ys):
+            yield ys, w - 2 * ys
+
+
 def chamfer(cells: DataFrame, speed: float, limit: float, cell: float = CELL_M, reach: float = SPLAT_M) -> DataFrame:
     """The same by two sweeps over an origin's grid: a cell keeps only its fastest label, and that label's walk so far.
 
-    A group is one origin's grid, bounded by the search limit. A label near its walking reach may block a later one
-    that could go on, so this paints a subset of splat's cells.
+    A group is one origin's grid, bounded by the search limit; cells may have a column cell (metres) of their own, which cell_size bounds them with.
+    A label near its walking reach may block a later one that could go on, so this paints a subset of splat's cells.
     """
 
     def sweep(key, pdf):
-        x0, y0, pad = pdf["cx"].min(), pdf["cy"].min(), int(reach // cell) + 2
+        side = float(pdf["cell"].iloc[0])
+        x0, y0, pad = pdf["cx"].min(), pdf["cy"].min(), int(reach // side) + 2
         w, h = int(pdf["cx"].max() - x0) + 1 + 2 * pad, int(pdf["cy"].max() - y0) + 1 + 2 * pad
         time, walk = np.full((h, w), np.inf, dtype=np.float32), np.zeros((h, w))
-        for r in pdf.itertuples(index=False):
-            time[int(r.cy - y0) + pad, int(r.cx - x0) + pad] = r.cost
-        diagonal = cell * math.sqrt(2)
-        passes = (([(0, -1, cell), (-1, -1, diagonal), (-1, 0, cell), (-1, 1, diagonal)], range(1, h - 1), range(1, w - 1)), ([(0, 1, cell), (1, 1, diagonal), (1, 0, cell), (1, -1, diagonal)], range(h - 2, 0, -1), range(w - 2, 0, -1)))
-        for steps, rows, cols in passes:
-            for y in rows:
-                for x in cols:
-                    for dy, dx, d in steps:
-                        t, gone = time[y + dy, x + dx], walk[y + dy, x + dx] + d
-                        if t + d / speed < time[y, x] and gone <= reach and t + d / speed <= limit:
-                            time[y, x], walk[y, x] = t + d / speed, gone
+        time[pdf["cy"].to_numpy() - y0 + pad, pdf["cx"].to_numpy() - x0 + pad] = pdf["cost"]
+        diagonal = side * math.sqrt(2)
+        for _ in range(2):
+            for ys, xs in waves(w, h):
+                for dy, dx, d in ((0, -1, side), (-1, 0, side), (-1, -1, diagonal), (-1, 1, diagonal)):
+                    t, gone = time[ys + dy, xs + dx] + d / speed, walk[ys + dy, xs + dx] + d
+                    better = (t < time[ys, xs]) & (gone <= reach) & (t <= limit)
+                    time[ys[better], xs[better]], walk[ys[better], xs[better]] = t[better], gone[better]
+            time, walk = time[::-1, ::-1], walk[::-1, ::-1]  # back is the same from the other corner
         ys, xs = np.nonzero(np.isfinite(time))
         return pd.DataFrame({"origin": key[0], "cx": xs - pad + x0, "cy": ys - pad + y0, "cost": time[ys, xs].astype(float)})
 
-    return cells.groupBy("origin").applyInPandas(sweep, "origin long, cx long, cy long, cost double")
+    sized = cells if "cell" in cells.columns else cells.withColumn("cell", F.lit(cell))
+    return sized.groupBy("origin").applyInPandas(sweep, "origin long, cx long, cy long, cost double")
 
 
 def area_km2(painted: DataFrame, cell: float = CELL_M) -> DataFrame:
@@ -80,17 +90,59 @@ def corners(origin_lat: float, cx: int, cy: int, cell: float = CELL_M) -> tuple[
     return cx * size * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * cy * size))))
 
 
-def blend(points: DataFrame, pixel: float, sigma: float = SIGMA_M) -> DataFrame:
-    """Gaussian-weighted mean of value on pixels of `pixel` metres within 3 sigma of points (x, y, value in metres).
+def extents(cells: DataFrame, cell: float = CELL_M, reach: float = SPLAT_M) -> DataFrame:
+    """Width and height of the grid around each origin's cells, with room to walk on."""
+    pad = 2 * int(reach // cell) + 3
+    size = lambda c: F.max(c) - F.min(c) + pad
+    return cells.groupBy("origin").agg(F.count("*").alias("cells"), size("cx").alias("width"), size("cy").alias("height"))
+
+
+def cell_size(reached: DataFrame, cell: float = CELL_M, reach: float = SPLAT_M, most: int = MAX_CELLS) -> DataFrame:
+    """(origin, cell): the cell's metres, wider where the reached points' box with its margin would need more than `most` cells. reached: (origin, lon, lat, lat0)."""
+    unit = meters_per_mercator_unit(F.first("lat0"))
+    side = lambda c: F.max(c) - F.min(c)
+    box = reached.withColumns({"mx": mercator_x("lon"), "my": mercator_y("lat")}).groupBy("origin")
+    area = box.agg(((side("mx") * unit + 2 * reach) * (side("my") * unit + 2 * reach)).alias("area"))
+    return area.select("origin", F.greatest(F.lit(cell), F.sqrt(F.col("area") / most)).alias("cell"))
+
+
+def look_up(points: DataFrame, painted: DataFrame, cell: float = CELL_M) -> DataFrame:
+    """points (origin, lon, lat, lat0) with the cost of the cell each lies in, null outside."""
+    size = cell / meters_per_mercator_unit("lat0")
+    at = points.withColumns({"cx": F.floor(mercator_x("lon") / size), "cy": F.floor(mercator_y("lat") / size)})
+    return at.join(painted, ["origin", "cx", "cy"], "left")
+
+
+def ramp(share: str) -> Column:
+    """red, green, blue of a share, between the neighbouring colours of RAMP."""
+    t = F.col(share)
+    out = F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("red", "green", "blue"), RAMP[-1][1], strict=True)))
+    for (a, low), (b, high) in reversed(list(zip(RAMP, RAMP[1:], strict=False))):
+        mixed = F.struct(*((p + (q - p) * (t - a) / (b - a)).alias(n) for n, p, q in zip(("red", "green", "blue"), low, high, strict=True)))
+        out = F.when(t <= b, mixed).otherwise(out)
+    return out
+
+
+def picture(points: DataFrame, key: str, pixel: float, radius: float, step: float, sigma: float = SIGMA_M) -> DataFrame:
+    """Pixels (key, px, py) around a centre: blended value, and alpha: thin where points (x, y in metres) are few, feathered at the rim; none where it is 0."""
+    full = 2 * math.pi * sigma * sigma / (step * step)
+    rows = blend(points, pixel, sigma, (key,))
+    away = F.hypot((F.col("px") + 0.5) * pixel, (F.col("py") + 0.5) * pixel)
+    alpha = (1 - smoothstep(0.96 * radius, 1.02 * radius, away)) * smoothstep(0.12, 0.55, F.col("weight") / full)
+    return rows.withColumn("alpha", alpha).filter(F.col("alpha") > 0)
+
+
+def blend(points: DataFrame, pixel: float, sigma: float = SIGMA_M, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian-weighted mean of value on pixels of `pixel` metres within 3 sigma of points (keys, x, y, value in metres).
 
     Points meet pixels by an explode of the fixed number of pixels around each, so no pixel-by-point join is needed.
     """
     n = int(3 * sigma // pixel) + 1
     px, py = F.floor(F.col("x") / pixel), F.floor(F.col("y") / pixel)
     around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-n, n + 1) for b in range(-n, n + 1))))
-    near = points.select("x", "y", "value", px.alias("px"), py.alias("py"), around.alias("o"))
-    near = near.select("x", "y", "value", (F.col("px") + F.col("o.a")).alias("px"), (F.col("py") + F.col("o.b")).alias("py"))
+    near = points.select(*keys, "x", "y", "value", px.alias("px"), py.alias("py"), around.alias("o"))
+    near = near.select(*keys, "x", "y", "value", (F.col("px") + F.col("o.a")).alias("px"), (F.col("py") + F.col("o.b")).alias("py"))
     dx, dy = (F.col("px") + 0.5) * pixel - F.col("x"), (F.col("py") + 0.5) * pixel - F.col("y")
     near = near.withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= 9 * sigma * sigma)
     w = gaussian("d2", sigma)
-    return near.groupBy("px", "py").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sum(w).alias("weight"))
+    return near.groupBy(*keys, "px", "py").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"), F.sum(w).alias("weight"))

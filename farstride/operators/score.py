@@ -6,32 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalars import pct_of_best, tile_colour
+from ..functions.geo import offset_point
+from ..functions.scalars import half_up, pct_of_best, tile_colour
+from .graph import running
 from .streets import cell_join
 
 #: Shares at which a distribution is reported.
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
 #: Overrides of the daily settings: (twist, period, limit minutes, speed, transfer minutes, modes to keep).
 TWISTS = [
-    ("rush", "rush", None, None, None, None), ("late-night", "night", None, None, None, None), ("saturday", "weekend", None, None, None, None),
-    ("bus-only", None, None, None, None, [0]), ("no-bus", None, None, None, None, [1, 2, 3]), ("rail-strike", None, None, None, None, [0, 3]),
-    ("long-haul", None, 90, None, None, None), ("quick-trip", None, 20, None, None, None), ("sore-feet", None, None, 2.5, None, None), ("one-seat", None, None, None, 600, None),
+    ("rush", None, None, None, None, None), ("rail-strike", None, None, None, None, [0, 2, 3]), ("bus-only", None, None, None, None, [0]), ("no-bus", None, None, None, None, [1, 2, 3]),
+    ("late-night", "night", None, None, None, None), ("saturday", "weekend", None, None, None, None), ("quick-trip", None, 20, None, None, None), ("long-haul", None, 75, None, None, None),
+    ("one-seat", None, None, None, 45, None), ("sore-feet", None, None, 3.0, None, None),
 ]
 TWIST_SCHEMA = "twist string, period string, limit_min int, speed double, transfer_min int, modes array<int>"
 
 
 def ordered_counts(scores: DataFrame, value: str) -> DataFrame:
-    """Each distinct value with the rows below it and in all; values are counted before they are ordered.
-
-    The running count goes over distinct values in range lanes, so no task needs all rows of the table.
-    """
+    """Each distinct value with the rows below it and in all; values are counted before they are ordered, in range lanes."""
     counts = scores.groupBy(value).agg(F.count("*").alias("here"))
-    lanes = counts.withColumn("lane", F.floor(F.ln(F.abs(F.col(value)) + 1) * F.signum(value) * 16))
-    own = F.sum("here").over(W.partitionBy("lane").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    sizes = lanes.groupBy("lane").agg(F.sum("here").alias("n"))  # a bounded number of lanes: the logarithm of the range
-    before = F.coalesce(F.sum("n").over(W.orderBy("lane").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = sizes.select("lane", before.alias("before"), F.sum("n").over(W.partitionBy()).alias("total"))
-    return lanes.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(total), "lane").select(value, "here", (F.col("own") + F.col("before")).alias("below"), "total")
+    total = counts.agg(F.sum("here").alias("total"))  # one row
+    return running(counts, [value], "here", "below").crossJoin(F.broadcast(total))
 
 
 def percentiles(scores: DataFrame, value: str) -> DataFrame:
@@ -54,10 +49,10 @@ def candidates(places: DataFrame, stops: DataFrame, radius: float = 1000, cap: i
 
 
 def weighted_pick(rows: DataFrame, key: str, weight: str, at: float) -> DataFrame:
-    """The first row by key whose running weight reaches `at` times the total; for bounded candidate tables."""
-    w = W.partitionBy(F.lit(0)).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    run = rows.withColumns({"run": F.sum(weight).over(w), "all": F.sum(weight).over(W.partitionBy(F.lit(0)))})
-    return run.filter(F.col("run") >= F.col("all") * at).orderBy("run", key).limit(1).select(*rows.columns)
+    """The first row by key whose running weight reaches `at` times the total."""
+    total = rows.agg(F.sum(weight).alias("all"))  # one row
+    run = running(rows, [key], weight, "before").crossJoin(F.broadcast(total))
+    return run.filter(F.col("before") + F.col(weight) >= F.col("all") * at).orderBy("before", key).limit(1).select(*rows.columns)
 
 
 def puzzle_summary(grid: DataFrame, key: str = "puzzle") -> DataFrame:
@@ -104,3 +99,35 @@ def merge_by_date(existing: DataFrame, new: DataFrame, key: str = "date", force:
     if force:
         return existing.join(new.select(key), key, "left_anti").unionByName(new)
     return existing.unionByName(new.join(existing.select(key), key, "left_anti"))
+
+
+def probes(centres: DataFrame, key: str, radius: float) -> DataFrame:
+    """Each centre (k = -1) and six points around it: (key, k, lon, lat)."""
+    k = F.explode(F.sequence(F.lit(-1), F.lit(5)))
+    rows = centres.select(key, "lon", "lat", k.alias("k"))
+    angle = F.col("k") / 6 * 2 * 3.141592653589793
+    far = F.when(F.col("k") >= 0, radius).otherwise(0.0)
+    lon, lat = offset_point("lon", "lat", far * F.cos(angle), far * F.sin(angle))
+    return rows.select(key, "k", lon.alias("lon"), lat.alias("lat"))
+
+
+def probe_gate(scored: DataFrame, key: str, least: float, most: float) -> DataFrame:
+    """Whether an area's probes have a good spot, and differ enough."""
+    out = scored.groupBy(key).agg(F.count("*").alias("probes"), F.max("km2").alias("best"), (F.min("km2") / F.nullif(F.max("km2"), F.lit(0.0))).alias("ratio"))
+    return out.withColumn("passed", F.coalesce((F.col("best") >= least) & (F.col("ratio") <= most), F.lit(False)))
+
+
+def valid_guesses(tried: DataFrame, radius: float, limit: int = 3) -> DataFrame:
+    """The first guesses of each player that lie in the area and on land. tried: (player, event_id, dx, dy, water)."""
+    ok = (F.hypot("dx", "dy") <= radius) & ~F.coalesce("water", F.lit(False))
+    return tried.filter(ok).withColumn("k", F.row_number().over(W.partitionBy("player").orderBy("event_id"))).filter(F.col("k") <= limit).drop("k")
+
+
+def share_texts(guesses: DataFrame, best, limit: int = 3) -> DataFrame:
+    """A title, the tiles of the first guesses in order, and the best percentage. guesses: (player, moment, km2, title)."""
+    rows = guesses.withColumn("k", F.row_number().over(W.partitionBy("player").orderBy("moment"))).filter(F.col("k") <= limit)
+    pct = pct_of_best("km2", best)
+    letter = F.upper(F.substring(tile_colour(pct), 1, 1))
+    out = rows.groupBy("player").agg(F.array_sort(F.collect_list(F.struct("k", letter.alias("t")))).alias("tiles"), F.max(pct).alias("pct"), F.min("title").alias("title"))
+    tiles = F.array_join(F.transform("tiles", lambda x: x["t"]), "")
+    return out.select("player", F.concat("title", F.lit("\n"), tiles, F.lit(" "), half_up("pct").cast("string"), F.lit("%")).alias("text"))

@@ -1,18 +1,24 @@
-"""Bounded least-time search over the multimodal graph: for many origins at once as joins, or one origin in a group."""
+"""Bounded least-time search over the multimodal graph, for all origins at once.
 
-from __future__ import annotations
+search() relaxes any graph by joins. reach() is for many origins: what lies behind an origin's first boarding depends on the
+origin only through the stop where it boards, so walks are searched around each origin, rides once from each stop, and both are joined.
+"""
 
-import heapq
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import METRES_PER_DEGREE, grid_cell, meters_between
 from .graph import ALIGHT, BOARD, RIDE, WALK
-from .iterate import checkpointed
+from .iterate import Tables
 
 #: Defaults of a query: limits and penalties in seconds, speed in metres a second.
 PARAMS = {"limit_s": 2700.0, "speed": 5 / 3.6, "transfer_s": 300.0, "wait_s": 0.0}
+#: Origins that a task walks from at once; rows that a join's side is broadcast with at most.
+ORIGINS, SMALL = 64, 1_000_000
 
 
 def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_of: DataFrame | None = None, period: str | None = None) -> DataFrame:
@@ -33,11 +39,13 @@ def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_
 def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
     """Least cost of every (origin, node, boarded) within limit, with a predecessor; seeds: (origin, node, cost).
 
-    Each round relaxes the labels that the round before improved; rounds end when none improves.
+    Each round relaxes the labels that the round before improved; rounds end when none improves. Seeds above the limit stay, but lead nowhere.
     """
-    edges = checkpointed(edges)
+    tables = Tables(seeds.sparkSession)
+    edges = tables.save(edges)
     key, via = ["origin", "node", "boarded"], ["cost", "round", "pred", "pred_boarded"]
-    labels = checkpointed(
+    rounds = Tables(seeds.sparkSession)
+    labels = rounds.save(
         seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
         .select("origin", "node", F.lit(0).alias("boarded"), "cost", F.lit(0).alias("round"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("int").alias("pred_boarded"))
     )
@@ -50,59 +58,160 @@ def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
         new = step.select("origin", F.col("dst").alias("node"), after.alias("boarded"), cost.alias("cost"), F.lit(k).alias("round"), F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded"))
         # an equal cost keeps the earlier round's label, so only strict improvements are relaxed again
         least = labels.unionByName(new.filter(F.col("cost") <= limit)).groupBy(*key).agg(F.min(F.struct(*via)).alias("via"))
-        labels = checkpointed(least.select(*key, *(f"via.{c}" for c in via)))
+        labels = rounds.save(least.select(*key, *(f"via.{c}" for c in via)))
+        rounds.keep_last(1)
     return labels.drop("round")
 
 
-def best(labels: DataFrame) -> DataFrame:
-    """Least cost of each (origin, node) over both boarding states."""
-    return labels.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+def small(df: DataFrame) -> DataFrame:
+    """A stored table as a broadcast side if it has SMALL rows at most; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def search_groups(seeds: DataFrame, edges: DataFrame, limit: float, prune: bool = True) -> DataFrame:
-    """The same by a heap in each origin's group. edges has a column origin: the edges within the origin's reach, which must fit its task.
+def walking(seeds: DataFrame, edges: DataFrame, places: DataFrame, at: DataFrame, limit: float, speed: float) -> DataFrame:
+    """Least walking cost (origin, node, cost) of every node within limit; seeds: (origin, node, cost), edges: priced, places: (node, lon, lat), at: (origin, lon, lat).
 
-    prune drops a boarded label where the unboarded one is no dearer, which is exact if the first wait isn't above the transfer penalty.
+    Origins are dealt by tiles as wide as anyone can walk within limit, each with the edges of its own and the
+    neighbouring tiles, in groups of about ORIGINS; so a group is bounded by the limit, whatever the number of origins.
     """
-
-    def one(key, own, near):
-        out: dict[str, list] = {}
-        for r in near.itertuples(index=False):
-            out.setdefault(r.src, []).append((r.dst, r.kind, r.cost0, r.cost1))
-        found: dict[tuple[str, int], float] = {}
-        heap = [(r.cost, r.node, 0) for r in own.itertuples(index=False)]
-        heapq.heapify(heap)
-        while heap:
-            cost, node, boarded = heapq.heappop(heap)
-            if found.get((node, boarded), float("inf")) <= cost or (prune and boarded and found.get((node, 0), float("inf")) <= cost):
-                continue
-            found[(node, boarded)] = cost
-            for dst, kind, c0, c1 in out.get(node, ()):
-                total = cost + (c1 if boarded else c0)
-                if total <= limit:
-                    heapq.heappush(heap, (total, dst, 1 if kind == BOARD else boarded))
-        least: dict[str, float] = {}
-        for (node, _), cost in found.items():
-            least[node] = min(cost, least.get(node, cost))
-        return pd.DataFrame({"origin": key[0], "node": list(least), "cost": list(least.values())})
-
-    return seeds.groupBy("origin").cogroup(edges.groupBy("origin")).applyInPandas(one, "origin long, node string, cost double")
-
-
-def paths(labels: DataFrame, targets: DataFrame, steps: int = 10_000) -> DataFrame:
-    """(origin, target, step, node, boarded, cost) back from each (origin, node) of targets; the cheaper state, unboarded on ties."""
+    tables = Tables(seeds.sparkSession)
+    walks = edges.filter(F.col("kind") == WALK).select("src", "dst", F.col("cost0").alias("cost"))
+    a, b = (places.select(F.col("node").alias(end), F.col("lon").alias(f"lon_{end}"), F.col("lat").alias(f"lat_{end}")) for end in ("src", "dst"))
+    walks = tables.save(walks.join(a, "src").join(b, "dst"))
+    # an edge may be shorter than the straight line between its ends: then more of them fit in the limit
+    straight = meters_between("lon_src", "lat_src", "lon_dst", "lat_dst")
+    stretch = walks.agg(F.max(straight / F.greatest(F.col("cost") * speed, F.lit(1.0)))).first()[0] or 1.0
+    size = max(limit * speed * max(1.0, stretch), 1.0) / METRES_PER_DEGREE * 2  # of longitude, up to 60 degrees of latitude
+    x, y = grid_cell("lon", "lat", size)
+    homes = tables.save(at.select("origin", x.alias("tx"), y.alias("ty")))
+    lots = homes.groupBy("tx", "ty").agg(F.ceil(F.count("*") / ORIGINS).alias("lots"))
+    lot = F.pmod(F.xxhash64("origin"), F.col("lots"))
+    own = seeds.join(homes.join(small(tables.save(lots)), ["tx", "ty"]).select("origin", "tx", "ty", lot.alias("lot")), "origin")
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
+    ex, ey = grid_cell("lon_src", "lat_src", size)
+    near = walks.withColumn("c", around).select("src", "dst", "cost", (ex + F.col("c.i")).alias("tx"), (ey + F.col("c.j")).alias("ty"))
+    near = near.join(small(tables.save(own.select("tx", "ty", "lot").distinct())), ["tx", "ty"])
+
+    def relax(mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"origin": [], "node": [], "cost": []})
+        origins, col = np.unique(mine["origin"].to_numpy(), return_inverse=True)
+        names, codes = np.unique(np.concatenate([mine["node"], roads["src"], roads["dst"]]).astype(object), return_inverse=True)
+        row, src, dst = np.split(codes, [len(mine), len(mine) + len(roads)])
+        cost = np.full((len(names), len(origins)), np.inf)
+        np.minimum.at(cost, (row, col), mine["cost"].to_numpy(float))
+        seeded = cost.copy()
+        order = np.argsort(dst, kind="stable")
+        src, dst, length = src[order], dst[order], roads["cost"].to_numpy(float)[order]
+        moved = np.isfinite(cost).any(axis=1)
+        while len(use := np.flatnonzero(moved[src])):  # edges from nodes that the round before improved, still by their ends
+            ends, first = np.unique(dst[use], return_index=True)
+            through = cost[src[use]] + length[use][:, None]
+            through[through > limit] = np.inf
+            new = np.minimum.reduceat(through, first, axis=0)
+            moved[:] = False
+            moved[ends] = (new < cost[ends]).any(axis=1)
+            cost[ends] = np.minimum(cost[ends], new)
+        i, j = np.nonzero((cost <= limit) | np.isfinite(seeded))
+        return pd.DataFrame({"origin": origins[j], "node": names[i], "cost": cost[i, j]})
+
+    schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double"
+    group = ["tx", "ty", "lot"]
+    return own.select(*group, "origin", "node", "cost").groupBy(*group).cogroup(near.groupBy(*group)).applyInPandas(relax, schema)
+
+
+def paths(labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """(origin, target, step, node, boarded, cost) back from each (origin, node) of targets, over labels of search(); the cheaper state, unboarded on ties."""
+    tables = Tables(labels.sparkSession)
     state = labels.groupBy("origin", "node").agg(F.min(F.struct("cost", "boarded")).alias("s"))
     at = targets.join(state, ["origin", "node"]).select("origin", F.col("node").alias("target"), "node", F.col("s.boarded").alias("boarded"))
-    found, k = None, 0
-    while k < steps:
-        at = checkpointed(at.join(labels, ["origin", "node", "boarded"]).withColumn("step", F.lit(k)))
+    found, k = [], 0
+    while True:
+        at = tables.save(at.join(labels, ["origin", "node", "boarded"]).withColumn("step", F.lit(k)))
+        found.append(at.select("origin", "target", "step", "node", "boarded", "cost"))
         if at.isEmpty():
             break
-        row = at.select("origin", "target", "step", "node", "boarded", "cost")
-        found = row if found is None else found.unionByName(row)
         at = at.filter(F.col("pred").isNotNull()).select("origin", "target", F.col("pred").alias("node"), F.col("pred_boarded").alias("boarded"))
         k += 1
-    return found if found is not None else at.select("origin", "target", F.lit(0).alias("step"), "node", "boarded", "cost")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class Reach:
+    """Least costs within limit from all origins. best has (origin, node, cost) of streets and stops, the cheaper of walking and riding.
+
+    seeds: (origin, node, cost), edges: priced, places: (node, lon, lat) of streets and stops, at: (origin, lon, lat).
+    Every ride is walk to a stop, rides and walks between stops, and walk from the last stop; the three parts are exact, and so is their least sum.
+    """
+
+    def __init__(self, seeds: DataFrame, edges: DataFrame, places: DataFrame, at: DataFrame, limit: float, speed: float):
+        tables = Tables(seeds.sparkSession)
+        edges, places = tables.save(edges), tables.save(places)
+        stop = F.col("node").startswith("p")
+        stops = places.filter(stop)
+        self.walks = tables.save(walking(seeds, edges, places, at, limit, speed))
+        out = walking(stops.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")), edges, places, stops.select(F.col("node").alias("origin"), "lon", "lat"), limit, speed)
+        self.from_stop = tables.save(out.withColumnRenamed("origin", "stop"))
+        between = self.from_stop.filter(stop & (F.col("stop") != F.col("node"))).select(F.col("stop").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1"))
+        hubs = edges.filter(F.col("kind") != WALK).unionByName(between)
+        first = self.walks.filter(stop).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk"))
+        used = first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
+        self.rides = tables.save(search(used, hubs, limit))
+        legs = self.rides.filter(stop & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
+        total = F.col("walk") + F.col("ride")
+        arrived = first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
+        self.arrived = tables.save(arrived.select("origin", "alight", "m.cost", "m.board").repartition("origin"))
+        last = small(self.from_stop.select(F.col("stop").alias("alight"), "node", F.col("cost").alias("walk")))
+        total = F.col("cost") + F.col("walk")
+        ridden = self.arrived.join(last, "alight").filter(total <= limit).groupBy("origin", "node").agg(F.min(F.struct(total.alias("cost"), "alight")).alias("m"))
+        self.ridden = ridden.select("origin", "node", F.col("m.cost").alias("cost"), F.col("m.alight").alias("alight"))
+        both = self.walks.select("origin", "node", "cost", F.lit(None).cast("string").alias("alight")).unionByName(self.ridden)
+        # walking wins ties
+        least = both.groupBy("origin", "node").agg(F.min(F.struct("cost", F.coalesce("alight", F.lit("")).alias("alight"))).alias("m"))
+        self.best = least.select("origin", "node", F.col("m.cost").alias("cost"), F.nullif(F.col("m.alight"), F.lit("")).alias("alight"))
+
+    def paths(self, targets: DataFrame) -> DataFrame:
+        """(origin, target, step, node, boarded, cost) back from each (origin, node) of targets, by the stops and route nodes passed; a walk is one step."""
+        tables = Tables(targets.sparkSession)
+        ends = tables.save(targets.join(self.best, ["origin", "node"]).join(self.arrived.select("origin", "alight", F.col("cost").alias("ride_cost"), "board"), ["origin", "alight"], "left"))
+        starts = self.walks.select("origin", F.col("node").alias("board"), F.col("cost").alias("offset"))
+        chain = ends.filter(F.col("alight").isNotNull()).select("origin", F.col("node").alias("target"), "board", F.col("alight").alias("node"), F.lit(1).alias("boarded"))
+        chain = chain.join(starts, ["origin", "board"])
+        row = lambda df, step, boarded: df.select("origin", "target", step.cast("int").alias("step"), "node", boarded.cast("int").alias("boarded"), "cost")
+        out = [row(ends.withColumn("target", F.col("node")), F.lit(0), F.when(F.col("alight").isNull(), 0).otherwise(1))]
+        rides, k = self.rides.withColumnRenamed("origin", "board"), 1
+        while True:
+            chain = tables.save(chain.join(rides, ["board", "node", "boarded"]))
+            if chain.isEmpty():
+                break
+            # a stop that is the target itself has the walk's step already
+            out.append(row(chain.filter((F.col("node") != F.col("target")) | F.lit(k > 1)).withColumn("cost", F.col("cost") + F.col("offset")), F.lit(k), F.col("boarded")))
+            chain = chain.filter(F.col("pred").isNotNull()).select("origin", "target", "board", "offset", F.col("pred").alias("node"), F.col("pred_boarded").alias("boarded"))
+            k += 1
+        start = ends.select("origin", F.col("node").alias("target"), F.lit(k).alias("step"), F.lit("").alias("node"), F.lit(0).alias("boarded"), F.lit(0.0).alias("cost"))
+        found = out[0]
+        for more in [*out[1:], start]:
+            found = found.unionByName(more)
+        return found
+
+
+def best(labels: DataFrame) -> DataFrame:
+    """Least cost of each (origin, node) over both boarding states."""
+    return labels.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+
+
+def destinations(reached: DataFrame, asked: DataFrame, near: DataFrame, goal: str, radius: float, limit: float, speed: float) -> DataFrame:
+    """Where each asked (origin, goal) ends: the near node (goal, node, d) that is reached and gives the earliest arrival, or the nearest one if no walk from there meets the limit."""
+    ends = asked.join(near.filter(F.col("d") <= radius), goal).join(reached, ["origin", "node"])
+    ends = ends.withColumn("total", F.col("cost") + F.col("d") / speed)
+    quick, close = F.min(F.struct("total", "node", "d")).alias("q"), F.min(F.struct("d", "node", "cost")).alias("c")
+    late = F.col("q.total") > limit
+    return ends.groupBy("origin", goal).agg(quick, close).select(
+        "origin", goal, F.when(late, F.col("c.node")).otherwise(F.col("q.node")).alias("node"), F.when(late, F.col("c.cost")).otherwise(F.col("q.total")).alias("seconds"),
+        F.when(late, 0.0).otherwise(F.col("q.d")).alias("walk_m"), late.alias("snapped"),
+    )
 
 
 def legs(path: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values, in metres: slack for an earlier segment, and the tolerance of simplification.
 SNAP_SLACK, TOLERANCE = 30.0, 3.0
-#: Groups into which patterns are dealt; more for larger feeds.
-GROUPS = 256
+#: Stops of patterns that a task cuts at once, about.
+ROWS = 50_000
 
 
 def project(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +68,10 @@ def hop_shapes(sequence: DataFrame, shapes: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["route", "from_stop", "to_stop", "pattern", "xs", "ys"])
 
     schema = "route long, from_stop long, to_stop long, pattern long, xs array<double>, ys array<double>"
-    # many patterns share a group, which is as large as GROUPS makes it
-    sequence = sequence.withColumn("group", F.pmod(F.xxhash64("pattern"), F.lit(GROUPS)))
-    lines = shapes.select(*(F.col(c).alias(f"s_{c}") for c in ("pattern", "seq", "x", "y"))).withColumn("s_group", F.pmod(F.xxhash64("s_pattern"), F.lit(GROUPS)))
+    # many patterns share a group of bounded size
+    groups = max(8, sequence.count() // ROWS)
+    sequence = sequence.withColumn("group", F.pmod(F.xxhash64("pattern"), F.lit(groups)))
+    lines = shapes.select(*(F.col(c).alias(f"s_{c}") for c in ("pattern", "seq", "x", "y"))).withColumn("s_group", F.pmod(F.xxhash64("s_pattern"), F.lit(groups)))
     cuts = sequence.groupBy("group").cogroup(lines.groupBy("s_group")).applyInPandas(cut, schema)
     first = cuts.groupBy("route", "from_stop", "to_stop").agg(F.min_by(F.struct("xs", "ys"), "pattern").alias("s"))
     return first.select("route", "from_stop", "to_stop", "s.xs", "s.ys")

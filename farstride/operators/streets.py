@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geo import grid_cell, meters_between
-from .iterate import checkpointed
+from ..functions.geo import grid_cell, haversine, meters_between, meters_from
+from .iterate import Tables
 
 # Tags that exclude a way.
 HIGHWAYS_EXCLUDED = ("motorway", "motorway_link", "construction", "proposed", "abandoned", "bus_guideway", "raceway", "busway", "platform", "elevator")
@@ -42,7 +42,7 @@ def simplify(refs: DataFrame) -> DataFrame:
     """Edges (way, u, v, m) between kept points of a way: its ends, points used more than once, and one about every VERTEX_METERS."""
     w = W.partitionBy("way").orderBy("ord")
     rows = refs.withColumns({"__lon": F.lag("lon").over(w), "__lat": F.lag("lat").over(w)})
-    step = F.coalesce(meters_between("__lon", "__lat", "lon", "lat"), F.lit(0.0))
+    step = F.coalesce(haversine("__lon", "__lat", "lon", "lat"), F.lit(0.0))
     rows = rows.withColumn("cum", F.sum(step).over(w.rowsBetween(W.unboundedPreceding, 0)))
     bucket = F.floor(F.col("cum") / VERTEX_METERS)
     rows = rows.withColumns({
@@ -62,17 +62,29 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component (smallest node connected to it), by least labels with pointer jumps."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).toDF("node", "other")
-    label = checkpointed(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        new = label.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = new.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        new = checkpointed(new.join(jump, "new").select("node", F.least("new", "far").alias("label")))
-        if new.join(label.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        label = new
+    """node and component (smallest node connected to it).
+
+    Each round hangs a node's larger neighbours under its smallest one, then a node and its smaller neighbours under the smallest of them, so
+    chains halve and no join has a component's label as its key.
+    """
+    tables = Tables(nodes.sparkSession)
+
+    def hung(pairs: DataFrame, larger: bool) -> DataFrame:
+        """pairs (u, v) with u > v."""
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else pairs
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        under = both.join(least, "u")
+        out = under.filter(F.col("v") > F.col("u")) if larger else under
+        out = out.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return (out if larger else out.unionByName(least.select("u", F.col("m").alias("v")))).filter(F.col("u") != F.col("v")).distinct()
+
+    now = tables.save(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    seen = None
+    while (mark := now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != seen:
+        seen = mark
+        now = tables.save(hung(hung(now, True), False))
+        tables.keep_last(1)
+    return nodes.select("node").join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def large_components(labels: DataFrame, least: int) -> DataFrame:
@@ -80,7 +92,7 @@ def large_components(labels: DataFrame, least: int) -> DataFrame:
     return labels.join(sizes.filter(F.col("size") >= least), "component")
 
 
-def cell_join(points: DataFrame, others: DataFrame, radius: float, size: float) -> DataFrame:
+def cell_join(points: DataFrame, others: DataFrame, radius: float, size: float, distance=meters_between) -> DataFrame:
     """Pairs within radius metres: an equi-join on grid cells of `size` degrees, each point with the cells around its own.
 
     A cell must be at least radius metres wide, which a size of 0.008 is for 400 m below 60 degrees of latitude.
@@ -90,7 +102,7 @@ def cell_join(points: DataFrame, others: DataFrame, radius: float, size: float)
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
     mine = points.withColumn("c", around).select("id", "lon", "lat", (x + F.col("c.i")).alias("cx"), (y + F.col("c.j")).alias("cy"))
     theirs = others.select(F.col("id").alias("other"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), grid_cell("lon", "lat", size)[0].alias("cx"), grid_cell("lon", "lat", size)[1].alias("cy"))
-    return mine.join(theirs, ["cx", "cy"]).withColumn("d", meters_between("lon", "lat", "lon2", "lat2")).filter(F.col("d") <= radius).select("id", "other", "d")
+    return mine.join(theirs, ["cx", "cy"]).withColumn("d", distance("lon", "lat", "lon2", "lat2")).filter(F.col("d") <= radius).select("id", "other", "d")
 
 
 def snap(stops: DataFrame, nodes: DataFrame, radius: float = MAX_SNAP_METERS) -> DataFrame:
@@ -102,7 +114,7 @@ def snap(stops: DataFrame, nodes: DataFrame, radius: float = MAX_SNAP_METERS) ->
 
 def ring_search(points: DataFrame, nodes: DataFrame, radius: float, rings: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
     """Nodes within the smallest of radius * rings that has any, for each point."""
-    near = cell_join(points, nodes, radius * rings[-1], 0.008 * max(1.0, radius * rings[-1] / 400))
+    near = cell_join(points, nodes, radius * rings[-1], 0.008 * max(1.0, radius * rings[-1] / 400), meters_from)
     ring = F.lit(rings[-1])
     for r in reversed(rings[:-1]):
         ring = F.when(F.col("d") <= radius * r, r).otherwise(ring)

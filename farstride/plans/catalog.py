@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geo, scalars
 from ..operators import graph, raster, score, search, shapes, streets, transit
+from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
 from ..streaming import requests
 
@@ -125,7 +126,7 @@ def _(spark, sf):
     return spread(spark, sf, "customer", "c_custkey").select("id", geo.in_polygon("lon", "lat", RING).alias("inside"))
 
 
-WIDE_STOPS = "SELECT s_suppkey AS stop, -124e0 + ((s_suppkey * 7919) % 1000) * 3e-3 AS lon, 36.5e0 + ((s_suppkey * 104729) % 1000) * 3e-3 AS lat FROM supplier WHERE s_suppkey < 40"
+WIDE_STOPS = "SELECT s_suppkey AS stop, -123.2e0 + ((s_suppkey * 7919) % 1000) * 15e-4 AS lon, 37.2e0 + ((s_suppkey * 104729) % 1000) * 13e-4 AS lat FROM supplier WHERE s_suppkey < 40"
 REPORT = {
     "wide": WIDE_STOPS,
     "served": "SELECT DISTINCT agency, stop FROM (SELECT agency, from_stop AS stop FROM hops JOIN routes USING (route) UNION ALL SELECT agency, to_stop FROM hops JOIN routes USING (route))",
@@ -137,7 +138,7 @@ REPORT = {
 def wide_report(spark, sf):
     spark.read.parquet(f"{sf}/supplier.parquet").createOrReplaceTempView("supplier")
     names = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("agency"), F.col("n_name").alias("name"))
-    stops, routes, h = spark.sql(WIDE_STOPS), view(spark, sf, "routes"), hops(spark, sf)
+    stops, routes, h = spark.sql(WIDE_STOPS), view(spark, sf, "routes"), checkpointed(hops(spark, sf))
     return h, routes, stops, transit.agency_report(h, routes, stops, names)
 
 
@@ -215,34 +216,42 @@ def stop_points(spark, sf):
     return view(spark, sf, "stops").select(F.col("stop").alias("id"), "lon", "lat")
 
 
+def halt_points(spark, sf):
+    return view(spark, sf, "halts").select(F.col("stop").alias("id"), "lon", "lat")
+
+
 def street_points(spark, sf):
     return view(spark, sf, "street_nodes").select(F.col("node").alias("id"), "lon", "lat")
 
 
-NEAR = f"SELECT a.stop AS id, b.node AS other, {flat('a', 'b')} AS d FROM stops a JOIN street_nodes b ON abs(a.lat - b.lat) < 0.03 AND abs(a.lon - b.lon) < 0.03"
+def nearby(stops: str) -> str:
+    return f"SELECT a.stop AS id, b.node AS other, {flat('a', 'b')} AS d, sqrt(pow((b.lon - a.lon) * {M} * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * {M}, 2)) AS d_from FROM {stops} a JOIN street_nodes b ON abs(a.lat - b.lat) < 0.03 AND abs(a.lon - b.lon) < 0.03"
+
+
+NEAR = nearby("stops")
 SNAPPED = "SELECT id, other, d FROM (SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS k FROM near WHERE d <= 400) WHERE k = 1"
 
 
-@query("nearest_node", oracle("SELECT id, other, round(d, 3) AS d FROM snapped", "stops", "street_nodes", near=NEAR, snapped=SNAPPED))
+@query("nearest_node", oracle("SELECT id, other, round(d, 3) AS d FROM snapped", "halts", "street_nodes", near=nearby("halts"), snapped=SNAPPED))
 def _(spark, sf):
-    return rounded(streets.snap(stop_points(spark, sf), street_points(spark, sf)), "d")
+    return rounded(streets.snap(halt_points(spark, sf), street_points(spark, sf)), "d")
 
 
 @query(
     "radius_nodes",
-    oracle("SELECT id, other, round(d, 3) AS d, ring FROM (SELECT *, min(ring) OVER (PARTITION BY id) AS least FROM (SELECT id, other, d, CASE WHEN d <= 60 THEN 1 WHEN d <= 120 THEN 2 WHEN d <= 240 THEN 4 WHEN d <= 480 THEN 8 ELSE 16 END AS ring FROM near WHERE d <= 960)) WHERE ring = least", "stops", "street_nodes", near=NEAR),
+    oracle("SELECT id, other, round(d, 3) AS d, ring FROM (SELECT *, min(ring) OVER (PARTITION BY id) AS least FROM (SELECT id, other, d_from AS d, CASE WHEN d_from <= 60 THEN 1 WHEN d_from <= 120 THEN 2 WHEN d_from <= 240 THEN 4 WHEN d_from <= 480 THEN 8 ELSE 16 END AS ring FROM near WHERE d_from <= 960)) WHERE ring = least", "halts", "street_nodes", near=nearby("halts")),
 )
 def _(spark, sf):
-    return rounded(streets.ring_search(stop_points(spark, sf), street_points(spark, sf), 60.0), "d")
+    return rounded(streets.ring_search(halt_points(spark, sf), street_points(spark, sf), 60.0), "d")
 
 
 @query(
     "puzzle_candidates",
-    oracle(f"SELECT id, weight FROM (SELECT a.place AS id, least(count(*), 60) AS weight FROM places a JOIN stops b ON {flat('a', 'b')} <= 1000 WHERE a.type IN ('suburb', 'neighbourhood') GROUP BY a.place) WHERE weight >= 5", "places", "stops"),
+    oracle(f"SELECT id, weight FROM (SELECT a.place AS id, least(count(*), 60) AS weight FROM places a JOIN halts b ON {flat('a', 'b')} <= 1000 WHERE a.type IN ('suburb', 'neighbourhood') GROUP BY a.place) WHERE weight >= 5", "places", "halts"),
 )
 def _(spark, sf):
     near = view(spark, sf, "places").filter(F.col("type").isin("suburb", "neighbourhood")).select(F.col("place").alias("id"), "lon", "lat")
-    return score.candidates(near, stop_points(spark, sf))
+    return score.candidates(near, halt_points(spark, sf))
 
 
 BOXES = "SELECT CAST(n_nationkey AS BIGINT) AS box, -122.5e0 + (n_nationkey % 5) * 16e-3 AS x, 37.5e0 + floor(n_nationkey / 5) * 15e-3 AS y FROM nation"
@@ -278,7 +287,7 @@ def _(spark, sf):
 
 SIMPLE = {
     "valid": VALID,
-    "cums": f"SELECT *, sum(step) OVER (PARTITION BY way ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (SELECT *, coalesce(sqrt(pow((lon - plon) * {M} * cos(radians((plat + lat) / 2)), 2) + pow((lat - plat) * {M}, 2)), 0.0) AS step FROM (SELECT *, lag(lon) OVER (PARTITION BY way ORDER BY ord) AS plon, lag(lat) OVER (PARTITION BY way ORDER BY ord) AS plat FROM valid))",
+    "cums": "SELECT *, sum(step) OVER (PARTITION BY way ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM (SELECT *, coalesce(2 * 6371008.8 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))), 0.0) AS step FROM (SELECT *, lag(lon) OVER (PARTITION BY way ORDER BY ord) AS plon, lag(lat) OVER (PARTITION BY way ORDER BY ord) AS plat FROM valid))",
     "flags": "SELECT *, row_number() OVER w AS rn, lead(ord) OVER w AS nxt, count(*) OVER (PARTITION BY node) AS uses, floor(cum / 200) <> lag(floor(cum / 200)) OVER w AS turn FROM cums WINDOW w AS (PARTITION BY way ORDER BY ord)",
     "kept": "SELECT way, node AS u, lead(node) OVER w AS v, lead(cum) OVER w - cum AS m FROM flags WHERE rn = 1 OR nxt IS NULL OR uses > 1 OR turn WINDOW w AS (PARTITION BY way ORDER BY ord)",
 }
@@ -329,7 +338,7 @@ def graphed(body: str, **extra: str) -> str:
 
 def graph_edges(spark, sf):
     snapped = streets.snap(stop_points(spark, sf), street_points(spark, sf))
-    return graph.assemble(view(spark, sf, "street_edges"), snapped, hops(spark, sf), extra=("s_rush",))
+    return graph.assemble(view(spark, sf, "street_edges"), snapped, checkpointed(hops(spark, sf)), extra=("s_rush",))  # hops are read three times
 
 
 @query("route_nodes", scheduled("SELECT DISTINCT route, stop FROM (SELECT route, from_stop AS stop FROM hops UNION ALL SELECT route, to_stop FROM hops)"))
@@ -386,67 +395,66 @@ def _(spark, sf):
     return graph.delta_decoded(delta(spark, sf), "ord", "l_orderkey").select("l_orderkey", "ord", "value")
 
 
-# --- searches ----------------------------------------------------------------------------------------------------
+# --- searches from every street node; spots.py has those that an oracle can follow ---------------------------------
 
 LIMIT, SPEED = search.PARAMS["limit_s"], 5 / 3.6
-SEEDS = "SELECT node AS origin, 's' || node AS node, 0.0 AS cost FROM street_nodes"
 
 
-def seeds(spark, sf):
-    return view(spark, sf, "street_nodes").select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"))
+def node_places(spark, sf):
+    """Coordinates of street and stop nodes, by their names in the graph."""
+    named = lambda kind, df, key: df.select(graph.node_name(kind, key).alias("node"), "lon", "lat")
+    return named("s", view(spark, sf, "street_nodes"), "node").unionByName(named("p", view(spark, sf, "stops"), "stop"))
 
 
-def labels(spark, sf, modes=None, period=None, **params):
+def reach(spark, sf, seeds, at, modes=None, period=None, **params):
     mode_of = view(spark, sf, "routes").select("route", scalars.mode_group("route_type").alias("mode"))
     settings = search.PARAMS | {"speed": SPEED} | params
-    return search.search(seeds(spark, sf), search.priced(graph_edges(spark, sf), settings, modes, mode_of, period), LIMIT)
+    edges = search.priced(graph_edges(spark, sf), settings, modes, mode_of, period)
+    return search.Reach(seeds, edges, node_places(spark, sf), at, settings["limit_s"], settings["speed"])
+
+
+def from_streets(spark, sf, **settings):
+    nodes = view(spark, sf, "street_nodes").select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"), "lon", "lat")
+    return reach(spark, sf, nodes.select("origin", "node", "cost"), nodes.select("origin", "lon", "lat"), **settings)
 
 
-def isochrone_sql(ride: str = "weight", boards: str = "true", wait: float = 0.0, transfer: float = 300.0, body: str = "SELECT origin, node, round(min(cost), 2) AS cost FROM d GROUP BY origin, node") -> str:
-    after = "CASE WHEN e.kind = 1 THEN 1 ELSE d.boarded END"
-    step = "d.cost + CASE WHEN e.kind = 1 AND d.boarded = 0 THEN e.cost0 ELSE e.cost1 END"
-    costs = f"SELECT src, dst, kind, CASE kind WHEN 0 THEN weight / {SPEED!r} WHEN 1 THEN {wait} WHEN 2 THEN {ride} ELSE 0.0 END AS cost0, CASE kind WHEN 0 THEN weight / {SPEED!r} WHEN 1 THEN {transfer} WHEN 2 THEN {ride} ELSE 0.0 END AS cost1 FROM edges WHERE (kind <> 1 OR {boards}) AND (kind <> 2 OR {ride} IS NOT NULL)"
-    recursion = (
-        f"d(origin, node, boarded, cost) USING KEY (origin, node, boarded) AS (SELECT origin, node, 0, CAST(cost AS DOUBLE) FROM seeds UNION SELECT d.origin, e.dst, {after}, min({step}) FROM d JOIN costs e ON e.src = d.node "
-        f"LEFT JOIN recurring.d r ON r.origin = d.origin AND r.node = e.dst AND r.boarded = {after} WHERE {step} <= {LIMIT} AND (r.cost IS NULL OR {step} < r.cost) GROUP BY 1, 2, 3) "
-    )
-    return graphed("@@" + body, seeds=SEEDS, costs=costs).replace("WITH ", "WITH RECURSIVE ", 1).replace(" @@", f", {recursion}", 1)
+def reached(found):
+    return rounded(found.best.select("origin", "node", "cost"), "cost", digits=2)
 
 
-@query("isochrone_nodes", isochrone_sql())
+@query("isochrone_nodes")
 def _(spark, sf):
-    return rounded(search.best(labels(spark, sf)), "cost", digits=2)
+    return reached(from_streets(spark, sf))
 
 
-@query("isochrone_period", isochrone_sql(ride="s_rush"))
+@query("isochrone_period")
 def _(spark, sf):
-    return rounded(search.best(labels(spark, sf, period="s_rush")), "cost", digits=2)
+    return reached(from_streets(spark, sf, period="s_rush"))
 
 
-@query("isochrone_modes", isochrone_sql(boards="route IN (SELECT route FROM routes WHERE route_type IN (1, 4))"))
+@query("isochrone_modes")
 def _(spark, sf):
-    return rounded(search.best(labels(spark, sf, modes=[1, 3])), "cost", digits=2)
+    return reached(from_streets(spark, sf, modes=[1, 3]))
 
 
-@query("isochrone_one_seat", isochrone_sql(transfer=100000.0))
+@query("isochrone_one_seat")
 def _(spark, sf):
-    return rounded(search.best(labels(spark, sf, transfer_s=100000.0)), "cost", digits=2)
+    return reached(from_streets(spark, sf, transfer_s=LIMIT))
 
 
-def some_paths(spark, sf):
-    found = labels(spark, sf)
-    targets = search.best(found).groupBy("origin").agg(F.max(F.struct("cost", "node")).alias("far")).select("origin", F.col("far.node").alias("node"))
-    return search.paths(found, targets)
+def farthest(found):
+    far = found.best.groupBy("origin").agg(F.max(F.struct("cost", "node")).alias("far"))
+    return found.paths(far.select("origin", F.col("far.node").alias("node")))
 
 
 @query("itinerary_legs")
 def _(spark, sf):
-    return search.legs(some_paths(spark, sf))
+    return search.legs(farthest(from_streets(spark, sf)))
 
 
-@query("path_cost", isochrone_sql(body="SELECT origin, round(max(cost), 2) AS seconds FROM (SELECT origin, node, min(cost) AS cost FROM d GROUP BY origin, node) GROUP BY origin"))
+@query("path_cost")
 def _(spark, sf):
-    legs = search.legs(some_paths(spark, sf))
+    legs = search.legs(farthest(from_streets(spark, sf)))
     return legs.groupBy("origin").agg(F.round(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))), 2).alias("seconds"))
 
 
@@ -568,7 +576,8 @@ def _(spark, sf):
 
 @query(
     "twist_params",
-    "SELECT * FROM (VALUES ('rush', 'rush', 45, 5.0, 5, '0,1,2,3'), ('late-night', 'night', 45, 5.0, 5, '0,1,2,3'), ('saturday', 'weekend', 45, 5.0, 5, '0,1,2,3'), ('bus-only', 'rush', 45, 5.0, 5, '0'), ('no-bus', 'rush', 45, 5.0, 5, '1,2,3'), ('rail-strike', 'rush', 45, 5.0, 5, '0,3'), ('long-haul', 'rush', 90, 5.0, 5, '0,1,2,3'), ('quick-trip', 'rush', 20, 5.0, 5, '0,1,2,3'), ('sore-feet', 'rush', 45, 2.5, 5, '0,1,2,3'), ('one-seat', 'rush', 45, 5.0, 600, '0,1,2,3')) t(twist, period, limit_min, speed, transfer_min, modes)".replace("SELECT * FROM", "SELECT twist, period, limit_min, CAST(speed AS DOUBLE) AS speed, transfer_min, modes FROM"),
+    # the ten twists over the standard settings: rush hour, 45 minutes, 5 km/h, 5 minutes a transfer, all modes
+    "SELECT twist, period, limit_min, CAST(speed AS DOUBLE) AS speed, transfer_min, modes FROM (VALUES ('rush', 'rush', 45, 5.0, 5, '0,1,2,3'), ('rail-strike', 'rush', 45, 5.0, 5, '0,2,3'), ('bus-only', 'rush', 45, 5.0, 5, '0'), ('no-bus', 'rush', 45, 5.0, 5, '1,2,3'), ('late-night', 'night', 45, 5.0, 5, '0,1,2,3'), ('saturday', 'weekend', 45, 5.0, 5, '0,1,2,3'), ('quick-trip', 'rush', 20, 5.0, 5, '0,1,2,3'), ('long-haul', 'rush', 75, 5.0, 5, '0,1,2,3'), ('one-seat', 'rush', 45, 5.0, 45, '0,1,2,3'), ('sore-feet', 'rush', 45, 3.0, 5, '0,1,2,3')) t(twist, period, limit_min, speed, transfer_min, modes)",
 )
 def _(spark, sf):
     twists = spark.createDataFrame(score.TWISTS, score.TWIST_SCHEMA)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.streets import valid_refs, walkable
+
 #: Columns that a schedule table must have; further ones are read as they come.
 REQUIRED = {
     "agency": ["agency_name"], "routes": ["route_id", "route_type"], "trips": ["route_id", "trip_id", "service_id"],
@@ -40,9 +42,8 @@ def read_feeds(spark: SparkSession, folders: dict[str, str], name: str, keys: tu
 
 
 def read_ways(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:
-    """Flattened way points (way, ord, node, lon, lat, highway, ...); filters reach the Parquet scan."""
-    box = F.col("lon").between(bbox[0], bbox[2]) & F.col("lat").between(bbox[1], bbox[3])
-    return spark.read.parquet(path).filter(F.col("highway").isNotNull() & box)
+    """Points (way, ord, node, lon, lat, highway, ...) of the walkable ways that begin in the box, whole; the tag filter reaches the Parquet scan."""
+    return valid_refs(spark.read.parquet(path).filter(F.col("highway").isNotNull()).filter(walkable()), bbox)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+#: The stops of the schedule are 40 of the suppliers, since stop times choose among 40; halts are all of them.
 #: name -> (tables and views it reads, SQL); {dow} is the day of the week with Monday 0.
 VIEWS = {
     "stops": "SELECT s_suppkey AS stop, -122.5e0 + ((s_suppkey * 7919) % 1000) * 8e-5 AS lon, 37.5e0 + ((s_suppkey * 104729) % 1000) * 7.6e-5 AS lat, s_name AS name FROM supplier WHERE s_suppkey < 40",
+    "halts": "SELECT s_suppkey AS stop, -122.5e0 + ((s_suppkey * 7919) % 1000) * 8e-5 AS lon, 37.5e0 + ((s_suppkey * 104729) % 1000) * 7.6e-5 AS lat, s_name AS name FROM supplier",
     "routes": "SELECT DISTINCT c_nationkey * 4 + o_custkey % 4 AS route, c_nationkey AS agency, CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 4 END AS route_type FROM orders JOIN customer ON o_custkey = c_custkey",
     "trips": "SELECT o_orderkey AS trip, c_nationkey * 4 + o_custkey % 4 AS route, {dow} AS service FROM orders JOIN customer ON o_custkey = c_custkey",
     "timed": "SELECT l_orderkey AS trip, l_suppkey % 40 AS stop, l_returnflag AS flag, row_number() OVER w AS seq, ((l_orderkey * 37) % 26) * 3600 + sum(l_quantity * 60) OVER w AS t, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",

@@ -55,6 +55,7 @@ def test_isochrones_start_at_every_street_node_with_the_default_limit(spark, sma
                     heapq.heappush(heap, (total, dst, 1 if kind == graph.BOARD else boarded))
     got = {(r.origin, r.node): r.cost for r in catalog.QUERIES["isochrone_nodes"](spark, small).collect()}
     assert max(want.values()) > 900 and any(n.startswith("r") for _, n in want)
+    want = {k: c for k, c in want.items() if not k[1].startswith("r")}  # results are of streets and stops; route nodes lie between them
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.006 for k in want)
 
 

@@ -1,5 +1,7 @@
 """Hand-worked fixtures of the schedule, map and score rules."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,6 @@ from farstride.functions import geo, scalars
 from farstride.operators import graph, raster, score, search, shapes, streets, transit
 
 
-
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -87,11 +88,46 @@ def test_search_prefers_the_cheaper_way(spark, wait, s1):
     labels = search.search(seeds, costs, 3600.0)
     best = {r.node: r.cost for r in search.best(labels).collect()}
     assert best["s0"] == 0 and best["p0"] == 0 and best["s1"] == s1 and best["p1"] == s1
-    grouped = search.search_groups(seeds, costs.withColumn("origin", F.lit(1).cast("long")), 3600.0, prune=False)
-    assert {r.node: r.cost for r in grouped.collect()} == best
+    places = spark.createDataFrame([("s0", 0.0, 0.0), ("p0", 0.0, 0.0), ("s1", 0.009, 0.0), ("p1", 0.009, 0.0)], "node string, lon double, lat double")
+    found = search.Reach(seeds, costs, places, spark.createDataFrame([(1, 0.0, 0.0)], "origin long, lon double, lat double"), 3600.0, 1.0)
+    assert {r.node: r.cost for r in found.best.collect()} == {n: c for n, c in best.items() if n[0] != "r"}
     target = spark.createDataFrame([(1, "s1")], "origin long, node string")
-    legs = search.legs(search.paths(labels, target))
-    assert legs.agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0)))).first()[0] == s1
+    for path in (search.paths(labels, target), found.paths(target)):
+        assert search.legs(path).agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0)))).first()[0] == s1
+
+
+def test_reach_agrees_with_the_search_on_a_network(spark):
+    """Streets in a lattice with random lengths, four routes with several stops, all street nodes as origins."""
+    rnd = random.Random(3)
+    at = {(x, y): f"s{x}_{y}" for x in range(7) for y in range(6)}
+    edges = []
+    for (x, y), a in at.items():
+        for b in (at.get((x + 1, y)), at.get((x, y + 1))):
+            if b and rnd.random() < 0.9:
+                m = rnd.uniform(80, 400)
+                edges += [(a, b, 0, m), (b, a, 0, m)]
+    for p in range(8):
+        s = rnd.choice(list(at.values()))
+        edges += [(s, f"p{p}", 0, 20.0), (f"p{p}", s, 0, 20.0)]
+        home = s.removeprefix("s").split("_")
+        at[f"p{p}"] = tuple(map(int, home))
+    for r in range(4):
+        stops = rnd.sample(range(8), 4)
+        edges += [e for p in stops for e in ((f"p{p}", f"r{r}:{p}", 1, 0.0), (f"r{r}:{p}", f"p{p}", 3, 0.0))]
+        edges += [(f"r{r}:{a}", f"r{r}:{b}", 2, rnd.uniform(30, 120)) for a, b in zip(stops, stops[1:])]
+    graph_ = spark.createDataFrame([(*e, 7) for e in edges], "src string, dst string, kind int, weight double, route long")
+    costs = search.priced(graph_, {"speed": 1.0, "wait_s": 0.0, "transfer_s": 60.0})
+    places = spark.createDataFrame([(k, v[0] * 0.002, v[1] * 0.002) if isinstance(v, tuple) else (v, k[0] * 0.002, k[1] * 0.002) for k, v in at.items()], "node string, lon double, lat double")
+    origins = places.filter("node like 's%'").select(F.col("node").alias("origin"), "lon", "lat")
+    seeds = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
+    want = {(r.origin, r.node): r.cost for r in search.best(search.search(seeds, costs, 900.0)).collect() if r.node[0] != "r"}
+    found = search.Reach(seeds, costs, places, origins, 900.0, 1.0)
+    got = {(r.origin, r.node): r.cost for r in found.best.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    far = found.best.groupBy("origin").agg(F.max(F.struct("cost", "node")).alias("f")).select("origin", "f.node", "f.cost")
+    legs = search.legs(found.paths(far.select("origin", "node"))).groupBy("origin").agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))).alias("s"))
+    for r in far.join(legs, "origin").collect():
+        assert r.s == pytest.approx(r.cost, abs=1.0)  # legs of less than half a second are left out
 
 
 def test_search_without_the_mode_walks(spark):
