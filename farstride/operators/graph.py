@@ -56,16 +56,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def running(df: DataFrame, order: list[str], value: str, name: str, lanes: int = 64) -> DataFrame:
-    """The sum of value over all rows before each row in the given order, without a task that sees all rows: range partitions, then offsets of partitions."""
+def in_lanes(df: DataFrame, order: list[str], lanes: int) -> DataFrame:
+    """df in range partitions of the given order, with its lane (__p) and its place there (__n); stored, as range bounds are sampled anew each time."""
     ranged = df.repartitionByRange(lanes, *order).sortWithinPartitions(*order)
-    numbered = ranged.withColumns({"__p": F.spark_partition_id(), "__n": F.monotonically_increasing_id()})
-    numbered = checkpointed(numbered)  # range bounds are sampled: number and count the same partitions
-    sums = numbered.groupBy("__p").agg(F.sum(value).alias("__c"))  # one row for each lane
-    before = F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("__p", before.alias("__o"))
+    return checkpointed(ranged.withColumns({"__p": F.spark_partition_id(), "__n": F.monotonically_increasing_id()}))
+
+
+def earlier_lanes():
+    return W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, order: list[str], value: str, name: str, lanes: int = 64) -> DataFrame:
+    """The sum of value over all rows before each row in the given order, without a task that sees all rows: sums within lanes, then offsets of lanes."""
+    rows = in_lanes(df, order, lanes)
+    sums = rows.groupBy("__p").agg(F.sum(value).alias("__c"))  # one row for each lane
+    offsets = sums.select("__p", F.coalesce(F.sum("__c").over(earlier_lanes()), F.lit(0)).alias("__o"))
     own = F.coalesce(F.sum(value).over(W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(F.broadcast(offsets), "__p").withColumn(name, own + F.col("__o")).drop("__p", "__n", "__o")
+    return rows.join(F.broadcast(offsets), "__p").withColumn(name, own + F.col("__o")).drop("__p", "__n", "__o")
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str, lanes: int = 64) -> DataFrame:
@@ -83,12 +90,19 @@ def hilbert_place(nodes: DataFrame, bits: int = 16) -> DataFrame:
     return nodes.withColumn("place", hilbert(scale("lon", box.a, box.b), scale("lat", box.c, box.d), bits))
 
 
-def delta_coded(df: DataFrame, column: str, order: str, key: str | None = None) -> DataFrame:
-    """column as zigzag codes of differences from the row before (0 before the first of each key)."""
-    w = (W.partitionBy(key) if key else W).orderBy(order)
-    return df.withColumn("code", zigzag(F.col(column) - F.coalesce(F.lag(column).over(w), F.lit(0))))
+def delta_coded(df: DataFrame, column: str, order: str, key: str | None = None, lanes: int = 64) -> DataFrame:
+    """column as zigzag codes of differences from the row before (0 before the first of each key, or of all)."""
+    if key:
+        return df.withColumn("code", zigzag(F.col(column) - F.coalesce(F.lag(column).over(W.partitionBy(key).orderBy(order)), F.lit(0))))
+    rows = in_lanes(df, [order], lanes)
+    ends = rows.groupBy("__p").agg(F.max_by(column, "__n").alias("__e"))  # one row for each lane
+    before = ends.select("__p", F.last("__e", ignorenulls=True).over(earlier_lanes()).alias("__b"))
+    last = F.coalesce(F.lag(column).over(W.partitionBy("__p").orderBy("__n")), "__b", F.lit(0))
+    return rows.join(F.broadcast(before), "__p").withColumn("code", zigzag(F.col(column) - last)).drop("__p", "__n", "__b")
 
 
 def delta_decoded(df: DataFrame, order: str, key: str | None = None) -> DataFrame:
-    w = (W.partitionBy(key) if key else W).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("value", F.sum(unzigzag("code")).over(w))
+    step = unzigzag("code")
+    if key:
+        return df.withColumn("value", F.sum(step).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return running(df.withColumn("__step", step), [order], "__step", "__sum").withColumn("value", F.col("__sum") + F.col("__step")).drop("__sum", "__step")

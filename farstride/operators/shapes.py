@@ -13,13 +13,11 @@ SNAP_SLACK, TOLERANCE = 30.0, 3.0
 ROWS = 50_000
 
 
-def project(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of one point from segments a-b, and the nearest points."""
-    d = b - a
-    size = (d * d).sum(axis=1)
-    t = np.clip(((points - a) * d).sum(axis=1) / np.where(size > 0, size, 1), 0, 1)
-    near = a + t[:, None] * d
-    return np.sqrt(((points - near) ** 2).sum(axis=1)), near
+def away(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of points from the straight line through a and b (from a, if they are one point)."""
+    chord, off = b - a, points - a
+    length = np.hypot(*chord)
+    return np.abs(chord[0] * off[:, 1] - chord[1] * off[:, 0]) / length if length else np.hypot(off[:, 0], off[:, 1])
 
 
 def simplify(line: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
@@ -29,25 +27,29 @@ def simplify(line: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
     todo = [(0, len(line) - 1)]
     while todo:
         i, j = todo.pop()
-        if j - i < 2:
-            continue
-        inner = line[i + 1 : j]
-        far = np.array([project(p, line[i : i + 1], line[j : j + 1])[0][0] for p in inner])
-        k = int(far.argmax())
-        if far[k] > tolerance:
-            keep[i + 1 + k] = True
-            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+        if j - i > 1:
+            far = away(line[i + 1 : j], line[i], line[j])
+            k = i + 1 + int(far.argmax())
+            if far.max() > tolerance:
+                keep[k] = True
+                todo += [(i, k), (k, j)]
     return line[keep]
 
 
 def located(line: np.ndarray, stops: np.ndarray, slack: float = SNAP_SLACK) -> list[int]:
-    """Segment of each stop, never behind the one before: the earliest whose distance is within slack of the least ahead."""
-    out, at = [], 0
-    for s in stops:
-        d, _ = project(s, line[at:-1], line[at + 1 :])
-        at += int(np.flatnonzero(d <= d.min() + slack)[0])
-        out.append(at)
-    return out
+    """Segment of each stop: the earliest whose distance is within slack of the least, neither in a segment before the last stop's nor before its place there."""
+    first, step = line[:-1], np.diff(line, axis=0)
+    size = np.maximum(np.square(step).sum(axis=1), 1e-9)
+    segments, at, place = [], 0, 0.0
+    for stop in stops:
+        along = np.clip(((stop - first) * step).sum(axis=1) / size, 0, 1)
+        along[at] = max(along[at], place)
+        off = np.linalg.norm(first + along[:, None] * step - stop, axis=1)
+        off[:at] = np.inf
+        at = int(np.argmax(off <= off.min() + slack))
+        place = along[at]
+        segments.append(at)
+    return segments
 
 
 def hop_shapes(sequence: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -63,6 +65,8 @@ def hop_shapes(sequence: DataFrame, shapes: DataFrame) -> DataFrame:
             if len(line) >= 2 and not np.isnan(at).any():
                 places = located(line, at)
                 for i, (a, b) in enumerate(zip(places, places[1:], strict=False)):
+                    if names[i] == names[i + 1]:
+                        continue
                     part = simplify(np.vstack([at[i], line[a + 1 : b + 1], at[i + 1]]))
                     rows.append((route, names[i], names[i + 1], pattern, part[:, 0].tolist(), part[:, 1].tolist()))
         return pd.DataFrame(rows, columns=["route", "from_stop", "to_stop", "pattern", "xs", "ys"])

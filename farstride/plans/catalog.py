@@ -371,7 +371,13 @@ def _(spark, sf):
     return graph.dense_ids(graph.route_nodes(hops(spark, sf)), ["stop", "route"], "id")
 
 
-@query("hilbert_places")
+BITWISE = (
+    "WITH RECURSIVE @ box AS (SELECT min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM street_nodes), h(node, x, y, place, bit) AS (SELECT node, CAST(floor((lon - a) / greatest(b - a, 1e-12) * 65535) AS BIGINT), CAST(floor((lat - c) / greatest(d - c, 1e-12) * 65535) AS BIGINT), CAST(0 AS BIGINT), 15 FROM street_nodes, box "
+    "UNION ALL SELECT node, CASE WHEN ry = 1 THEN x WHEN rx = 1 THEN 65535 - y ELSE y END, CASE WHEN ry = 1 THEN y WHEN rx = 1 THEN 65535 - x ELSE x END, place + side * side * xor(3 * rx, ry), bit - 1 FROM (SELECT *, CAST(1 AS BIGINT) << bit AS side, (x >> bit) & 1 AS rx, (y >> bit) & 1 AS ry FROM h WHERE bit >= 0)) SELECT node, place FROM h WHERE bit = -1"
+)
+
+
+@query("hilbert_places", BITWISE.replace("@", oracle("", "street_nodes").removeprefix("WITH ").rstrip() + ","))
 def _(spark, sf):
     return graph.hilbert_place(view(spark, sf, "street_nodes")).select("node", "place")
 

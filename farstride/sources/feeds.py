@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +46,51 @@ def read_feeds(spark: SparkSession, folders: dict[str, str], name: str, keys: tu
     return out
 
 
+#: Columns that a feed's tables are read with; others stay unread.
+USED = {
+    "agency": ["agency_id", "agency_name"], "routes": ["route_id", "agency_id", "route_type", "route_short_name", "route_long_name", "route_color"],
+    "trips": ["route_id", "trip_id", "service_id", "shape_id"], "calendar": ["service_id", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"],
+    "calendar_dates": ["service_id", "date", "exception_type"], "stops": ["stop_id", "stop_lon", "stop_lat", "stop_name"],
+    "stop_times": ["trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence"], "shapes": ["shape_id", "shape_pt_sequence", "shape_pt_lon", "shape_pt_lat"],
+}
+
+
+def load_feed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that a feed has, with the columns that are used."""
+    found = {name: read_table(spark, folder, name) for name in USED}
+    return {name: df.select(*(c for c in USED[name] if c in df.columns)) for name, df in found.items() if df is not None}
+
+
+def read_zipped(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The same table out of all archives at a path (a glob), with a column feed (the archive's name): in each, the first member called `name`.txt in any folder.
+
+    One task reads an archive; a quoted field may not hold a line end. Archives with different headers are read by their own columns.
+    """
+
+    def members(parts):
+        for pdf in parts:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                member = next((m for m in archive.namelist() if m.rsplit("/", 1)[-1] == f"{name}.txt"), None)
+                if member is None:
+                    continue
+                feed = where.rsplit("/", 1)[-1].removesuffix(".zip")
+                with io.TextIOWrapper(archive.open(member), encoding="utf-8-sig", newline=None) as lines:
+                    header = next(lines, "").rstrip("\n")
+                    while some := [x.rstrip("\n") for x in itertools.islice(lines, 10_000)]:
+                        yield pd.DataFrame({"feed": feed, "header": header, "line": [x for x in some if x]})
+
+    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "feed string, header string, line string")
+    out = None
+    for header in sorted(r.header for r in lines.select("header").distinct().collect()):  # few: the kinds of headers
+        columns = [c.strip() for c in header.split(",")]
+        schema = ", ".join(f"`{c}` string" for c in columns)
+        row = F.from_csv("line", schema, {"nullValue": "", "ignoreLeadingWhiteSpace": "true"})
+        df = lines.filter(F.col("header") == header).select("feed", row.alias("row")).select("feed", "row.*")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read_ways(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Points (way, ord, node, lon, lat, highway, ...) of the walkable ways that begin in the box, whole; the tag filter reaches the Parquet scan."""
     return valid_refs(spark.read.parquet(path).filter(F.col("highway").isNotNull()).filter(walkable()), bbox)
