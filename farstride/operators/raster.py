@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import MERCATOR_CIRCUMFERENCE_M, mercator_x, mercator_y, meters_per_mercator_unit
+from ..functions.geo import mercator_lat, mercator_lon, mercator_x, mercator_y, meters_per_mercator_unit
 from ..functions.scalars import gaussian, smoothstep
 
 CELL_M, SPLAT_M, SIGMA_M, MAX_CELLS = 40.0, 250.0, 90.0, 4_000_000
@@ -84,10 +84,11 @@ def area_km2(painted: DataFrame, cell: float = CELL_M) -> DataFrame:
     return painted.groupBy("origin").agg(F.count("*").alias("cells"), (F.count("*") * (cell * cell / 1e6)).alias("km2"))
 
 
-def corners(origin_lat: float, cx: int, cy: int, cell: float = CELL_M) -> tuple[float, float]:
-    """lon and lat of a cell's corner."""
-    size = cell / (math.cos(math.radians(origin_lat)) * MERCATOR_CIRCUMFERENCE_M)
-    return cx * size * 360 - 180, math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * cy * size))))
+def with_corners(cells: DataFrame, lat0: Column, cell: float = CELL_M) -> DataFrame:
+    """cells (cx, cy) with their sides in degrees, at the origin's latitude lat0."""
+    size = cell / meters_per_mercator_unit(lat0)
+    side = lambda c, i: (F.col(c) + i) * size
+    return cells.withColumns({"west": mercator_lon(side("cx", 0)), "east": mercator_lon(side("cx", 1)), "north": mercator_lat(side("cy", 0)), "south": mercator_lat(side("cy", 1))})
 
 
 def extents(cells: DataFrame, cell: float = CELL_M, reach: float = SPLAT_M) -> DataFrame:

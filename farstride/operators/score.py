@@ -94,6 +94,11 @@ def with_twists(params: DataFrame, twists: DataFrame) -> DataFrame:
     return out.drop(*(f"new_{c}" for c in ("period", "limit_min", "speed", "transfer_min", "modes")))
 
 
+def of_build(rows: DataFrame, column: str, build: str) -> DataFrame:
+    """Rows that were made on this build of the graph; others are stale."""
+    return rows.filter(F.col(column) == build)
+
+
 def merge_by_date(existing: DataFrame, new: DataFrame, key: str = "date", force: bool = False) -> DataFrame:
     """Rows by date: earlier ones stay unless force."""
     if force:

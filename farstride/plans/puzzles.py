@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, scalars
 from ..operators import raster, schedule, score, streets
 from ..sources.surrogate import oracle, view
+from ..streaming import requests
 from .catalog import cells, flat, painted, query, rounded, street_points
 from .catalog import GRID as RASTER
 
@@ -202,3 +203,51 @@ def _(spark, sf):
     found = spark.sql(RASTER["reached"])
     both = raster.cell_size(found).join(raster.cell_size(found, most=5000).withColumnRenamed("cell", "coarse"), "origin")
     return both.select("origin", F.round("cell", 4).alias("cell"), F.round("coarse", 4).alias("coarse"))
+
+
+CORNERS = "SELECT origin, cx, cy, round(cx * size * 360 - 180, 7) AS west, round((cx + 1) * size * 360 - 180, 7) AS east, round(degrees(atan(sinh(pi() * (1 - 2 * cy * size)))), 7) AS north, round(degrees(atan(sinh(pi() * (1 - 2 * (cy + 1) * size)))), 7) AS south FROM (SELECT origin, cx, cy, 40 / (cos(radians(37.54e0)) * 40075016.686) AS size FROM cells)"
+
+
+@query("cell_corners", oracle(CORNERS, **RASTER))
+def _(spark, sf):
+    out = raster.with_corners(cells(spark, sf), F.lit(37.54))
+    return out.select("origin", "cx", "cy", *(F.round(c, 7).alias(c) for c in ("west", "east", "north", "south")))
+
+
+# --- requests and documents of settings ----------------------------------------------------------------------------
+
+ANSWERED = "SELECT CAST(user_id AS BIGINT) AS session, event_id AS request, value FROM events WHERE event_type <> 'view'"
+
+
+@query("fresh_answers", oracle("SELECT session, request, value FROM answered a WHERE request = (SELECT max(event_id) FROM events e WHERE e.user_id = a.session)", answered=ANSWERED))
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    return requests.fresh(spark.sql(ANSWERED), spark.sql("SELECT CAST(user_id AS BIGINT) AS session, event_id AS request FROM events")).select("session", "request", "value")
+
+
+TYPED = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN (c_custkey % 100) || '.25,-' || (c_custkey % 200) || '.5' WHEN 1 THEN '91.0,0' WHEN 2 THEN '12' WHEN 3 THEN 'here,there' ELSE (c_custkey % 80) || ',' || (c_custkey % 170) END AS typed FROM customer"
+
+
+@query("typed_points", oracle("SELECT id, CASE WHEN ok THEN lon END AS lon, CASE WHEN ok THEN lat END AS lat FROM (SELECT *, coalesce(n = 2 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false) AS ok FROM (SELECT id, len(string_split(typed, ',')) AS n, try_cast(string_split(typed, ',')[1] AS DOUBLE) AS lat, try_cast(string_split(typed, ',')[2] AS DOUBLE) AS lon FROM typed))", typed=TYPED))
+def _(spark, sf):
+    spark.read.parquet(f"{sf}/customer.parquet").createOrReplaceTempView("customer")
+    lon, lat = scalars.parse_lat_lon("typed")
+    return spark.sql(TYPED).select("id", lon.alias("lon"), lat.alias("lat"))
+
+
+@query("event_settings", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+BUILT = "SELECT CAST(CAST(o_orderdate AS DATE) AS {text}) AS date, 'g' || (o_orderkey % 3) AS build, count(*) AS n FROM orders GROUP BY 1, 2"
+
+
+@query("rebuilt_days", oracle("SELECT date, max(n) AS n, 'old' AS source FROM built WHERE build = 'g1' GROUP BY date UNION ALL SELECT date, max(n), 'new' FROM built WHERE build <> 'g1' AND date NOT IN (SELECT date FROM built WHERE build = 'g1') GROUP BY date", built=BUILT.format(text="VARCHAR")))
+def _(spark, sf):
+    """Earlier days stay only if they were made on the present build of the graph."""
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    built = spark.sql(BUILT.format(text="STRING"))
+    kept = score.of_build(built, "build", "g1").groupBy("date").agg(F.max("n").alias("n")).withColumn("source", F.lit("old"))
+    new = built.filter("build <> 'g1'").groupBy("date").agg(F.max("n").alias("n")).withColumn("source", F.lit("new"))
+    return score.merge_by_date(kept, new)

@@ -129,10 +129,10 @@ def _(spark, sf):
 
 DESTINED = {
     "goals": GOALS,
-    "near": f"SELECT a.region, b.node, {at_latitude('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM goals a, street_nodes b",
+    "near_goals": f"SELECT a.region, b.node, {at_latitude('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS d FROM goals a, street_nodes b",
     "ends": f"SELECT s.spot, n.region, 's' || n.node AS node, b.cost, n.d, b.cost + n.d / {SPEED!r} AS total FROM spots s JOIN (SELECT * FROM (SELECT *, min(ring) OVER (PARTITION BY region) AS least FROM (SELECT *, CASE "
     + " ".join(f"WHEN d <= {CLICK_M * r} THEN {r}" for r in RINGS)
-    + f" END AS ring FROM near) WHERE ring IS NOT NULL) WHERE ring = least AND d <= {CLICK_M}) n ON n.region = s.region JOIN best b ON b.origin = s.spot AND b.node = 's' || n.node",
+    + f" END AS ring FROM near_goals) WHERE ring IS NOT NULL) WHERE ring = least AND d <= {CLICK_M}) n ON n.region = s.region JOIN best b ON b.origin = s.spot AND b.node = 's' || n.node",
     "chosen": f"SELECT spot, region, min(total) AS total, arg_min(node, (total, node)) AS by_time, arg_min(d, (total, node)) AS walk, arg_min(node, (d, node)) AS by_way, arg_min(cost, (d, node)) AS near_cost FROM ends GROUP BY spot, region",
 }
 CHOSEN = f"SELECT spot, region, CASE WHEN total > {LIMIT} THEN by_way ELSE by_time END AS node, round(CASE WHEN total > {LIMIT} THEN near_cost ELSE total END, 2) AS seconds, round(CASE WHEN total > {LIMIT} THEN 0 ELSE walk END, 3) AS walk_m, total > {LIMIT} AS snapped FROM chosen"
