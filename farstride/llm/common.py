@@ -17,6 +17,8 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: bytes.translate table that lower-cases A-Z only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U = np.uint64
+#: Rows that Spark hands to Python at once.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,9 @@ class Scratch:
 
     A saved table cuts the lineage like a checkpoint, is stored once in compressed columns,
     and survives the loss of any executor. clear() deletes the tables and destroys the broadcasts made here.
+
+    As all operators begin with one, it also bounds what Spark hands to Python at once: whole texts can be long, and Spark, Arrow and
+    Python each hold a copy of a batch. A smaller number that the session has set stays.
     """
 
     def __init__(self, spark: SparkSession):
@@ -39,6 +44,9 @@ class Scratch:
             root = "file://" + tempfile.mkdtemp(prefix="scratch-")  # one machine only
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root}/{uuid.uuid4().hex}"
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         atexit.register(self.clear)
 
     def broadcast(self, value):
@@ -82,7 +90,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def batches(texts: list, limit: int = 1 << 19):
+def batches(texts: list, limit: int = 1 << 18):
     """Ranges of consecutive texts of about `limit` bytes (kernels hold some hundred times that); a longer text is a range of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -235,11 +235,10 @@ class Join:
             last, known = None, None
             for pdf in parts:
                 keep = []
-                texts = [zlib.decompress(t) for t in pdf["text_a"]]
-                for (_, x, _), b, text in zip(sets(texts, n), pdf["b"], pdf["text_b"], strict=True):
+                for packed_a, b, text in zip(pdf["text_a"], pdf["b"], pdf["text_b"], strict=True):  # one text at a time is unpacked
                     if (b, text) != last:  # rows come sorted by b
                         last, known = (b, text), next(sets([zlib.decompress(text)], n))[1]
-                    keep.append(linked(x, known, percent))
+                    keep.append(linked(next(sets([zlib.decompress(packed_a)], n))[1], known, percent))
                 yield pdf.loc[keep, ["a", "b"]]
 
         out = scratch.save(both.mapInPandas(compare, "a long, b long").distinct(), f"{name}_links")
