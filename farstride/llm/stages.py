@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from . import decontaminate, jaccard, langid, mixing, sharding
 from .common import Scratch, table, unused
 
-#: Share of its words that the languages of a document's set must explain better than chance.
-MIN_SHARE = 0.5
-
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't among the stored ids; few ids are broadcast, more are joined by a shuffle."""
@@ -27,13 +24,13 @@ def stored(ids: DataFrame, own: Scratch) -> DataFrame:
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: letters, and a main language with MIN_SHARE of the words."""
+    """Keeps documents with a language, however many share the text; those without (no text, no letter) go."""
     model = langid.train(docs)
     if not model[0]:  # nothing to learn from: only texts without a letter are rejected
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = unused(docs, "found")
     told = docs.withColumn(found, langid.predictor(spark, model)(F.col("text")))
-    return told.filter((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= MIN_SHARE)).select(*docs.columns)
+    return told.filter(F.col(f"{found}.lang_pred") != "und").select(*docs.columns)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
