@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that have QUERIES and ORACLE.
-MODULES = ["alignment", "decontaminate", "jaccard", "langid", "lattice", "mixing", "neighbours", "pieces", "quality", "sharding", "suffixes", "tokens"]
+MODULES = ["alignment", "decontaminate", "jaccard", "langid", "lattice", "mixing", "negatives", "neighbours", "pieces", "quality", "sharding", "suffixes", "tokens"]
 
 
 def _all(what: str) -> dict:
