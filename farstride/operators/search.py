@@ -68,11 +68,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def walking(seeds: DataFrame, edges: DataFrame, places: DataFrame, at: DataFrame, limit: float, speed: float) -> DataFrame:
-    """Least walking cost (origin, node, cost) of every node within limit; seeds: (origin, node, cost), edges: priced, places: (node, lon, lat), at: (origin, lon, lat).
+def dealt(seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Seeds (origin, node, cost) and walks (src, dst, cost and both ends' lon and lat) by (tx, ty, lot), for searches within a task.
 
-    Origins are dealt by tiles as wide as anyone can walk within limit, each with the edges of its own and the
-    neighbouring tiles, in groups of about ORIGINS; so a group is bounded by the limit, whatever the number of origins.
+    Seeds are dealt by tiles as wide as anyone can walk within limit, each with the edges of its own and the neighbouring tiles, in lots of
+    about ORIGINS origins; so a group is bounded by the limit, whatever the number of origins. An origin may have seeds in several tiles: the least of their results counts.
     """
     tables = Tables(seeds.sparkSession)
     walks = edges.filter(F.col("kind") == WALK).select("src", "dst", F.col("cost0").alias("cost"))
@@ -83,41 +83,104 @@ def walking(seeds: DataFrame, edges: DataFrame, places: DataFrame, at: DataFrame
     stretch = walks.agg(F.max(straight / F.greatest(F.col("cost") * speed, F.lit(1.0)))).first()[0] or 1.0
     size = max(limit * speed * max(1.0, stretch), 1.0) / METRES_PER_DEGREE * 2  # of longitude, up to 60 degrees of latitude
     x, y = grid_cell("lon", "lat", size)
-    homes = tables.save(at.select("origin", x.alias("tx"), y.alias("ty")))
-    lots = homes.groupBy("tx", "ty").agg(F.ceil(F.count("*") / ORIGINS).alias("lots"))
+    homes = tables.save(seeds.select("origin", "node", "cost").join(places, "node").select("origin", "node", "cost", x.alias("tx"), y.alias("ty")))
+    lots = homes.groupBy("tx", "ty").agg(F.ceil(F.countDistinct("origin") / ORIGINS).alias("lots"))
     lot = F.pmod(F.xxhash64("origin"), F.col("lots"))
-    own = seeds.join(homes.join(small(tables.save(lots)), ["tx", "ty"]).select("origin", "tx", "ty", lot.alias("lot")), "origin")
+    own = homes.join(small(tables.save(lots)), ["tx", "ty"]).select("tx", "ty", lot.alias("lot"), "origin", "node", "cost")
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
     ex, ey = grid_cell("lon_src", "lat_src", size)
-    near = walks.withColumn("c", around).select("src", "dst", "cost", (ex + F.col("c.i")).alias("tx"), (ey + F.col("c.j")).alias("ty"))
-    near = near.join(small(tables.save(own.select("tx", "ty", "lot").distinct())), ["tx", "ty"])
+    near = walks.withColumn("c", around).select("*", (ex + F.col("c.i")).alias("tx"), (ey + F.col("c.j")).alias("ty")).drop("c")
+    return own, near.join(small(tables.save(own.select("tx", "ty", "lot").distinct())), ["tx", "ty"]), ["tx", "ty", "lot"]
+
+
+class Field:
+    """Least costs of all nodes of a group from each of its origins, and the round in which each was found."""
+
+    def __init__(self, seeds: pd.DataFrame, roads: pd.DataFrame, limit: float):
+        self.origins, col = np.unique(seeds["origin"].to_numpy(), return_inverse=True)
+        self.names, codes = np.unique(np.concatenate([seeds["node"], roads["src"], roads["dst"]]).astype(object), return_inverse=True)
+        row, src, dst = np.split(codes, [len(seeds), len(seeds) + len(roads)])
+        cost = np.full((len(self.names), len(self.origins)), np.inf)
+        np.minimum.at(cost, (row, col), seeds["cost"].to_numpy(float))
+        self.seeded, self.round = np.isfinite(cost), np.zeros(cost.shape, dtype=np.int32)
+        self.order = np.argsort(dst, kind="stable")
+        self.src, self.dst, self.length = src[self.order], dst[self.order], roads["cost"].to_numpy(float)[self.order]
+        moved = self.seeded.any(axis=1)
+        k = 0
+        while len(use := np.flatnonzero(moved[self.src])):  # edges from nodes that the round before improved, still by their ends
+            k += 1
+            ends, first = np.unique(self.dst[use], return_index=True)
+            through = cost[self.src[use]] + self.length[use][:, None]
+            through[through > limit] = np.inf
+            new = np.minimum.reduceat(through, first, axis=0)
+            better = new < cost[ends]
+            moved[:] = False
+            moved[ends] = better.any(axis=1)
+            cost[ends] = np.where(better, new, cost[ends])
+            self.round[ends] = np.where(better, k, self.round[ends])
+        self.cost = cost
+
+    def before(self, node: int, origin: int) -> int:
+        """The edge (a place in src) over which a node got its cost; of equals the one whose start has the first name. -1 at a seed."""
+        if not self.round[node, origin]:
+            return -1
+        lo, hi = np.searchsorted(self.dst, [node, node + 1])
+        src = self.src[lo:hi]
+        fits = (self.cost[src, origin] + self.length[lo:hi] == self.cost[node, origin]) & (self.round[src, origin] < self.round[node, origin])
+        return int(lo + np.flatnonzero(fits)[np.argmin(src[fits])])  # names are in order
+
+
+def walking(seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> DataFrame:
+    """Least walking cost (origin, node, cost) of every node within limit; seeds: (origin, node, cost), edges: priced, places: (node, lon, lat)."""
+    own, near, group = dealt(seeds, edges, places, limit, speed)
 
     def relax(mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
             return pd.DataFrame({"origin": [], "node": [], "cost": []})
-        origins, col = np.unique(mine["origin"].to_numpy(), return_inverse=True)
-        names, codes = np.unique(np.concatenate([mine["node"], roads["src"], roads["dst"]]).astype(object), return_inverse=True)
-        row, src, dst = np.split(codes, [len(mine), len(mine) + len(roads)])
-        cost = np.full((len(names), len(origins)), np.inf)
-        np.minimum.at(cost, (row, col), mine["cost"].to_numpy(float))
-        seeded = cost.copy()
-        order = np.argsort(dst, kind="stable")
-        src, dst, length = src[order], dst[order], roads["cost"].to_numpy(float)[order]
-        moved = np.isfinite(cost).any(axis=1)
-        while len(use := np.flatnonzero(moved[src])):  # edges from nodes that the round before improved, still by their ends
-            ends, first = np.unique(dst[use], return_index=True)
-            through = cost[src[use]] + length[use][:, None]
-            through[through > limit] = np.inf
-            new = np.minimum.reduceat(through, first, axis=0)
-            moved[:] = False
-            moved[ends] = (new < cost[ends]).any(axis=1)
-            cost[ends] = np.minimum(cost[ends], new)
-        i, j = np.nonzero((cost <= limit) | np.isfinite(seeded))
-        return pd.DataFrame({"origin": origins[j], "node": names[i], "cost": cost[i, j]})
+        field = Field(mine, roads, limit)
+        i, j = np.nonzero((field.cost <= limit) | field.seeded)
+        return pd.DataFrame({"origin": field.origins[j], "node": field.names[i], "cost": field.cost[i, j]})
 
     schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double"
-    group = ["tx", "ty", "lot"]
-    return own.select(*group, "origin", "node", "cost").groupBy(*group).cogroup(near.groupBy(*group)).applyInPandas(relax, schema)
+    found = own.groupBy(*group).cogroup(near.select(*group, "src", "dst", "cost").groupBy(*group)).applyInPandas(relax, schema)
+    return found.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+
+
+def walk_lines(asks: DataFrame, seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> DataFrame:
+    """The way of each asked walk (origin, node): (origin, node, cost, nodes, lons, lats), from the seed on; seeds of other origins are left out.
+
+    Nothing is stored by the search: a node's predecessor is a neighbour whose cost and edge add up to its own, found within the group that searches.
+    """
+    asks = Tables(asks.sparkSession).save(asks.select("origin", "node").distinct())
+    own, near, group = dealt(seeds.join(asks.select("origin").distinct(), "origin", "left_semi"), edges, places, limit, speed)
+    goals = asks.groupBy("origin").agg(F.collect_list("node").alias("goals"))  # the ends of one origin's asked walks
+    at = places.select("node", F.col("lon").alias("lon"), F.col("lat").alias("lat"))
+
+    def trace(mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(mine):
+            field = Field(mine, roads, limit)
+            code = {n: i for i, n in enumerate(field.names)}
+            where = dict(zip(roads["src"], zip(roads["lon_src"], roads["lat_src"], strict=True), strict=True)) | dict(zip(roads["dst"], zip(roads["lon_dst"], roads["lat_dst"], strict=True), strict=True))
+            where |= dict(zip(mine["node"], zip(mine["lon"], mine["lat"], strict=True), strict=True))
+            for j, (origin, ends) in enumerate(mine.drop_duplicates("origin").set_index("origin")["goals"].sort_index().items()):
+                for end in ends:
+                    i = code.get(end, -1)
+                    if i < 0 or not np.isfinite(field.cost[i, j]):
+                        continue
+                    way = [i]
+                    while (edge := field.before(way[-1], j)) >= 0:
+                        way.append(int(field.src[edge]))
+                    names = field.names[way[::-1]].tolist()
+                    lons, lats = zip(*(where[n] for n in names), strict=True)
+                    rows.append((origin, end, field.cost[i, j], names, list(lons), list(lats)))
+        return pd.DataFrame(rows, columns=["origin", "node", "cost", "nodes", "lons", "lats"])
+
+    schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double, nodes array<string>, lons array<double>, lats array<double>"
+    own = own.join(goals, "origin").join(at, "node")
+    found = own.groupBy(*group).cogroup(near.select(*group, *(c for c in near.columns if c not in group)).groupBy(*group)).applyInPandas(trace, schema)
+    least = found.groupBy("origin", "node").agg(F.min(F.struct("cost", "nodes", "lons", "lats")).alias("m"))
+    return least.select("origin", "node", "m.*")
 
 
 def paths(labels: DataFrame, targets: DataFrame) -> DataFrame:
@@ -140,42 +203,47 @@ def paths(labels: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 class Reach:
-    """Least costs within limit from all origins. best has (origin, node, cost) of streets and stops, the cheaper of walking and riding.
+    """Least costs within limit from all origins. best has (origin, node, cost, ridden) of streets and stops, the cheaper of walking and riding.
 
-    seeds: (origin, node, cost), edges: priced, places: (node, lon, lat) of streets and stops, at: (origin, lon, lat).
+    seeds: (origin, node, cost), edges: priced, places: (node, lon, lat) of streets and stops.
     Every ride is walk to a stop, rides and walks between stops, and walk from the last stop; the three parts are exact, and so is their least sum.
+    The last walk is one search from all stops where an origin arrives, with its arrival times as first costs.
     """
 
-    def __init__(self, seeds: DataFrame, edges: DataFrame, places: DataFrame, at: DataFrame, limit: float, speed: float):
+    def __init__(self, seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float):
         tables = Tables(seeds.sparkSession)
-        edges, places = tables.save(edges), tables.save(places)
+        self.seeds, self.limit, self.speed = seeds, limit, speed
+        self.edges, self.places = edges, places = tables.save(edges), tables.save(places)
         stop = F.col("node").startswith("p")
-        stops = places.filter(stop)
-        self.walks = tables.save(walking(seeds, edges, places, at, limit, speed))
-        out = walking(stops.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost")), edges, places, stops.select(F.col("node").alias("origin"), "lon", "lat"), limit, speed)
-        self.from_stop = tables.save(out.withColumnRenamed("origin", "stop"))
+        self.walks = tables.save(walking(seeds, edges, places, limit, speed))
+        self.stop_seeds = places.filter(stop).select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
+        self.from_stop = tables.save(walking(self.stop_seeds, edges, places, limit, speed).withColumnRenamed("origin", "stop"))
         between = self.from_stop.filter(stop & (F.col("stop") != F.col("node"))).select(F.col("stop").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1"))
         hubs = edges.filter(F.col("kind") != WALK).unionByName(between)
-        first = self.walks.filter(stop).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk"))
+        first = self.walks.filter(stop & (F.col("cost") <= limit)).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk"))
         used = first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
         self.rides = tables.save(search(used, hubs, limit))
         legs = self.rides.filter(stop & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
         total = F.col("walk") + F.col("ride")
         arrived = first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
         self.arrived = tables.save(arrived.select("origin", "alight", "m.cost", "m.board").repartition("origin"))
-        last = small(self.from_stop.select(F.col("stop").alias("alight"), "node", F.col("cost").alias("walk")))
-        total = F.col("cost") + F.col("walk")
-        ridden = self.arrived.join(last, "alight").filter(total <= limit).groupBy("origin", "node").agg(F.min(F.struct(total.alias("cost"), "alight")).alias("m"))
-        self.ridden = ridden.select("origin", "node", F.col("m.cost").alias("cost"), F.col("m.alight").alias("alight"))
-        both = self.walks.select("origin", "node", "cost", F.lit(None).cast("string").alias("alight")).unionByName(self.ridden)
-        # walking wins ties
-        least = both.groupBy("origin", "node").agg(F.min(F.struct("cost", F.coalesce("alight", F.lit("")).alias("alight"))).alias("m"))
-        self.best = least.select("origin", "node", F.col("m.cost").alias("cost"), F.nullif(F.col("m.alight"), F.lit("")).alias("alight"))
+        self.ridden = walking(self.arrived.select("origin", F.col("alight").alias("node"), "cost"), edges, places, limit, speed)
+        both = self.walks.withColumn("ridden", F.lit(False)).unionByName(self.ridden.withColumn("ridden", F.lit(True)))
+        least = both.groupBy("origin", "node").agg(F.min(F.struct("cost", "ridden")).alias("m"))  # walking wins ties
+        self.best = least.select("origin", "node", "m.cost", "m.ridden")
+
+    def ends(self, targets: DataFrame) -> DataFrame:
+        """(origin, node, cost, alight, board, ride_cost) of targets (origin, node): where the last ride ends and the first begins, null for mere walks."""
+        known = Tables(targets.sparkSession).save(targets.select("origin", "node").distinct().join(self.best, ["origin", "node"]))
+        last = known.filter("ridden").select("origin", "node").join(self.arrived.withColumnRenamed("cost", "ride_cost"), "origin")
+        last = last.join(self.from_stop.select(F.col("stop").alias("alight"), "node", F.col("cost").alias("last")), ["alight", "node"])
+        via = last.groupBy("origin", "node").agg(F.min(F.struct((F.col("ride_cost") + F.col("last")).alias("sum"), "alight", "board", "ride_cost")).alias("m"))
+        return known.drop("ridden").join(via.select("origin", "node", "m.alight", "m.board", "m.ride_cost"), ["origin", "node"], "left")
 
     def paths(self, targets: DataFrame) -> DataFrame:
         """(origin, target, step, node, boarded, cost) back from each (origin, node) of targets, by the stops and route nodes passed; a walk is one step."""
         tables = Tables(targets.sparkSession)
-        ends = tables.save(targets.join(self.best, ["origin", "node"]).join(self.arrived.select("origin", "alight", F.col("cost").alias("ride_cost"), "board"), ["origin", "alight"], "left"))
+        ends = tables.save(self.ends(targets))
         starts = self.walks.select("origin", F.col("node").alias("board"), F.col("cost").alias("offset"))
         chain = ends.filter(F.col("alight").isNotNull()).select("origin", F.col("node").alias("target"), "board", F.col("alight").alias("node"), F.lit(1).alias("boarded"))
         chain = chain.join(starts, ["origin", "board"])

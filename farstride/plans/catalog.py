@@ -412,16 +412,16 @@ def node_places(spark, sf):
     return named("s", view(spark, sf, "street_nodes"), "node").unionByName(named("p", view(spark, sf, "stops"), "stop"))
 
 
-def reach(spark, sf, seeds, at, modes=None, period=None, **params):
+def reach(spark, sf, seeds, modes=None, period=None, **params):
     mode_of = view(spark, sf, "routes").select("route", scalars.mode_group("route_type").alias("mode"))
     settings = search.PARAMS | {"speed": SPEED} | params
     edges = search.priced(graph_edges(spark, sf), settings, modes, mode_of, period)
-    return search.Reach(seeds, edges, node_places(spark, sf), at, settings["limit_s"], settings["speed"])
+    return search.Reach(seeds, edges, node_places(spark, sf), settings["limit_s"], settings["speed"])
 
 
 def from_streets(spark, sf, **settings):
-    nodes = view(spark, sf, "street_nodes").select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"), "lon", "lat")
-    return reach(spark, sf, nodes.select("origin", "node", "cost"), nodes.select("origin", "lon", "lat"), **settings)
+    seeds = view(spark, sf, "street_nodes").select(F.col("node").alias("origin"), graph.node_name("s", "node").alias("node"), F.lit(0.0).alias("cost"))
+    return reach(spark, sf, seeds, **settings)
 
 
 def reached(found):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo, scalars
-from ..operators import raster, score, search, streets
-from ..sources.surrogate import oracle
-from .catalog import LIMIT, SPEED, graphed, node_places, query, reach, rounded, samples, street_points
+from ..operators import graph, itineraries, raster, score, search, streets
+from ..sources.surrogate import oracle, view
+from .catalog import LIMIT, SPEED, graphed, hops, node_places, query, reach, rounded, samples, street_points
 
 RINGS = (1, 2, 4, 8, 16)
 #: Radius of first streets and of a destination, in metres.
@@ -65,7 +65,7 @@ def _(spark, sf):
 
 def from_spots(spark, sf, **settings):
     seeds = first_streets(spark, sf).select(F.col("spot").alias("origin"), F.concat(F.lit("s"), F.col("node")).alias("node"), (F.col("d") / SPEED).alias("cost"))
-    return reach(spark, sf, seeds, spots(spark, sf).select(F.col("spot").alias("origin"), "lon", "lat"), **settings)
+    return reach(spark, sf, seeds, **settings)
 
 
 def reached(found):
@@ -153,18 +153,67 @@ def _(spark, sf):
     return rounded(rounded(out, "seconds", digits=2), "walk_m")
 
 
-def spot_legs(spark, sf):
+def ticked(sql: str) -> str:
+    """A search's SQL in whole microseconds, times 4,096, plus one an edge: ties go to fewer edges, exactly."""
+    tick = "CAST(round({} * 1e6) AS BIGINT) * 4096"
+    sql = sql.replace(f"CAST(d / {SPEED!r} AS DOUBLE)", tick.format(f"d / {SPEED!r}"))
+    sql = sql.replace("costs AS (SELECT src,", f"costs AS (SELECT src, dst, kind, {tick.format('cost0')} + 1 AS cost0, {tick.format('cost1')} + 1 AS cost1 FROM (SELECT src,").replace("IS NOT NULL))", "IS NOT NULL)))")
+    top = f"CAST({LIMIT} * 1000000 * 4096 + 4095 AS BIGINT)"
+    sql = sql.replace(f"<= {LIMIT} AND (r.cost IS NULL", f"<= {top} AND (r.cost IS NULL")
+    return sql.replace(f"min(cost) AS cost FROM d WHERE cost <= {LIMIT}", f"(min(cost) // 4096) / 1e6 AS cost FROM d WHERE cost <= {top}")
+
+
+WAY = {
+    "final": f"SELECT spot, CASE WHEN total > {LIMIT} THEN by_way ELSE by_time END AS node, CASE WHEN total > {LIMIT} THEN 0 ELSE walk END AS walk FROM chosen",
+    "before": "SELECT n.origin, n.node, n.boarded, min((m.node, m.boarded)) AS pred FROM d n JOIN costs e ON e.dst = n.node JOIN d m ON m.origin = n.origin AND m.node = e.src AND n.boarded = CASE WHEN e.kind = 1 THEN 1 ELSE m.boarded END"
+    " WHERE m.cost + CASE WHEN e.kind = 1 AND m.boarded = 0 THEN e.cost0 ELSE e.cost1 END = n.cost GROUP BY ALL",
+    "way(spot, node, boarded, i)": "SELECT f.spot, f.node, arg_min(d.boarded, (d.cost // 4096, d.boarded)), 0 FROM final f JOIN d ON d.origin = f.spot AND d.node = f.node GROUP BY ALL UNION ALL SELECT w.spot, b.pred[1], b.pred[2], i + 1 FROM way w JOIN before b ON b.origin = w.spot AND b.node = w.node AND b.boarded = w.boarded",
+    "placed": "SELECT w.*, (d.cost // 4096) / 1e6 AS cost, CASE WHEN w.node LIKE 'r%' THEN split_part(substr(w.node, 2), ':', 1) END AS line FROM way w JOIN d ON d.origin = w.spot AND d.node = w.node AND d.boarded = w.boarded",
+    "step": "SELECT *, lag(node) OVER o AS b, lead(node) OVER o AS a, lag(cost) OVER o AS cost_b, lag(line) OVER o IS DISTINCT FROM line OR lag(node) OVER o IS NULL AS turn FROM placed WINDOW o AS (PARTITION BY spot ORDER BY i DESC)",
+    "numbered": "SELECT *, sum(turn::INT) OVER (PARTITION BY spot ORDER BY i DESC) AS leg FROM step",
+    "leg": "SELECT spot, leg, max(line) AS route, arg_max(b, i) AS b, arg_min(a, i) AS a, CASE WHEN leg = 1 THEN 0 ELSE arg_max(cost, i) END AS begin, arg_min(cost, i) AS end, arg_max(cost, i) - arg_max(cost_b, i) AS penalty, count(*) - 1 AS hops FROM numbered GROUP BY spot, leg",
+    "timed_leg": f"SELECT l.*, l.end - l.begin + CASE WHEN route IS NULL AND leg = max(leg) OVER (PARTITION BY spot) THEN f.walk / {SPEED!r} ELSE 0 END AS seconds, f.walk FROM leg l JOIN final f USING (spot)",
+}
+ITINERARY = (
+    f"SELECT spot, CAST(row_number() OVER (PARTITION BY spot ORDER BY leg) AS INT) AS leg, CASE WHEN route IS NULL THEN 'walk' ELSE 'ride' END AS kind, route, x.name AS from_stop, y.name AS to_stop, CASE WHEN route IS NOT NULL THEN hops END AS hops, round(seconds, 2) AS seconds,"
+    f" CASE WHEN route IS NOT NULL THEN round(penalty, 2) END AS penalty, CASE WHEN route IS NULL THEN round(seconds * {SPEED!r}, 1) END AS metres, round(walk, 2) AS final_walk_m"
+    " FROM timed_leg LEFT JOIN stops x ON route IS NOT NULL AND b = 'p' || x.stop LEFT JOIN stops y ON route IS NOT NULL AND a = 'p' || y.stop WHERE route IS NOT NULL OR seconds > 0.5"
+)
+
+
+def hop_lines(spark, sf):
+    """Shapes of hops in degrees: through a point beside the middle, for the pairs of stops whose numbers differ by an even one; others have none."""
+    at = view(spark, sf, "stops").select("stop", "lon", "lat")
+    a, b = (at.select(*(F.col(c).alias(f"{c}_{k}") for c in ("stop", "lon", "lat"))) for k in "ab")
+    pairs = hops(spark, sf).select("route", F.col("from_stop").alias("stop_a"), F.col("to_stop").alias("stop_b")).filter((F.col("stop_a") - F.col("stop_b")) % 2 == 0).join(a, "stop_a").join(b, "stop_b")
+    middle = lambda c: (F.col(f"{c}_a") + F.col(f"{c}_b")) / 2 + 1e-4
+    line = lambda c: F.array(f"{c}_a", middle(c), f"{c}_b").alias(f"{c}s")
+    return pairs.select("route", F.col("stop_a").alias("from_stop"), F.col("stop_b").alias("to_stop"), line("lon"), line("lat"))
+
+
+def spot_ways(spark, sf):
     found, ends = destinations(spark, sf)
-    return search.legs(found.paths(ends.select("origin", "node"))), ends
+    goals = table(spark, sf, GOALS, "region").withColumnRenamed("region", "goal")
+    names = view(spark, sf, "stops").select(graph.node_name("p", "stop").alias("node"), "name")
+    return itineraries.itineraries(found, ends.withColumnRenamed("region", "goal"), spots(spark, sf).withColumnRenamed("spot", "origin"), goals, names, hop_lines(spark, sf))
 
 
-@query("spot_itineraries")
+@query("spot_itineraries", ticked(reach_sql(ITINERARY, **DESTINED, **WAY)))
 def _(spark, sf):
-    return spot_legs(spark, sf)[0]
+    legs = spot_ways(spark, sf).select(F.col("origin").alias("spot"), "leg", "kind", "route", "from_stop", "to_stop", "hops", "seconds", "penalty", "metres", "final_walk_m")
+    return rounded(rounded(legs, "seconds", "penalty", "final_walk_m", digits=2), "metres", digits=1)
 
 
-@query("spot_itinerary_seconds", reach_sql(f"SELECT spot, round(CASE WHEN total > {LIMIT} THEN near_cost ELSE total - walk / {SPEED!r} END, 2) AS seconds FROM chosen", **DESTINED))
+@query("spot_itinerary_lines")
 def _(spark, sf):
-    legs, ends = spot_legs(spark, sf)
-    spent = legs.groupBy("origin").agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))).alias("seconds"))
-    return ends.select("origin").join(spent, "origin", "left").select(F.col("origin").alias("spot"), F.round(F.coalesce("seconds", F.lit(0.0)), 2).alias("seconds"))
+    """One line for each leg, as a picture draws it."""
+    return spot_ways(spark, sf).select(F.col("origin").alias("spot"), "leg", "kind", "lons", "lats")
+
+
+@query("spot_itinerary_seconds", reach_sql(f"SELECT spot, round(CASE WHEN total > {LIMIT} THEN near_cost ELSE total END, 2) AS seconds FROM chosen", **DESTINED))
+def _(spark, sf):
+    found, ends = destinations(spark, sf)
+    legs = search.legs(found.paths(ends.select("origin", "node")))
+    spent = legs.groupBy("origin").agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))).alias("spent"))
+    whole = F.coalesce("spent", F.lit(0.0)) + F.col("walk_m") / SPEED
+    return ends.join(spent, "origin", "left").select(F.col("origin").alias("spot"), F.round(whole, 2).alias("seconds"))

@@ -89,7 +89,7 @@ def test_search_prefers_the_cheaper_way(spark, wait, s1):
     best = {r.node: r.cost for r in search.best(labels).collect()}
     assert best["s0"] == 0 and best["p0"] == 0 and best["s1"] == s1 and best["p1"] == s1
     places = spark.createDataFrame([("s0", 0.0, 0.0), ("p0", 0.0, 0.0), ("s1", 0.009, 0.0), ("p1", 0.009, 0.0)], "node string, lon double, lat double")
-    found = search.Reach(seeds, costs, places, spark.createDataFrame([(1, 0.0, 0.0)], "origin long, lon double, lat double"), 3600.0, 1.0)
+    found = search.Reach(seeds, costs, places, 3600.0, 1.0)
     assert {r.node: r.cost for r in found.best.collect()} == {n: c for n, c in best.items() if n[0] != "r"}
     target = spark.createDataFrame([(1, "s1")], "origin long, node string")
     for path in (search.paths(labels, target), found.paths(target)):
@@ -121,7 +121,7 @@ def test_reach_agrees_with_the_search_on_a_network(spark):
     origins = places.filter("node like 's%'").select(F.col("node").alias("origin"), "lon", "lat")
     seeds = origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))
     want = {(r.origin, r.node): r.cost for r in search.best(search.search(seeds, costs, 900.0)).collect() if r.node[0] != "r"}
-    found = search.Reach(seeds, costs, places, origins, 900.0, 1.0)
+    found = search.Reach(seeds, costs, places, 900.0, 1.0)
     got = {(r.origin, r.node): r.cost for r in found.best.collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     far = found.best.groupBy("origin").agg(F.max(F.struct("cost", "node")).alias("f")).select("origin", "f.node", "f.cost")
