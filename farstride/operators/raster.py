@@ -80,6 +80,50 @@ def chamfer(cells: DataFrame, speed: float, limit: float, cell: float = CELL_M,
     return sized.groupBy("origin").applyInPandas(sweep, "origin long, cx long, cy long, cost double")
 
 
+def two_sweeps(time: np.ndarray, side: float, speed: float, limit: float, reach: float) -> np.ndarray:
+    """A grid of first times (single precision, infinite where none) after both sweeps: each label walks on over the grid, up to reach metres.
+
+    A border of one cell around the grid spares the corners their cases; the second sweep is the first one on the grid turned round.
+    """
+    t, gone = (np.pad(x, 1, constant_values=np.inf) for x in (time.astype(np.float32), np.where(np.isfinite(time), 0, np.inf).astype(np.float32)))
+    moves = [(0, -1, side), (-1, 0, side), (-1, -1, side * math.sqrt(2)), (-1, 1, side * math.sqrt(2))]
+    for _ in range(2):
+        for ys, xs in waves(t.shape[1], t.shape[0]):
+            for dy, dx, d in moves:
+                new, far = t[ys + dy, xs + dx].astype(float) + d / speed, gone[ys + dy, xs + dx].astype(float) + d
+                on = (far <= reach) & (new < t[ys, xs]) & (new <= limit)
+                if on.any():
+                    t[ys[on], xs[on]], gone[ys[on], xs[on]] = new[on], far[on]
+        t, gone = t[::-1, ::-1], gone[::-1, ::-1]
+    return t[1:-1, 1:-1]
+
+
+def scores(reached: DataFrame, origins: DataFrame, speed: float, limit: float, cell: float = CELL_M, reach: float = SPLAT_M, most: int = MAX_CELLS) -> DataFrame:
+    """(origin, km2, cells, nodes): the area that each of origins (origin, lat) reaches, 0 where nothing is reached.
+
+    reached: (origin, lon, lat, cost) within limit. An origin's grid covers its reached points and `reach` metres around them, from that box's own corner,
+    in cells of `cell` metres at the origin's latitude, wider ones where it would have over `most`. A group is one origin's points, bounded by the limit.
+    """
+
+    def area(key, pdf):
+        unit, x, y = pdf["unit"].iloc[0], pdf["mx"].to_numpy(), pdf["my"].to_numpy()
+        pad, size = reach / unit, cell / unit
+        x0, y0, wide, high = x.min() - pad, y.min() - pad, np.ptp(x) + 2 * pad, np.ptp(y) + 2 * pad
+        if wide * high / (size * size) > most:
+            size = math.sqrt(wide * high / most)
+        w, h = max(1, math.ceil(wide / size)), max(1, math.ceil(high / size))
+        time = np.full((h, w), np.inf, dtype=np.float32)
+        at = (np.minimum(h - 1, (y - y0) // size).astype(int), np.minimum(w - 1, (x - x0) // size).astype(int))
+        np.minimum.at(time, at, pdf["cost"].to_numpy(np.float32))
+        cells = int((two_sweeps(time, size * unit, speed, limit, reach) <= limit).sum())
+        return pd.DataFrame({"origin": [key[0]], "km2": [cells * (size * unit) ** 2 / 1e6], "cells": [cells], "nodes": [len(pdf)]})
+
+    at = origins.select("origin", meters_per_mercator_unit("lat").alias("unit"))
+    rows = reached.filter(F.col("cost") <= limit).select("origin", mercator_x("lon").alias("mx"), mercator_y("lat").alias("my"), "cost").join(at, "origin")
+    found = rows.groupBy("origin").applyInPandas(area, f"origin {origins.schema['origin'].dataType.simpleString()}, km2 double, cells long, nodes long")
+    return origins.select("origin").join(found, "origin", "left").fillna({"km2": 0.0, "cells": 0, "nodes": 0})
+
+
 def area_km2(painted: DataFrame, cell: float = CELL_M) -> DataFrame:
     return painted.groupBy("origin").agg(F.count("*").alias("cells"), (F.count("*") * (cell * cell / 1e6)).alias("km2"))
 

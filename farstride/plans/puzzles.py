@@ -10,6 +10,7 @@ from ..sources.surrogate import oracle, view
 from ..streaming import requests
 from .catalog import cells, flat, painted, query, rounded, street_points
 from .catalog import GRID as RASTER
+from .spots import sampled
 
 #: First day, and the areas' radius, grid step, least share on land, and gates.
 FIRST_DAY, RADIUS_M, STEP_M = "2026-09-30", 1000, 150
@@ -38,13 +39,7 @@ MIXED = f"SELECT i, (xor(t2, t2 >> 14)) / 4294967296.0 AS r FROM (SELECT i, xor(
 
 @query("sampled_nodes", oracle("SELECT i, CAST(floor(r * (SELECT count(*) FROM street_nodes)) AS BIGINT) AS id, node, round(lon, 6) AS lon, round(lat, 6) AS lat FROM mixed JOIN (SELECT *, row_number() OVER (ORDER BY node) - 1 AS id FROM street_nodes) k ON k.id = CAST(floor(r * (SELECT count(*) FROM street_nodes)) AS BIGINT)", "street_nodes", mixed=MIXED))
 def _(spark, sf):
-    """The 2,000 street nodes (with replacement) at which a score distribution is sampled."""
-    from ..operators import graph
-
-    nodes = graph.dense_ids(view(spark, sf, "street_nodes"), ["node"], "id")
-    count = nodes.agg(F.count("*").alias("nodes"))  # one row
-    picks = spark.range(2000).withColumnRenamed("id", "i").crossJoin(F.broadcast(count)).select("i", F.floor(schedule.nth_draw(F.col("i"), schedule.NODE_SEED) * F.col("nodes")).alias("id"))
-    return picks.join(nodes, "id").select("i", "id", "node", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    return rounded(sampled(spark, sf), "lon", "lat", digits=6)
 
 
 AREAS = "SELECT CAST(CAST(o_orderdate AS DATE) AS DATE) AS day, 'area ' || (o_custkey % 400) AS name, -122.5e0 + ((o_custkey * 7919) % 1000) * 8e-4 AS lon, 37.5e0 + ((o_custkey * 104729) % 1000) * 7.6e-4 AS lat, o_orderkey AS k FROM orders"

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo, scalars
-from ..operators import graph, itineraries, raster, score, search, streets
+from ..operators import graph, itineraries, raster, schedule, score, search, streets
+from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
 from .catalog import LIMIT, SPEED, graphed, hops, node_places, query, reach, rounded, samples, street_points
 
@@ -53,9 +54,13 @@ def spots(spark, sf):
     return table(spark, sf, SPOTS, "nation")
 
 
+def near_streets(spark, sf, at):
+    """The street nodes that a search from each of at (id, lon, lat) begins with: (id, node, d)."""
+    return streets.ring_search(at, street_points(spark, sf), SEED_M, RINGS).select("id", F.col("other").alias("node"), "d")
+
+
 def first_streets(spark, sf):
-    at = spots(spark, sf).select(F.col("spot").alias("id"), "lon", "lat")
-    return streets.ring_search(at, street_points(spark, sf), SEED_M, RINGS).select(F.col("id").alias("spot"), F.col("other").alias("node"), "d")
+    return near_streets(spark, sf, spots(spark, sf).select(F.col("spot").alias("id"), "lon", "lat")).withColumnRenamed("id", "spot")
 
 
 @query("spot_seeds", oracle("SELECT spot, node, round(d, 3) AS d FROM seeds", "street_nodes", spots=SPOTS, seeds=ringed("spots", "spot", SEED_M, "street_nodes", "node")))
@@ -63,11 +68,24 @@ def _(spark, sf):
     return rounded(first_streets(spark, sf), "d")
 
 
-def from_spots(spark, sf, **settings):
-    seeds = first_streets(spark, sf).select(F.col("spot").alias("origin"), F.concat(F.lit("s"), F.col("node")).alias("node"), (F.col("d") / SPEED).alias("cost"))
+def from_points(spark, sf, at, **settings):
+    """A search from all of at (id, lon, lat)."""
+    speed = settings.get("speed", SPEED)
+    seeds = near_streets(spark, sf, at).select(F.col("id").alias("origin"), F.concat(F.lit("s"), F.col("node")).alias("node"), (F.col("d") / speed).alias("cost"))
     return reach(spark, sf, seeds, **settings)
 
 
+def from_spots(spark, sf, **settings):
+    return from_points(spark, sf, spots(spark, sf).select(F.col("spot").alias("id"), "lon", "lat"), **settings)
+
+
+def exact_scores(spark, sf, at, **settings):
+    """(origin, km2, cells, nodes) of all of at (id, lon, lat), as the two sweeps paint it."""
+    limit, speed = settings.get("limit_s", LIMIT), settings.get("speed", SPEED)
+    found = from_points(spark, sf, at, **settings).best.select("origin", "node", "cost").join(node_places(spark, sf), "node")
+    return raster.scores(found, at.select(F.col("id").alias("origin"), "lat"), speed, limit)
+
+
 def reached(found):
     return found.best.filter(F.col("cost") <= LIMIT).select("origin", "node", "cost")
 
@@ -121,6 +139,34 @@ def _(spark, sf):
     return rounded(scores(spark, sf), "km2", digits=4)
 
 
+@query("spot_exact_scores")
+def _(spark, sf):
+    """As spot_scores, by the two sweeps: a spot that reaches nothing has 0."""
+    return rounded(exact_scores(spark, sf, spots(spark, sf).select(F.col("spot").alias("id"), "lon", "lat")), "km2", digits=4)
+
+
+def sampled(spark, sf):
+    """(i, id, node, lon, lat): the 2,000 street nodes (with replacement) at which a score distribution is sampled."""
+    nodes = graph.dense_ids(view(spark, sf, "street_nodes"), ["node"], "id")
+    count = nodes.agg(F.count("*").alias("nodes"))  # one row
+    picks = spark.range(2000).withColumnRenamed("id", "i").crossJoin(F.broadcast(count)).select("i", F.floor(schedule.nth_draw(F.col("i"), schedule.NODE_SEED) * F.col("nodes")).alias("id"))
+    return picks.join(nodes, "id").select("i", "id", "node", "lon", "lat")
+
+
+def sampled_scores(spark, sf):
+    """(i, km2) of the sampled street nodes at rush hour, to 0.01 km2; a node that is drawn again is searched once."""
+    drawn = checkpointed(sampled(spark, sf))
+    at = drawn.groupBy("node").agg(F.first("lon").alias("lon"), F.first("lat").alias("lat")).select(F.col("node").alias("id"), "lon", "lat")
+    found = exact_scores(spark, sf, at, period="s_rush").select(F.col("origin").alias("node"), (F.floor(F.col("km2") * 100 + 0.5) / 100).alias("km2"))
+    return drawn.join(found, "node").select("i", "km2")
+
+
+@query("score_distribution")
+def _(spark, sf):
+    """The sorted scores of the sampled nodes."""
+    return graph.dense_ids(sampled_scores(spark, sf), ["km2", "i"], "place").select("place", "km2")
+
+
 @query("spot_percentiles", reach_sql("SELECT origin, round(km2, 2) AS km2, round(100.0 * (SELECT count(*) FROM km b WHERE round(b.km2, 2) < round(a.km2, 2)) / (SELECT count(*) FROM km), 6) AS pct FROM km a", **SCORED))
 def _(spark, sf):
     own = scores(spark, sf).select("origin", F.round("km2", 2).alias("km2"))
