@@ -116,5 +116,6 @@ def test_stops_of_a_loop_are_not_placed_backwards():
 
     line = np.array([[0.0, 0.0], [1000.0, 0.0], [1000.0, 500.0], [0.0, 500.0]])
     stops = np.array([[100.0, 5.0], [900.0, 5.0], [850.0, 5.0], [100.0, 490.0]])
-    assert shapes.located(line, stops) == [0, 0, 0, 2]
-    assert shapes.simplify(np.array([[0.0, 0.0], [50.0, 2.0], [100.0, 0.0], [150.0, 40.0], [200.0, 0.0]])).tolist() == [[0, 0], [100, 0], [150, 40], [200, 0]]
+    assert shapes.placed(line, np.array([4]), stops, np.array([4])).tolist() == [0, 0, 0, 2]
+    bent = np.array([[0.0, 0.0], [50.0, 2.0], [100.0, 0.0], [150.0, 40.0], [200.0, 0.0]])
+    assert shapes.kept(np.vstack([bent, bent[:2]]), np.array([5, 2])).tolist() == [True, False, True, True, True, True, True]
