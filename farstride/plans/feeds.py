@@ -23,28 +23,48 @@ def _(spark, sf):
 FEEDS = "SELECT feed || ':' || (s_suppkey % 60) AS stop, feed, s_suppkey AS ord, CASE WHEN s_suppkey % 7 = 0 THEN 'none' ELSE '1.5' END AS lon, CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE CAST(s_suppkey AS {text}) END AS lat FROM (SELECT 'a' AS feed, * FROM supplier UNION ALL SELECT 'b' AS feed, * FROM supplier WHERE s_nationkey < 9)"
 
 
-@query("feed_stops", oracle("SELECT stop, feed, ord, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY stop ORDER BY feed, ord) AS k FROM feeds WHERE try_cast(lon AS DOUBLE) IS NOT NULL AND try_cast(lat AS DOUBLE) IS NOT NULL) WHERE k = 1", feeds=FEEDS.format(text="VARCHAR")))
+@query("feed_stops", oracle("SELECT stop, feed, ord, try_cast(lon AS DOUBLE) AS lon, try_cast(lat AS DOUBLE) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY stop ORDER BY feed, ord) AS k FROM feeds) WHERE k = 1 AND try_cast(lon AS DOUBLE) IS NOT NULL AND try_cast(lat AS DOUBLE) IS NOT NULL", feeds=FEEDS.format(text="VARCHAR")))
 def _(spark, sf):
     spark.read.parquet(f"{sf}/supplier.parquet").createOrReplaceTempView("supplier")
-    return hygiene.first_rows(hygiene.located(spark.sql(FEEDS.format(text="STRING"))), ["stop"], ["feed", "ord"]).select("stop", "feed", "ord", "lon", "lat")
+    # the first of repeated stops counts, even one without a place
+    return hygiene.located(hygiene.first_rows(spark.sql(FEEDS.format(text="STRING")), ["stop"], ["feed", "ord"])).select("stop", "feed", "ord", "lon", "lat")
 
 
 ROUTES = "SELECT route, CASE WHEN route % 7 <> 0 THEN CAST(agency AS BIGINT) END AS agency, CASE WHEN route % 3 = 0 THEN 'R' || route WHEN route % 3 = 1 THEN '' END AS short, CASE WHEN route % 2 = 0 THEN 'Line ' || route ELSE '' END AS long, CASE WHEN route % 4 = 0 THEN 'FF00AA' WHEN route % 4 = 1 THEN 'red' END AS colour FROM routes"
-AGENCIES = "SELECT CAST(n_nationkey AS BIGINT) AS agency, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS name, n_nationkey AS ord FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'again', n_nationkey + 100 FROM nation"
+AGENCIES = "SELECT CAST(n_nationkey AS BIGINT) AS agency, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS name, n_nationkey AS ord FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), CASE WHEN n_nationkey % 2 = 0 THEN 'again' END, n_nationkey + 100 FROM nation WHERE n_nationkey % 3 = 0"
+#: A feed whose agencies have no ids.
+NAMELESS = "SELECT CAST(NULL AS BIGINT) AS agency, r_name AS name, -r_regionkey AS ord FROM region"
+
+
+LABELS = (
+    "SELECT route, agency, name, coalesce(nullif(short, ''), nullif(long, ''), name) AS label, CASE WHEN regexp_full_match(coalesce(colour, ''), '[0-9a-fA-F]{6}') THEN '#' || colour ELSE 'by mode' END AS colour"
+    " FROM (SELECT r.* REPLACE (coalesce(CAST(r.agency AS VARCHAR), d) AS agency), (SELECT max(coalesce(name, id)) FROM (SELECT coalesce(CAST(agency AS VARCHAR), d) AS id, name, ord FROM agencies) x WHERE id = coalesce(CAST(r.agency AS VARCHAR), d)"
+    " AND ord = (SELECT max(ord) FROM agencies y WHERE coalesce(CAST(y.agency AS VARCHAR), d) = x.id)) AS own FROM named r, (SELECT CASE WHEN count(agency) > 0 THEN CAST((SELECT agency FROM agencies ORDER BY ord LIMIT 1) AS VARCHAR) ELSE (SELECT name FROM agencies ORDER BY ord LIMIT 1) END AS d FROM agencies)), LATERAL (SELECT coalesce(own, agency) AS name)"
+)
+
+
+def labelled(spark, sf, agencies: str):
+    view(spark, sf, "routes")
+    for n in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{n}.parquet").createOrReplaceTempView(n)
+    rows = hygiene.with_default_agency(spark.sql(ROUTES), spark.sql(agencies))
+    return rows.select("route", "agency", "name", scalars.route_label("short", "long", "name").alias("label"), scalars.route_colour("colour", F.lit("by mode")).alias("colour"))
+
+
+@query("route_labels_without_ids", oracle(LABELS, "routes", named=ROUTES, agencies=NAMELESS))
+def _(spark, sf):
+    return labelled(spark, sf, NAMELESS)
 
 
 @query(
     "route_labels",
     oracle(
-        "SELECT route, agency, name, coalesce(nullif(short, ''), nullif(long, ''), name) AS label, CASE WHEN regexp_full_match(coalesce(colour, ''), '[0-9a-fA-F]{6}') THEN '#' || colour ELSE 'by mode' END AS colour FROM (SELECT r.* REPLACE (coalesce(r.agency, (SELECT agency FROM agencies ORDER BY ord LIMIT 1)) AS agency) FROM named r) LEFT JOIN (SELECT agency, coalesce(name, CAST(agency AS VARCHAR)) AS name FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY ord) AS k FROM agencies) WHERE k = 1) USING (agency)",
+        LABELS,
         "routes", named=ROUTES, agencies=AGENCIES,
     ),
 )
 def _(spark, sf):
-    view(spark, sf, "routes")
-    spark.read.parquet(f"{sf}/nation.parquet").createOrReplaceTempView("nation")
-    rows = hygiene.with_default_agency(spark.sql(ROUTES), spark.sql(AGENCIES))
-    return rows.select("route", "agency", "name", scalars.route_label("short", "long", "name").alias("label"), scalars.route_colour("colour", F.lit("by mode")).alias("colour"))
+    return labelled(spark, sf, AGENCIES)
 
 
 TWO = "SELECT route, from_stop, to_stop, seconds, CASE WHEN (from_stop + to_stop) % 3 = 0 THEN 'b' ELSE 'a' END AS feed FROM hops UNION ALL SELECT route, from_stop, to_stop, seconds + 1, 'c' FROM hops WHERE from_stop % 2 = 0"
