@@ -19,10 +19,10 @@ empty table gives an empty result; columns named like the results are replaced.
 """
 
 import json
+import logging
 import math
 
 import numpy as np
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ from .common import Scratch, table
 DOMAINS = ("toxic", "low", "good")
 #: Wanted multiple of each domain's expected tokens: good is raised enough that its documents are never thinned out.
 TARGETS = {"toxic": 0.02, "low": 0.6, "good": 1.25}
-BUCKETS, MAX_LABELLED, ROUNDS, TOLERANCE, PRIOR = 1 << 15, 20_000, 60, 1e-3, 1_000.0
+BUCKETS, MAX_LABELLED, ROUNDS, TOLERANCE, PRIOR = 1 << 15, 20_000, 60, 1e-2, 1_000.0
 
 
 def hashed_words(text: Column) -> Column:
@@ -114,11 +114,14 @@ def rate_of(steps: list[list[float]]) -> Column:
     return F.aggregate(constant(steps), F.lit(1.0), lambda x, s: F.greatest(F.lit(0.0), x - dot(s)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
-    """Steps that lead to the rates; rows has tokens and p. One aggregation a round, over all rows."""
+def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
+    """Steps that lead to the rates, and each domain's gap there, as a share of its own target; rows has tokens and p. One aggregation a round, over all rows.
+
+    Ends when every domain is within TOLERANCE of its own target, or after ROUNDS, with a warning that names the gaps. The best steps count.
+    """
     size = len(DOMAINS)
     p = [F.get("p", F.lit(d)) for d in range(size)]
-    wanted, steps, last, pace = None, [], None, 1.0
+    wanted, steps, last, pace, best = None, [], None, 1.0, None
     for _ in range(ROUNDS):
         x = rate_of(steps)
         active = F.when(x > 0, F.col("tokens")).otherwise(0)
@@ -127,33 +130,38 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> list[list[float]]:
             *(F.sum(F.col("x") * F.col("tokens") * p[d]).alias(f"t{d}") for d in range(size)),
         ).first()
         if now["t0"] is None:
-            return []
+            return [], [0.0] * size
         wanted = wanted or [now[f"t{d}"] * targets[d] for d in range(size)]
         gap = [now[f"t{d}"] - wanted[d] for d in range(size)]
+        share = [gap[d] / max(wanted[d], 1e-9) for d in range(size)]
         missed = sum(map(abs, gap))
-        if missed <= TOLERANCE * max(sum(wanted), 1e-9):
+        if best is None or missed < best[0]:
+            best = missed, list(steps), share
+        if max(map(abs, share)) <= TOLERANCE:
             break
         pace = 1.0 if last is None or missed < 0.9 * last else max(0.1, pace / 2)
         last = missed
         solve = inverse([[now[f"m{a}{b}"] for b in range(size)] for a in range(size)])
         steps.append([pace * sum(solve[a][b] * gap[b] for b in range(size)) for a in range(size)])
-    return steps
+    if max(map(abs, best[2])) > TOLERANCE:
+        logging.getLogger(__name__).warning("targets out of reach: %s", ", ".join(f"{n} {100 * g:+.1f} %" for n, g in zip(DOMAINS, best[2], strict=True)))
+    return best[1], best[2]
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
-    """docs (or only some of its columns) with tokens, p (array of posteriors in the order of DOMAINS), rate and copies."""
+    """docs (or only some of its columns) with tokens, p (array of posteriors in the order of DOMAINS), rate, copies, and gaps: how far each domain's expected tokens end from its target, as a share of it (the same for all rows)."""
     scratch, targets = Scratch(docs.sparkSession), targets or TARGETS
-    kept = [c for c in columns or docs.columns if c.lower() not in ("tokens", "p", "rate", "copies")]
+    kept = [c for c in columns or docs.columns if c.lower() not in ("tokens", "p", "rate", "copies", "gaps")]
     # stored once: rates read the posteriors many times
     known = scratch.save(posteriors(docs, train(docs, labels)).select(*kept, "tokens", "p"), "posteriors")
-    rate = rate_of(fit_rates(known.select("tokens", "p"), [targets[d] for d in DOMAINS]))
+    steps, gaps = fit_rates(known.select("tokens", "p"), [targets[d] for d in DOMAINS])
     uniform = F.pmod(F.xxhash64(F.col(key), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return known.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + uniform).cast("int"))
+    return known.withColumn("rate", rate_of(steps)).withColumns({"copies": F.floor(F.col("rate") + uniform).cast("int"), "gaps": F.array(*map(F.lit, gaps))})
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
-    return mixed.select("doc_id", "tokens", *(F.get("p", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)), "rate", "copies")
+    return mixed.select("doc_id", "tokens", *(F.get("p", F.lit(d)).alias(f"p_{n}") for d, n in enumerate(DOMAINS)), "rate", "copies", *(F.get("gaps", F.lit(d)).alias(f"gap_{n}") for d, n in enumerate(DOMAINS)))
 
 
 QUERIES = {"op2_soft_mixing": op2_mixing}

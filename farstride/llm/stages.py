@@ -34,7 +34,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group that links connect, once."""
+    """Keeps the document with the smallest doc_id of each group that links connect, once: of rows that share that doc_id, the one whose text's SHA-256 is smallest (of equal texts, the one whose columns' hash is)."""
     scratch = Scratch(spark)
     groups = jaccard.jaccard_components(docs, scratch=scratch)
     kept = without(docs, stored(groups.filter(F.col("doc_id") != F.col("component_id")), scratch))
@@ -42,7 +42,9 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = Scratch(spark).save(again, "again")
     if again.isEmpty():
         return kept
-    return without(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*docs.columns))
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return without(kept, again).unionByName(one.select("row.*"))
 
 
 def decontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +62,5 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot."""
+    """All documents with their shard and slot; columns of their own named like the results (size, text_crc32, law, shard, slot, grown_shard) are replaced."""
     return sharding.shard(docs)
