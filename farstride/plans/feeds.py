@@ -131,6 +131,36 @@ def _(spark, sf):
     return named.select("place", "name", "type", "city", places.label("name", "city").alias("label"))
 
 
+#: The same squares as an extract has them: relations with tags, and ways of a side or two, some of them turned round; a way of another boundary that closes nothing.
+SIDES = {
+    "relations": "SELECT level || '/' || ord AS boundary, CASE WHEN level = 8 AND ord % 9 = 8 THEN 'maritime' ELSE 'administrative' END AS kind, name, CAST(level AS STRING) AS level, ord, x, y, side FROM squares",
+    "corners": "SELECT boundary, k AS way, array(k, (k + 1) % 4) AS cs, ord, x, y, side FROM relations LATERAL VIEW explode(array(0, 3)) AS k UNION ALL SELECT boundary, 1, array(1, 2, 3), ord, x, y, side FROM relations UNION ALL SELECT boundary, 9, array(7, 8), ord, x, y, side FROM relations WHERE ord % 2 = 0",
+    "way_points": "SELECT boundary, way, transform(CASE WHEN (ord + way) % 2 = 0 THEN cs ELSE reverse(cs) END, c -> struct(CAST(c AS BIGINT) AS node, x + CASE WHEN c IN (1, 2) THEN side ELSE 0 END AS lon, y + CASE WHEN c IN (2, 3) THEN side ELSE 0 END AS lat)) AS points FROM corners",
+}
+TAGGED = INSIDE + " AND NOT (b.level = 8 AND b.ord % 9 = 8)"
+
+
+@query(
+    "places_in_assembled_rings",
+    oracle(
+        "SELECT place, name, type, city FROM (SELECT place, name, type, coalesce(max(city), max(county), '') AS city FROM (SELECT p.place, p.name, p.type, (SELECT arg_max(b.name, b.ord) FROM squares b WHERE b.level = 8 AND " + TAGGED + ") AS city, (SELECT arg_max(b.name, b.ord) FROM squares b WHERE b.level = 6 AND " + INSIDE + ") AS county FROM places p WHERE type IN ('suburb', 'neighbourhood')) GROUP BY place, name, type)",
+        "places", squares=SQUARES,
+    ),
+)
+def _(spark, sf):
+    """Places of a neighbourhood's kind with the city around them, its rings assembled from open ways."""
+    for n in ("nation", "region"):
+        spark.read.parquet(f"{sf}/{n}.parquet").createOrReplaceTempView(n)
+    spark.sql(SQUARES).createOrReplaceTempView("squares")
+    for n, sql in SIDES.items():
+        spark.sql(sql).createOrReplaceTempView(n)
+    relations = spark.table("relations")
+    assembled = places.ring_edges(places.rings(spark.table("way_points"))).select("boundary", "edges").join(relations.select("boundary", "ord"), "boundary")
+    of = lambda level: places.administrative(relations, level).join(assembled, "boundary").select("ord", "name", "edges")
+    own = places.neighbourhood_places(view(spark, sf, "places").select("place", "name", "type", "lon", "lat"))
+    return places.with_city(own, of(places.CITY_LEVEL), of(places.COUNTY_LEVEL)).select("place", "name", "type", "city")
+
+
 # --- documents that are written ----------------------------------------------------------------------------------
 
 
