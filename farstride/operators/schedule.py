@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql import Window as W
+
 from ..functions.geo import grid_cell, meters_between
+from .graph import in_lanes
 
 # Fixed values of the generator: step of its state, seeds of cycles and of sampled nodes.
 STEP, CYCLE_SEED, NODE_SEED = 0x6D2B79F5, 0x7157, 0x5EED
@@ -78,3 +81,79 @@ def fresh(candidates: DataFrame, used: DataFrame, days: int = 14, radius: float
     near = (new["day"] == recent["day"]) & (new["cx"] == recent["cx"]) & (new["cy"] == recent["cy"])
     near = near & (meters_between(new["lon"], new["lat"], recent["lon2"], recent["lat2"]) <= radius)
     return new.join(recent, near, "left_anti").drop("cx", "cy")
+
+
+#: Draws for a day at most, days for which an area is kept from its neighbourhood, and metres; a day's seed is its number times DAY_SEED.
+ATTEMPTS, RECENT_DAYS, RECENT_M, DAY_SEED = 40, 14, 2500.0, 7919
+#: Areas of a lane of the pool, about.
+LANE = 10_000
+
+
+class Pool:
+    """Weighted draws without replacement from areas (area, name, lon, lat, weight, ord), in the order of ord.
+
+    The pool stays in range lanes; the driver holds one running weight a lane. A draw finds its lane by the lanes' weights and its area by a running sum within the lane;
+    what is drawn, or lies near recent areas, is taken off the lanes' weights.
+    """
+
+    def __init__(self, areas: DataFrame):
+        lanes = max(1, -(-areas.count() // LANE))
+        self.rows = in_lanes(areas, ["ord"], lanes)
+        self.open, self.left = self.rows, {}
+
+    def per_lane(self, rows: DataFrame) -> dict[int, int]:
+        return {r["__p"]: r.w for r in rows.groupBy("__p").agg(F.sum("weight").alias("w")).collect()}  # one row a lane
+
+    def begin(self, used: set[str], recent: list[tuple[float, float]], metres: float) -> None:
+        """Only areas whose name isn't used and that lie farther than metres from all recent ones are drawn from now on."""
+        self.open = self.rows.filter(~F.col("name").isin(*used)) if used else self.rows
+        for lon, lat in recent:
+            self.open = self.open.filter(meters_between("lon", "lat", F.lit(lon), F.lit(lat)) > metres)
+        self.left = self.per_lane(self.open)
+
+    def draw(self, share: float):
+        """The first area at which the running weight reaches `share` of all that is left; areas of its name leave the pool. None if nothing is left."""
+        wanted, run, lane = share * sum(self.left.values()), 0, None
+        for k in sorted(k for k, w in self.left.items() if w > 0):
+            lane = k
+            if run + self.left[k] >= wanted:
+                break
+            run += self.left[k]
+        if lane is None:
+            return None
+        so_far = F.sum("weight").over(W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, 0))
+        within = self.open.filter(F.col("__p") == lane).withColumn("run", so_far)
+        found = within.filter(F.col("run") >= wanted - run).orderBy("__n").first() or within.orderBy(F.desc("__n")).first()
+        same = F.col("name") == found["name"]
+        for k, w in self.per_lane(self.open.filter(same)).items():
+            self.left[k] -= w
+        self.open = self.open.filter(~same)
+        return found
+
+
+def puzzle_days(days: DataFrame, areas: DataFrame, passing: DataFrame, used: set[str] | None = None, attempts: int = ATTEMPTS, recent_m: float = RECENT_M) -> DataFrame:
+    """(n, date, twist, area, name, attempt): the area of each day, drawn one day after another.
+
+    days: (n, date, twist), one row a day of the range that is asked for; areas: (area, name, lon, lat, weight, ord); passing: (area, twist) that meet the gates.
+    A drawn area that fails its day's gates isn't drawn again, on any day. A day without an area after `attempts` draws is an error.
+    """
+    spark, pool, used = days.sparkSession, Pool(areas), set(used or ())
+    rows, chosen = [], []
+    for d in sorted(days.select("n", "date", "twist").collect(), key=lambda d: d.n):
+        numbers = draws(d.n * DAY_SEED & MASK)
+        pool.begin(used, [at for when, at in chosen if 0 < (d.date - when).days <= RECENT_DAYS], recent_m)
+        for attempt in range(1, attempts + 1):
+            found = pool.draw(next(numbers))
+            if found is None:
+                break
+            used.add(found["name"])
+            if not passing.filter((F.col("area") == found["area"]) & (F.col("twist") == d.twist)).isEmpty():
+                chosen.append((d.date, (found["lon"], found["lat"])))
+                rows.append((d.n, d.date, d.twist, found["area"], found["name"], attempt))
+                break
+        else:
+            found = None
+        if found is None:
+            raise ValueError(f"no area for {d.date} ({d.twist}) after {attempts} draws")
+    schema = f"n long, date date, twist string, area {areas.schema['area'].dataType.simpleString()}, name string, attempt int"
+    return spark.createDataFrame(rows, schema)  # one row a day

@@ -99,9 +99,14 @@ def _(spark, sf):
     return view(spark, sf, "routes").withColumn("mode", scalars.mode_group("route_type"))
 
 
-@query("service_day_types", "SELECT CAST(d AS INT) AS service, d < 5 AS weekday, d >= 5 AS weekend FROM range(7) t(d)")
+FLAGS = "SELECT CAST({dow} AS INT) AS service_id, " + ", ".join(f"CAST(CASE WHEN {{dow}} = {i} THEN 1 ELSE 0 END AS STRING) AS {d}" for i, d in enumerate(("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"))) + " FROM orders"
+
+
+@query("service_day_types", "SELECT DISTINCT CAST(isodow(o_orderdate) - 1 AS INT) AS service, isodow(o_orderdate) < 6 AS weekday, isodow(o_orderdate) >= 6 AS weekend FROM orders")
 def _(spark, sf):
-    return services(spark)
+    """Day types of the services that orders run on, from their calendar's flags."""
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    return transit.day_types(spark.sql(FLAGS.format(dow="weekday(o_orderdate)")))
 
 
 SPREAD = "SELECT {key} AS id, -124e0 + (({key} * 7919) % 1000) * 3e-3 AS lon, 36.5e0 + (({key} * 104729) % 1000) * 3e-3 AS lat FROM {table}"
@@ -554,11 +559,6 @@ def _(spark, sf):
     return score.puzzle_summary(spark.sql(PUZZLES))
 
 
-@query("puzzle_grid", "SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM range(-1000, 1001, 150) a(dx), range(-1000, 1001, 150) b(dy) WHERE dx * dx + dy * dy <= 1000000")
-def _(spark, sf):
-    return spark.sql(score.puzzle_grid())
-
-
 @query("weighted_pick", oracle("SELECT stop, weight FROM (SELECT *, sum(weight) OVER (ORDER BY stop ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(weight) OVER () AS total FROM (SELECT stop, count(*) AS weight FROM stop_times GROUP BY stop)) WHERE run >= total * 0.37 ORDER BY run LIMIT 1", "stop_times"))
 def _(spark, sf):
     return score.weighted_pick(view(spark, sf, "stop_times").groupBy("stop").agg(F.count("*").alias("weight")), "stop", "weight", 0.37)
@@ -580,15 +580,21 @@ def _(spark, sf):
     return rounded(score.graded(spark.sql(GUESSES.format(text="STRING")), spark.sql(BEST.format(text="STRING"))).select("player", "day", "guess", "pct", "tile", "over"), "pct", digits=6)
 
 
+#: Settings of each event, and a twist that it is played with.
+SETTINGS = "SELECT event_id, '{twists}' AS names, CASE WHEN event_type = 'view' THEN 'midday' ELSE 'rush' END AS period, CAST(15 + event_id % 60 AS INT) AS limit_min, CAST(4 + event_id % 3 AS DOUBLE) AS speed, CAST(event_id % 7 AS INT) AS transfer_min FROM events".format(twists=",".join(t[0] for t in score.TWISTS))
+
+
 @query(
     "twist_params",
-    # the ten twists over the standard settings: rush hour, 45 minutes, 5 km/h, 5 minutes a transfer, all modes
-    "SELECT twist, period, limit_min, CAST(speed AS DOUBLE) AS speed, transfer_min, modes FROM (VALUES ('rush', 'rush', 45, 5.0, 5, '0,1,2,3'), ('rail-strike', 'rush', 45, 5.0, 5, '0,2,3'), ('bus-only', 'rush', 45, 5.0, 5, '0'), ('no-bus', 'rush', 45, 5.0, 5, '1,2,3'), ('late-night', 'night', 45, 5.0, 5, '0,1,2,3'), ('saturday', 'weekend', 45, 5.0, 5, '0,1,2,3'), ('quick-trip', 'rush', 20, 5.0, 5, '0,1,2,3'), ('long-haul', 'rush', 75, 5.0, 5, '0,1,2,3'), ('one-seat', 'rush', 45, 5.0, 45, '0,1,2,3'), ('sore-feet', 'rush', 45, 3.0, 5, '0,1,2,3')) t(twist, period, limit_min, speed, transfer_min, modes)",
+    "SELECT event_id, twist, CASE twist WHEN 'late-night' THEN 'night' WHEN 'saturday' THEN 'weekend' ELSE period END AS period, CASE twist WHEN 'quick-trip' THEN 20 WHEN 'long-haul' THEN 75 ELSE limit_min END AS limit_min, CASE twist WHEN 'sore-feet' THEN 3.0 ELSE speed END AS speed,"
+    " CASE twist WHEN 'one-seat' THEN 45 ELSE transfer_min END AS transfer_min, CASE twist WHEN 'rail-strike' THEN '0,2,3' WHEN 'bus-only' THEN '0' WHEN 'no-bus' THEN '1,2,3' ELSE '0,1,2,3' END AS modes"
+    f" FROM (SELECT *, string_split(names, ',')[event_id % 10 + 1] AS twist FROM ({SETTINGS}))",
 )
 def _(spark, sf):
-    twists = spark.createDataFrame(score.TWISTS, score.TWIST_SCHEMA)
-    base = twists.select("twist", F.lit("rush").alias("period"), F.lit(45).alias("limit_min"), F.lit(5.0).alias("speed"), F.lit(5).alias("transfer_min"), F.array(*map(F.lit, range(4))).alias("modes"))
-    return score.with_twists(base, twists).withColumn("modes", F.array_join(F.col("modes").cast("array<string>"), ","))
+    """Each event's settings after the overrides of the twist that it is played with."""
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    base = spark.sql(SETTINGS).withColumns({"twist": F.element_at(F.split("names", ","), (F.col("event_id") % 10 + 1).cast("int")), "modes": F.array(*map(F.lit, range(4)))}).drop("names")
+    return score.with_twists(base, spark.createDataFrame(score.TWISTS, score.TWIST_SCHEMA)).withColumn("modes", F.array_join(F.col("modes").cast("array<string>"), ","))
 
 
 DAYS = "SELECT CAST(CAST(o_orderdate AS DATE) AS {text}) AS date, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM orders WHERE {where} GROUP BY 1"

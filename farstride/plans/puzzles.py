@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
 from ..operators import raster, schedule, score, streets
+from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
 from ..streaming import requests
-from .catalog import cells, flat, painted, query, rounded, street_points
+from .catalog import cells, flat, halt_points, painted, query, rounded, street_points
 from .catalog import GRID as RASTER
 from .spots import sampled
 
@@ -25,14 +26,43 @@ ORDERS = [
 CALENDAR = "SELECT CAST(strftime(DATE '2026-09-30' + CAST(n - 1 AS INTEGER), '%Y-%m-%d') AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, twist FROM (VALUES " + ", ".join(f"({10 * c + k + 1}, '{t}')" for c, o in enumerate(ORDERS) for k, t in enumerate(o.split())) + ") t(n, twist)"
 
 
-@query("twist_calendar", CALENDAR)
+DATES = "SELECT DISTINCT DATE '2026-09-30' + CAST(o_orderkey % 30 AS INT) AS date FROM orders"
+
+
+@query("twist_calendar", f"SELECT day, n, twist FROM ({CALENDAR}) WHERE day IN (SELECT CAST(CAST(date AS DATE) AS VARCHAR) FROM ({DATES}))")
 def _(spark, sf):
-    first = F.lit(FIRST_DAY).cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(first, F.date_add(first, 29))).alias("date")).withColumn("n", scalars.day_number("date", FIRST_DAY).cast("long"))
+    """The twist of each day that has an order, in the first thirty."""
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    days = spark.sql(DATES).withColumn("n", scalars.day_number("date", FIRST_DAY).cast("long"))
     out = schedule.scheduled(days, [t[0] for t in score.TWISTS], 30)
     return out.select(F.date_format("date", "yyyy-MM-dd").alias("day"), "n", "twist")
 
 
+def pool(spark, sf):
+    """Areas that a day may have: weighted neighbourhoods, in the order of their numbers."""
+    places = view(spark, sf, "places").filter(F.col("type").isin("suburb", "neighbourhood")).select(F.col("place").alias("id"), "lon", "lat", F.concat_ws(" ", "name", "place").alias("name"))
+    weights = score.candidates(places.select("id", "lon", "lat"), halt_points(spark, sf))
+    return places.join(weights, "id").select(F.col("id").alias("area"), "name", "lon", "lat", F.col("weight").cast("long").alias("weight"), F.col("id").alias("ord"))
+
+
+def passing(spark, sf):
+    """(area, twist) that meet the gates, for all areas and twists: the probes', and enough land; a twist scales the stand-in score."""
+    view(spark, sf, "places")
+    ring = score.probes(spark.sql(CENTRES), "place", 0.6 * RADIUS_M)
+    scales = spark.createDataFrame([(t[0], 0.6 + 0.1 * k) for k, t in enumerate(score.TWISTS)], "twist string, scale double")  # the ten twists
+    scored = ring.crossJoin(F.broadcast(scales)).withColumns({"km2": F.col("scale") * (12 + 9 * F.sin(F.col("lon") * 900) + 2 * F.cos(F.col("lat") * 1100)), "key": F.struct("place", "twist")})
+    gate = score.probe_gate(scored.drop("place"), "key", MIN_BEST_KM2, MAX_PROBE_RATIO).filter("passed").select("key.place", "key.twist")
+    return gate.select(F.col("place").alias("area"), "twist")
+
+
+@query("puzzle_days")
+def _(spark, sf):
+    """A day for each nation: areas are drawn by weight, without those used before or near recent days', until one meets the day's gates."""
+    days = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("n"))
+    days = days.withColumn("date", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("n") - 1).cast("int")))
+    return schedule.puzzle_days(schedule.scheduled(days, [t[0] for t in score.TWISTS], 30), pool(spark, sf), checkpointed(passing(spark, sf)), recent_m=600.0)  # the streets cover some 8 km
+
+
 IMUL = lambda a, b: f"(CAST({a} AS HUGEINT) * ({b}) & 4294967295)"
 MIXED = f"SELECT i, (xor(t2, t2 >> 14)) / 4294967296.0 AS r FROM (SELECT i, xor((t1 + {IMUL('xor(t1, t1 >> 7)', '61 | t1')}) & 4294967295, t1) AS t2 FROM (SELECT i, CAST({IMUL('xor(s, s >> 15)', '1 | s')} AS BIGINT) AS t1 FROM (SELECT i, CAST((24301 + CAST(i + 1 AS HUGEINT) * 1831565813) & 4294967295 AS BIGINT) AS s FROM range(2000) r(i))))"
 
@@ -42,9 +72,9 @@ def _(spark, sf):
     return rounded(sampled(spark, sf), "lon", "lat", digits=6)
 
 
-AREAS = "SELECT CAST(CAST(o_orderdate AS DATE) AS DATE) AS day, 'area ' || (o_custkey % 400) AS name, -122.5e0 + ((o_custkey * 7919) % 1000) * 8e-4 AS lon, 37.5e0 + ((o_custkey * 104729) % 1000) * 7.6e-4 AS lat, o_orderkey AS k FROM orders"
-USED = "SELECT day, name || ' used' AS name, lon, lat FROM areas WHERE k % 97 = 5"
-OPEN = "SELECT day, CASE WHEN k % 89 = 7 THEN name || ' used' ELSE name END AS name, lon, lat, k FROM areas WHERE k % 3 = 0"
+AREAS = "SELECT CAST(CAST(o_orderdate AS DATE) AS DATE) AS day, 'area ' || (o_custkey % 400) AS name, -122.5e0 + ((o_custkey * 7919) % 1000) * 8e-4 AS lon, 37.5e0 + ((o_custkey * 104729) % 1000) * 7.6e-4 AS lat, o_orderkey AS k, o_orderstatus AS status FROM orders"
+USED = "SELECT day, name || ' used' AS name, lon, lat FROM areas WHERE status = 'P'"
+OPEN = "SELECT day, CASE WHEN k % 89 = 7 THEN name || ' used' ELSE name END AS name, lon, lat, k FROM areas"
 
 
 @query("fresh_areas", oracle(f"SELECT k, name FROM open a WHERE NOT EXISTS (SELECT 1 FROM used b WHERE b.name = a.name) AND NOT EXISTS (SELECT 1 FROM used b WHERE a.day > b.day AND a.day <= b.day + 14 AND {flat('a', 'b')} <= 2500)", areas=AREAS, used=USED, open=OPEN))
@@ -103,6 +133,11 @@ def _(spark, sf):
     return out.select("place", "possible", "land", (F.col("land") >= F.col("possible") * MIN_LAND_SHARE).alias("enough"))
 
 
+@query("area_grids", oracle("SELECT place, CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, lon, lat FROM spread", "places", centres=CENTRES, offsets=OFFSETS, spread=SPREAD))
+def _(spark, sf):
+    return area_grids(spark, sf).select("place", "dx", "dy", "lon", "lat")
+
+
 RING = "SELECT place, k, CASE WHEN k < 0 THEN lon ELSE lon + 600 * cos(k / 6.0 * 2 * pi()) / (111195.0 * cos(radians(lat))) END AS lon, CASE WHEN k < 0 THEN lat ELSE lat + 600 * sin(k / 6.0 * 2 * pi()) / 111195.0 END AS lat FROM centres, range(-1, 6) r(k)"
 PROBED = "SELECT place, k, 12 + 9 * sin(lon * 900) + 2 * cos(lat * 1100) AS km2 FROM ring"
 
