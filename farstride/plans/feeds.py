@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
 from ..operators import graph, hygiene, places
+from ..sources import feeds as sources
 from ..sources.surrogate import oracle, view
 from .catalog import graph_edges, graphed, hops, query, raw_hops, rounded, scheduled
 
@@ -30,6 +31,34 @@ def _(spark, sf):
     return hygiene.located(hygiene.first_rows(spark.sql(FEEDS.format(text="STRING")), ["stop"], ["feed", "ord"])).select("stop", "feed", "ord", "lon", "lat")
 
 
+def packed(rows):
+    """An archive for each nation, with the stops that its suppliers are: a byte-order mark, spaces in the header, commas and line ends in names, and columns that nobody asks for."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(key, pdf):
+        table = pd.DataFrame({"stop_id": pdf["s_suppkey"].astype(str), " stop_name": [f'{n}, "{a}"\nplatform' for n, a in zip(pdf["s_name"], pdf["s_nationkey"], strict=True)], "zone": "z", "stop_lon": pdf["s_suppkey"] * 0.5, "stop_lat": ""})
+        table.loc[pdf["s_suppkey"].to_numpy() % 3 == 0, "stop_lat"] = "37.5"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("feed/readme.txt", "")
+            if key[0] % 5 != 4:
+                archive.writestr("feed/stops.txt", "\ufeff" + table.sort_values("stop_id").to_csv(index=False))
+        return pd.DataFrame({"path": [f"in/{key[0]}.zip"], "content": [out.getvalue()]})
+
+    return rows.groupBy("s_nationkey").applyInPandas(pack, "path string, content binary")
+
+
+@query("zipped_stops", "SELECT CAST(s_nationkey AS VARCHAR) AS feed, CAST(s_suppkey AS VARCHAR) AS stop_id, CAST(s_suppkey * 0.5 AS DOUBLE) AS stop_lon, CASE WHEN s_suppkey % 3 = 0 THEN 37.5e0 END AS stop_lat, s_name || ', \"' || s_nationkey || '\"' || chr(10) || 'platform' AS stop_name FROM supplier WHERE s_nationkey % 5 <> 4")
+def _(spark, sf):
+    """Stops out of zipped feeds: one archive a nation; some have no such member."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    found = sources.unzipped(packed(rows), "stops")
+    return found.select("feed", "stop_id", F.col("stop_lon").cast("double"), F.col("stop_lat").cast("double"), "stop_name")
+
+
 ROUTES = "SELECT route, CASE WHEN route % 7 <> 0 THEN CAST(agency AS BIGINT) END AS agency, CASE WHEN route % 3 = 0 THEN 'R' || route WHEN route % 3 = 1 THEN '' END AS short, CASE WHEN route % 2 = 0 THEN 'Line ' || route ELSE '' END AS long, CASE WHEN route % 4 = 0 THEN 'FF00AA' WHEN route % 4 = 1 THEN 'red' END AS colour FROM routes"
 AGENCIES = "SELECT CAST(n_nationkey AS BIGINT) AS agency, CASE WHEN n_nationkey % 5 <> 4 THEN n_name END AS name, n_nationkey AS ord FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), CASE WHEN n_nationkey % 2 = 0 THEN 'again' END, n_nationkey + 100 FROM nation WHERE n_nationkey % 3 = 0"
 #: A feed whose agencies have no ids.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import itertools
 import zipfile
 
 import pandas as pd
@@ -61,34 +60,57 @@ def load_feed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: df.select(*(c for c in USED[name] if c in df.columns)) for name, df in found.items() if df is not None}
 
 
-def read_zipped(spark: SparkSession, path: str, name: str) -> DataFrame | None:
-    """The same table out of all archives at a path (a glob), with a column feed (the archive's name): in each, the first member called `name`.txt in any folder.
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the zipped feeds at a path (a glob); Spark reads them, so they may lie in any store."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
-    One task reads an archive; a quoted field may not hold a line end. Archives with different headers are read by their own columns.
+
+def opened(content: bytes, name: str):
+    """The first member called `name`.txt in any folder, as text without a byte-order mark; None if there is none."""
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    member = next((m for m in archive.namelist() if m.rsplit("/", 1)[-1] == f"{name}.txt"), None)
+    return member and io.TextIOWrapper(archive.open(member), encoding="utf-8-sig", newline="")
+
+
+def unzipped(found: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame | None:
+    """One table out of archives (path, content): feed (the archive's name) and the asked columns, as strings; None if no archive has it.
+
+    Only the asked columns leave the task that reads an archive, in batches of rows. Quoted fields may hold commas and line ends; names in headers are stripped;
+    only empty fields are null; a column that an archive hasn't is null; stop times without one of their columns are an error.
     """
+    columns = columns or USED[name]
+
+    @F.udf("boolean")
+    def there(content):
+        return opened(content, name) is not None
+
+    if found.filter(there("content")).isEmpty():
+        return None
 
-    def members(parts):
+    def rows(parts):
         for pdf in parts:
             for where, content in zip(pdf["path"], pdf["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                member = next((m for m in archive.namelist() if m.rsplit("/", 1)[-1] == f"{name}.txt"), None)
-                if member is None:
+                text = opened(content, name)
+                if text is None:
                     continue
-                feed = where.rsplit("/", 1)[-1].removesuffix(".zip")
-                with io.TextIOWrapper(archive.open(member), encoding="utf-8-sig", newline=None) as lines:
-                    header = next(lines, "").rstrip("\n")
-                    while some := [x.rstrip("\n") for x in itertools.islice(lines, 10_000)]:
-                        yield pd.DataFrame({"feed": feed, "header": header, "line": [x for x in some if x]})
+                feed, needed = where.rsplit("/", 1)[-1].removesuffix(".zip"), set(REQUIRED[name] if name == "stop_times" else ())
+                for chunk in pd.read_csv(text, dtype=str, skipinitialspace=True, keep_default_na=False, na_values=[""], usecols=lambda c: c.strip() in {*columns, *needed}, chunksize=10_000):
+                    chunk.columns = [c.strip() for c in chunk.columns]
+                    if needed - set(chunk.columns):
+                        raise ValueError(f"{where}: {name}.txt has no {sorted(needed - set(chunk.columns))}")
+                    yield chunk.reindex(columns=columns).astype(object).where(lambda x: x.notna(), None).assign(feed=feed)[["feed", *columns]]
 
-    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "feed string, header string, line string")
-    out = None
-    for header in sorted(r.header for r in lines.select("header").distinct().collect()):  # few: the kinds of headers
-        columns = [c.strip() for c in header.split(",")]
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        row = F.from_csv("line", schema, {"nullValue": "", "ignoreLeadingWhiteSpace": "true"})
-        df = lines.filter(F.col("header") == header).select("feed", row.alias("row")).select("feed", "row.*")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return found.mapInPandas(rows, ", ".join(f"`{c}` string" for c in ["feed", *columns]))
+
+
+def read_zipped(spark: SparkSession, path: str, name: str, columns: list[str] | None = None) -> DataFrame | None:
+    return unzipped(archives(spark, path), name, columns)
+
+
+def load_zipped(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All tables that the zipped feeds at a path have, with the columns that are used."""
+    found = {name: read_zipped(spark, path, name) for name in USED}
+    return {name: df for name, df in found.items() if df is not None}
 
 
 def read_ways(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:

@@ -107,6 +107,18 @@ def test_zipped_feeds(spark, tmp_path):
     got = feeds.read_zipped(spark, f"{tmp_path}/*.zip", "stops").orderBy("feed", "stop_id").collect()
     assert [(r.feed, r.stop_id, r.stop_lon, r.stop_lat, r.stop_name) for r in got] == [("a", "A", "1.5", "NA", None), ("a", "B", None, "2", None), ("b", "C, D", None, None, "x")]
     assert feeds.read_zipped(spark, f"{tmp_path}/*.zip", "trips") is None
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("stop_times.txt", 'trip_id,arrival_time,departure_time,stop_id,stop_sequence,extra\n"T\n1", 5:00:00,,S,1,x\n')
+        z.writestr("agency.txt", "agency_name\nLine\n")
+    tables = feeds.load_zipped(spark, f"{tmp_path}/*.zip")
+    assert sorted(tables) == ["agency", "stop_times", "stops"]
+    assert [tuple(r) for r in tables["stop_times"].collect()] == [("c", "T\n1", "5:00:00", None, "S", "1")]
+    assert [tuple(r) for r in tables["agency"].collect()] == [("c", None, "Line")]
+    assert "stop_name" not in feeds.read_zipped(spark, f"{tmp_path}/*.zip", "stops", ["stop_id"]).columns
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("stop_times.txt", "trip_id,stop_id\nT,S\n")
+    with pytest.raises(Exception, match="stop_times.txt has no"):
+        feeds.read_zipped(spark, f"{tmp_path}/d.zip", "stop_times").collect()
 
 
 def test_stops_of_a_loop_are_not_placed_backwards():
