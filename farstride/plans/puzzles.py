@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
 from ..operators import raster, schedule, score, streets
 from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
-from ..streaming import requests
+from ..streaming import game, requests
 from .catalog import cells, flat, halt_points, painted, query, rounded, street_points
 from .catalog import GRID as RASTER
 from .spots import sampled
@@ -281,3 +282,20 @@ def _(spark, sf):
     kept = score.of_build(built, "build", "g1").groupBy("date").agg(F.max("n").alias("n")).withColumn("source", F.lit("old"))
     new = built.filter("build <> 'g1'").groupBy("date").agg(F.max("n").alias("n")).withColumn("source", F.lit("new"))
     return score.merge_by_date(kept, new)
+
+
+#: Views place a pin (in water for every fifth), clicks send it, purchases with a value are answers.
+MOVES = (
+    "SELECT CAST(user_id AS BIGINT) AS player, event_id AS moment, CASE event_type WHEN 'view' THEN 'place' WHEN 'click' THEN 'submit' ELSE 'answer' END AS kind, CASE WHEN event_type = 'view' THEN event_id END AS pin, event_id % 5 = 0 AS water, value AS km2"
+    " FROM events WHERE event_type IN ('view', 'click') OR (event_type = 'purchase' AND value IS NOT NULL)"
+)
+
+
+@query("game_guesses")
+def _(spark, sf):
+    """Settled guesses of each user, from the moves that their events stand for: a pin's number is its longitude, and an answer is for the pin that was placed last."""
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
+    placed = F.last("pin", ignorenulls=True).over(W.partitionBy("player").orderBy("moment").rowsBetween(W.unboundedPreceding, 0))
+    moves = spark.sql(MOVES).withColumn("lon", F.when(F.col("kind") == "answer", placed).otherwise(F.col("pin")).cast("double"))
+    events = moves.select("player", "moment", "kind", "lon", F.lit(0.0).alias("lat"), "km2", (~F.col("water")).alias("valid"), F.lit(60.0).alias("best"))
+    return game.played(events).select("player", "guess", F.col("lon").cast("long").alias("moment"), "km2", "pct", "over")
