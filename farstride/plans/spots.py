@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 
 from ..functions import geo, scalars
 from ..operators import graph, itineraries, raster, schedule, score, search, streets
-from ..operators.iterate import checkpointed
+from ..operators.iterate import Tables, checkpointed
+from ..sources import feeds
 from ..sources.surrogate import oracle, view
-from .catalog import LIMIT, SPEED, graphed, hops, node_places, query, reach, rounded, samples, street_points
+from .catalog import LIMIT, SPEED, graphed, hops, node_places, scheduled, query, reach, rounded, samples, street_points
 
 RINGS = (1, 2, 4, 8, 16)
 #: Radius of first streets and of a destination, in metres.
@@ -237,6 +238,18 @@ def hop_lines(spark, sf):
     return pairs.select("route", F.col("stop_a").alias("from_stop"), F.col("stop_b").alias("to_stop"), line("lon"), line("lat"))
 
 
+SHAPED = "SELECT route, from_stop, to_stop, round((a.lon + b.lon) / 2 + 1e-4, 6) AS lon, round((a.lat + b.lat) / 2 + 1e-4, 6) AS lat FROM hops JOIN stops a ON a.stop = from_stop JOIN stops b ON b.stop = to_stop WHERE (from_stop - to_stop) % 2 = 0 AND route = to_stop"
+
+
+@query("shape_lookup", scheduled(SHAPED, "stops"))
+def _(spark, sf):
+    """Middle points of the hops to the stop whose number is the route's, looked up in a stored table of shapes."""
+    path = f"{Tables(spark).root}/shapes"
+    feeds.write_shapes(hop_lines(spark, sf), path)
+    found = feeds.shapes_of(spark, path, hops(spark, sf).filter("route = to_stop"))
+    return found.select("route", "from_stop", "to_stop", *(F.round(F.get(f"{c}s", F.lit(1)), 6).alias(c) for c in ("lon", "lat")))
+
+
 def spot_ways(spark, sf):
     found, ends = destinations(spark, sf)
     goals = table(spark, sf, GOALS, "region").withColumnRenamed("region", "goal")

@@ -134,3 +134,33 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """The graph as two Parquet tables, each clustered by its first column."""
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     edges.sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+#: Parts of a table of shapes; a lookup reads the parts of its keys.
+PARTS = 64
+SHAPE_KEY = ("route", "from_stop", "to_stop")
+
+
+def part_of(*key, parts: int = PARTS):
+    return F.pmod(F.xxhash64(*(k.cast("long") for k in key)), F.lit(parts)).cast("int")
+
+
+def write_shapes(shapes: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Shapes of hops (route, from_stop, to_stop, ...) by parts of their key's hash, each sorted by key."""
+    keyed = shapes.withColumn("part", part_of(*map(F.col, SHAPE_KEY), parts=parts))
+    keyed.repartition("part").sortWithinPartitions("part", *SHAPE_KEY).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def shape_of(spark: SparkSession, path: str, route: int, from_stop: int, to_stop: int, parts: int = PARTS) -> DataFrame:
+    """The shape of one hop: one part is read, and within it only the row groups that may hold the key."""
+    key = dict(zip(SHAPE_KEY, map(F.lit, (route, from_stop, to_stop)), strict=True))
+    found = spark.read.parquet(path).filter(F.col("part") == part_of(*key.values(), parts=parts))
+    for name, value in key.items():
+        found = found.filter(F.col(name) == value)
+    return found.drop("part")
+
+
+def shapes_of(spark: SparkSession, path: str, hops: DataFrame, parts: int = PARTS) -> DataFrame:
+    """The shapes of hops (route, from_stop, to_stop), joined by part and key; where the hops are few, only their parts are read."""
+    asked = hops.select(*SHAPE_KEY).withColumn("part", part_of(*map(F.col, SHAPE_KEY), parts=parts))
+    return spark.read.parquet(path).join(asked, ["part", *SHAPE_KEY]).drop("part")

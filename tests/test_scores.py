@@ -110,3 +110,20 @@ def test_walks_are_traced_along_edges_that_add_up(spark):
         assert r.nodes[-1] == r.node and [at[n][0] for n in r.nodes] == r.lons
         assert seeded[r.origin, r.nodes[0]] + sum(metres[e] for e in zip(r.nodes, r.nodes[1:])) == pytest.approx(want[r.origin, r.node])
     assert search.walk_lines(asks.filter(F.lit(False)), seeds, costs, places, 1500.0, 1.0).count() == 0
+
+
+def test_a_shape_is_looked_up_in_one_part(spark, tmp_path):
+    from farstride.sources import feeds
+
+    rows = [(r, a, a + 1, [float(r), 0.0], [0.0, float(a)]) for r in range(40) for a in range(25)]
+    shapes = spark.createDataFrame(rows, "route long, from_stop long, to_stop long, lons array<double>, lats array<double>")
+    feeds.write_shapes(shapes, f"{tmp_path}/shapes", 16)
+    one = feeds.shape_of(spark, f"{tmp_path}/shapes", 7, 3, 4, 16)
+    assert [tuple(r) for r in one.collect()] == [(7, 3, 4, [7.0, 0.0], [0.0, 3.0])]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "PushedFilters: [IsNotNull(route)" in plan
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.selectedPartitions().toString().count("part=") <= 1 or scan.metrics().apply("numFiles").value() == 1
+    asked = shapes.filter("route = 3 AND from_stop < 4").select("route", "from_stop", "to_stop")
+    assert sorted(r.from_stop for r in feeds.shapes_of(spark, f"{tmp_path}/shapes", asked, 16).collect()) == [0, 1, 2, 3]
+    assert feeds.shape_of(spark, f"{tmp_path}/shapes", 99, 3, 4, 16).count() == 0
