@@ -6,9 +6,12 @@ Windows of the size of an item start at every word of a text; the walk from a st
 any size, so one walk serves all items. Item windows are hashed at each of the item's words, so a window that meets an item anywhere
 proposes the alignment of the whole item. WALKS has the length and number of walks (each with its own moves) and the samplings of each walk's
 bits by the size of an item: short items have short walks, which stop inside them. They are sized by trial so that an item with EDITS edits a byte
-is proposed with a probability of RECALL; the tests measure that by size and edit rate.
+is proposed with a probability of RECALL; the tests measure that by size and edit rate. Windows of a whole item can't reach that: of walks over 32 bytes with an edit
+in every tenth, nearly all differ in most steps. Short windows of other items agree by chance, in proportion to the number of items; that is what the signatures are for.
 
-Proposals are verified exactly, in two steps. An item with at most k edits keeps at least t of any k + t disjoint pieces unchanged, within
+Proposals are verified exactly, in three steps, the first of which handles whole arrays of them. An edit changes at most three of an item's trigrams, so
+a part of the text that holds the item with k edits lacks at most 3 k of them. The trigrams of each item, and of each stretch of a text, are bits of a
+signature; proposals whose surroundings lack more bits are dropped (items over SIGNED bytes pass). Then, an item with at most k edits keeps at least t of any k + t disjoint pieces unchanged, within
 2 k bytes of their places; where fewer are found, no match is possible. Then the least
 edit distance between the item and any part of the text around the alignment is computed; at most EDITS times the item's bytes are accepted.
 
@@ -32,6 +35,9 @@ EDITS, RECALL, MIN_BYTES = 0.1, 0.99, 20
 WALKS = ((0, 16, 8, 6, 3), (48, 32, 16, 3, 2))
 STEPS, BLOOM = max(w[1] for w in WALKS), 1 << 22
 GROUP_BYTES = 8 << 20
+#: Words of a signature, bytes of text that have one, longest item that has one, text bytes searched at once (plus MARGIN on both sides), and pairs tested at once.
+SIGNATURE, BLOCK, SIGNED, SLICE, PAIRS = 8, 16, 512, 1 << 18, 1 << 16
+MARGIN = 2 * SIGNED
 
 
 def walks(steps: int, sampled: int, count: int, samplings: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
@@ -64,6 +70,44 @@ def word_starts(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~gap & np.r_[True, gap[:-1]])
 
 
+def signatures(buf: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """SIGNATURE words (rows) of each of `count` owners: a bit for each trigram that starts at a byte of theirs; of has each trigram's owner, -1 for none."""
+    bits = np.zeros((count, 64 * SIGNATURE), dtype=bool)
+    gram = buf[:-2].astype(np.uint32) << 16 | buf[1:-1].astype(np.uint32) << 8 | buf[2:]
+    bits[of[of >= 0], (gram * np.uint32(0x9E3779B1) >> np.uint32(16))[of >= 0] % (64 * SIGNATURE)] = True
+    return np.ascontiguousarray(np.packbits(bits, axis=1).view(np.uint64).T)
+
+
+class Stretches:
+    """Signatures of all stretches of blocks of some text: those of 1, 2, 4, ... blocks, of which two make up any other."""
+
+    def __init__(self, buf: np.ndarray):
+        self.blocks = -(-len(buf) // BLOCK)
+        level = signatures(np.r_[buf, np.full(2, 10, dtype=np.uint8)], np.arange(len(buf)) // BLOCK, self.blocks)
+        levels, step = [level], 1
+        while 2 * step * BLOCK <= 2 * MARGIN:
+            level = level.copy()
+            level[:, : max(0, self.blocks - step)] |= levels[-1][:, step:]
+            levels.append(level)
+            step *= 2
+        self.words = np.stack(levels, axis=1).reshape(SIGNATURE, -1)
+
+    def having(self, wanted: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, lacking: np.ndarray) -> np.ndarray:
+        """Places of pairs whose stretch (bytes lo to hi) lacks at most `lacking` bits of wanted[:, item]."""
+        first, last = np.clip(lo, 0, None) // BLOCK, np.minimum(hi // BLOCK, self.blocks - 1)
+        level = np.frexp(np.maximum(last - first + 1, 1))[1].astype(np.int64) - 1
+        a, b = level * self.blocks + first, level * self.blocks + np.maximum(first, last - (1 << level) + 1)
+        left = np.arange(len(item))
+        n = np.zeros(len(item), dtype=np.int64)
+        for words in (range(3), range(3, SIGNATURE)):
+            for w in words:
+                here = self.words[w]
+                n += np.bitwise_count(wanted[w].take(item) & ~(here.take(a) | here.take(b)))
+            keep = np.flatnonzero(n <= lacking)
+            left, item, a, b, n, lacking = (x.take(keep) for x in (left, item, a, b, n, lacking))
+        return left
+
+
 def least_edits(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance between item and any part of text, and the first end of such a part (bit-parallel)."""
     size = len(item)
@@ -102,7 +146,15 @@ class Index:
         every = word_starts(buf)
         of = np.searchsorted(starts, every, side="right") - 1
         padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
-        size = np.array([len(t) for _, t in items])[of]
+        self.size = np.array([len(t) for _, t in items])
+        self.slack = (edits * self.size).astype(np.int64)
+        small = self.size <= SIGNED
+        self.lacking = np.where(small, 3 * self.slack, 64 * SIGNATURE)
+        owner = np.repeat(np.arange(len(items)), self.size + 1)[:-2]
+        ends = starts[1:][owner] - 1
+        inner = small[owner] & (np.arange(len(owner)) + 2 < ends)
+        self.signed = signatures(buf, np.where(inner, owner, -1), len(items))
+        size = self.size[of]
         self.tables = []
         for (least, steps, sampled, count, samplings), most in zip(WALKS, [w[0] for w in WALKS[1:]] + [np.inf], strict=True):
             # a walk must not read past its item: its last part belongs to earlier windows
@@ -110,31 +162,60 @@ class Index:
             at, item = every[inside], of[inside]
             if not len(at):
                 continue
+            tables = []
             for walk in walks(steps, sampled, count, samplings):
                 sides = []
                 for h in hashes(padded, at, walk):
                     order = np.argsort(h, kind="stable")
                     maybe = np.zeros(BLOOM, dtype=bool)
                     maybe[(mix(h) >> U(42)).astype(np.int64)] = True
-                    sides.append((h[order], item[order], (at - starts[item])[order], maybe))
-                self.tables.append((walk, sides))
+                    sides.append((h, h[order], order, maybe))
+                tables.append((walk, sides))
+            self.tables.append((item, at - starts[item], tables))
 
     def proposals(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """Sorted (text, item, start of the item in the text, which may lie before it)."""
         buf, starts = join_bytes(texts)
-        at = word_starts(buf)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        padded = np.r_[buf, np.full(STEPS, 10, dtype=np.uint8)]
+        every = word_starts(buf)
         out = []
-        for walk, sides in self.tables:
-            for h, (keys, item, offset, maybe) in zip(hashes(padded, at, walk), sides, strict=True):
-                hit = np.flatnonzero(maybe[(mix(h) >> U(42)).astype(np.int64)])
-                first, last = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-                n = last - first
-                own, w = np.repeat(hit, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-                out.append(np.stack([doc[own], item[w], at[own] - starts[doc[own]] - offset[w]], axis=1))
+        for a in range(0, len(buf), SLICE):
+            base = max(0, a - MARGIN)
+            padded = np.r_[buf[base : a + SLICE + MARGIN], np.full(STEPS, 10, dtype=np.uint8)]
+            stretches = Stretches(padded[:-STEPS])
+            at = every[np.searchsorted(every, a) : np.searchsorted(every, a + SLICE)] - base
+            for items, offsets, tables in self.tables:
+                before: list[tuple[np.ndarray, np.ndarray]] = []  # hashes of text and items of the samplings so far
+                for walk, sides in tables:
+                    for h, side in zip(hashes(padded, at, walk), sides, strict=True):
+                        for own, w in self.pairs(h, side, before):
+                            item, start = items.take(w), at.take(own) - offsets.take(w)
+                            slack = self.slack.take(item)
+                            keep = stretches.having(self.signed, item, start - 2 * slack, start + self.size.take(item) + 3 * slack, self.lacking.take(item))
+                            doc = np.searchsorted(starts, at[own[keep]] + base, side="right") - 1
+                            out.append(np.stack([doc, item[keep], start[keep] + base - starts[doc]], axis=1))
+                        before.append((h, side[0]))
         return list(map(tuple, np.unique(np.concatenate(out), axis=0).tolist())) if out else []
 
+    def pairs(self, h: np.ndarray, side: tuple, before: list[tuple[np.ndarray, np.ndarray]]):
+        """Lots of (word of the text, word of an item), by place, with equal hashes here and in no sampling before."""
+        _, keys, order, maybe = side
+        hit = np.flatnonzero(maybe[(mix(h) >> U(42)).astype(np.int64)])
+        first = np.searchsorted(keys, h[hit], "left")
+        n = np.searchsorted(keys, h[hit], "right") - first
+        hit, first, n = hit[n > 0], first[n > 0], n[n > 0]
+        total = np.cumsum(n)
+        a = 0
+        while a < len(hit):
+            b = max(a + 1, int(np.searchsorted(total, total[a] - n[a] + PAIRS)))
+            m = n[a:b]
+            own, w = np.repeat(hit[a:b], m), order.take(np.arange(m.sum()) + np.repeat(first[a:b] - np.cumsum(m) + m, m))
+            for text, item in before:
+                new = np.flatnonzero(text.take(own) != item.take(w))
+                own, w = own.take(new), w.take(new)
+            if len(own):
+                yield own, w
+            a = b
+
     def possible(self, text: bytes, item: int, start: int, slack: int) -> bool:
         """Whether the item can lie in the text with at most slack edits, aligned to start .. start + slack (each up to slack off)."""
         least, parts = self.pieces[item]

@@ -378,3 +378,12 @@ def test_different_texts_of_one_doc_id_leave_the_same_one_each_time(spark):
         assert kept.columns == table(spark, rows).columns
         got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
         assert got == sorted([("1", want), ("2", texts[2]), ("3", ""), ("None", texts[3]), ("None", texts[3])])
+
+
+def test_decontamination_of_repeated_rows_equal_places_and_clashing_columns(spark):
+    item = "which of the four rivers carries most water to the northern sea"
+    text = f"first {item} and again {item} end"
+    rows = [(1, text, 7, 8, 9), (1, text, 7, 8, 9), (2, "nothing of that kind is here", 7, 8, 9), (None, item, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, edits int, item_id long")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(5, item, 0)], "item_id long, text string, start long")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 5, 6, 0, len(item)), (1, 5, 6, 0, len(item)), (None, 5, 0, 0, len(item))], key=str)
