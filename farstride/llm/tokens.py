@@ -122,11 +122,11 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     long = scratch.save(rows.filter(F.col("chars") > chunk), "long")
     step = 0
     while True:
-        stride = F.lit(chunk - overlap)
-        pieces = long.select(
-            "row", "key", "n_bytes", "text", "chars",
-            F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("chars") - overlap - 1).cast("long"), stride.cast("long"))).alias("k", "start"),
-        ).select("row", "key", "n_bytes", "chars", "k", "start", F.substring("text", F.col("start").cast("int") + 1, F.lit(chunk)).alias("piece"))
+        stride = chunk - overlap
+        # one pass cuts a text: at every stride, what lies ahead up to a chunk
+        cut = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{1,{chunk}}})).{{1,{stride}}}"), F.lit(1))
+        pieces = long.select("row", "key", "n_bytes", "chars", F.posexplode(cut).alias("k", "piece")).withColumn("start", F.col("k").cast("long") * stride)
+        pieces = pieces.filter((F.col("k") == 0) | (F.col("start") < F.col("chars") - overlap))
         pieces = pieces.repartition("row", "k")
         encoded = pieces.withColumn("e", encode(F.struct("piece", F.col("start"), F.lit(overlap).alias("h"), F.lit(overlap).alias("t"))))
         encoded = scratch.save(encoded.select("row", "key", "n_bytes", "k", "e.*"), f"encoded{step}")
