@@ -32,6 +32,8 @@ WHOLE = 0.7
 MARK, MULTIPLIER, BLOOM = "▁".encode(), 0xD1342543DE82EF95, 1 << 22
 #: Words of at most so many bytes are scored together by length.
 SHORT = 64
+#: Bytes of a longer word whose arcs are held at once.
+STRETCH = 1 << 15
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
 
@@ -119,26 +121,60 @@ def same_length(words: list[bytes], pieces: Pieces, weights: np.ndarray | None,
     return alpha[size]
 
 
-def long_word(word: bytes, pieces: Pieces, weight: float, counts: np.ndarray | None) -> float:
-    """The same for one long word, position by position."""
-    value, size = BYTE[np.frombuffer(word, np.uint8)], len(word)
-    ends: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]
-    h = np.zeros(size, dtype=np.uint64)
-    for length in range(1, min(size, pieces.longest) + 1):
-        h = h[: size - length + 1] * U(MULTIPLIER) + value[length - 1 :]
-        for i, p in zip(*(x.tolist() for x in pieces.find(h)), strict=True):
-            ends[i + length].append((length, p))
-    alpha, beta = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
-    alpha[0] = beta[size] = 0
-    for j in range(1, size + 1):
-        alpha[j] = np.logaddexp.reduce([alpha[j - k] + pieces.logp[p] for k, p in ends[j]])
-    if counts is not None:
-        for j in range(size, 0, -1):
-            for k, p in ends[j]:
-                step = pieces.logp[p] + beta[j]
-                beta[j - k] = np.logaddexp(beta[j - k], step)
-                counts[p] += weight * np.exp(alpha[j - k] + step - alpha[size])
-    return float(alpha[size])
+def arcs_into(value: np.ndarray, lo: int, hi: int, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of a word that end at lo + 1 to hi, by end and length: their starts, themselves, and where those of each end begin."""
+    base = max(0, lo - pieces.longest)
+    part = value[base:hi]
+    h, found = np.zeros(len(part), dtype=np.uint64), []
+    for length in range(1, min(len(part), pieces.longest) + 1):
+        h = h[: len(part) - length + 1] * U(MULTIPLIER) + part[length - 1 :]
+        i, p = pieces.find(h)
+        inside = i + base + length > lo
+        i, p = i[inside] + base, p[inside]
+        found.append((i + length, i, p))
+    end, start, p = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(end, kind="stable")
+    return start[order], p[order], np.searchsorted(end[order], np.arange(lo + 1, hi + 2))
+
+
+def long_word(word: bytes, pieces: Pieces, weight: float, counts: np.ndarray | None, stretch: int = STRETCH) -> float:
+    """The same for one long word, position by position. Only one stretch's arcs and sums are held, and the sums that reach into each
+    stretch; the way back, which needs all forward sums, makes those of a stretch again."""
+    value, size, reach = BYTE[np.frombuffer(word, np.uint8)], len(word), pieces.longest
+
+    def forward(lo: int, hi: int, into: np.ndarray):
+        """Sums of positions lo - reach to hi from those of lo - reach to lo, and the arcs."""
+        start, p, cut = arcs_into(value, lo, hi, pieces)
+        alpha = np.r_[into, np.full(hi - lo, -np.inf)]
+        at, gain, cut = start - (lo - reach), pieces.logp[p], cut.tolist()
+        for j in range(hi - lo):
+            a, b = cut[j], cut[j + 1]
+            alpha[reach + 1 + j] = np.logaddexp.reduce(alpha[at[a:b]] + gain[a:b])
+        return alpha, at, p, gain, cut
+
+    first = np.full(reach + 1, -np.inf)
+    first[reach] = 0
+    kept, last = [], first
+    for lo in range(0, size, stretch):
+        if counts is not None:
+            kept.append(last)
+        last = forward(lo, min(size, lo + stretch), last)[0][-reach - 1 :]
+    total = float(last[-1])
+    beta_in = np.full(reach + 1, -np.inf)
+    beta_in[reach] = 0
+    for lo in reversed(range(0, size, stretch) if counts is not None else ()):
+        hi = min(size, lo + stretch)
+        alpha, at, p, gain, cut = forward(lo, hi, kept.pop())
+        beta = np.full(len(alpha), -np.inf)
+        tail = min(len(beta), reach + 1)  # positions of later stretches' arcs that start here or before
+        beta[-tail:] = beta_in[-tail:]
+        for j in range(hi - lo - 1, -1, -1):
+            a, b = cut[j], cut[j + 1]
+            step = gain[a:b] + beta[reach + 1 + j]
+            beta[at[a:b]] = np.logaddexp(beta[at[a:b]], step)
+            counts[p[a:b]] += weight * np.exp(alpha[at[a:b]] + step - total)
+        beta_in = beta[: reach + 1]
+    return total
 
 
 def lattice(words: list[bytes], pieces: Pieces, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:

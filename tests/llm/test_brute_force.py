@@ -174,3 +174,30 @@ def test_neighbour_ties_and_repeated_rows(spark):
 
 def test_word_pattern_counts_as_the_library(spark):
     assert re.compile(tokens.rule(public_tokenizers.path("byte_bpe_50k.json"))[0] or "x") and tokens.rule(public_tokenizers.path("word_bpe_49k.json"))[0] is not None
+
+
+@pytest.mark.parametrize("stretch", [3, 40, 1 << 15])
+def test_long_words_by_stretches(stretch):
+    rnd = random.Random(stretch)
+    pieces = lattice.Pieces(*lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    for size in (1, 2, 17, 150, 600):
+        word = lattice.MARK + "".join(rnd.choice(["the", "ing", "ation", "q", "é", "un", "believ", "able"]) for _ in range(size)).encode()[:size]
+        by_length, by_stretch = np.zeros(len(pieces.logp)), np.zeros(len(pieces.logp))
+        want = lattice.same_length([word], pieces, np.array([2.5]), by_length)[0]
+        assert lattice.long_word(word, pieces, 2.5, None, stretch) == pytest.approx(want, rel=1e-12)
+        assert lattice.long_word(word, pieces, 2.5, by_stretch, stretch) == pytest.approx(want, rel=1e-12)
+        assert np.allclose(by_length, by_stretch, rtol=1e-9, atol=1e-12)
+
+
+def test_scores_of_long_texts_long_words_and_clashing_columns(spark):
+    rnd = random.Random(5)
+    long = prose(rnd, 20_000)
+    rows = [(i, prose(rnd, 20)) for i in range(8)] + [(20, long), (21, "ab" * 50_000), (21, "ab" * 50_000), (22, None), (None, "tie tie")]
+    plain = table(spark, rows).repartition(3)
+    docs = plain.withColumns({c: F.lit("old") for c in ["held_out", "base_score", "score", "word", "c", "tf", "row", "key", "held", "n_known"]})
+    held, path = F.col("doc_id") == 3, public_tokenizers.path("piece_bpe_32k.model")
+    got = sorted(map(tuple, lattice.lm_scores(docs, held, path).collect()), key=str)
+    want = sorted(map(tuple, lattice.lm_scores(plain, held, path).collect()), key=str)
+    assert [x[:5] for x in got] == [x[:5] for x in want] and np.allclose([x[5:] for x in got], [x[5:] for x in want])
+    by = {x[0]: x for x in got}
+    assert by[20][2] == len(long.split()) + 1 and by[21][2] == 2 and by[3][1] is True and by[22][2] == 1 and len(got) == len(rows)
