@@ -70,3 +70,14 @@ def test_every_event_is_rastered(spark, small):
     for name in ("raster_seed", "raster_splat", "reach_km2", "time_bands", "chamfer_cells"):
         assert {r.origin for r in catalog.QUERIES[name](spark, small).select("origin").distinct().collect()} == users
     assert {(r.origin, r.cost) for r in catalog.QUERIES["raster_seed"](spark, small).collect()} == {(k % 20, float(k)) for k in range(60)}
+
+
+def test_ways_far_north_stay(spark, tmp_path):
+    """Ways of parts with high numbers lie beyond any latitude bound; their SQL has none."""
+    rows = [(o, k, base + 3 * k + 17, k, 1.0, 1.0) for o, base in enumerate((0, 120_000, 1_200_000)) for k in (1, 2, 3)]
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    pd.DataFrame(rows, columns=columns).astype({"l_linenumber": "int32"}).to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame([(1, "P")], columns=["p_partkey", "p_name"]).to_parquet(tmp_path / "part.parquet")
+    for name in ("valid_ways", "simplified_ways"):
+        assert {r.way for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1, 2}
+    assert {r.u for r in catalog.QUERIES["distinct_edges"](spark, str(tmp_path)).collect()} == {20, 120_020, 1_200_020}
