@@ -96,28 +96,37 @@ DRY = "NOT EXISTS (SELECT 1 FROM wet w WHERE g.lon >= w.x + 2e-3 AND g.lon < w.x
 LANDED = f"SELECT g.place, g.dx, g.dy FROM spread g WHERE EXISTS (SELECT 1 FROM street_nodes n WHERE n.lat BETWEEN g.lat - 3e-3 AND g.lat + 3e-3 AND n.lon BETWEEN g.lon - 4e-3 AND g.lon + 4e-3 AND {FROM} <= {STEP_M}) AND {DRY}"
 
 
-def area_grids(spark, sf):
-    """Grid points of all areas, rounded to 5 decimals: (place, dx, dy, lon, lat)."""
+def spread_out(centres, key):
+    """Grid points around centres (key, lon, lat), rounded to 5 decimals: (key, dx, dy, lon, lat)."""
     offsets = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for y in range(-RADIUS_M, RADIUS_M + 1, STEP_M) for x in range(-RADIUS_M, RADIUS_M + 1, STEP_M) if x * x + y * y <= RADIUS_M * RADIUS_M)))
-    view(spark, sf, "places")
-    points = spark.sql(CENTRES).select("place", "lon", "lat", offsets.alias("o"))
+    points = centres.select(key, "lon", "lat", offsets.alias("o"))
     lon, lat = geo.offset_point("lon", "lat", "o.dx", "o.dy")
-    return points.select("place", "o.dx", "o.dy", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+    return points.select(key, "o.dx", "o.dy", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
+
+
+def centres(spark, sf):
+    view(spark, sf, "places")
+    return spark.sql(CENTRES)
+
+
+def area_grids(spark, sf):
+    """Grid points of all areas, rounded to 5 decimals: (place, dx, dy, lon, lat)."""
+    return spread_out(centres(spark, sf).select("place", "lon", "lat"), "place")
 
 
 def on_land(spark, sf, grid):
-    """Grid points within a step of a street node, and not in water."""
-    key = F.concat_ws(",", "place", "dx", "dy")
-    near = streets.cell_join(grid.select(key.alias("id"), "lon", "lat"), street_points(spark, sf), float(STEP_M), 0.004, geo.meters_from).select("id").distinct()
+    """Points (lon, lat) of a grid within a step of a street node, and not in water: each distinct point once."""
+    points = grid.select("lon", "lat").distinct().withColumn("id", F.struct("lon", "lat"))
+    near = streets.cell_join(points, street_points(spark, sf), float(STEP_M), 0.004, geo.meters_from).select("id").distinct()
     spark.read.parquet(f"{sf}/nation.parquet").createOrReplaceTempView("nation")
     sides = F.expr("array(struct(x + 2e-3 AS x1, y + 2e-3 AS y1, x + 8e-3 AS x2, y + 2e-3 AS y2), struct(x + 8e-3 AS x1, y + 2e-3 AS y1, x + 8e-3 AS x2, y + 8e-3 AS y2), struct(x + 8e-3 AS x1, y + 8e-3 AS y1, x + 2e-3 AS x2, y + 8e-3 AS y2), struct(x + 2e-3 AS x1, y + 8e-3 AS y1, x + 2e-3 AS x2, y + 2e-3 AS y2))")
     # water polygons are dealt to the map tiles that they touch
     wet, tiles = spark.sql(WET).withColumn("edges", sides), geo.tile("lon", "lat", 14)
     corner = lambda dx, dy, i: F.floor(geo.tile(F.col("x") + dx, F.col("y") + dy, 14)[i])
     wet = wet.withColumn("tx", F.explode(F.sequence(corner(2e-3, 0.0, 0), corner(8e-3, 0.0, 0)))).withColumn("ty", F.explode(F.sequence(corner(0.0, 8e-3, 1), corner(0.0, 2e-3, 1))))
-    points = grid.withColumns({"id": key, "tx": F.floor(tiles[0]), "ty": F.floor(tiles[1])}).join(near, "id", "left_semi")
+    points = near.select("id", "id.lon", "id.lat").withColumns({"tx": F.floor(tiles[0]), "ty": F.floor(tiles[1])})
     under = points.join(F.broadcast(wet.select("tx", "ty", "edges")), ["tx", "ty"]).filter(geo.in_rings("lon", "lat", "edges")).select("id").distinct()  # a few rows for each nation
-    return points.join(under, "id", "left_anti")
+    return points.join(under, "id", "left_anti").select("lon", "lat")
 
 
 @query(
@@ -128,9 +137,12 @@ def on_land(spark, sf, grid):
     ),
 )
 def _(spark, sf):
-    grid = area_grids(spark, sf)
-    land = on_land(spark, sf, grid).groupBy("place").agg(F.count("*").alias("land"))
-    out = grid.groupBy("place").agg(F.count("*").alias("possible")).join(land, "place", "left").withColumn("land", F.coalesce("land", F.lit(0)))
+    """Possible points of each area's grid, and those on land; areas with one centre share their grid."""
+    places = centres(spark, sf).withColumn("centre", F.struct("lon", "lat"))
+    grid = checkpointed(spread_out(places.select("centre", "lon", "lat").distinct(), "centre"))
+    dry = on_land(spark, sf, grid).withColumn("dry", F.lit(1))
+    counts = grid.join(dry, ["lon", "lat"], "left").groupBy("centre").agg(F.count("*").alias("possible"), F.count("dry").alias("land"))
+    out = places.join(counts, "centre").groupBy("place").agg(F.sum("possible").alias("possible"), F.sum("land").alias("land"))
     return out.select("place", "possible", "land", (F.col("land") >= F.col("possible") * MIN_LAND_SHARE).alias("enough"))
 
 

@@ -131,3 +131,15 @@ def test_stops_of_a_loop_are_not_placed_backwards():
     assert shapes.placed(line, np.array([4]), stops, np.array([4])).tolist() == [0, 0, 0, 2]
     bent = np.array([[0.0, 0.0], [50.0, 2.0], [100.0, 0.0], [150.0, 40.0], [200.0, 0.0]])
     assert shapes.kept(np.vstack([bent, bent[:2]]), np.array([5, 2])).tolist() == [True, False, True, True, True, True, True]
+
+
+def test_areas_of_one_centre_share_their_grid(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    pd.DataFrame([(1 + 1000 * k, f"P{k}", 3) for k in range(20)], columns=["p_partkey", "p_name", "p_size"]).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame([(k, 0) for k in range(1600)], columns=["c_custkey", "c_nationkey"]).to_parquet(tmp_path / "customer.parquet")
+    pd.DataFrame([(k, f"N{k}") for k in range(25)], columns=["n_nationkey", "n_name"]).to_parquet(tmp_path / "nation.parquet")
+    seen, plain = [], puzzles.on_land
+    monkeypatch.setattr(puzzles, "on_land", lambda spark, sf, grid: seen.append(grid.count()) or plain(spark, sf, grid))
+    got = puzzles.query.__globals__["QUERIES"]["area_land"](spark, str(tmp_path)).collect()
+    assert len(got) == 20 and len({(r.possible, r.land) for r in got}) == 1 and seen == [got[0].possible]
