@@ -69,18 +69,21 @@ def scheduled(days: DataFrame, twists: list[str], last: int) -> DataFrame:
 def fresh(candidates: DataFrame, used: DataFrame, days: int = 14, radius: float = 2500.0) -> DataFrame:
     """candidates (day, name, lon, lat) whose name no used row (day, name, lon, lat) has, and that lie farther than radius from all areas used in the days before.
 
-    Areas meet candidates by day and grid cell; a cell is wider than the radius up to 60 degrees of latitude.
+    Areas meet candidates by day, grid cell and position, each once; a cell is wider than the radius up to 60 degrees of latitude. Those rows are many times
+    the used ones, which the planner's estimate doesn't see, so the joins say that neither side goes through the driver.
     """
     size = radius / 111_195 * 2.1
     x, y = grid_cell("lon", "lat", size)
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
     ahead = F.explode(F.sequence(F.lit(1), F.lit(days)))
-    recent = used.withColumns({"ahead": ahead}).withColumn("c", around)
-    recent = recent.select(F.date_add("day", F.col("ahead")).alias("day"), (x + F.col("c.i")).alias("cx"), (y + F.col("c.j")).alias("cy"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    new = candidates.join(used.select("name").distinct(), "name", "left_anti").withColumns({"cx": x, "cy": y})
-    near = (new["day"] == recent["day"]) & (new["cx"] == recent["cx"]) & (new["cy"] == recent["cy"])
-    near = near & (meters_between(new["lon"], new["lat"], recent["lon2"], recent["lat2"]) <= radius)
-    return new.join(recent, near, "left_anti").drop("cx", "cy")
+    at = ["day", "lon", "lat"]
+    recent = used.select(*at).distinct().withColumn("ahead", ahead).select(F.date_add("day", F.col("ahead")).alias("day"), "lon", "lat").distinct().withColumn("c", around)
+    recent = recent.select("day", (x + F.col("c.i")).alias("cx"), (y + F.col("c.j")).alias("cy"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    new = candidates.join(used.select("name").distinct(), "name", "left_anti")
+    asked = new.select(*at).distinct().withColumns({"cx": x, "cy": y})
+    near = meters_between("lon", "lat", "lon2", "lat2") <= radius
+    taken = asked.join(recent.hint("merge"), ["day", "cx", "cy"]).filter(near).select(*at).distinct()
+    return new.join(taken.hint("merge"), at, "left_anti").select(*candidates.columns)
 
 
 #: Draws for a day at most, days for which an area is kept from its neighbourhood, and metres; a day's seed is its number times DAY_SEED.

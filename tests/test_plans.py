@@ -143,3 +143,16 @@ def test_areas_of_one_centre_share_their_grid(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(puzzles, "on_land", lambda spark, sf, grid: seen.append(grid.count()) or plain(spark, sf, grid))
     got = puzzles.query.__globals__["QUERIES"]["area_land"](spark, str(tmp_path)).collect()
     assert len(got) == 20 and len({(r.possible, r.land) for r in got}) == 1 and seen == [got[0].possible]
+
+
+def test_fresh_areas_are_not_broadcast(spark):
+    import datetime
+
+    day = datetime.date(2020, 1, 1)
+    used = spark.createDataFrame([(day, "u", 0.0, 0.0)] * 3, "day date, name string, lon double, lat double")
+    rows = [(day + datetime.timedelta(d), n, lon, 0.0) for d, n, lon in ((0, "a", 0.0), (1, "b", 0.0), (14, "c", 0.02), (15, "d", 0.0), (3, "e", 0.03), (3, "u", 5.0), (1, "b", 0.0))]
+    new = spark.createDataFrame(rows, "day date, name string, lon double, lat double")
+    out = schedule.fresh(new, used)
+    assert sorted(r.name for r in out.collect()) == ["a", "d", "e"]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") <= 1  # the used names at most
