@@ -43,9 +43,16 @@ def quantiles(scores: DataFrame, value: str, shares: tuple[float, ...] = QUANTIL
 
 
 def candidates(places: DataFrame, stops: DataFrame, radius: float = 1000, cap: int = 60, least: int = 5) -> DataFrame:
-    """Neighbourhood-like places with weight min(stops within radius, cap), from `least` on. places, stops: (id, lon, lat)."""
-    near = cell_join(places, stops, radius, 0.016).groupBy("id").agg(F.least(F.count("*"), F.lit(cap)).alias("weight"))
-    return near.filter(F.col("weight") >= least)
+    """Neighbourhood-like places with weight min(stops within radius, cap), from `least` on. places, stops: (id, lon, lat).
+
+    Points meet by their positions, each once: a position of stops counts as many as lie there, and all places of a position share its weight.
+    """
+    at = ["lon", "lat"]
+    spots = places.select(*at).dropna().distinct().withColumn("id", F.struct(*at))
+    held = stops.dropna(subset=at).groupBy(*at).agg(F.count("*").alias("n")).select(F.struct("lon", "lat", "n").alias("id"), *at)
+    near = cell_join(spots, held, radius, 0.016).groupBy("id").agg(F.sum("other.n").alias("n")).select("id.lon", "id.lat", "n")
+    weights = places.join(near, at).groupBy("id").agg(F.least(F.sum("n"), F.lit(cap)).alias("weight"))
+    return weights.filter(F.col("weight") >= least)
 
 
 def weighted_pick(rows: DataFrame, key: str, weight: str, at: float) -> DataFrame:

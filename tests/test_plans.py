@@ -156,3 +156,15 @@ def test_fresh_areas_are_not_broadcast(spark):
     assert sorted(r.name for r in out.collect()) == ["a", "d", "e"]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin") <= 1  # the used names at most
+
+
+def test_candidates_of_one_position_share_their_pairs(spark, monkeypatch):
+    from farstride.operators import streets
+
+    ps = spark.createDataFrame([(k, 0.0, 0.0) for k in range(30)] + [(99, 1.0, 1.0), (7, 0.0, 0.0)], "id long, lon double, lat double")
+    halts = spark.createDataFrame([(k, 0.001, 0.0) for k in range(40)] + [(k, 1.0, 1.0) for k in range(4)], "id long, lon double, lat double")
+    met = []
+    monkeypatch.setattr(score, "cell_join", lambda *a: met.append(streets.cell_join(*a)) or met[-1])
+    got = {r.id: r.weight for r in score.candidates(ps, halts).collect()}
+    assert got == {k: 60 if k == 7 else 40 for k in range(30)}  # place 7 has two rows
+    assert met[0].count() == 2
