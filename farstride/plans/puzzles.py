@@ -10,7 +10,7 @@ from ..operators import raster, schedule, score, streets
 from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
 from ..streaming import game, requests
-from .catalog import cells, flat, halt_points, painted, query, rounded, street_points
+from .catalog import cells, flat, halt_points, query, rounded, street_points
 from .catalog import GRID as RASTER
 from .spots import sampled
 
@@ -201,7 +201,7 @@ def _(spark, sf):
     """The travel time under each pointer: its cell's value, none outside what was painted."""
     spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("events")
     pointers = spark.sql("SELECT CAST(user_id AS BIGINT) AS origin, event_id, -122.5e0 + ((event_id * 7919) % 1000) * 8e-5 + 1e-3 AS lon, 37.5e0 + ((event_id * 104729) % 1000) * 7.6e-5 AS lat, 37.54e0 AS lat0 FROM events")
-    return rounded(raster.look_up(pointers, painted(spark, sf)).select("origin", "event_id", "cost"), "cost")
+    return rounded(raster.painted_at(pointers, cells(spark, sf), 1.25, 700.0).select("origin", "event_id", "cost"), "cost")
 
 
 # --- guesses -----------------------------------------------------------------------------------------------------

@@ -202,3 +202,17 @@ def test_grids_swept_side_by_side_are_those_swept_alone(spark, monkeypatch):
     assert swept() == alone
     monkeypatch.setattr(raster, "SWEPT", 12_000)
     assert swept() == alone
+
+
+def test_pointers_see_what_is_painted_and_nothing_is_broadcast(spark):
+    rows, df = scattered(spark)
+    size = raster.CELL_M / spark.range(1).select(geo.meters_per_mercator_unit(F.lit(37.54))).first()[0]
+    middle = lambda c: (F.col(c) + 20_000.5) * size
+    df = df.withColumns({"cx": F.col("cx") + 20_000, "cy": F.col("cy") + 20_000})
+    grid = spark.range(6).select(F.col("id").alias("origin")).crossJoin(spark.range(-160, 160, 3).select(F.col("id").alias("px"))).crossJoin(spark.range(-8, 90, 3).select(F.col("id").alias("py")))
+    points = grid.select("origin", "px", "py", geo.mercator_lon(middle("px")).alias("lon"), geo.mercator_lat(middle("py")).alias("lat"), F.lit(37.54).alias("lat0"))
+    points = spark.createDataFrame(points.unionByName(points.limit(50)).collect(), points.schema)
+    out = raster.painted_at(points, df, 1.25, 700.0)
+    want = sorted((r.origin, r.px, r.py, r.cost or -1) for r in raster.look_up(points, raster.splat(df, 1.25, 700.0)).collect())
+    assert sorted((r.origin, r.px, r.py, r.cost or -1) for r in out.collect()) == want and len({r[3] for r in want}) > 50
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
