@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .iterate import Tables
-from .search import Reach, walk_lines
+from .search import Reach
 
 #: Walks of up to this many seconds are left out.
 LEAST_S = 0.5
@@ -28,7 +28,7 @@ def walked(found: Reach, rows: DataFrame) -> DataFrame:
     keys = ["origin", "target", "leg", "i"]
     home = on_foot.filter("before = ''").select(*keys, "node")
     away = on_foot.filter("before <> ''").select(*keys, "before", "node")
-    line = lambda asks, seeds: walk_lines(asks, seeds, found.edges, found.places, found.limit, found.speed).select("origin", "node", "lons", "lats")
+    line = lambda asks, seeds: found.roads.lines(asks, seeds).select("origin", "node", "lons", "lats")
     first = home.join(line(home.select("origin", "node"), found.seeds), ["origin", "node"])
     later = line(away.select(F.col("before").alias("origin"), "node"), found.stop_seeds).withColumnRenamed("origin", "before")
     return first.select(*keys, "lons", "lats").unionByName(away.join(later, ["before", "node"]).select(*keys, "lons", "lats"))

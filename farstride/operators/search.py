@@ -6,8 +6,11 @@ origin only through the stop where it boards, so walks are searched around each
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,12 @@ from .iterate import Tables
 
 #: Defaults of a query: limits and penalties in seconds, speed in metres a second.
 PARAMS = {"limit_s": 2700.0, "speed": 5 / 3.6, "transfer_s": 300.0, "wait_s": 0.0}
-#: Origins that a task walks from at once; rows that a join's side is broadcast with at most.
-ORIGINS, SMALL = 64, 1_000_000
+#: Origins that share a group, about; pairs of a node and an origin that a task holds at once; rows of a batch that it hands on.
+ORIGINS, CELLS, BATCH = 256, 1 << 22, 100_000
+#: Rows that a join's side is broadcast with at most; tasks of a search.
+SMALL, TASKS = 1_000_000, 4000
+#: What a row of a group is.
+SEED, ROAD, ASK = 0, 1, 2
 
 
 def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_of: DataFrame | None = None, period: str | None = None) -> DataFrame:
@@ -68,119 +75,212 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def dealt(seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Seeds (origin, node, cost) and walks (src, dst, cost and both ends' lon and lat) by (tx, ty, lot), for searches within a task.
+class Field:
+    """Least costs from each of some origins (columns) to the nodes of a group, over roads in order of their starts, and the round in which each was found.
 
-    Seeds are dealt by tiles as wide as anyone can walk within limit, each with the edges of its own and the neighbouring tiles, in lots of
-    about ORIGINS origins; so a group is bounded by the limit, whatever the number of origins. An origin may have seeds in several tiles: the least of their results counts.
+    Pairs of a node and an origin are relaxed, so only those that the round before improved are looked at.
     """
-    tables = Tables(seeds.sparkSession)
-    walks = edges.filter(F.col("kind") == WALK).select("src", "dst", F.col("cost0").alias("cost"))
-    a, b = (places.select(F.col("node").alias(end), F.col("lon").alias(f"lon_{end}"), F.col("lat").alias(f"lat_{end}")) for end in ("src", "dst"))
-    walks = tables.save(walks.join(a, "src").join(b, "dst"))
-    # an edge may be shorter than the straight line between its ends: then more of them fit in the limit
-    straight = meters_between("lon_src", "lat_src", "lon_dst", "lat_dst")
-    stretch = walks.agg(F.max(straight / F.greatest(F.col("cost") * speed, F.lit(1.0)))).first()[0] or 1.0
-    size = max(limit * speed * max(1.0, stretch), 1.0) / METRES_PER_DEGREE * 2  # of longitude, up to 60 degrees of latitude
-    x, y = grid_cell("lon", "lat", size)
-    homes = tables.save(seeds.select("origin", "node", "cost").join(places, "node").select("origin", "node", "cost", x.alias("tx"), y.alias("ty")))
-    lots = homes.groupBy("tx", "ty").agg(F.ceil(F.countDistinct("origin") / ORIGINS).alias("lots"))
-    lot = F.pmod(F.xxhash64("origin"), F.col("lots"))
-    own = homes.join(small(tables.save(lots)), ["tx", "ty"]).select("tx", "ty", lot.alias("lot"), "origin", "node", "cost")
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
-    ex, ey = grid_cell("lon_src", "lat_src", size)
-    near = walks.withColumn("c", around).select("*", (ex + F.col("c.i")).alias("tx"), (ey + F.col("c.j")).alias("ty")).drop("c")
-    return own, near.join(small(tables.save(own.select("tx", "ty", "lot").distinct())), ["tx", "ty"]), ["tx", "ty", "lot"]
 
-
-class Field:
-    """Least costs of all nodes of a group from each of its origins, and the round in which each was found."""
-
-    def __init__(self, seeds: pd.DataFrame, roads: pd.DataFrame, limit: float):
-        self.origins, col = np.unique(seeds["origin"].to_numpy(), return_inverse=True)
-        self.names, codes = np.unique(np.concatenate([seeds["node"], roads["src"], roads["dst"]]).astype(object), return_inverse=True)
-        row, src, dst = np.split(codes, [len(seeds), len(seeds) + len(roads)])
-        cost = np.full((len(self.names), len(self.origins)), np.inf)
-        np.minimum.at(cost, (row, col), seeds["cost"].to_numpy(float))
-        self.seeded, self.round = np.isfinite(cost), np.zeros(cost.shape, dtype=np.int32)
-        self.order = np.argsort(dst, kind="stable")
-        self.src, self.dst, self.length = src[self.order], dst[self.order], roads["cost"].to_numpy(float)[self.order]
-        moved = self.seeded.any(axis=1)
-        k = 0
-        while len(use := np.flatnonzero(moved[self.src])):  # edges from nodes that the round before improved, still by their ends
+    def __init__(self, node: np.ndarray, column: np.ndarray, first: np.ndarray, shape: tuple[int, int], roads: tuple[np.ndarray, np.ndarray, np.ndarray], limit: float):
+        self.src, self.dst, self.length = roads
+        width = shape[1]
+        begin = np.searchsorted(self.src, np.arange(shape[0] + 1))
+        cost, self.round = np.full(shape[0] * width, np.inf), np.zeros(shape[0] * width, dtype=np.int32)
+        front = node * width + column
+        np.minimum.at(cost, front, first)
+        front, k = np.unique(front), 0
+        while len(front):
             k += 1
-            ends, first = np.unique(self.dst[use], return_index=True)
-            through = cost[self.src[use]] + self.length[use][:, None]
-            through[through > limit] = np.inf
-            new = np.minimum.reduceat(through, first, axis=0)
-            better = new < cost[ends]
-            moved[:] = False
-            moved[ends] = better.any(axis=1)
-            cost[ends] = np.where(better, new, cost[ends])
-            self.round[ends] = np.where(better, k, self.round[ends])
-        self.cost = cost
+            at, who = front // width, front % width
+            roads_of = begin[at + 1] - begin[at]
+            of = np.repeat(np.arange(len(front)), roads_of)
+            road = np.arange(len(of)) + (begin[at] - np.cumsum(roads_of) + roads_of)[of]
+            to, through = self.dst[road] * width + who[of], cost[front][of] + self.length[road]
+            better = (through <= limit) & (through < cost[to])
+            to, through = to[better], through[better]
+            np.minimum.at(cost, to, through)
+            front = np.unique(to)
+            self.round[front] = k
+        self.cost, self.round = cost.reshape(shape), self.round.reshape(shape)
+        self.into = np.argsort(self.dst, kind="stable")
 
     def before(self, node: int, origin: int) -> int:
-        """The edge (a place in src) over which a node got its cost; of equals the one whose start has the first name. -1 at a seed."""
+        """The node from which a node got its cost; of equals the first by name. -1 at a seed."""
         if not self.round[node, origin]:
             return -1
-        lo, hi = np.searchsorted(self.dst, [node, node + 1])
-        src = self.src[lo:hi]
-        fits = (self.cost[src, origin] + self.length[lo:hi] == self.cost[node, origin]) & (self.round[src, origin] < self.round[node, origin])
-        return int(lo + np.flatnonzero(fits)[np.argmin(src[fits])])  # names are in order
+        edges = self.into[slice(*np.searchsorted(self.dst, [node, node + 1], sorter=self.into))]
+        src = self.src[edges]
+        fits = (self.cost[src, origin] + self.length[edges] == self.cost[node, origin]) & (self.round[src, origin] < self.round[node, origin])
+        return int(src[fits].min())  # names are in order
+
+
+def coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct values of some columns in order, and the columns as places among them."""
+    whole = pa.chunked_array([c for column in columns for c in column.chunks], type=columns[0].type).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(whole.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return whole.dictionary.take(order), np.split(rank[whole.indices.to_numpy(zero_copy_only=False)], np.cumsum([len(c) for c in columns])[:-1])
+
+
+class Lot:
+    """Seeds, roads and asked ends of the origins that a task searches from, in parts of at most CELLS pairs of a node and an origin."""
+
+    def __init__(self, batches: Iterable[pa.RecordBatch], limit: float):
+        rows = pa.Table.from_batches(list(batches))
+        self.limit = limit
+        seeds, self.roads, asks = (rows.filter(pc.equal(rows["part"], part)) for part in (SEED, ROAD, ASK))
+        self.names, (self.node, src, dst, self.end) = coded(seeds["node"], self.roads["node"], self.roads["dst"], asks["node"])
+        self.origins, (self.origin, self.asker) = coded(seeds["origin"], asks["origin"])
+        self.cost, self.ridden = seeds["cost"].to_numpy(), seeds["ridden"].to_numpy().astype(np.int64)
+        self.seeds, order = seeds, np.argsort(src, kind="stable")
+        self.by_start = src[order], dst[order], self.roads["cost"].to_numpy()[order]
+        # neighbours are searched together: their nodes are the same
+        height = np.full(len(self.origins), np.inf)
+        np.minimum.at(height, self.origin, seeds["home"].to_numpy())
+        self.order = np.argsort(height, kind="stable")
+
+    def parts(self, kinds: int) -> Iterator[tuple[np.ndarray, Field]]:
+        """Some origins, and the field of as many columns for their walks (and as many again for their rides, if kinds is 2)."""
+        many = max(1, CELLS // (kinds * len(self.names)))
+        column = np.empty(len(self.origins), dtype=np.int64)
+        for a in range(0, len(self.origins), many):
+            some = self.order[a : a + many]
+            column[:] = -1
+            column[some] = np.arange(len(some))
+            mine = np.flatnonzero(column[self.origin] >= 0)
+            yield some, Field(self.node[mine], column[self.origin[mine]] + self.ridden[mine] * len(some), self.cost[mine], (len(self.names), kinds * len(some)), self.by_start, self.limit)
+
+    def found(self, only: str | None, ends: str) -> Iterator[pa.RecordBatch]:
+        """(origin, node, cost, ridden) of the cheaper of walking and riding; ends: all nodes (whose names start with only), those asked or the farthest."""
+        ok = np.ones(len(self.names), dtype=bool) if only is None else pc.starts_with(self.names, only).to_numpy(zero_copy_only=False)
+        for some, field in self.parts(2 if self.ridden.any() else 1):
+            walk, ride = field.cost[:, : len(some)], field.cost[:, len(some) :]
+            ridden = ride < walk if ride.size else np.zeros(walk.shape, dtype=bool)  # walking wins ties
+            cost = np.where(ridden, ride, walk) if ride.size else walk
+            if ends == "asked":
+                column = np.full(len(self.origins), -1)
+                column[some] = np.arange(len(some))
+                mine = column[self.asker] >= 0
+                i, j = self.end[mine], column[self.asker[mine]]
+                near = np.isfinite(cost[i, j])
+                i, j = i[near], j[near]
+            elif ends == "farthest":
+                known = np.where(np.isfinite(cost), cost, -np.inf)[::-1]  # of equals the last by name
+                i, j = len(known) - 1 - known.argmax(axis=0), np.arange(len(some))
+            else:
+                i, j = np.nonzero(np.isfinite(cost) & ok[:, None])
+            for b in range(0, len(i), BATCH):
+                u, v = i[b : b + BATCH], j[b : b + BATCH]
+                yield pa.RecordBatch.from_arrays([self.origins.take(some[v]), self.names.take(u), pa.array(cost[u, v]), pa.array(ridden[u, v])], ["origin", "node", "cost", "ridden"])
+
+
+class Roads:
+    """Walks between placed nodes, by tiles as wide as anyone can walk within limit; stored once. edges: priced, places: (node, lon, lat)."""
+
+    def __init__(self, edges: DataFrame, places: DataFrame, limit: float, speed: float):
+        tables = Tables(edges.sparkSession)
+        self.limit, self.places = limit, places
+        walks = edges.filter(F.col("kind") == WALK).select("src", "dst", F.col("cost0").alias("cost"))
+        a, b = (places.select(F.col("node").alias(end), F.col("lon").alias(f"lon_{end}"), F.col("lat").alias(f"lat_{end}")) for end in ("src", "dst"))
+        walks = tables.save(walks.join(a, "src").join(b, "dst"))
+        # an edge may be shorter than the straight line between its ends: then more of them fit in the limit
+        straight = meters_between("lon_src", "lat_src", "lon_dst", "lat_dst")
+        stretch = walks.agg(F.max(straight / F.greatest(F.col("cost") * speed, F.lit(1.0)))).first()[0] or 1.0
+        size = max(limit * speed * max(1.0, stretch), 1.0) / METRES_PER_DEGREE * 2  # of longitude, up to 60 degrees of latitude
+        self.tile = lambda lon, lat: [c.alias(n) for c, n in zip(grid_cell(lon, lat, size), ("tx", "ty"), strict=True)]
+        self.walks = walks.select("*", *self.tile("lon_src", "lat_src"))
+
+    def around(self, tiled: DataFrame, *keys: str) -> DataFrame:
+        """The tiles (tx, ty) of each of keys in tiled, and their neighbours."""
+        near = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i AS i, j AS j))))"))
+        tiles = tiled.select(*keys, "tx", "ty").distinct().withColumn("c", near)
+        return tiles.select(*keys, (F.col("tx") + F.col("c.i")).alias("tx"), (F.col("ty") + F.col("c.j")).alias("ty")).distinct()
+
+    def tiled(self, df: DataFrame) -> DataFrame:
+        return df.join(self.places.select("node", "lon", "lat", *self.tile("lon", "lat")), "node")
+
+    def near(self, seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The seeds from which any of nodes may be in reach."""
+        tiles = Tables(seeds.sparkSession).save(self.around(self.tiled(nodes)))
+        return self.tiled(seeds).join(small(tiles), ["tx", "ty"], "left_semi").select(*seeds.columns)
+
+    def run(self, seeds: DataFrame, work, schema: str, asks: DataFrame | None = None, lined: bool = False) -> DataFrame:
+        """work on the Lot of each group of about ORIGINS origins; seeds: (origin, node, cost) and perhaps ridden, asks: (origin, node).
+
+        Origins are dealt by the tiles of their own seeds. A group has all seeds of its origins and the walks of the tiles around them, so it is bounded
+        by what its origins reach, and an origin's rows come out of one task: they needn't be exchanged.
+        """
+        tables, limit = Tables(seeds.sparkSession), self.limit
+        ridden = F.col("ridden") if "ridden" in seeds.columns else F.lit(False)
+        at = tables.save(self.tiled(seeds.select("origin", "node", "cost", ridden.alias("ridden"))))
+        home = at.groupBy("origin").agg(F.min(F.struct("ridden", "tx", "ty", "lat")).alias("h")).select("origin", F.col("h.tx").alias("hx"), F.col("h.ty").alias("hy"), F.col("h.lat").alias("home"))
+        lots = tables.save(home.groupBy("hx", "hy").agg(F.ceil(F.count("*") / ORIGINS).alias("lots")))
+        key = ["hx", "hy", "lot"]
+        home = tables.save(home.join(small(lots), ["hx", "hy"]).select("origin", "home", "hx", "hy", F.pmod(F.xxhash64("origin"), F.col("lots")).alias("lot")))
+        own = at.join(home, "origin")
+        tiles = tables.save(self.around(own, *key))
+        null = lambda kind: F.lit(None).cast(kind)
+        of, ends = seeds.schema["origin"].dataType, ["lon_src", "lat_src", "lon_dst", "lat_dst"] if lined else []
+        here = [*(F.col(c).alias(f"{c}_src") for c in ("lon", "lat")), *(null("double").alias(f"{c}_dst") for c in ("lon", "lat"))] if lined else []
+        rows = own.select(*key, F.lit(SEED).alias("part"), "origin", "node", null("string").alias("dst"), "cost", "ridden", "home", *here)
+        roads = self.walks.join(small(tiles), ["tx", "ty"])
+        rows = rows.unionByName(roads.select(*key, F.lit(ROAD).alias("part"), null(of).alias("origin"), F.col("src").alias("node"), "dst", "cost", null("boolean").alias("ridden"), null("double").alias("home"), *ends))
+        if asks is not None:
+            none = [null("double").alias(c) for c in ends]
+            rows = rows.unionByName(asks.join(home, "origin").select(*key, F.lit(ASK).alias("part"), "origin", "node", null("string").alias("dst"), null("double").alias("cost"), null("boolean").alias("ridden"), "home", *none))
+
+        def search_lot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from work(Lot(batches, limit))
+
+        tasks = min(TASKS, 2 * (lots.agg(F.sum("lots")).first()[0] or 1))  # a number of our own: these tasks aren't merged
+        return rows.repartition(tasks, *key).groupBy(*key).applyInArrow(search_lot, schema)
+
+    def costs(self, seeds: DataFrame, only: str | None = None, ends: str = "all", asks: DataFrame | None = None) -> DataFrame:
+        """(origin, node, cost, ridden) of every node within limit, of those whose names start with only, of asks (ends: asked), or of the farthest one (ends: farthest)."""
+        schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double, ridden boolean"
+        return self.run(seeds, lambda lot: lot.found(only, ends), schema, asks)
+
+    def lines(self, asks: DataFrame, seeds: DataFrame) -> DataFrame:
+        """The way of each asked walk (origin, node): (origin, node, cost, nodes, lons, lats), from the seed on; seeds of other origins are left out.
+
+        Nothing is stored by the search: a node's predecessor is a neighbour whose cost and edge add up to its own, found within the group that searches.
+        """
+        asks = Tables(asks.sparkSession).save(asks.select("origin", "node").distinct())
+        kind = seeds.schema["origin"].dataType.simpleString()
+        schema = f"origin {kind}, node string, cost double, nodes array<string>, lons array<double>, lats array<double>"
+
+        def trace(lot: Lot) -> Iterator[pa.RecordBatch]:
+            lon, lat = np.zeros((2, len(lot.names)))
+            src, dst = (coded(pa.chunked_array([lot.names]), lot.roads[c])[1][1] for c in ("node", "dst"))
+            for place, c in ((lon, "lon"), (lat, "lat")):
+                place[src], place[dst] = lot.roads[f"{c}_src"].to_numpy(), lot.roads[f"{c}_dst"].to_numpy()
+                place[lot.node] = lot.seeds[f"{c}_src"].to_numpy()
+            for some, field in lot.parts(1):
+                rows = []
+                for j, origin in enumerate(some):
+                    for end in lot.end[lot.asker == origin]:
+                        if np.isfinite(field.cost[end, j]):
+                            way = [int(end)]
+                            while (node := field.before(way[-1], j)) >= 0:
+                                way.append(node)
+                            way = way[::-1]
+                            rows.append((lot.origins[origin].as_py(), lot.names[end].as_py(), field.cost[end, j], lot.names.take(way).to_pylist(), lon[way].tolist(), lat[way].tolist()))
+                if rows:
+                    types = [lot.origins.type, pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["origin", "node", "cost", "nodes", "lons", "lats"])
+
+        return self.run(seeds.join(asks.select("origin").distinct(), "origin", "left_semi"), trace, schema, asks, lined=True)
 
 
 def walking(seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> DataFrame:
     """Least walking cost (origin, node, cost) of every node within limit; seeds: (origin, node, cost), edges: priced, places: (node, lon, lat)."""
-    own, near, group = dealt(seeds, edges, places, limit, speed)
-
-    def relax(mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame({"origin": [], "node": [], "cost": []})
-        field = Field(mine, roads, limit)
-        i, j = np.nonzero((field.cost <= limit) | field.seeded)
-        return pd.DataFrame({"origin": field.origins[j], "node": field.names[i], "cost": field.cost[i, j]})
-
-    schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double"
-    found = own.groupBy(*group).cogroup(near.select(*group, "src", "dst", "cost").groupBy(*group)).applyInPandas(relax, schema)
-    return found.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
+    return Roads(edges, places, limit, speed).costs(seeds).drop("ridden")
 
 
 def walk_lines(asks: DataFrame, seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float) -> DataFrame:
-    """The way of each asked walk (origin, node): (origin, node, cost, nodes, lons, lats), from the seed on; seeds of other origins are left out.
-
-    Nothing is stored by the search: a node's predecessor is a neighbour whose cost and edge add up to its own, found within the group that searches.
-    """
-    asks = Tables(asks.sparkSession).save(asks.select("origin", "node").distinct())
-    own, near, group = dealt(seeds.join(asks.select("origin").distinct(), "origin", "left_semi"), edges, places, limit, speed)
-    goals = asks.groupBy("origin").agg(F.collect_list("node").alias("goals"))  # the ends of one origin's asked walks
-    at = places.select("node", F.col("lon").alias("lon"), F.col("lat").alias("lat"))
-
-    def trace(mine: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(mine):
-            field = Field(mine, roads, limit)
-            code = {n: i for i, n in enumerate(field.names)}
-            where = dict(zip(roads["src"], zip(roads["lon_src"], roads["lat_src"], strict=True), strict=True)) | dict(zip(roads["dst"], zip(roads["lon_dst"], roads["lat_dst"], strict=True), strict=True))
-            where |= dict(zip(mine["node"], zip(mine["lon"], mine["lat"], strict=True), strict=True))
-            for j, (origin, ends) in enumerate(mine.drop_duplicates("origin").set_index("origin")["goals"].sort_index().items()):
-                for end in ends:
-                    i = code.get(end, -1)
-                    if i < 0 or not np.isfinite(field.cost[i, j]):
-                        continue
-                    way = [i]
-                    while (edge := field.before(way[-1], j)) >= 0:
-                        way.append(int(field.src[edge]))
-                    names = field.names[way[::-1]].tolist()
-                    lons, lats = zip(*(where[n] for n in names), strict=True)
-                    rows.append((origin, end, field.cost[i, j], names, list(lons), list(lats)))
-        return pd.DataFrame(rows, columns=["origin", "node", "cost", "nodes", "lons", "lats"])
-
-    schema = f"origin {seeds.schema['origin'].dataType.simpleString()}, node string, cost double, nodes array<string>, lons array<double>, lats array<double>"
-    own = own.join(goals, "origin").join(at, "node")
-    found = own.groupBy(*group).cogroup(near.select(*group, *(c for c in near.columns if c not in group)).groupBy(*group)).applyInPandas(trace, schema)
-    least = found.groupBy("origin", "node").agg(F.min(F.struct("cost", "nodes", "lons", "lats")).alias("m"))
-    return least.select("origin", "node", "m.*")
+    """The ways of asked walks, as Roads.lines has them."""
+    return Roads(edges, places, limit, speed).lines(asks, seeds)
 
 
 def paths(labels: DataFrame, targets: DataFrame) -> DataFrame:
@@ -207,34 +307,47 @@ class Reach:
 
     seeds: (origin, node, cost), edges: priced, places: (node, lon, lat) of streets and stops.
     Every ride is walk to a stop, rides and walks between stops, and walk from the last stop; the three parts are exact, and so is their least sum.
-    The last walk is one search from all stops where an origin arrives, with its arrival times as first costs.
+    First walks are stored to stops only. The last walk is one search from all stops where an origin arrives, with its arrival times as first costs,
+    in the task that also walks from the origin itself; so rows of (origin, node) are neither exchanged nor stored.
     """
 
     def __init__(self, seeds: DataFrame, edges: DataFrame, places: DataFrame, limit: float, speed: float):
         tables = Tables(seeds.sparkSession)
-        self.seeds, self.limit, self.speed = seeds, limit, speed
-        self.edges, self.places = edges, places = tables.save(edges), tables.save(places)
-        stop = F.col("node").startswith("p")
-        self.walks = tables.save(walking(seeds, edges, places, limit, speed))
-        self.stop_seeds = places.filter(stop).select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
-        self.from_stop = tables.save(walking(self.stop_seeds, edges, places, limit, speed).withColumnRenamed("origin", "stop"))
-        between = self.from_stop.filter(stop & (F.col("stop") != F.col("node"))).select(F.col("stop").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1"))
+        self.seeds, self.limit, self.speed = tables.save(seeds.select("origin", "node", "cost")), limit, speed
+        edges, self.places = tables.save(edges), tables.save(places)
+        self.roads = Roads(edges, self.places, limit, speed)
+        stops = self.places.filter(F.col("node").startswith("p")).select("node")
+        self.stop_seeds = stops.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
+        self.from_stop = tables.save(self.roads.costs(self.stop_seeds).select(F.col("origin").alias("stop"), "node", "cost"))
+        between = self.from_stop.filter(F.col("node").startswith("p") & (F.col("stop") != F.col("node"))).select(F.col("stop").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1"))
         hubs = edges.filter(F.col("kind") != WALK).unionByName(between)
-        first = self.walks.filter(stop & (F.col("cost") <= limit)).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk"))
-        used = first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
+        self.first = tables.save(self.roads.costs(self.roads.near(self.seeds, stops), only="p").filter(F.col("cost") <= limit).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk")))
+        used = self.first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
         self.rides = tables.save(search(used, hubs, limit))
-        legs = self.rides.filter(stop & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
+        legs = self.rides.filter(F.col("node").startswith("p") & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
         total = F.col("walk") + F.col("ride")
-        arrived = first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
-        self.arrived = tables.save(arrived.select("origin", "alight", "m.cost", "m.board").repartition("origin"))
-        self.ridden = walking(self.arrived.select("origin", F.col("alight").alias("node"), "cost"), edges, places, limit, speed)
-        both = self.walks.withColumn("ridden", F.lit(False)).unionByName(self.ridden.withColumn("ridden", F.lit(True)))
-        least = both.groupBy("origin", "node").agg(F.min(F.struct("cost", "ridden")).alias("m"))  # walking wins ties
-        self.best = least.select("origin", "node", "m.cost", "m.ridden")
+        arrived = self.first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
+        self.arrived = tables.save(arrived.select("origin", "alight", "m.cost", "m.board"))
+        rides = self.arrived.select("origin", F.col("alight").alias("node"), "cost", F.lit(True).alias("ridden"))
+        self.starts = self.seeds.withColumn("ridden", F.lit(False)).unionByName(rides)
+
+    @property
+    def best(self) -> DataFrame:
+        return self.roads.costs(self.starts)
+
+    def farthest(self) -> DataFrame:
+        """(origin, node, cost, ridden): where each origin's cost is greatest, the last by name of equals."""
+        return self.roads.costs(self.starts, ends="farthest")
+
+    def costs_of(self, targets: DataFrame) -> DataFrame:
+        """(origin, node, cost, ridden) of those of targets (origin, node) that are reached; only their origins are searched from."""
+        asks = Tables(targets.sparkSession).save(targets.select("origin", "node").distinct())
+        return self.roads.costs(self.starts.join(asks.select("origin").distinct(), "origin", "left_semi"), ends="asked", asks=asks)
 
     def ends(self, targets: DataFrame) -> DataFrame:
-        """(origin, node, cost, alight, board, ride_cost) of targets (origin, node): where the last ride ends and the first begins, null for mere walks."""
-        known = Tables(targets.sparkSession).save(targets.select("origin", "node").distinct().join(self.best, ["origin", "node"]))
+        """(origin, node, cost, alight, board, ride_cost) of targets (origin, node; cost and ridden, where known): where the last ride ends and the first begins, null for mere walks."""
+        known = targets.select("origin", "node", "cost", "ridden") if "ridden" in targets.columns else self.costs_of(targets)
+        known = Tables(targets.sparkSession).save(known)
         last = known.filter("ridden").select("origin", "node").join(self.arrived.withColumnRenamed("cost", "ride_cost"), "origin")
         last = last.join(self.from_stop.select(F.col("stop").alias("alight"), "node", F.col("cost").alias("last")), ["alight", "node"])
         via = last.groupBy("origin", "node").agg(F.min(F.struct((F.col("ride_cost") + F.col("last")).alias("sum"), "alight", "board", "ride_cost")).alias("m"))
@@ -244,7 +357,7 @@ class Reach:
         """(origin, target, step, node, boarded, cost) back from each (origin, node) of targets, by the stops and route nodes passed; a walk is one step."""
         tables = Tables(targets.sparkSession)
         ends = tables.save(self.ends(targets))
-        starts = self.walks.select("origin", F.col("node").alias("board"), F.col("cost").alias("offset"))
+        starts = self.first.withColumnRenamed("walk", "offset")
         chain = ends.filter(F.col("alight").isNotNull()).select("origin", F.col("node").alias("target"), "board", F.col("alight").alias("node"), F.lit(1).alias("boarded"))
         chain = chain.join(starts, ["origin", "board"])
         row = lambda df, step, boarded: df.select("origin", "target", step.cast("int").alias("step"), "node", boarded.cast("int").alias("boarded"), "cost")
