@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from farstride.operators import search
+from farstride.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,12 @@ def test_a_lot_is_searched_in_parts(only, ends, monkeypatch):
     monkeypatch.setattr(search, "CELLS", 1)
     monkeypatch.setattr(search, "BATCH", 3)
     assert whole and found() == whole
+
+
+def test_ways_to_the_farthest_nodes_need_no_table_of_all_that_is_reached(spark, lattice, monkeypatch):
+    seeds, costs, places = lattice
+    found = search.Reach(seeds, costs, places, 900.0, 1.0)
+    far = {r.origin: r.cost for r in found.best.groupBy("origin").agg(F.max("cost").alias("cost")).collect()}
+    monkeypatch.setattr(search.Reach, "best", property(lambda self: pytest.fail("all rows are made")))
+    legs = search.legs(catalog.farthest(found)).groupBy("origin").agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))).alias("s")).collect()
+    assert {r.origin for r in legs} == far.keys() and all(r.s == pytest.approx(far[r.origin], abs=1.0) for r in legs)
