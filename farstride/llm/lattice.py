@@ -17,6 +17,8 @@ single bytes are pieces; columns other than the key and the text are ignored.
 """
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,11 @@ from .common import BYTE, LOWER, Scratch, U, mix, table
 HOT, EM_ROUNDS, RANK_SHIFT, SMOOTH = 1 << 16, 2, 10.0, 0.05
 #: Weight of the arc over a whole word.
 WHOLE = 0.7
-MARK, MULTIPLIER, BLOOM = "▁".encode(), 0xD1342543DE82EF95, 1 << 22
-#: Words of at most so many bytes are scored together by length.
-SHORT = 64
+MARK, MULTIPLIER, SLOTS = "▁".encode(), 0xD1342543DE82EF95, 22
+#: What a hash may be: the beginning of a piece, or a piece.
+BEGINS, ENTIRE = 1, 2
+#: Words of at most so many bytes are scored together by length: of so many bytes in all, out of batches put together to as many.
+SHORT, TOGETHER, GATHERED = 64, 1 << 19, 1 << 20
 #: Bytes of a longer word whose arcs are held at once.
 STRETCH = 1 << 15
 #: Distinct words that a task counts before it hands them on.
@@ -51,29 +55,38 @@ class Pieces:
                 place[s] = len(total)
                 total.append(w)
         self.longest = max(map(len, place))
-        hashes = np.array([self.hash(np.frombuffer(s, np.uint8)) for s in place], dtype=np.uint64)
+        hashes = np.array([self.running(s)[-1] for s in place], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.weights = hashes[order], np.array(total)[order]
-        self.surfaces = [list(place)[i] for i in order]
-        self.maybe = np.zeros(BLOOM, dtype=bool)
-        self.maybe[(mix(self.hashes) >> U(42)).astype(np.int64)] = True
+        surfaces = list(place)
+        self.surfaces = [surfaces[i] for i in order]
+        self.kinds = np.zeros(1 << SLOTS, dtype=np.uint8)
+        begins = {h for s in place for h in self.running(s)}
+        self.kinds[self.slot(np.fromiter(begins, np.uint64, len(begins)))] = BEGINS
+        self.kinds[self.slot(self.hashes)] = ENTIRE
         self.set(self.weights, 0.0)
 
     @staticmethod
-    def hash(b: np.ndarray) -> int:
-        h = 0
-        for x in BYTE[b].tolist():
-            h = (h * MULTIPLIER + x) % 2**64
-        return h
+    def running(surface: bytes, values: list[int] = BYTE.tolist()) -> list[int]:
+        """The hashes of a surface's beginnings, itself the last."""
+        return list(accumulate((values[b] for b in surface), lambda h, x: (h * MULTIPLIER + x) & (2**64 - 1)))
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (mix(h) >> U(64 - SLOTS)).astype(np.int64)
+
+    def kind(self, h: np.ndarray) -> np.ndarray:
+        """ENTIRE where a hash may be a piece's, BEGINS where it may be that of a piece's beginning only, else 0."""
+        return self.kinds[self.slot(h)]
 
     def set(self, counts: np.ndarray, ends: float) -> None:
         counts = counts + SMOOTH
         self.logp = np.log(counts / (counts.sum() + ends + SMOOTH))
         self.end = float(np.log((ends + SMOOTH) / (counts.sum() + ends + SMOOTH)))
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are pieces', and those pieces."""
-        at = np.flatnonzero(self.maybe[(mix(h) >> U(42)).astype(np.int64)])
+    def find(self, h: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are pieces', and those pieces; kind: their kinds, where known."""
+        at = np.flatnonzero((self.kind(h) if kind is None else kind) == ENTIRE)
         p = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
         real = self.hashes[p] == h[at]
         return at[real], p[real]
@@ -97,27 +110,38 @@ def same_length(words: list[bytes], pieces: Pieces, weights: np.ndarray | None,
     """Log-probability of words of one length; adds expected piece counts times weights to counts."""
     a = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
     n, size = a.shape
-    value, m = BYTE[a], U(MULTIPLIER)
-    prefix = np.zeros((size + 1, n), dtype=np.uint64)
-    for j in range(size):
-        prefix[j + 1] = prefix[j] * m + value[:, j]
+    value, m = BYTE[np.ascontiguousarray(a.T)], U(MULTIPLIER)
     alpha = np.full((size + 1, n), -np.inf)
     alpha[0] = 0
     arcs = []
-    for j in range(1, size + 1):
-        for length in range(1, min(j, pieces.longest) + 1):
-            at, p = pieces.find(prefix[j] - prefix[j - length] * U(pow(MULTIPLIER, length, 2**64)))
-            if len(at):
-                alpha[j, at] = np.logaddexp(alpha[j, at], alpha[j - length, at] + pieces.logp[p])
+    for i in range(size):
+        # from a start on, only words whose bytes still begin a piece are looked at
+        at, h = np.arange(n), value[i]
+        for j in range(i + 1, min(size, i + pieces.longest) + 1):
+            if j > i + 1:
+                h = h * m + value[j - 1, at]
+            kind = pieces.kind(h)
+            live = np.flatnonzero(kind)
+            if len(live) < len(at):
+                at, h, kind = at[live], h[live], kind[live]
+            if not len(at):
+                break
+            real, p = pieces.find(h, kind)
+            if len(real):
+                to = at[real]
+                alpha[j, to] = np.logaddexp(alpha[j, to], alpha[i, to] + pieces.logp[p])
                 if counts is not None:
-                    arcs.append((j, length, at, p))
+                    arcs.append((i, j, to, p))
     if counts is not None:
         beta = np.full((size + 1, n), -np.inf)
         beta[size] = 0
-        for j, length, at, p in reversed(arcs):
+        shares = []
+        for i, j, at, p in reversed(arcs):
             step = pieces.logp[p] + beta[j, at]
-            beta[j - length, at] = np.logaddexp(beta[j - length, at], step)
-            np.add.at(counts, p, weights[at] * np.exp(alpha[j - length, at] + step - alpha[size, at]))
+            beta[i, at] = np.logaddexp(beta[i, at], step)
+            shares.append(weights[at] * np.exp(alpha[i, at] + step - alpha[size, at]))
+        if arcs:
+            counts += np.bincount(np.concatenate([p for *_, p in reversed(arcs)]), np.concatenate(shares), len(counts))
     return alpha[size]
 
 
@@ -188,12 +212,26 @@ def lattice(words: list[bytes], pieces: Pieces, weights: np.ndarray | None = Non
             for i in ids:
                 out[i] = long_word(MARK + words[i], pieces, 1.0 if weights is None else weights[i], counts)
             continue
-        for a in range(0, len(ids), 20_000):
-            some = ids[a : a + 20_000]
+        many = TOGETHER // (size + len(MARK))
+        for a in range(0, len(ids), many):
+            some = ids[a : a + many]
             out[some] = same_length([MARK + words[i] for i in some], pieces, None if weights is None else weights[some], counts)
     return out
 
 
+def gathered(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of words, put together to about GATHERED bytes: few words of one length cost as much as many."""
+    held, size = [], 0
+    for pdf in parts:
+        held.append(pdf)
+        size += sum(map(len, pdf["word"]))
+        if size > GATHERED:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def word_table(docs: DataFrame) -> DataFrame:
     """Every word of docs (text, held) with its count in rows that aren't held."""
 
@@ -228,7 +266,7 @@ def train(words: DataFrame, ends: int, path: str) -> Pieces:
 
         def expect(parts, shared=shared):
             total = np.zeros(len(shared.value.logp))
-            for pdf in parts:
+            for pdf in gathered(parts):
                 lattice(pdf["word"].tolist(), shared.value, pdf["c"].to_numpy(dtype=float), total)
             yield pd.DataFrame({"g": [total.astype("<f8").tobytes()]})
 
@@ -254,7 +292,7 @@ def lm_scores(docs: DataFrame, held: Column, path: str, key: str = "doc_id", tex
     shared = spark.sparkContext.broadcast(pieces)
 
     def score_words(parts):
-        for pdf in parts:
+        for pdf in gathered(parts):
             if len(pdf):
                 whole = np.log(np.maximum(WHOLE * pdf["c"].to_numpy() / max(n, 1), 1e-300))
                 parted = np.log(1 - WHOLE) + lattice(pdf["word"].tolist(), shared.value)

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,28 @@ def test_long_words_by_stretches(stretch):
         assert np.allclose(by_length, by_stretch, rtol=1e-9, atol=1e-12)
 
 
+def test_words_of_small_batches_are_scored_together(monkeypatch):
+    """Spark's batches are small; a search for every length of word in each of them cost more than the words did."""
+    pieces = lattice.Pieces(*lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice(["the", "ing", "q", "é", "un", "\x01", "able"]) for _ in range(rnd.randint(0, 14))).encode() for _ in range(3000)]
+    parts = [pd.DataFrame({"word": words[a : a + 100], "c": range(a, a + 100)}) for a in range(0, 3000, 100)]
+    whole = list(lattice.gathered(iter(parts)))
+    assert len(whole) == 1 and whole[0].equals(pd.concat(parts, ignore_index=True)) and not list(lattice.gathered([]))
+    monkeypatch.setattr(lattice, "GATHERED", 5000)
+    some = list(lattice.gathered(iter(parts)))
+    assert len(some) > 2 and pd.concat(some, ignore_index=True).equals(whole[0])
+    looked, find = [], pieces.find
+    monkeypatch.setattr(pieces, "find", lambda h, kind=None: looked.append(len(h)) or find(h, kind))
+    counts, each = np.zeros((2, len(pieces.logp)))
+    together = lattice.lattice(words, pieces, np.arange(3000.0), counts)
+    assert sum(looked) < 5 * sum(len(w) + 3 for w in words)  # each start with all lengths: about 15 times
+    for i, w in enumerate(words):
+        word = lattice.MARK + w
+        assert lattice.long_word(word, pieces, float(i), each) == pytest.approx(together[i], rel=1e-12)
+    assert np.allclose(counts, each)
+
+
 def test_scores_of_long_texts_long_words_and_clashing_columns(spark):
     rnd = random.Random(5)
     long = prose(rnd, 20_000)
