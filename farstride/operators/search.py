@@ -22,8 +22,8 @@ from .iterate import Tables
 PARAMS = {"limit_s": 2700.0, "speed": 5 / 3.6, "transfer_s": 300.0, "wait_s": 0.0}
 #: Origins that share a group, about; pairs of a node and an origin that a task holds at once; rows of a batch that it hands on.
 ORIGINS, CELLS, BATCH = 256, 1 << 22, 100_000
-#: Rows that a join's side is broadcast with at most; tasks of a search.
-SMALL, TASKS = 1_000_000, 4000
+#: Rows that a join's side is broadcast with at most; tasks of a search; walks that a task copies to their groups.
+SMALL, TASKS, WALKS = 1_000_000, 4000, 250_000
 #: What a row of a group is.
 SEED, ROAD, ASK = 0, 1, 2
 
@@ -51,6 +51,7 @@ def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
     tables = Tables(seeds.sparkSession)
     edges = tables.save(edges)
     key, via = ["origin", "node", "boarded"], ["cost", "round", "pred", "pred_boarded"]
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = Tables(seeds.sparkSession)
     labels = rounds.save(
         seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
@@ -59,7 +60,8 @@ def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
     k = 0
     while not (front := labels.filter(F.col("round") == k)).isEmpty():
         k += 1
-        step = front.join(edges.withColumnRenamed("src", "node"), "node")
+        # a table of labels is small, and would be read by one task, but each label has many edges
+        step = front.repartition(parts, "node").join(edges.withColumnRenamed("src", "node"), "node")
         cost = F.col("cost") + F.when(F.col("boarded") == 0, F.col("cost0")).otherwise(F.col("cost1"))
         after = F.when(F.col("kind") == BOARD, 1).otherwise(F.col("boarded"))
         new = step.select("origin", F.col("dst").alias("node"), after.alias("boarded"), cost.alias("cost"), F.lit(k).alias("round"), F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded"))
@@ -189,7 +191,7 @@ class Roads:
         stretch = walks.agg(F.max(straight / F.greatest(F.col("cost") * speed, F.lit(1.0)))).first()[0] or 1.0
         size = max(limit * speed * max(1.0, stretch), 1.0) / METRES_PER_DEGREE * 2  # of longitude, up to 60 degrees of latitude
         self.tile = lambda lon, lat: [c.alias(n) for c, n in zip(grid_cell(lon, lat, size), ("tx", "ty"), strict=True)]
-        self.walks = walks.select("*", *self.tile("lon_src", "lat_src"))
+        self.walks, self.shares = walks.select("*", *self.tile("lon_src", "lat_src")), max(1, -(-walks.count() // WALKS))
 
     def around(self, tiled: DataFrame, *keys: str) -> DataFrame:
         """The tiles (tx, ty) of each of keys in tiled, and their neighbours."""
@@ -224,7 +226,8 @@ class Roads:
         of, ends = seeds.schema["origin"].dataType, ["lon_src", "lat_src", "lon_dst", "lat_dst"] if lined else []
         here = [*(F.col(c).alias(f"{c}_src") for c in ("lon", "lat")), *(null("double").alias(f"{c}_dst") for c in ("lon", "lat"))] if lined else []
         rows = own.select(*key, F.lit(SEED).alias("part"), "origin", "node", null("string").alias("dst"), "cost", "ridden", "home", *here)
-        roads = self.walks.join(small(tiles), ["tx", "ty"])
+        # walks are stored in few files, and a tile's go to many groups
+        roads = self.walks.repartition(self.shares, "src").join(small(tiles), ["tx", "ty"])
         rows = rows.unionByName(roads.select(*key, F.lit(ROAD).alias("part"), null(of).alias("origin"), F.col("src").alias("node"), "dst", "cost", null("boolean").alias("ridden"), null("double").alias("home"), *ends))
         if asks is not None:
             none = [null("double").alias(c) for c in ends]

@@ -1,6 +1,7 @@
 """Searches of many origins: what is exchanged, and that the size of groups and of their parts changes nothing."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -69,3 +70,18 @@ def test_ways_to_the_farthest_nodes_need_no_table_of_all_that_is_reached(spark,
     monkeypatch.setattr(search.Reach, "best", property(lambda self: pytest.fail("all rows are made")))
     legs = search.legs(catalog.farthest(found)).groupBy("origin").agg(F.sum(F.coalesce("seconds", F.lit(0.0)) + F.coalesce("penalty", F.lit(0.0))).alias("s")).collect()
     assert {r.origin for r in legs} == far.keys() and all(r.s == pytest.approx(far[r.origin], abs=1.0) for r in legs)
+
+
+def test_labels_and_walks_that_become_many_rows_are_dealt_to_tasks(spark, lattice, monkeypatch):
+    """Both are small tables, which one task read, joined and sorted before."""
+    seeds, costs, places = lattice
+    plans, save = [], search.Tables.save
+    monkeypatch.setattr(search.Tables, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    monkeypatch.setattr(search, "WALKS", 20)
+    walks = costs.filter("kind = 0").count()
+    found = search.search(seeds, costs, 900.0).count()
+    rounds = [p for p in plans if "Union" in p]
+    assert found and len(rounds) > 3 and all("hashpartitioning(node" in p and "REPARTITION_BY_NUM" in p for p in rounds)
+    plan = search.Roads(costs, places, 900.0, 1.0).costs(seeds)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(src#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt == [-(-walks // 20)]
