@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values, in metres: slack for an earlier segment, and the tolerance of simplification.
 SNAP_SLACK, TOLERANCE = 30.0, 3.0
-#: Stops of patterns that a task cuts at once, about.
-ROWS = 50_000
+#: Stops of patterns that a task cuts at once, about; tasks that cut.
+ROWS, TASKS = 50_000, 4000
 
 
 def heads(sizes: np.ndarray) -> np.ndarray:
@@ -114,10 +114,11 @@ def cut(stops: pd.DataFrame, shape: pd.DataFrame) -> pd.DataFrame:
 def hop_shapes(sequence: DataFrame, shapes: DataFrame) -> DataFrame:
     """(route, from_stop, to_stop, xs, ys) of the hops of each pattern; sequence: (pattern, route, seq, stop, x, y) in metres, shapes: (pattern, seq, x, y). The smallest pattern of a hop counts, and there its first place."""
     schema = "route long, from_stop long, to_stop long, pattern long, place long, xs array<double>, ys array<double>"
-    # many patterns share a group of bounded size
+    # many patterns share a group of bounded size; tasks grow in number, not in what they hold
     groups = max(8, sequence.count() // ROWS)
-    sequence = sequence.withColumn("group", F.pmod(F.xxhash64("pattern"), F.lit(groups)))
-    lines = shapes.select(*(F.col(c).alias(f"s_{c}") for c in ("pattern", "seq", "x", "y"))).withColumn("s_group", F.pmod(F.xxhash64("s_pattern"), F.lit(groups)))
+    tasks = min(TASKS, groups)
+    sequence = sequence.withColumn("group", F.pmod(F.xxhash64("pattern"), F.lit(groups))).repartition(tasks, "group")
+    lines = shapes.select(*(F.col(c).alias(f"s_{c}") for c in ("pattern", "seq", "x", "y"))).withColumn("s_group", F.pmod(F.xxhash64("s_pattern"), F.lit(groups))).repartition(tasks, "s_group")
     cuts = sequence.groupBy("group").cogroup(lines.groupBy("s_group")).applyInPandas(cut, schema)
     first = cuts.groupBy("route", "from_stop", "to_stop").agg(F.min_by(F.struct("xs", "ys"), F.struct("pattern", "place")).alias("s"))
     return first.select("route", "from_stop", "to_stop", "s.xs", "s.ys")

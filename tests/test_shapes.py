@@ -77,3 +77,15 @@ def test_hop_shapes_point_by_point(spark, seed):
 def test_no_patterns(spark):
     none = spark.createDataFrame([], "pattern long, route long, seq int, stop long, x double, y double")
     assert shapes.hop_shapes(none, spark.createDataFrame([], "pattern long, seq int, x double, y double")).count() == 0
+
+
+def test_tasks_that_cut_grow_in_number(spark, monkeypatch):
+    """Groups were dealt to the session's number of tasks, so what a task held grew with the schedule."""
+    stops = spark.createDataFrame([(p, 1, k, k + p % 3, 100.0 * k, 0.0) for p in range(60) for k in range(4)], "pattern long, route long, seq int, stop long, x double, y double")
+    line = stops.select("pattern", "seq", "x", "y")
+    whole = sorted(map(str, shapes.hop_shapes(stops, line).collect()))
+    monkeypatch.setattr(shapes, "ROWS", 10)
+    out = shapes.hop_shapes(stops, line)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 24), REPARTITION_BY_NUM") == 2 and plan.count("Exchange") == 3  # both sides, and the last aggregation
+    assert whole and sorted(map(str, out.collect())) == whole
