@@ -96,10 +96,16 @@ DRY = "NOT EXISTS (SELECT 1 FROM wet w WHERE g.lon >= w.x + 2e-3 AND g.lon < w.x
 LANDED = f"SELECT g.place, g.dx, g.dy FROM spread g WHERE EXISTS (SELECT 1 FROM street_nodes n WHERE n.lat BETWEEN g.lat - 3e-3 AND g.lat + 3e-3 AND n.lon BETWEEN g.lon - 4e-3 AND g.lon + 4e-3 AND {FROM} <= {STEP_M}) AND {DRY}"
 
 
+#: Centres whose grids a task makes.
+SPREAD_AT_ONCE = 5_000
+
+
 def spread_out(centres, key):
     """Grid points around centres (key, lon, lat), rounded to 5 decimals: (key, dx, dy, lon, lat)."""
     offsets = F.explode(F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for y in range(-RADIUS_M, RADIUS_M + 1, STEP_M) for x in range(-RADIUS_M, RADIUS_M + 1, STEP_M) if x * x + y * y <= RADIUS_M * RADIUS_M)))
-    points = centres.select(key, "lon", "lat", offsets.alias("o"))
+    # a small table becomes many rows: it is dealt out first
+    dealt = centres.select(key, "lon", "lat").repartition(max(1, -(-centres.count() // SPREAD_AT_ONCE)), key)
+    points = dealt.select(key, "lon", "lat", offsets.alias("o"))
     lon, lat = geo.offset_point("lon", "lat", "o.dx", "o.dy")
     return points.select(key, "o.dx", "o.dy", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
 
