@@ -49,13 +49,14 @@ def ridden(found: Reach, rows: DataFrame, shapes: DataFrame | None) -> DataFrame
     return hops.select("origin", "target", "leg", "i", rest("xs", own[0]).alias("lons"), rest("ys", own[1]).alias("lats"))
 
 
-def itineraries(found: Reach, ends: DataFrame, starts: DataFrame, goals: DataFrame, names: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+def itineraries(found: Reach, ends: DataFrame, starts: DataFrame, goals: DataFrame, names: DataFrame, shapes: DataFrame | None = None, lined: bool = True) -> DataFrame:
     """Legs of the way from each origin to each of its ends.
 
     ends: (origin, goal, node, seconds, walk_m, snapped) of search.destinations; starts: (origin, lon, lat); goals: (goal, lon, lat);
     names: (node, name) of stops; shapes: (route, from_stop, to_stop, lons, lats) of hops, where known.
     Result: origin, goal, leg (from 1), kind, route, from_stop, to_stop, hops, seconds, penalty (of boarding), metres (of walks), lons, lats,
     total (seconds of the whole way) and final_walk_m. The last walk goes on to the destination itself, unless it was snapped to the node.
+    Without lined there are no lons and lats, and their walks aren't searched.
     """
     tables = Tables(ends.sparkSession)
     ends = tables.save(ends)
@@ -65,12 +66,13 @@ def itineraries(found: Reach, ends: DataFrame, starts: DataFrame, goals: DataFra
         first("line").alias("route"), first("before").alias("b"), first("node").alias("n"), last("node").alias("m"), last("after").alias("a"),
         first("cost").alias("begin"), last("cost").alias("end"), (first("cost") - first("cost_before")).alias("penalty"), (F.count("*") - 1).alias("hops"),
     )
-    lines = walked(found, rows).unionByName(ridden(found, rows, shapes))
-    # a stop where rides meet has no way of its own
-    lines = lines.groupBy("origin", "target", "leg").agg(F.array_sort(F.collect_list(F.struct("i", "lons", "lats"))).alias("parts"))
-    join = lambda c: F.flatten(F.transform("parts", lambda p: p[c]))
-    lines = lines.select("origin", "target", "leg", join("lons").alias("lons"), join("lats").alias("lats"))
-    legs = legs.join(lines, ["origin", "target", "leg"], "left")
+    if lined:
+        lines = walked(found, rows).unionByName(ridden(found, rows, shapes))
+        # a stop where rides meet has no way of its own
+        lines = lines.groupBy("origin", "target", "leg").agg(F.array_sort(F.collect_list(F.struct("i", "lons", "lats"))).alias("parts"))
+        join = lambda c: F.flatten(F.transform("parts", lambda p: p[c]))
+        lines = lines.select("origin", "target", "leg", join("lons").alias("lons"), join("lats").alias("lats"))
+        legs = legs.join(lines, ["origin", "target", "leg"], "left")
     legs = legs.join(legs.groupBy("origin", "target").agg(F.max("leg").alias("final")), ["origin", "target"])
     legs = ends.withColumnRenamed("node", "target").join(legs, ["origin", "target"])
     ride, ending = F.col("route").isNotNull(), F.col("leg") == F.col("final")
@@ -80,12 +82,13 @@ def itineraries(found: Reach, ends: DataFrame, starts: DataFrame, goals: DataFra
     legs = legs.join(goal_at, "goal").join(start_at, "origin")
     whole = lambda c: F.concat(F.when(~ride & (F.col("leg") == 1), F.array(f"start_{c}")).otherwise(F.array()), F.coalesce(f"{c}s", F.array()), F.when(~ride & ending & ~F.col("snapped"), F.array(f"goal_{c}")).otherwise(F.array()))
     stop = lambda alias: names.select(F.col("node").alias(alias), F.col("name").alias(f"{alias}_name"))
-    legs = legs.withColumns({"from": F.when(ride, F.col("b")), "to": F.when(ride, F.col("a")), "seconds_of": seconds, "all_lons": whole("lon"), "all_lats": whole("lat")})
+    legs = legs.withColumns({"from": F.when(ride, F.col("b")), "to": F.when(ride, F.col("a")), "seconds_of": seconds})
+    drawn = [whole("lon").alias("lons"), whole("lat").alias("lats")] if lined else []
     legs = legs.join(stop("from"), "from", "left").join(stop("to"), "to", "left").filter(ride | (F.col("seconds_of") > LEAST_S))
     order = F.row_number().over(W.partitionBy("origin", "goal").orderBy("leg"))
     on_ride = lambda c: F.when(ride, F.col(c))
     return legs.select(
         "origin", "goal", order.alias("leg"), F.when(ride, "ride").otherwise("walk").alias("kind"), "route", F.col("from_name").alias("from_stop"), F.col("to_name").alias("to_stop"), on_ride("hops").alias("hops"),
-        F.col("seconds_of").alias("seconds"), on_ride("penalty").alias("penalty"), F.when(~ride, F.col("seconds_of") * found.speed).alias("metres"), F.col("all_lons").alias("lons"), F.col("all_lats").alias("lats"),
+        F.col("seconds_of").alias("seconds"), on_ride("penalty").alias("penalty"), F.when(~ride, F.col("seconds_of") * found.speed).alias("metres"), *drawn,
         F.col("seconds").alias("total"), F.col("walk_m").alias("final_walk_m"),
     )

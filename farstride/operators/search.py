@@ -22,8 +22,8 @@ from .iterate import Tables
 PARAMS = {"limit_s": 2700.0, "speed": 5 / 3.6, "transfer_s": 300.0, "wait_s": 0.0}
 #: Origins that share a group, about; pairs of a node and an origin that a task holds at once; rows of a batch that it hands on.
 ORIGINS, CELLS, BATCH = 256, 1 << 22, 100_000
-#: Rows that a join's side is broadcast with at most; tasks of a search; walks that a task copies to their groups.
-SMALL, TASKS, WALKS = 1_000_000, 4000, 250_000
+#: Rows that a join's side is broadcast with at most; tasks of a search; walks that a task copies to their groups; labels that a task relaxes.
+SMALL, TASKS, WALKS, LABELS = 1_000_000, 4000, 250_000, 4096
 #: What a row of a group is.
 SEED, ROAD, ASK = 0, 1, 2
 
@@ -43,33 +43,57 @@ def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_
     return edges.select("src", "dst", "kind", cost0.alias("cost0"), cost1.alias("cost1")).filter(F.col("cost0").isNotNull())
 
 
-def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
-    """Least cost of every (origin, node, boarded) within limit, with a predecessor; seeds: (origin, node, cost).
+def relaxed(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
+    """Least cost of every (origin, node, boarded) within limit, and the round that found it; seeds: (origin, node, cost), edges: stored.
 
     Each round relaxes the labels that the round before improved; rounds end when none improves. Seeds above the limit stay, but lead nowhere.
+    Rounds keep costs only, as numbers are reduced without sorting; predecessors() has the rest.
     """
-    tables = Tables(seeds.sparkSession)
-    edges = tables.save(edges)
-    key, via = ["origin", "node", "boarded"], ["cost", "round", "pred", "pred_boarded"]
-    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["origin", "node", "boarded"]
     rounds = Tables(seeds.sparkSession)
-    labels = rounds.save(
-        seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost"))
-        .select("origin", "node", F.lit(0).alias("boarded"), "cost", F.lit(0).alias("round"), F.lit(None).cast("string").alias("pred"), F.lit(None).cast("int").alias("pred_boarded"))
-    )
-    k = 0
-    while not (front := labels.filter(F.col("round") == k)).isEmpty():
+    labels = rounds.save(seeds.groupBy("origin", "node").agg(F.min("cost").alias("cost")).select("origin", "node", F.lit(0).alias("boarded"), "cost", F.lit(0).alias("round")))
+    none, k = F.lit(None), 0
+    while many := (front := labels.filter(F.col("round") == k)).count():
         k += 1
         # a table of labels is small, and would be read by one task, but each label has many edges
-        step = front.repartition(parts, "node").join(edges.withColumnRenamed("src", "node"), "node")
+        step = front.repartition(max(8, -(-many // LABELS)), "node").join(edges.withColumnRenamed("src", "node"), "node")
         cost = F.col("cost") + F.when(F.col("boarded") == 0, F.col("cost0")).otherwise(F.col("cost1"))
-        after = F.when(F.col("kind") == BOARD, 1).otherwise(F.col("boarded"))
-        new = step.select("origin", F.col("dst").alias("node"), after.alias("boarded"), cost.alias("cost"), F.lit(k).alias("round"), F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded"))
+        new = step.select("origin", F.col("dst").alias("node"), boarded_after().alias("boarded"), none.cast("double").alias("cost"), none.cast("int").alias("round"), cost.alias("found")).filter(F.col("found") <= limit)
+        both = labels.withColumn("found", none.cast("double")).unionByName(new).groupBy(*key).agg(F.min("cost").alias("cost"), F.min("round").alias("round"), F.min("found").alias("found"))
         # an equal cost keeps the earlier round's label, so only strict improvements are relaxed again
-        least = labels.unionByName(new.filter(F.col("cost") <= limit)).groupBy(*key).agg(F.min(F.struct(*via)).alias("via"))
-        labels = rounds.save(least.select(*key, *(f"via.{c}" for c in via)))
+        better = F.col("cost").isNull() | (F.col("found") < F.col("cost"))
+        labels = rounds.save(both.select(*key, F.when(better, F.col("found")).otherwise(F.col("cost")).alias("cost"), F.when(better, k).otherwise(F.col("round")).alias("round")))
         rounds.keep_last(1)
-    return labels.drop("round")
+    return labels
+
+
+def boarded_after():
+    return F.when(F.col("kind") == BOARD, 1).otherwise(F.col("boarded"))
+
+
+def predecessors(labels: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
+    """States (origin, node, boarded, cost, round) of labels with their (pred, pred_boarded): a neighbour of an earlier round whose cost and edge add up to their own, the first by name.
+
+    An edge that costs something leads from a lesser cost, so it serves too if its start was improved later by less than a sum can tell; null at a seed.
+    """
+    before = labels.select("origin", F.col("node").alias("pred"), F.col("boarded").alias("pred_boarded"), F.col("cost").alias("before"), F.col("round").alias("then"))
+    into = edges.select(F.col("src").alias("pred"), F.col("dst").alias("node"), "kind", "cost0", "cost1")
+    step = states.filter(F.col("round") > 0).join(into, "node").join(before, ["origin", "pred"])
+    cost = F.when(F.col("pred_boarded") == 0, F.col("cost0")).otherwise(F.col("cost1"))
+    after = F.when(F.col("kind") == BOARD, 1).otherwise(F.col("pred_boarded"))
+    fits = (after == F.col("boarded")) & (F.col("before") + cost == F.col("cost")) & ((F.col("then") < F.col("round")) | (F.col("before") < F.col("cost")))
+    via = F.min(F.struct((F.col("then") + 1 != F.col("round")).alias("late"), "pred", "pred_boarded")).alias("via")
+    found = step.filter(fits).groupBy("origin", "node", "boarded").agg(via)
+    key = ["origin", "node", "boarded"]
+    return states.join(found, key, "left").select(*states.columns, "via.pred", "via.pred_boarded")
+
+
+def search(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
+    """Least cost of every (origin, node, boarded) within limit, with a predecessor (pred, pred_boarded); seeds: (origin, node, cost)."""
+    tables = Tables(seeds.sparkSession)
+    edges = tables.save(edges)
+    labels = relaxed(seeds, edges, limit)
+    return tables.save(predecessors(labels, edges, labels).drop("round"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -226,8 +250,9 @@ class Roads:
         of, ends = seeds.schema["origin"].dataType, ["lon_src", "lat_src", "lon_dst", "lat_dst"] if lined else []
         here = [*(F.col(c).alias(f"{c}_src") for c in ("lon", "lat")), *(null("double").alias(f"{c}_dst") for c in ("lon", "lat"))] if lined else []
         rows = own.select(*key, F.lit(SEED).alias("part"), "origin", "node", null("string").alias("dst"), "cost", "ridden", "home", *here)
-        # walks are stored in few files, and a tile's go to many groups
-        roads = self.walks.repartition(self.shares, "src").join(small(tiles), ["tx", "ty"])
+        # walks are stored in few files, and a tile's go to many groups; those of tiles that no group asks for stay where they are
+        tiles = small(tiles)
+        roads = self.walks.join(tiles.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi").repartition(self.shares, "src").join(tiles, ["tx", "ty"])
         rows = rows.unionByName(roads.select(*key, F.lit(ROAD).alias("part"), null(of).alias("origin"), F.col("src").alias("node"), "dst", "cost", null("boolean").alias("ridden"), null("double").alias("home"), *ends))
         if asks is not None:
             none = [null("double").alias(c) for c in ends]
@@ -323,10 +348,10 @@ class Reach:
         self.stop_seeds = stops.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
         self.from_stop = tables.save(self.roads.costs(self.stop_seeds).select(F.col("origin").alias("stop"), "node", "cost"))
         between = self.from_stop.filter(F.col("node").startswith("p") & (F.col("stop") != F.col("node"))).select(F.col("stop").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1"))
-        hubs = edges.filter(F.col("kind") != WALK).unionByName(between)
+        self.hubs = tables.save(edges.filter(F.col("kind") != WALK).unionByName(between))
         self.first = tables.save(self.roads.costs(self.roads.near(self.seeds, stops), only="p").filter(F.col("cost") <= limit).select("origin", F.col("node").alias("board"), F.col("cost").alias("walk")))
         used = self.first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
-        self.rides = tables.save(search(used, hubs, limit))
+        self.rides = relaxed(used, self.hubs, limit)
         legs = self.rides.filter(F.col("node").startswith("p") & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
         total = F.col("walk") + F.col("ride")
         arrived = self.first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
@@ -365,8 +390,10 @@ class Reach:
         chain = chain.join(starts, ["origin", "board"])
         row = lambda df, step, boarded: df.select("origin", "target", step.cast("int").alias("step"), "node", boarded.cast("int").alias("boarded"), "cost")
         out = [row(ends.withColumn("target", F.col("node")), F.lit(0), F.when(F.col("alight").isNull(), 0).otherwise(1))]
-        rides, k = self.rides.withColumnRenamed("origin", "board"), 1
+        k = 1
         while True:
+            here = self.rides.join(chain.select(F.col("board").alias("origin"), "node", "boarded").distinct(), ["origin", "node", "boarded"], "left_semi")
+            rides = predecessors(self.rides, self.hubs, here).withColumnRenamed("origin", "board").drop("round")
             chain = tables.save(chain.join(rides, ["board", "node", "boarded"]))
             if chain.isEmpty():
                 break

@@ -47,6 +47,22 @@ def raw_hops(stop_times: DataFrame, arrival: str = "arr", departure: str = "dep"
     return rows.filter((F.col("from_stop") != F.col("to_stop")) & F.col("seconds").isNotNull())
 
 
+def timed_hops(stop_times: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """raw_hops of interpolated stop times (trip, stop, t): a hop's two times follow from the known ones around it, so a trip is gone through twice, in one order."""
+    w = W.partitionBy("trip").orderBy(*order)
+    known = "CASE WHEN t IS NOT NULL THEN __pos END"
+    over = f"OVER (PARTITION BY trip ORDER BY {', '.join(order)}"
+    last = lambda c: F.expr(f"last_value({c}) IGNORE NULLS {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    after = lambda c: F.expr(f"lead({c}) IGNORE NULLS {over})")
+    rows = stop_times.withColumns({"__pos": F.row_number().over(w), "to_stop": F.lead("stop").over(w)}).withColumn("__known", F.expr(known))
+    rows = rows.withColumns({"__p": last("__known"), "__pt": last("t"), "__n": after("__known"), "__nt": after("t")})
+    at = lambda place: F.coalesce(F.col("__pt") + (F.col("__nt") - F.col("__pt")) * (place - F.col("__p")) / F.nullif(F.col("__n") - F.col("__p"), F.lit(0)), F.col("__pt"))
+    left = F.coalesce("t", at(F.col("__pos")))
+    arrived = F.when(F.col("__n") == F.col("__pos") + 1, F.col("__nt")).otherwise(at(F.col("__pos") + 1))
+    rows = rows.filter(F.col("stop") != F.col("to_stop")).select("trip", F.col("stop").alias("from_stop"), "to_stop", left.alias("left"), arrived.alias("arrived"))
+    return rows.filter(F.col("left").isNotNull() & F.col("arrived").isNotNull()).select("trip", "from_stop", "to_stop", F.greatest(F.col("arrived") - F.col("left"), F.lit(0.0)).alias("seconds"), F.floor(F.col("left") / 3600).alias("hour"))
+
+
 def fastest_hops(hops: DataFrame, trips: DataFrame, services: DataFrame) -> DataFrame:
     """Fastest seconds of each (route, from, to), at any time and by period; null where a period has no service."""
     typed = hops.join(trips, "trip").join(services, "service", "left")

@@ -250,16 +250,16 @@ def _(spark, sf):
     return found.select("route", "from_stop", "to_stop", *(F.round(F.get(f"{c}s", F.lit(1)), 6).alias(c) for c in ("lon", "lat")))
 
 
-def spot_ways(spark, sf):
+def spot_ways(spark, sf, lined=True):
     found, ends = destinations(spark, sf)
     goals = table(spark, sf, GOALS, "region").withColumnRenamed("region", "goal")
     names = view(spark, sf, "stops").select(graph.node_name("p", "stop").alias("node"), "name")
-    return itineraries.itineraries(found, ends.withColumnRenamed("region", "goal"), spots(spark, sf).withColumnRenamed("spot", "origin"), goals, names, hop_lines(spark, sf))
+    return itineraries.itineraries(found, ends.withColumnRenamed("region", "goal"), spots(spark, sf).withColumnRenamed("spot", "origin"), goals, names, hop_lines(spark, sf) if lined else None, lined)
 
 
 @query("spot_itineraries", ticked(reach_sql(ITINERARY, **DESTINED, **WAY)))
 def _(spark, sf):
-    legs = spot_ways(spark, sf).select(F.col("origin").alias("spot"), "leg", "kind", "route", "from_stop", "to_stop", "hops", "seconds", "penalty", "metres", "final_walk_m")
+    legs = spot_ways(spark, sf, lined=False).select(F.col("origin").alias("spot"), "leg", "kind", "route", "from_stop", "to_stop", "hops", "seconds", "penalty", "metres", "final_walk_m")
     return rounded(rounded(legs, "seconds", "penalty", "final_walk_m", digits=2), "metres", digits=1)
 
 

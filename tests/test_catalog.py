@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from farstride.operators import graph, search
+from farstride.operators import graph, search, transit
 from farstride.plans import catalog
 
 
@@ -81,3 +81,18 @@ def test_ways_far_north_stay(spark, tmp_path):
     for name in ("valid_ways", "simplified_ways"):
         assert {r.way for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()} == {0, 1, 2}
     assert {r.u // 120_000 for r in catalog.QUERIES["distinct_edges"](spark, str(tmp_path)).collect()} == {0, 1, 10}
+
+
+def test_hops_exchange_and_sort_stop_times_once(spark, small):
+    """The view names a trip twice, which hid from Spark that windows over it need no second exchange."""
+    found = catalog.raw_hops(spark, small)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+    want = transit.raw_hops(catalog.filled(spark, small).withColumns({"arr": F.col("t"), "dep": F.col("t")}))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    times = [(1, k, s, t) for k, (s, t) in enumerate([(1, None), (2, 0.0), (3, None), (3, None), (4, 90.0), (5, 60.0), (6, None), (7, None)])] + [(2, 0, 1, None), (2, 1, 2, None)]
+    stop_times = spark.createDataFrame(times, "trip long, seq int, stop long, t double")
+    filled = transit.interpolate(stop_times)
+    want = transit.raw_hops(filled.withColumns({"arr": F.col("t"), "dep": F.col("t")}))
+    got = transit.timed_hops(stop_times)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [(1, 2, 3, 30.0, 0), (1, 3, 4, 30.0, 0), (1, 4, 5, 0.0, 0), (1, 5, 6, 0.0, 0), (1, 6, 7, 0.0, 0)]

@@ -89,6 +89,17 @@ def test_legs_of_an_itinerary(spark):
     assert bare.lons == [-122.49, -122.46, -122.45]
 
 
+def test_ways_without_lines_search_no_walks(spark, monkeypatch):
+    costs, places = network(spark)
+    found = search.Reach(spark.createDataFrame([(1, "s0", 30.0)], "origin long, node string, cost double"), costs, places, 3600.0, 1.0)
+    ends = spark.createDataFrame([(1, 10, "s5", 1140.0, 20.0, False)], "origin long, goal long, node string, seconds double, walk_m double, snapped boolean")
+    at = [spark.createDataFrame([(k, -122.5, 37.5)], f"{c} long, lon double, lat double") for k, c in ((1, "origin"), (10, "goal"))]
+    names = spark.createDataFrame([("p1", "First"), ("p3", "Third")], "node string, name string")
+    whole = itineraries.itineraries(found, ends, *at, names).drop("lons", "lats").collect()
+    monkeypatch.setattr(search.Roads, "lines", lambda *a: pytest.fail("lines are searched"))
+    assert len(whole) == 3 and sorted(itineraries.itineraries(found, ends, *at, names, lined=False).collect()) == sorted(whole)
+
+
 def test_walks_are_traced_along_edges_that_add_up(spark):
     rnd = random.Random(5)
     at = {f"s{x}_{y}": (x * 0.002, y * 0.002) for x in range(8) for y in range(8)}

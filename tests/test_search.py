@@ -85,3 +85,23 @@ def test_labels_and_walks_that_become_many_rows_are_dealt_to_tasks(spark, lattic
     plan = search.Roads(costs, places, 900.0, 1.0).costs(seeds)._jdf.queryExecution().executedPlan().toString()
     dealt = [int(n) for n in re.findall(r"hashpartitioning\(src#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert dealt == [-(-walks // 20)]
+
+
+def test_rounds_reduce_costs_without_sorting(spark, lattice, monkeypatch):
+    """A least of costs with predecessors was sorted for in each round; those are looked up afterwards, and lead back in ever earlier rounds."""
+    seeds, costs, _ = lattice
+    plans, save = [], search.Tables.save
+    monkeypatch.setattr(search.Tables, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    labels = search.relaxed(seeds, costs, 900.0)
+    rounds = [p for p in plans if "Union" in p]
+    assert len(rounds) > 3 and not any("SortAggregate" in p for p in rounds)
+    cost = {(r.origin, r.node, r.boarded): (r.cost, r.round) for r in labels.collect()}
+    edges = {(e.src, e.dst): (e.cost0, e.cost1, e.kind) for e in costs.collect()}
+    for r in search.predecessors(labels, costs, labels).collect():
+        fits = []
+        for (src, dst), (c0, c1, kind) in edges.items():
+            for boarded in (0, 1) if dst == r.node else ():
+                at = cost.get((r.origin, src, boarded))
+                if at and at[1] == r.round - 1 and at[0] + (c1 if boarded else c0) == r.cost and (1 if kind == search.BOARD else boarded) == r.boarded:
+                    fits.append((src, boarded))
+        assert (r.pred, r.pred_boarded) == (min(fits) if r.round else (None, None))
