@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,68 +98,111 @@ LANE = 10_000
 class Pool:
     """Weighted draws without replacement from areas (area, name, lon, lat, weight, ord), in the order of ord.
 
-    The pool stays in range lanes; the driver holds one running weight a lane. A draw finds its lane by the lanes' weights and its area by a running sum within the lane;
-    what is drawn, or lies near recent areas, is taken off the lanes' weights.
+    The pool stays in range lanes; the driver holds one running weight a lane, and the areas near where a day's draws can fall.
     """
 
     def __init__(self, areas: DataFrame):
         lanes = max(1, -(-areas.count() // LANE))
-        self.rows = in_lanes(areas, ["ord"], lanes)
-        self.open, self.left = self.rows, {}
-
-    def per_lane(self, rows: DataFrame) -> dict[int, int]:
-        return {r["__p"]: r.w for r in rows.groupBy("__p").agg(F.sum("weight").alias("w")).collect()}  # one row a lane
+        self.rows = self.open = in_lanes(areas, ["ord"], lanes)
+        self.shared = not self.rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
     def begin(self, used: set[str], recent: list[tuple[float, float]], metres: float) -> None:
         """Only areas whose name isn't used and that lie farther than metres from all recent ones are drawn from now on."""
         self.open = self.rows.filter(~F.col("name").isin(*used)) if used else self.rows
         for lon, lat in recent:
             self.open = self.open.filter(meters_between("lon", "lat", F.lit(lon), F.lit(lat)) > metres)
-        self.left = self.per_lane(self.open)
-
-    def draw(self, share: float):
-        """The first area at which the running weight reaches `share` of all that is left; areas of its name leave the pool. None if nothing is left."""
-        wanted, run, lane = share * sum(self.left.values()), 0, None
-        for k in sorted(k for k, w in self.left.items() if w > 0):
-            lane = k
-            if run + self.left[k] >= wanted:
+
+    def draws(self, shares: list[float]) -> list:
+        """One area for each share, the first at which the running weight reaches that share of all that is left; areas of its name leave the pool. Fewer if nothing is left.
+
+        What earlier draws take off moves a later one by no more than their weight, so all of them are found among the areas that near their places.
+        Draws after names have taken off more than was thought are made anew.
+        """
+        found: list = []
+        while len(found) < len(shares):
+            lanes = self.open.groupBy("__p").agg(F.sum("weight").alias("w"), F.max("weight").alias("most")).orderBy("__p").collect()  # one row a lane
+            todo, total = shares[len(found) :], sum(r.w for r in lanes)
+            if total <= 0:
                 break
-            run += self.left[k]
-        if lane is None:
-            return None
-        so_far = F.sum("weight").over(W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, 0))
-        within = self.open.filter(F.col("__p") == lane).withColumn("run", so_far)
-        found = within.filter(F.col("run") >= wanted - run).orderBy("__n").first() or within.orderBy(F.desc("__n")).first()
-        same = F.col("name") == found["name"]
-        for k, w in self.per_lane(self.open.filter(same)).items():
-            self.left[k] -= w
-        self.open = self.open.filter(~same)
+            slack = len(todo) * max(r.most for r in lanes)
+            more = walked(self.near(lanes, sorted((s * (total - slack), s * total + slack) for s in todo)), todo, total, slack)
+            found += more
+            self.open = self.open.filter(~F.col("name").isin(*(r.name for r in more)))
         return found
 
+    def near(self, lanes: list, spans: list[tuple[float, float]]) -> list:
+        """Areas whose running weight meets a span, in order, and what else their names have between the spans, as one row (at: null) a name and gap."""
+        merged = [list(spans[0])]
+        for low, high in spans[1:]:
+            if low <= merged[-1][1]:
+                merged[-1][1] = max(high, merged[-1][1])
+            else:
+                merged.append([low, high])
+        before, offsets = 0, []
+        for r in lanes:
+            offsets.append((r["__p"], before))
+            before += r.w
+        offset = F.broadcast(self.rows.sparkSession.createDataFrame(offsets, "__p int, __o long"))  # one row a lane
+        so_far = F.sum("weight").over(W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, 0))
+        rows = self.open.withColumn("run", so_far).join(offset, "__p").withColumn("run", F.col("run") + F.col("__o"))
+        run = F.col("run")
+        meets = reduce(or_, ((run >= low) & (run - F.col("weight") <= high) for low, high in merged))
+        rows = rows.withColumns({"at": F.when(meets, run), "gap": reduce(add, ((run >= low).cast("int") for low, _ in merged))})
+        first, found = F.first(F.struct("area", "lon", "lat")).alias("a"), rows.filter(F.col("at").isNotNull())
+        # where each name has one area, there is nothing of theirs elsewhere
+        kept = (rows.join(found.select("name").distinct(), "name", "left_semi") if self.shared else found).groupBy("name", "gap", "at").agg(F.sum("weight").alias("weight"), F.max("run").alias("run"), first)
+        return sorted(kept.select("name", "at", "weight", "run", "a.area", "a.lon", "a.lat").collect(), key=lambda r: r.run)
+
+
+def walked(rows: list, shares: list[float], total: int, slack: int) -> list:
+    """The areas that are drawn, from rows of Pool.near(), as long as earlier draws took off no more than slack."""
+    found, gone, off = [], set(), 0
+    weight: dict[str, int] = {}
+    for r in rows:
+        weight[r.name] = weight.get(r.name, 0) + r.weight
+    for share in shares:
+        if off > slack or off >= total:
+            break
+        passed = 0
+        for r in rows:
+            if r.name in gone:
+                passed += r.weight
+            elif r.at is not None and r.run - passed >= share * (total - off):
+                break
+        found.append(r)
+        gone.add(r.name)
+        off += weight[r.name]
+    return found
+
 
-def puzzle_days(days: DataFrame, areas: DataFrame, passing: DataFrame, used: set[str] | None = None, attempts: int = ATTEMPTS, recent_m: float = RECENT_M) -> DataFrame:
+def puzzle_days(days: DataFrame, areas: DataFrame, passing, used: set[str] | None = None, attempts: int = ATTEMPTS, recent_m: float = RECENT_M, strict: bool = True) -> DataFrame:
     """(n, date, twist, area, name, attempt): the area of each day, drawn one day after another.
 
-    days: (n, date, twist), one row a day of the range that is asked for; areas: (area, name, lon, lat, weight, ord); passing: (area, twist) that meet the gates.
-    A drawn area that fails its day's gates isn't drawn again, on any day. A day without an area after `attempts` draws is an error.
+    days: (n, date, twist), one row a day of the range that is asked for; areas: (area, name, lon, lat, weight, ord); passing: (area, twist) that meet the gates,
+    or a function that is given a day's draws (area, name, lon, lat) in order and its twist, and returns the place of the first that meets them, or None.
+    A drawn area that fails its day's gates isn't drawn again, on any day. A day without an area after `attempts` draws is an error, or, unless strict, a row
+    without area and name.
     """
+
+    def listed(drawn: list, twist: str):
+        met = {r.area for r in passing.filter((F.col("twist") == twist) & F.col("area").isin(*(r.area for r in drawn))).select("area").distinct().collect()}
+        return next((k for k, r in enumerate(drawn) if r.area in met), None)
+
     spark, pool, used = days.sparkSession, Pool(areas), set(used or ())
+    first = listed if isinstance(passing, DataFrame) else passing
     rows, chosen = [], []
     for d in sorted(days.select("n", "date", "twist").collect(), key=lambda d: d.n):
         numbers = draws(d.n * DAY_SEED & MASK)
         pool.begin(used, [at for when, at in chosen if 0 < (d.date - when).days <= RECENT_DAYS], recent_m)
-        for attempt in range(1, attempts + 1):
-            found = pool.draw(next(numbers))
-            if found is None:
-                break
-            used.add(found["name"])
-            if not passing.filter((F.col("area") == found["area"]) & (F.col("twist") == d.twist)).isEmpty():
-                chosen.append((d.date, (found["lon"], found["lat"])))
-                rows.append((d.n, d.date, d.twist, found["area"], found["name"], attempt))
-                break
-        else:
-            found = None
-        if found is None:
+        drawn = pool.draws([next(numbers) for _ in range(attempts)])
+        k = first(drawn, d.twist) if drawn else None
+        used |= {r.name for r in (drawn if k is None else drawn[: k + 1])}
+        if k is not None:
+            chosen.append((d.date, (drawn[k].lon, drawn[k].lat)))
+            rows.append((d.n, d.date, d.twist, drawn[k].area, drawn[k].name, k + 1))
+        elif strict:
             raise ValueError(f"no area for {d.date} ({d.twist}) after {attempts} draws")
+        else:
+            rows.append((d.n, d.date, d.twist, None, None, len(drawn)))
     schema = f"n long, date date, twist string, area {areas.schema['area'].dataType.simpleString()}, name string, attempt int"
     return spark.createDataFrame(rows, schema)  # one row a day

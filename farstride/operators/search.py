@@ -6,7 +6,9 @@ origin only through the stop where it boards, so walks are searched around each
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, grid_cell, meters_between
+from ..functions.geo import MERCATOR_CIRCUMFERENCE_M, METRES_PER_DEGREE, grid_cell, meters_between
+from . import raster
 from .graph import ALIGHT, BOARD, RIDE, WALK
 from .iterate import Tables
 
@@ -25,7 +28,9 @@ ORIGINS, CELLS, BATCH = 256, 1 << 22, 100_000
 #: Rows that a join's side is broadcast with at most; tasks of a search; walks that a task copies to their groups; labels that a task relaxes.
 SMALL, TASKS, WALKS, LABELS = 1_000_000, 4000, 250_000, 4096
 #: What a row of a group is.
-SEED, ROAD, ASK = 0, 1, 2
+SEED, ROAD, ASK, LEG, POINT = 0, 1, 2, 3, 4
+#: Origins whose areas a task paints.
+LOT = 16
 
 
 def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_of: DataFrame | None = None, period: str | None = None) -> DataFrame:
@@ -43,8 +48,8 @@ def priced(edges: DataFrame, params: dict, modes: list[int] | None = None, mode_
     return edges.select("src", "dst", "kind", cost0.alias("cost0"), cost1.alias("cost1")).filter(F.col("cost0").isNotNull())
 
 
-def relaxed(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
-    """Least cost of every (origin, node, boarded) within limit, and the round that found it; seeds: (origin, node, cost), edges: stored.
+def relaxed(seeds: DataFrame, edges: DataFrame, limit: float | str) -> DataFrame:
+    """Least cost of every (origin, node, boarded) within limit (or each edge's, if it names a column), and the round that found it; seeds: (origin, node, cost), edges: stored.
 
     Each round relaxes the labels that the round before improved; rounds end when none improves. Seeds above the limit stay, but lead nowhere.
     Rounds keep costs only, as numbers are reduced without sorting; predecessors() has the rest.
@@ -58,7 +63,7 @@ def relaxed(seeds: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
         # a table of labels is small, and would be read by one task, but each label has many edges
         step = front.repartition(max(8, -(-many // LABELS)), "node").join(edges.withColumnRenamed("src", "node"), "node")
         cost = F.col("cost") + F.when(F.col("boarded") == 0, F.col("cost0")).otherwise(F.col("cost1"))
-        new = step.select("origin", F.col("dst").alias("node"), boarded_after().alias("boarded"), none.cast("double").alias("cost"), none.cast("int").alias("round"), cost.alias("found")).filter(F.col("found") <= limit)
+        new = step.select("origin", F.col("dst").alias("node"), boarded_after().alias("boarded"), none.cast("double").alias("cost"), none.cast("int").alias("round"), cost.alias("found"), *([limit] if isinstance(limit, str) else [])).filter(F.col("found") <= (F.col(limit) if isinstance(limit, str) else limit)).drop("limit")
         both = labels.withColumn("found", none.cast("double")).unionByName(new).groupBy(*key).agg(F.min("cost").alias("cost"), F.min("round").alias("round"), F.min("found").alias("found"))
         # an equal cost keeps the earlier round's label, so only strict improvements are relaxed again
         better = F.col("cost").isNull() | (F.col("found") < F.col("cost"))
@@ -330,6 +335,13 @@ def paths(labels: DataFrame, targets: DataFrame) -> DataFrame:
     return out
 
 
+def arrivals(first: DataFrame, legs: DataFrame, limit: float) -> DataFrame:
+    """(origin, alight, cost, board): the earliest arrival by rides at each stop; first: (origin, board, walk), legs: (board, alight, ride)."""
+    total = F.col("walk") + F.col("ride")
+    arrived = first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
+    return arrived.select("origin", "alight", "m.cost", "m.board")
+
+
 class Reach:
     """Least costs within limit from all origins. best has (origin, node, cost, ridden) of streets and stops, the cheaper of walking and riding.
 
@@ -353,9 +365,7 @@ class Reach:
         used = self.first.select(F.col("board").alias("origin"), F.col("board").alias("node")).distinct().withColumn("cost", F.lit(0.0))
         self.rides = relaxed(used, self.hubs, limit)
         legs = self.rides.filter(F.col("node").startswith("p") & (F.col("boarded") == 1)).select(F.col("origin").alias("board"), F.col("node").alias("alight"), F.col("cost").alias("ride"))
-        total = F.col("walk") + F.col("ride")
-        arrived = self.first.join(small(legs), "board").filter(total <= limit).groupBy("origin", "alight").agg(F.min(F.struct(total.alias("cost"), "board")).alias("m"))
-        self.arrived = tables.save(arrived.select("origin", "alight", "m.cost", "m.board"))
+        self.arrived = tables.save(arrivals(self.first, legs, limit))
         rides = self.arrived.select("origin", F.col("alight").alias("node"), "cost", F.lit(True).alias("ridden"))
         self.starts = self.seeds.withColumn("ridden", F.lit(False)).unionByName(rides)
 
@@ -441,3 +451,109 @@ def legs(path: DataFrame) -> DataFrame:
         F.first("line", ignorenulls=True).alias("line"), F.sum(F.when(~board, F.col("spent"))).alias("seconds"), F.sum(F.when(board, F.col("spent"))).alias("penalty"), F.count("*").alias("nodes")
     )
     return out.filter((F.coalesce("seconds", F.lit(0.0)) >= 0.5) | (F.coalesce("penalty", F.lit(0.0)) > 0))
+
+
+class Network:
+    """A graph that is searched again and again from a few origins, under named settings: its walks and the rides between all stops are stored once.
+
+    edges: (src, dst, kind, weight, route and the periods' columns), places: (node, lon, lat) of streets and stops; settings: name -> limit_s, speed, transfer_s, wait_s,
+    modes (of mode_of) and period. No search begins farther than metres from centres (lon, lat), so walks that no one comes to are left out.
+    """
+
+    def __init__(self, edges: DataFrame, places: DataFrame, settings: dict[str, dict], mode_of: DataFrame, centres: DataFrame, metres: float):
+        tables, self.settings = Tables(edges.sparkSession), settings
+        edges, self.limit_of = tables.save(edges), {}
+        for own in settings.values():
+            self.limit_of[own["speed"]] = max(own["limit_s"], self.limit_of.get(own["speed"], 0.0))
+        stop = F.col("node").startswith("p")
+        walks = edges.filter(F.col("kind") == WALK)
+        a, b = (places.select(F.col("node").alias(end), F.col("lon").alias(f"lon_{end}"), F.col("lat").alias(f"lat_{end}")) for end in ("src", "dst"))
+        straight = meters_between("lon_src", "lat_src", "lon_dst", "lat_dst") / F.greatest(F.col("weight"), F.lit(1.0))
+        stretch = walks.join(a, "src").join(b, "dst").agg(F.max(straight)).first()[0] or 1.0
+        far = metres + max(1.0, stretch) * max(speed * limit for speed, limit in self.limit_of.items())
+        sides = [f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max)]
+        box = centres.select("lon", "lat").unionByName(places.filter(stop).select("lon", "lat")).agg(*sides).first()
+        north = far / METRES_PER_DEGREE
+        top = min(89.0, max(abs(box.min_lat), abs(box.max_lat)) + north) if box.min_lat is not None else 0.0
+        east = north / math.cos(math.radians(top))
+        inside = lambda c, by: F.col(c).between((box[f"min_{c}"] or 0.0) - by, (box[f"max_{c}"] or 0.0) + by)
+        self.places = tables.save(places.filter(inside("lon", east) & inside("lat", north)))
+        self.held = F.broadcast if self.places.count() <= SMALL else lambda df: df  # as small() has it, asked once
+        here = lambda end: self.held(self.places.select(F.col("node").alias(end)))
+        walks = tables.save(walks.join(here("src"), "src", "left_semi").join(here("dst"), "dst", "left_semi"))
+        self.stops = self.places.filter(stop).select("node")
+        seeds = self.stops.select(F.col("node").alias("origin"), "node", F.lit(0.0).alias("cost"))
+        self.roads, between = {}, {}
+        for speed, limit in self.limit_of.items():
+            self.roads[speed] = roads = Roads(priced(walks, {"speed": speed, "wait_s": 0.0, "transfer_s": 0.0}), self.places, limit, speed)
+            apart = roads.costs(seeds, only="p").filter(F.col("origin") != F.col("node"))
+            between[speed] = tables.save(apart.select(F.col("origin").alias("src"), F.col("node").alias("dst"), F.lit(WALK).alias("kind"), F.col("cost").alias("cost0"), F.col("cost").alias("cost1")))
+        # rides under all settings are searched at once: a node's name begins with its setting's
+        tagged = lambda name, c: F.concat(F.lit(f"{name}|"), c)
+        hubs = [
+            rides.unionByName(between[own["speed"]]).withColumns({c: tagged(name, c) for c in ("src", "dst")}).withColumn("limit", F.lit(own["limit_s"]))
+            for name, own in settings.items()
+            for rides in [priced(edges.filter(F.col("kind") != WALK), own, own["modes"], mode_of, own["period"])]
+        ]
+        starts = [self.stops.select(tagged(name, "node").alias("origin"), tagged(name, "node").alias("node"), F.lit(0.0).alias("cost")) for name in settings]
+        labels = relaxed(reduce(DataFrame.unionByName, starts), tables.save(reduce(DataFrame.unionByName, hubs)), "limit")
+        parts = {"board": F.substring_index("origin", "|", -1), "alight": F.substring_index("node", "|", -1)}
+        rides = labels.filter(F.substring_index("node", "|", -1).startswith("p") & (F.col("boarded") == 1))
+        self.legs = tables.save(rides.select(F.substring_index("node", "|", 1).alias("setting"), *(c.alias(n) for n, c in parts.items()), F.col("cost").alias("ride")))
+
+    def areas(self, points: DataFrame, near: DataFrame, setting: str, many: int) -> DataFrame:
+        """(origin, km2) that each of points (origin, lat) reaches within the setting's limit, 0 where that is nothing; near: (origin, node, d), the streets where its search begins.
+        many: how many points there are, about.
+
+        Origins are numbers, those of neighbours near each other: LOT of them in a row are searched and painted together, in a task that has the walks around their streets, and
+        around all stops where rides from near there end. So only the areas come out of it.
+        """
+        own, lot = self.settings[setting], F.floor(F.col("origin") / LOT).alias("lot")
+        limit, speed, roads = own["limit_s"], own["speed"], self.roads[own["speed"]]
+        tables = Tables(near.sparkSession)
+        places = self.places.select("node", "lon", "lat", *roads.tile("lon", "lat"))
+        seeds = tables.save(near.select(lot, "origin", "node", (F.col("d") / speed).alias("cost")).join(self.held(places), "node"))
+        walked = roads.around(seeds, "lot")
+        boards = F.broadcast(walked).join(places.filter(F.col("node").startswith("p")), ["tx", "ty"]).select("lot", F.col("node").alias("board"))
+        legs = tables.save(boards.join(self.legs.filter((F.col("setting") == setting) & (F.col("ride") <= limit)), "board").select("lot", "board", "alight", "ride"))
+        ends = roads.around(legs.select("lot", F.col("alight").alias("node")).distinct().join(places, "node"), "lot")
+        tiles = walked.unionByName(ends).distinct()  # a few for each lot
+        none = lambda **kinds: [F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()]
+        ends_at = [F.lit(None).cast("double").alias(f"{c}_dst") for c in ("lon", "lat")]
+        rows = seeds.select("lot", F.lit(SEED).alias("part"), "origin", "node", *none(dst="string"), "cost", F.col("lon").alias("lon_src"), F.col("lat").alias("lat_src"), *ends_at)
+        walks = roads.walks.join(F.broadcast(tiles), ["tx", "ty"])
+        rows = rows.unionByName(walks.select("lot", F.lit(ROAD).alias("part"), *none(origin="long"), F.col("src").alias("node"), "dst", "cost", "lon_src", "lat_src", "lon_dst", "lat_dst"))
+        rows = rows.unionByName(legs.select("lot", F.lit(LEG).alias("part"), *none(origin="long"), F.col("board").alias("node"), F.col("alight").alias("dst"), F.col("ride").alias("cost"), *none(lon_src="double", lat_src="double"), *ends_at))
+        rows = rows.unionByName(points.select(lot, F.lit(POINT).alias("part"), F.col("origin").cast("long").alias("origin"), *none(node="string", dst="string", cost="double", lon_src="double"), F.col("lat").alias("lat_src"), *ends_at))
+
+        def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(list(batches))
+            seeds, roads, legs, points = (rows.filter(pc.equal(rows["part"], part)) for part in (SEED, ROAD, LEG, POINT))
+            names, (node, src, dst, board, alight) = coded(seeds["node"], roads["node"], roads["dst"], legs["node"], legs["dst"])
+            origins, (origin, point) = coded(seeds["origin"], points["origin"])
+            x, y, lat = np.full((3, max(len(names), len(origins))), np.nan)
+            for at, table, end in ((src, roads, "src"), (dst, roads, "dst"), (node, seeds, "src")):
+                x[at] = (table[f"lon_{end}"].to_numpy() + 180) / 360
+                y[at] = 0.5 - np.log(np.tan(np.pi / 4 + np.radians(table[f"lat_{end}"].to_numpy()) / 2)) / (2 * np.pi)
+            lat[point] = points["lat_src"].to_numpy()
+            order, ride, cost = np.argsort(src, kind="stable"), legs["cost"].to_numpy(), seeds["cost"].to_numpy()
+            by_start = src[order], dst[order], roads["cost"].to_numpy()[order]
+            placed, many, out = np.isfinite(x[: len(names)]), max(1, CELLS // max(1, len(names))), []
+            for a in range(0, len(origins), many):
+                shape = (len(names), min(many, len(origins) - a))
+                mine = np.flatnonzero((origin >= a) & (origin < a + many))
+                walk = Field(node[mine], origin[mine] - a, cost[mine], shape, by_start, limit).cost
+                arrived = np.full(shape, np.inf)
+                np.minimum.at(arrived, alight, np.where(walk[board] <= limit, walk[board], np.inf) + ride[:, None])
+                stop, who = np.nonzero(arrived <= limit)
+                best = np.minimum(walk, Field(stop, who, arrived[stop, who], shape, by_start, limit).cost)
+                for j in range(shape[1]):
+                    here = np.flatnonzero((best[:, j] <= limit) & placed)
+                    if len(here):
+                        out.append((a + j, math.cos(math.radians(lat[a + j])) * MERCATOR_CIRCUMFERENCE_M, x[here], y[here], best[here, j]))
+            km2 = np.zeros(len(origins))
+            for k, area, *_ in raster.swept_areas(out, speed, limit):
+                km2[k] = area
+            yield pa.RecordBatch.from_arrays([pa.array(origins.to_numpy(zero_copy_only=False), pa.int64()), pa.array(km2)], ["origin", "km2"])
+
+        return rows.repartition(min(TASKS, 2 * -(-many // LOT)), "lot").groupBy("lot").applyInArrow(paint, "origin long, km2 double")

@@ -6,13 +6,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalars
-from ..operators import raster, schedule, score, streets
+from ..operators import raster, schedule, score, search, streets
 from ..operators.iterate import checkpointed
 from ..sources.surrogate import oracle, view
 from ..streaming import game, requests
-from .catalog import cells, flat, halt_points, query, rounded, street_points
+from .catalog import cells, flat, graph_edges, halt_points, node_places, query, rounded, street_points
 from .catalog import GRID as RASTER
-from .spots import sampled
+from .spots import RINGS, SEED_M, sampled
 
 #: First day, and the areas' radius, grid step, least share on land, and gates.
 FIRST_DAY, RADIUS_M, STEP_M = "2026-09-30", 1000, 150
@@ -46,22 +46,77 @@ def pool(spark, sf):
     return places.join(weights, "id").select(F.col("id").alias("area"), "name", "lon", "lat", F.col("weight").cast("long").alias("weight"), F.col("id").alias("ord"))
 
 
-def passing(spark, sf):
-    """(area, twist) that meet the gates, for all areas and twists: the probes', and enough land; a twist scales the stand-in score."""
-    view(spark, sf, "places")
-    ring = score.probes(spark.sql(CENTRES), "place", 0.6 * RADIUS_M)
-    scales = spark.createDataFrame([(t[0], 0.6 + 0.1 * k) for k, t in enumerate(score.TWISTS)], "twist string, scale double")  # the ten twists
-    scored = ring.crossJoin(F.broadcast(scales)).withColumns({"km2": F.col("scale") * (12 + 9 * F.sin(F.col("lon") * 900) + 2 * F.cos(F.col("lat") * 1100)), "key": F.struct("place", "twist")})
-    gate = score.probe_gate(scored.drop("place"), "key", MIN_BEST_KM2, MAX_PROBE_RATIO).filter("passed").select("key.place", "key.twist")
-    return gate.select(F.col("place").alias("area"), "twist")
+#: What a day's score is under each twist: the standard settings and the twist's own.
+SETTINGS = {
+    twist: {"period": f"s_{period or 'rush'}", "limit_s": 60.0 * (limit or 45), "speed": (speed or 5) / 3.6, "transfer_s": 60.0 * (transfer or 5), "wait_s": 0.0, "modes": modes}
+    for twist, period, limit, speed, transfer, modes in score.TWISTS
+}
+#: Grids that are scored at once at most: one at first, then more each time.
+GRIDS = 9
+
+
+class Gates:
+    """The gates of a day's area, in the generator's order: probes, points on land, and the whole grid; each point is scored by a search under the day's twist.
+
+    Streets, walks and rides are stored once, for all areas (area, lon, lat) that may be asked for.
+    """
+
+    def __init__(self, spark, sf, areas):
+        self.spark, self.sf = spark, sf
+        first = SEED_M * RINGS[-1]
+        edges = graph_edges(spark, sf, tuple(sorted({own["period"] for own in SETTINGS.values()})))
+        mode_of = view(spark, sf, "routes").select("route", scalars.mode_group("route_type").alias("mode"))
+        self.net = search.Network(edges, node_places(spark, sf), SETTINGS, mode_of, areas, RADIUS_M + first)
+        # no other street is within the widest ring around a point
+        streets_here = self.net.places.filter(F.col("node").startswith("s"))
+        self.streets = checkpointed(streets_here.select(F.substring("node", 2, 20).cast("long").alias("id"), "lon", "lat"))
+
+    def scored(self, points, twist, many):
+        """points (id, lon, lat, ...; about many) with km2, the area that is reached from each under the twist."""
+        near = streets.ring_search(points.select("id", "lon", "lat"), self.streets, SEED_M, RINGS)
+        near = near.select(F.col("id").alias("origin"), F.concat(F.lit("s"), F.col("other")).alias("node"), "d")
+        areas = self.net.areas(points.select(F.col("id").alias("origin"), "lat"), near, twist, many)
+        return points.join(areas.withColumnRenamed("origin", "id"), "id")
+
+    def areas(self, drawn, places):
+        return self.spark.createDataFrame([(k, drawn[k].lon, drawn[k].lat) for k in places], "draw long, lon double, lat double")
+
+    def probed(self, drawn, places, twist):
+        """Those of places in drawn whose area's probes have a good spot and differ enough."""
+        ring = score.probes(self.areas(drawn, places), "draw", 0.6 * RADIUS_M)
+        scored = self.scored(ring.withColumn("id", F.col("draw") * 7 + F.col("k") + 1), twist, 7 * len(places))
+        return sorted(r.draw for r in score.probe_gate(scored, "draw", MIN_BEST_KM2, MAX_PROBE_RATIO).filter("passed").collect())
+
+    def gridded(self, drawn, places, twist):
+        """Those of places in drawn whose area has enough points on land, of which the best is good and the upper median well below it; scores are rounded before they are compared."""
+        grid = spread_out(self.areas(drawn, places), "draw")
+        land = checkpointed(grid.join(on_land(self.spark, self.sf, grid, self.streets), ["lon", "lat"]))
+        side = 2 * RADIUS_M // STEP_M + 1
+        possible = sum(x * x + y * y <= RADIUS_M * RADIUS_M for x in range(-RADIUS_M, RADIUS_M + 1, STEP_M) for y in range(-RADIUS_M, RADIUS_M + 1, STEP_M))
+        enough = land.groupBy("draw").agg(F.count("*").alias("land")).filter(F.col("land") >= possible * MIN_LAND_SHARE).select("draw")
+        number = (F.col("draw") * side + (F.col("dy") + RADIUS_M) / STEP_M) * side + (F.col("dx") + RADIUS_M) / STEP_M
+        scored = self.scored(land.join(F.broadcast(enough), "draw").withColumn("id", number.cast("long")), twist, possible * len(places))  # a few areas
+        rounded_km2 = scored.withColumn("km2", F.floor(F.col("km2") * 100 + 0.5) / 100)
+        return sorted(r.draw for r in score.puzzle_summary(rounded_km2, "draw").filter("passed").collect())
+
+    def first(self, drawn, twist):
+        """The place of the first of drawn rows (lon, lat) that meets all gates, or None. All draws of a day are probed at once; grids follow as they are needed."""
+        left, many = self.probed(drawn, range(len(drawn)), twist), 1
+        while left:
+            if met := self.gridded(drawn, left[:many], twist):
+                return met[0]
+            left, many = left[many:], min(GRIDS, 3 * many)
+        return None
 
 
 @query("puzzle_days")
 def _(spark, sf):
-    """A day for each nation: areas are drawn by weight, without those used before or near recent days', until one meets the day's gates."""
+    """A day for each nation: areas are drawn by weight, without those used before or near recent days', until one meets the day's gates; a day whose draws all fail has none."""
     days = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey") + 1).cast("long").alias("n"))
     days = days.withColumn("date", F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("n") - 1).cast("int")))
-    return schedule.puzzle_days(schedule.scheduled(days, [t[0] for t in score.TWISTS], 30), pool(spark, sf), checkpointed(passing(spark, sf)), recent_m=600.0)  # the streets cover some 8 km
+    areas = checkpointed(pool(spark, sf))
+    days = schedule.scheduled(days, [t[0] for t in score.TWISTS], 30)
+    return schedule.puzzle_days(days, areas, Gates(spark, sf, areas).first, recent_m=600.0, strict=False)  # the streets cover some 8 km
 
 
 IMUL = lambda a, b: f"(CAST({a} AS HUGEINT) * ({b}) & 4294967295)"
@@ -120,10 +175,10 @@ def area_grids(spark, sf):
     return spread_out(centres(spark, sf).select("place", "lon", "lat"), "place")
 
 
-def on_land(spark, sf, grid):
-    """Points (lon, lat) of a grid within a step of a street node, and not in water: each distinct point once."""
+def on_land(spark, sf, grid, nodes=None):
+    """Points (lon, lat) of a grid within a step of a street node (of nodes, if given), and not in water: each distinct point once."""
     points = grid.select("lon", "lat").distinct().withColumn("id", F.struct("lon", "lat"))
-    near = streets.cell_join(points, street_points(spark, sf), float(STEP_M), 0.004, geo.meters_from).select("id").distinct()
+    near = streets.cell_join(points, street_points(spark, sf) if nodes is None else nodes, float(STEP_M), 0.004, geo.meters_from).select("id").distinct()
     spark.read.parquet(f"{sf}/nation.parquet").createOrReplaceTempView("nation")
     sides = F.expr("array(struct(x + 2e-3 AS x1, y + 2e-3 AS y1, x + 8e-3 AS x2, y + 2e-3 AS y2), struct(x + 8e-3 AS x1, y + 2e-3 AS y1, x + 8e-3 AS x2, y + 8e-3 AS y2), struct(x + 8e-3 AS x1, y + 8e-3 AS y1, x + 2e-3 AS x2, y + 8e-3 AS y2), struct(x + 2e-3 AS x1, y + 8e-3 AS y1, x + 2e-3 AS x2, y + 2e-3 AS y2))")
     # water polygons are dealt to the map tiles that they touch
